@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import exact_dedup, mixing
 
 QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
-SQL = {**mixing.SQL}
+SQL = {**mixing.SQL, **exact_dedup.SQL}
