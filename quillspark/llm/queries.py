@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, near_dedup
 
 QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
-SQL = {**mixing.SQL, **exact_dedup.SQL}
+SQL = {**mixing.SQL, **near_dedup.SQL, **exact_dedup.SQL}
