@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup
+from . import exact_dedup, mixing, near_dedup, packing
 
 QUERIES = {
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
