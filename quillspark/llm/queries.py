@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, packing
+from . import exact_dedup, mixing, near_dedup, packing, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_near_dedup": near_dedup.op8_near_dedup,
