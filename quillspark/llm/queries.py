@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, packing, toxicity
+from . import exact_dedup, mixing, near_dedup, packing, pii, toxicity
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
