@@ -126,7 +126,7 @@ def _voted(s: Column) -> Column:
         s["text"].alias("text"),
         (s["kind"].isin(*BASE) & F.coalesce(s["passes"], F.lit(False))).alias("base"),
         *(v.alias(k) for k, v in votes.items()),
-        F.array(*(F.concat(F.lit(f"{name}="), v) for name, v in zip(FEATURES, values))).alias("features"),
+        F.array(F.concat(F.lit("shape="), s["kind"]), *(F.concat(s["kind"], F.lit(f" {name}="), v) for name, v in zip(FEATURES[1:], values[1:]))).alias("features"),
     )
 
 
@@ -186,9 +186,13 @@ def classifier(found: DataFrame, rounds: int = ROUNDS) -> tuple[float, dict[str,
     likely = {"|".join([kind, *("-" if v is None else str(v) for v in votes)]): posterior(prior[kind], rates, votes) for kind, votes, _ in patterns}
     p = F.element_at(_map(likely), key)
     sums = spans.select(p.alias("p"), F.explode("s.features").alias("feature")).groupBy("feature").agg(F.sum("p"), F.sum(1 - F.col("p"))).collect()
-    yes, no = (sum(r[k] for r in sums) / len(FEATURES) + 1.0 for k in (1, 2))
-    share = yes / (yes + no)  # smoothing pulls a rare feature towards no evidence
-    weights = {r[0]: math.log((r[1] + 2 * share) / yes) - math.log((r[2] + 2 * (1 - share)) / no) for r in sums}
+    kinds = {r[0].partition("=")[2]: (r[1] + 1.0, r[2] + 1.0) for r in sums if r[0].startswith("shape=")}
+    yes, no = (sum(x[k] for x in kinds.values()) for k in (0, 1))
+    weights = {}
+    for feature, a, b in sums:  # within the kind, but for the kind itself; smoothing pulls a rare one towards no evidence
+        of_yes, of_no = (yes, no) if feature.startswith("shape=") else kinds[feature.partition(" ")[0]]
+        share = of_yes / (of_yes + of_no)
+        weights[feature] = math.log((a + 2 * share) / of_yes) - math.log((b + 2 * (1 - share)) / of_no)
     return math.log(yes) - math.log(no), weights
 
 
