@@ -49,13 +49,19 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield forest.edges()
 
 
+def contracting(step):
+    """A mapInArrow function whose edges are contracted in the same worker, so a task needs no second one."""
+    return lambda batches: contract(step(batches))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, label): for each node of an edge, the smallest id that it reaches.
+    Whatever makes the edges should contract() those of a partition.
 
     A round takes the smallest label of the neighbours, then the label's own label, so labels
     move along chains at doubling speed. Rounds end when no label changes.
     """
-    edges = materialize(edges.where("a <> b").mapInArrow(contract, "a long, b long"), "edges")
+    edges = materialize(edges.where("a <> b"), "edges")
     both = edges.union(edges.select("b", "a")).distinct()
     both = materialize(both, "edges-both")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")

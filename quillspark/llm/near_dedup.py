@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .components import components
+from .components import components, contracting
 from .shared import materialize, parts, table
 
 TREES, DEPTH = 16, 8
@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     trees = nodes.where("node IS NOT NULL").mapInArrow(_trees, "tree int, prefix binary, node long, sketch binary")
     ordered = trees.repartitionByRange(n, "tree", "prefix").sortWithinPartitions("tree", "prefix")
-    families = components(ordered.mapInArrow(_neighbours, "a long, b long"))
+    families = components(ordered.mapInArrow(contracting(_neighbours), "a long, b long"))
 
     # blocks: as many for a family as bound its sets and its shingles
     sized = families.withColumnRenamed("label", "family").join(nodes.select("node", "n"), "node")
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block"))))
     pairs = texts.withColumn("other", other).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "text")
     grouped = pairs.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j")
-    found = components(grouped.mapInArrow(_confirm, "a long, b long"))
+    found = components(grouped.mapInArrow(contracting(_confirm), "a long, b long"))
 
     by_key = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
     out = sketched.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
