@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, packing, pii, toxicity
+from . import exact_dedup, exact_topk, mixing, near_dedup, packing, pii, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_exact_topk": exact_topk.op10_exact_topk,
 }
 
-SQL = {**mixing.SQL, **near_dedup.SQL, **exact_dedup.SQL}
+SQL = {**mixing.SQL, **near_dedup.SQL, **exact_dedup.SQL, **exact_topk.SQL}
