@@ -1,19 +1,47 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage gets what the one before it kept. A stage but the last returns the columns of documents,
+so its decisions take effect for all that follow: toxic documents go, of equal texts and of near
+copies one stays, sources are repeated or thinned out to their targets, and what is left is packed.
+A document that mixing takes several times is packed as often.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import mixing
+from quillspark.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from quillspark.llm.shared import materialize, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model fitted on `labels` does not reject."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest doc_id."""
+    return exact_dedup.deduplicate(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id."""
+    return near_dedup.keep_first(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
     return mixing.mix(docs)
 
 
-STAGES = [("mix", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their sequence and offset."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("exact_dedup", exact), ("near_dedup", near), ("mix", mix), ("pack", pack)]
 
+#: Training a model, linking near copies and packing are beyond SQL; tests compare with plain versions.
 ORACLE_SQL = None
 
 
