@@ -44,3 +44,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def word_count(text) -> F.Column:
     """Number of words of a text column, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+#: Tables of up to this many short rows are sent to every executor.
+BROADCAST_ROWS = 100_000
+SALTS = 32
+
+
+def small_join(rows: DataFrame, small: DataFrame, key: str, spread: str) -> DataFrame:
+    """Inner equi-join with a table of aggregates, which has every key of rows once.
+
+    A broadcast while the table is small, else over salted keys, by which a hot key's rows are
+    dealt out on `spread`.
+    """
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), key)
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
