@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, exact_topk, language, mixing, near_dedup, packing, pii, token_counts, toxicity
+from . import exact_dedup, exact_topk, language, licenses, mixing, near_dedup, packing, pii, token_counts, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_language_id": language.op4_language_id,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_near_dedup": near_dedup.op8_near_dedup,
