@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 
+EDGES_A_TASK = 250_000
+
+
 class Forest:
     """Union-find over ids; the root of a tree is its smallest id."""
 
@@ -62,15 +65,17 @@ def components(edges: DataFrame) -> DataFrame:
     move along chains at doubling speed. Rounds end when no label changes.
     """
     edges = materialize(edges.where("a <> b"), "edges")
+    # these tables are small beside the documents: as many tasks as their rows take, not as the session's shuffles have
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, edges.count() // EDGES_A_TASK)
     both = edges.union(edges.select("b", "a")).distinct()
-    both = materialize(both, "edges-both")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+    both = materialize(both.coalesce(tasks), "edges-both")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")).coalesce(tasks), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("low"))
         up = labels.select(F.col("node").alias("low"), F.col("label").alias("lowest"))
         jumped = lower.join(up, "low", "left").select("node", F.least("low", "lowest").alias("label"), "was")
-        after = materialize(jumped, "labels")
+        after = materialize(jumped.coalesce(tasks), "labels")
         if after.where("label <> was").isEmpty():
             return after.select("node", "label")
         labels = after.select("node", "label")
