@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import library
+
+MODULES = (library,)
+QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+SQL: dict = {name: sql for module in MODULES for name, sql in module.SQL.items()}
