@@ -33,7 +33,7 @@ def most_repeated(text: Column, sizes=(3, 4)) -> Column:
     own = T.words(text, "[a-z']+")
     step = lambda a, g: F.struct(g.alias("last"), F.when(a["last"] == g, a["run"] + 1).otherwise(1).alias("run"), F.greatest(a["best"], F.when(a["last"] == g, a["run"] + 1).otherwise(1)).alias("best"))
     start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-    return F.greatest(*(F.aggregate(F.array_sort(T.ngrams(own, n)), start, step, lambda a: a["best"]) for n in sizes))
+    return T.bound(own, lambda t: F.greatest(*(F.aggregate(F.array_sort(T.ngrams(t, n)), start, step, lambda a: a["best"]) for n in sizes)))
 
 
 def title_tokens(title: Column) -> Column:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SEARCH_STOPWORDS, words
+from ..functions.text import SEARCH_STOPWORDS, bound, words
 
 K1, B = 1.2, 0.75
 
@@ -32,8 +32,8 @@ def bm25(units: DataFrame, questions: list[tuple[int, str]]) -> DataFrame:
     terms = sorted({t for _, own in asked for t in own})
     tokens = words(F.concat_ws(" ", "content", "title"))
     counted = units.select("unit_id", "source", "tradition", tokens.alias("tokens"))
-    tf = F.transform(F.array(*map(F.lit, terms)), lambda t: F.size(F.filter("tokens", lambda x: F.startswith(x, t))))
-    counted = counted.select("unit_id", "source", "tradition", F.size("tokens").alias("dl"), tf.alias("tf"))
+    tf = bound(F.col("tokens"), lambda own: F.struct(F.size(own).alias("dl"), F.transform(F.array(*map(F.lit, terms)), lambda t: F.size(F.filter(own, lambda x: F.startswith(x, t)))).alias("tf")))
+    counted = counted.select("unit_id", "source", "tradition", tf.alias("c")).select("unit_id", "source", "tradition", "c.dl", "c.tf")
     if not terms:
         return counted.limit(0).select(F.lit(0).alias("qid"), "unit_id", "source", "tradition", F.lit(0.0).alias("score"))
     totals = counted.agg(F.count("*"), F.avg("dl"), *(F.count_if(F.col("tf")[k] > 0) for k in range(len(terms)))).first()

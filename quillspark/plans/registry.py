@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import library, search
+from . import audit, library, search
 
-MODULES = (library, search)
+MODULES = (library, search, audit)
 QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL: dict = {name: sql for module in MODULES for name, sql in module.SQL.items()}
