@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import audit, library, search
+from . import audit, ingest, library, packs, search, state
 
-MODULES = (library, search, audit)
+MODULES = (library, search, audit, packs, state, ingest)
 QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL: dict = {name: sql for module in MODULES for name, sql in module.SQL.items()}
