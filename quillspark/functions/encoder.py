@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 
 def pooled(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -20,7 +21,7 @@ def pooled(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
 def encoded(text: Column, load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 64) -> Column:
     """Unit vectors of texts. load() makes the model once a worker; the model maps a list of texts to a matrix."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(ArrayType(FloatType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for texts in batches:

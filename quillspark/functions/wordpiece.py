@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 MOST_TOKENS, MOST_WORD = 256, 100
 
@@ -37,7 +38,7 @@ def encode(text: str, vocabulary: dict[str, int], most: int = MOST_TOKENS) -> li
 def wordpiece(text: Column, vocabulary: dict[str, int], most: int = MOST_TOKENS) -> Column:
     """Token ids. A vocabulary is bounded (tens of thousands of pieces), and goes to the workers with the function."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(ArrayType(IntegerType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.fillna("").map(lambda t: encode(t, vocabulary, most))

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .library import openings
 
@@ -42,7 +43,7 @@ def excerpt(units: list[str]) -> str:
     return ""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _excerpts(openings_: pd.Series) -> pd.Series:
     return openings_.map(lambda units: excerpt(list(units)))
 
