@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .shared import materialize, table
+from .shared import materialize, shielded, table
 
 #: Bytes of distinct text that a table of the first step and a bucket of the last hold.
 TABLE_BYTES = 16 << 20
@@ -204,9 +204,9 @@ def _to_buckets(entries: DataFrame, bucket_bytes: int) -> DataFrame:
 
 def deduplicate(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The rows of docs that stay, whole. One shuffle of distinct texts; no join."""
-    columns = docs.columns
-    entries = _stages(docs, False, table_bytes).drop("__sha")
-    return _to_buckets(entries, table_bytes).mapInArrow(_compare(True), docs.schema).select(*(f"`{c}`" for c in columns))
+    inner, restore = shielded(docs, ("doc_id", "text"))
+    entries = _stages(inner, False, table_bytes).drop("__sha")
+    return restore(_to_buckets(entries, table_bytes).mapInArrow(_compare(True), inner.schema))
 
 
 def duplicates(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:

@@ -61,3 +61,10 @@ def small_join(rows: DataFrame, small: DataFrame, key: str, spread: str) -> Data
         return rows.join(F.broadcast(small), key)
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
+
+
+def shielded(docs: DataFrame, needed: tuple[str, ...]):
+    """docs with all columns but the needed ones under names that no operator uses, and a function that puts a result's names back."""
+    inner = [c if c in needed else f"_{i}" for i, c in enumerate(docs.columns)]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return docs.select(*(quoted(c).alias(n) for c, n in zip(docs.columns, inner))), lambda df: df.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, inner)))

@@ -172,7 +172,8 @@ def _count(path: str):
 
 
 def counted(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """docs with n_words and n_tokens of the text; columns of these names must not be there before."""
+    """docs with n_words and n_tokens of the text, which take the place of columns of these names."""
+    docs = docs.drop("n_words", "n_tokens")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
     return docs.mapInArrow(_count(vocabulary or default_vocabulary()), schema)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .shared import table
+from .shared import shielded, table
 
 BITS = 20
 #: The most labelled rows that a model is fitted on.
@@ -134,7 +134,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that a model fitted on labels doesn't reject."""
-    return score(docs, fit(docs, labels)).where("__toxic = 0").select(*(f"`{c}`" for c in docs.columns))
+    inner, restore = shielded(docs, ("doc_id", "text"))
+    return restore(score(inner, fit(inner, labels)).where("__toxic = 0"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
