@@ -7,9 +7,11 @@
    an order have the longest common prefixes; a node takes its nearest WINDOW on either side with
    any common prefix, so the depth at which it finds them is small in sparse regions and large in
    dense ones. Candidates whose 2-bit sketches put the similarity below LIKELY are no candidates.
-3. Families are the connected components of candidates. The full sets of a family are compared in
-   blocks of bounded size, every block with every other, so what counts as a link never depends on
-   which neighbours the trees gave; a family merely has to be connected by them.
+3. Families are the connected components of candidates. In a family of more than a block, all full
+   sets are first compared with that of its first document, which settles most of a group of near
+   copies in linear work; those without that link are then compared with every set of the family,
+   in pairs of blocks of bounded size. So what counts as a link never depends on which neighbours
+   the trees gave; a family merely has to be connected by them.
 4. Components of confirmed links give the result.
 
 Defined results: a null or wordless text has an empty set and links with nothing. A row without
@@ -163,6 +165,41 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield group()
 
 
+def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (family, block), the family's first document at the head -> links with it, and the rows that have none, with text and size."""
+    now, first = None, []
+    for whole in batches:
+        for batch in wordhash.slices(whole, "text"):
+            out: list[tuple] = []
+            columns = [batch.column(c).to_pylist() for c in ("family", "block", "head", "node", "blocks", "text")]
+            for family, block, head, node, blocks, text, own in zip(*columns, wordhash.shingle_sets(batch.column("text"))):
+                if (family, block) != now:
+                    now, first = (family, block), []
+                if head:
+                    first.append(own)
+                elif any(_linked_pair(own, f) for f in first):
+                    out.append((family, node, blocks, None, 0))
+                elif len(own):
+                    out.append((family, node, blocks, text, len(own)))
+            if out:
+                types = pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["family", "node", "blocks", "text", "size"])
+
+
+def _linked_pair(a: np.ndarray, b: np.ndarray) -> bool:
+    if not len(a) or not len(b):
+        return False
+    where = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[where] == a).sum())
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def _blocks_of(sets, shingles) -> F.Column:
+    """Blocks that bound the sets and the shingles of each."""
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.ceil(F.greatest(column(sets) / BLOCK_SETS, column(shingles) / BLOCK_SHINGLES)).cast("int")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """For every row of docs: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
@@ -175,16 +212,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ordered = trees.repartitionByRange(n, "tree", "prefix").sortWithinPartitions("tree", "prefix")
     families = components(ordered.mapInArrow(contracting(_neighbours), "a long, b long"))
 
-    # blocks: as many for a family as bound its sets and its shingles
     sized = families.withColumnRenamed("label", "family").join(nodes.select("node", "n"), "node")
-    large = sized.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).withColumn("blocks", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")).where("blocks > 1").select("family", "blocks")
-    blocks = F.coalesce(F.col("blocks"), F.lit(1))
-    placed = sized.join(large, "family", "left").select("node", "family", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    texts = placed.join(docs.withColumnRenamed("doc_id", "node"), "node")
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block"))))
-    pairs = texts.withColumn("other", other).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "text")
-    grouped = pairs.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j")
-    found = components(grouped.mapInArrow(contracting(_confirm), "a long, b long"))
+    large = sized.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    large = large.withColumn("blocks", _blocks_of("sets", "shingles")).where("blocks > 1").select("family", "blocks")
+    large = materialize(large, "near-large")
+    placed = sized.select("node", "family").join(large, "family", "left").join(docs.withColumnRenamed("doc_id", "node"), "node")
+    nowhere = F.lit(0).alias("i"), F.lit(0).alias("j")
+    groups, links = placed.where("blocks IS NULL").select("family", *nowhere, "node", "text"), None
+    if not large.isEmpty():
+        members = placed.where("blocks IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("node", "text"), F.col("blocks")).cast("int"))
+        members = materialize(members, "near-members")
+        first = members.where("node = family").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        star = members.withColumn("head", F.lit(False)).unionByName(first.withColumn("head", F.lit(True)))
+        star = star.select("family", "block", "head", "node", "blocks", "text").repartition(n, "family", "block").sortWithinPartitions("family", "block", F.desc("head"))
+        star = materialize(star.mapInArrow(_star, "family long, node long, blocks int, text string, size long"), "near-star")
+        links = star.where("text IS NULL").select(F.col("family").alias("a"), F.col("node").alias("b"))
+        rest = star.where("text IS NOT NULL")
+        rests = rest.groupBy("family").agg(_blocks_of(F.count("*"), F.sum("size")).alias("rests"))
+        far = rest.join(rests, "family").withColumn("i", F.pmod(F.xxhash64("node"), F.col("rests")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        near = members.join(rests, "family").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).withColumn("j", F.col("block"))
+        for df in (far, near):
+            groups = groups.unionByName(df.select("family", "i", "j", "node", "text"))
+    grouped = groups.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j")
+    edges = grouped.mapInArrow(contracting(_confirm), "a long, b long")
+    found = components(edges if links is None else edges.unionByName(links))
 
     by_key = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
     out = sketched.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
