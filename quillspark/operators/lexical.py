@@ -51,8 +51,8 @@ def bm25(units: DataFrame, questions: list[tuple[int, str]]) -> DataFrame:
 
 
 def top(scored: DataFrame, limit: int, by: str = "score") -> DataFrame:
-    """The best rows of each question, with their rank; equal scores by id."""
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col(by).desc(), "unit_id"))
+    """The best rows of each question, with their rank; scores that agree to nine digits by id, as sums differ in their last bits."""
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round(by, 9).desc(), "unit_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 

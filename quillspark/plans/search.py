@@ -35,7 +35,7 @@ tf AS (SELECT term, unit_id, count(*)::DOUBLE AS tf FROM tokens JOIN (SELECT DIS
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 scored AS (SELECT qid, unit_id, sum(ln(greatest(1.000001, (n - df + 0.5) / (df + 0.5))) * tf * {X.K1 + 1} / (tf + {X.K1} * (1 - {X.B} + {X.B} * dl / mean))) AS score
   FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN lengths USING (unit_id), stats GROUP BY qid, unit_id),
-lexical AS (SELECT * FROM (SELECT qid, unit_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit_id)::INT AS rank FROM scored) WHERE rank <= {LIMIT})"""
+lexical AS (SELECT * FROM (SELECT qid, unit_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit_id)::INT AS rank FROM scored) WHERE rank <= {LIMIT})"""
 
 
 def postings_dictionary(spark, sf):
