@@ -24,6 +24,13 @@ def lexical_bm25_topk(spark, sf):
     return found.select("qid", "unit_id", "rank", F.round("score", 6).alias("score"))
 
 
+def bm25_index_topk(spark, sf):
+    """The same through a postings table."""
+    u = units(spark, sf)
+    found = X.top(X.bm25_indexed(X.postings(u), u, QUESTIONS), LIMIT)
+    return found.select("qid", "unit_id", "rank", F.round("score", 6).alias("score"))
+
+
 def _bm25_sql() -> str:
     asked = [(qid, X.query_terms(text)) for qid, text in QUESTIONS]
     rows = ", ".join(f"({qid}, '{t}')" for qid, own in asked for t in own)
@@ -168,7 +175,7 @@ def search_rag(spark, sf):
     return chosen.join(best, "unit_id", "left").select("qid", "place", "unit_id", "source", "tradition", F.coalesce("seq", F.lit(0)).alias("chunk_seq"))
 
 
-QUERIES = {f.__name__: f for f in (lexical_bm25_topk, postings_dictionary, query_expression, keyword_tags, tag_coverage, tag_search, query_tags, vector_topk, quantize_int8, best_chunk_per_unit, rrf_hybrid, rrf_with_tags, diversified, scope_recognise, entity_tokens, chunk_spans, chunk_text, fixed_slices, search_rag)}
+QUERIES = {f.__name__: f for f in (lexical_bm25_topk, bm25_index_topk, postings_dictionary, query_expression, keyword_tags, tag_coverage, tag_search, query_tags, vector_topk, quantize_int8, best_chunk_per_unit, rrf_hybrid, rrf_with_tags, diversified, scope_recognise, entity_tokens, chunk_spans, chunk_text, fixed_slices, search_rag)}
 
 _LEX = _bm25_sql()
 _VEC = f"""vec AS (SELECT * FROM (SELECT q.vec_id // 2 AS qid, v.vec_id AS unit_id, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score,
@@ -184,6 +191,7 @@ _SLASH = ", ".join(f"'{w}'" for w in sorted(SEARCH_STOPWORDS))
 
 SQL = {
     "lexical_bm25_topk": f"{_LEX} SELECT qid, unit_id, rank, round(score, 6) AS score FROM lexical",
+    "bm25_index_topk": f"{_LEX} SELECT qid, unit_id, rank, round(score, 6) AS score FROM lexical",
     "postings_dictionary": f"WITH {UNITS_SQL} SELECT token, count(DISTINCT unit_id) AS df, count(*) AS cf FROM (SELECT unit_id, unnest(regexp_extract_all(lower(content || ' ' || title), '[a-z0-9]+')) AS token FROM units) GROUP BY token",
     "query_expression": f"""WITH asked(qid, q) AS (VALUES {", ".join(f"({i}, '{q}')" for i, (_, q) in enumerate(QUESTIONS))}, (10, 'what are these about'), (11, 'a an'), (12, 'The "Council" (of Trent)')),
 w AS (SELECT qid, list_filter(string_split_regex(lower(regexp_replace(q, '[^A-Za-z0-9_\\s]', ' ', 'g')), '\\s+'), lambda t: length(t) > 2) AS own FROM asked)

@@ -126,3 +126,8 @@ def stream(chunks: DataFrame, kind: str) -> DataFrame:
         yield pd.DataFrame(out, columns=["stream_id", "seq", "text"])
 
     return chunks.groupBy("stream_id").applyInPandasWithState(run, OUT, state_schema, "append", GroupStateTimeout.NoTimeout)
+
+
+def persist(shown: DataFrame, root: str, checkpoint: str):
+    """Writes a stream's texts, a folder for each micro-batch: a batch that runs again overwrites its own, so nothing is stored twice."""
+    return shown.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{root}/batch={batch}"))

@@ -73,4 +73,8 @@ def test_stream_equals_batch(spark, tmp_path):
         return out
 
     want = {f"s{i}": w for i, (_, w) in enumerate(CASES) if w}
+    stored = S.persist(S.stream(source, "reasoning"), f"{tmp_path}/out", f"{tmp_path}/cp2").start()
+    stored.processAllAvailable()
+    stored.stop()
+    assert whole(spark.read.parquet(f"{tmp_path}/out")) == want
     assert whole(spark.table("shown")) == want == whole(S.batch(spark.createDataFrame(rows, schema), "reasoning"))
