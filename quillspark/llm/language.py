@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,13 +87,16 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     chosen = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("place", F.xxhash64("doc_id", F.lit(4))).orderBy("place", "doc_id").limit(sample)
     rows = docs.where("lang IS NOT NULL").select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").select("text", "lang")
     sums = rows.mapInArrow(_bucket_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = sums.toPandas()  # at most 2**BITS rows for each language of the sample
-    langs = sorted(found["lang"].unique().tolist())
-    counts = np.full((len(langs), 1 << BITS), 0.5)
-    for k, lang in enumerate(langs):
-        own = found[found["lang"] == lang]
-        counts[k, own["bucket"].to_numpy()] += own["n"].to_numpy()
-    return langs, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32) if langs else counts.astype(np.float32)
+    # a row of 2**BITS numbers for each language of the sample
+    found = sorted((r["lang"], bytes(r["weights"])) for r in sums.groupBy("lang").applyInPandas(_log_shares, "lang string, weights binary").collect())
+    return [lang for lang, _ in found], np.array([np.frombuffer(w, dtype=np.float32) for _, w in found], dtype=np.float32).reshape(len(found), 1 << BITS)
+
+
+def _log_shares(counts: pd.DataFrame) -> pd.DataFrame:
+    """A language's bucket counts, at most 2**BITS rows -> its smoothed log shares, packed."""
+    n = np.full(1 << BITS, 0.5)
+    n[counts["bucket"].to_numpy()] += counts["n"].to_numpy()
+    return pd.DataFrame({"lang": [counts["lang"].iloc[0]], "weights": [np.log(n / n.sum()).astype(np.float32).tobytes()]})
 
 
 def _text_evidence(model):
