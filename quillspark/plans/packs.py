@@ -122,7 +122,7 @@ QUERIES = {f.__name__: f for f in (fragment_assign, fragment_stats, catalogue_ta
 _U = "WITH " + UNITS_SQL
 _HELD = ", ".join(map(str, HELD))
 _ASSIGN = "frag AS (SELECT source, CASE WHEN source IN ('src1', 'src2', 'src3') THEN 'west' WHEN source = 'src4' THEN 'gallic' WHEN min(tradition) = 'en' THEN 'west' WHEN min(tradition) = 'fr' THEN 'gallic' WHEN min(tradition) = 'de' THEN 'rest' ELSE 'core' END AS fragment FROM units GROUP BY source)"
-_LEDGER = "led AS (SELECT source, min(unit_id) AS min, max(unit_id) AS max, count(*) AS count, substr(sha256(string_agg(sha256(content), chr(30) ORDER BY sequence, unit_id)), 1, 16) AS hash FROM units GROUP BY source)"
+_LEDGER = "led AS (SELECT source, min(unit_id) AS min, max(unit_id) AS max, count(*) AS count, substr(sha256(sum(('0x' || substr(sha256(sequence || chr(31) || unit_id || chr(31) || content), 1, 15))::BIGINT)::VARCHAR), 1, 16) AS hash FROM units GROUP BY source)"
 _PACK = f"""fr AS (SELECT n_nationkey AS fragment, n_regionkey AS collection, md5(n_name) AS sha256, length(n_name) * 1000 AS bytes FROM nation),
 mem AS (SELECT collection, fragment FROM fr UNION ALL SELECT (collection + 1) % 5, fragment FROM fr WHERE fragment % 3 = 0),
 held AS (SELECT fragment, CASE WHEN fragment = 4 THEN NULL WHEN fragment = 7 THEN 'old' ELSE sha256 END AS sha256, CASE WHEN fragment = 13 THEN 'other' ELSE 'm' END AS model FROM fr WHERE fragment IN ({_HELD})),
