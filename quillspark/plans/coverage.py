@@ -57,5 +57,7 @@ SQL = {
     "title_trigrams": f"SELECT p_partkey, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS run FROM (SELECT p_partkey, list_filter(regexp_extract_all(lower(p_name || ' of the ' || p_type), '[a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ({_FILL})) AS w FROM part) WHERE len(w) >= 3",
     "shelf_order": f"WITH {UNITS_SQL} SELECT source FROM (SELECT DISTINCT source FROM units) ORDER BY source NOT IN ('src7', 'src2'), NOT ends_with(source, '1'), source LIMIT 6",
     "shingle_counts": "SELECT item_id, len(list_distinct(list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(w[i:i + 7], ' '))))::INT AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark)",
+    "first_lines": rf"""WITH {UNITS_SQL}, w AS (SELECT unit_id, title, list_filter(string_split_regex(trim(title), '\s+'), lambda x: regexp_matches(x, '\pL')) AS w FROM units)
+SELECT unit_id, len(w) > 0 AND len(w) <= 12 AND NOT regexp_matches(trim(title), '[.!?;,]$') AND len(list_filter(w, lambda x: regexp_matches(x, '^[^\pL]*\p{{Lu}}'))) >= 0.6 * len(w) AS heading FROM w""",
     "footers": "SELECT c_custkey, c_name AS translator, (1700 + c_custkey % 200)::INT AS year, CASE WHEN c_custkey % 2 = 0 THEN 'Homily' ELSE 'Part' END AS noun, (length(c_name) + 13)::DOUBLE / (length(c_name) + 17) > 0.5 AS links FROM customer",
 }

@@ -56,6 +56,9 @@ def _strip(sql: str) -> str:
 
 SQL = {
     "html_clean": f"SELECT page_id, length({_strip('html')}) AS n, md5({_strip('html')}) AS md5 FROM pages",
+    "html_paragraphs": rf"""WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g') AS bare FROM pages),
+p AS (SELECT page_id, {_strip("regexp_extract(bare, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS heading, unnest(list_zip(range(len(string_split_regex(bare, '(?i)<p\b[^>]*>'))), string_split_regex(bare, '(?i)<p\b[^>]*>'))) AS z FROM b)
+SELECT page_id, nth::INT AS nth, md5(heading) AS heading_md5, md5(text) AS md5 FROM (SELECT page_id, heading, z[1] - 1 AS nth, {_strip("regexp_replace(z[2], '(?is)(</p>|</article>).*$', '')")} AS text FROM p WHERE z[1] > 0) WHERE length(text) >= 1""",
     "unit_gates": "SELECT o_orderkey AS work, o_orderkey % 7 + 1 AS n, count(l_linenumber) AS actual, count(l_linenumber) = o_orderkey % 7 + 1 AS complete, coalesce(max(l_linenumber) = count(DISTINCT l_linenumber), false) AS contiguous FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity < 45) ON l_orderkey = o_orderkey GROUP BY o_orderkey",
     "creators": "SELECT c_custkey, c_name || ' ' || c_mktsegment AS name, CASE WHEN c_custkey % 3 = 0 THEN 'translator' ELSE 'author' END AS role, CASE WHEN c_custkey % 2 = 0 THEN 1500 + c_custkey % 300 ELSE -1 END::INT AS birth, CASE WHEN c_custkey % 2 = 0 THEN 1550 + c_custkey % 300 ELSE -1 END::INT AS death FROM customer",
     "token_repair": f"WITH {UNITS_SQL}, w AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(content), '[a-z]+')) AS token FROM units) GROUP BY token), v AS (SELECT token FROM w WHERE n >= 20) SELECT token, substr(token, 2) AS repaired FROM w WHERE token NOT IN (SELECT token FROM v) AND substr(token, 2) IN (SELECT token FROM v)",

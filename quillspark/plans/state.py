@@ -118,5 +118,8 @@ SQL = {
     "carry_forward": "SELECT conv_id, turn, coalesce(max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn), -1) AS carried FROM conversations",
     "rising_numbers": "SELECT l_orderkey, n, l_partkey FROM (SELECT l_orderkey, l_linenumber AS n, l_partkey, max(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM lineitem) WHERE b IS NULL OR l_partkey > b",
     "heading_runs": "SELECT event_id FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id, run) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM (SELECT event_id, user_id, CASE WHEN coalesce(event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id), 60) >= 60 THEN 1 ELSE 0 END AS fresh FROM events))) WHERE n < 3",
+    "packed_units": """WITH RECURSIVE r AS (SELECT l_orderkey, l_linenumber AS n, l_quantity::BIGINT AS size, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS k FROM lineitem),
+f AS (SELECT l_orderkey, n, k, 0 AS part, size AS s FROM r WHERE k = 1 UNION ALL SELECT r.l_orderkey, r.n, r.k, CASE WHEN f.s >= 60 THEN f.part + 1 ELSE f.part END, CASE WHEN f.s >= 60 THEN 0 ELSE f.s END + r.size FROM f JOIN r ON r.l_orderkey = f.l_orderkey AND r.k = f.k + 1)
+SELECT l_orderkey, n, part FROM f""",
     "part_ordinals": "SELECT l_orderkey, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber)::INT AS nth, count(*) OVER (PARTITION BY l_orderkey) AS of FROM lineitem",
 }

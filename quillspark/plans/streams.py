@@ -77,6 +77,8 @@ SQL = {
     "reasoning_filter": "SELECT conv_id || '-' || turn AS stream_id, md5(ltrim(rtrim(ltrim(text)) || CASE WHEN turn % 3 = 0 THEN ' yes' ELSE '' END, ' ' || chr(10))) AS md5 FROM conversations",
     "sse_frames": "SELECT conv_id || '-' || turn AS stream_id, md5(role || substr(text, 1, 40)) AS md5 FROM conversations",
     "ndjson_frames": "SELECT conv_id || '-' || turn AS stream_id, md5(role || substr(text, 1, 30)) AS md5 FROM conversations",
+    "model_tiers": """WITH m AS (SELECT p_partkey AS nth, row_number() OVER (ORDER BY p_partkey) AS k, count(*) OVER () AS n FROM part WHERE p_partkey < 9 AND p_size * 100 <= 3500)
+SELECT nth, tier FROM (SELECT nth, CASE WHEN n = 1 THEN 'recommended' WHEN n = 2 THEN CASE WHEN k = 1 THEN 'small' ELSE 'recommended' END WHEN k = 1 THEN 'small' WHEN k = n - 1 THEN 'recommended' WHEN k = n THEN 'large' END AS tier FROM m) WHERE tier IS NOT NULL""",
     "newer_versions": "SELECT p_partkey, p_partkey % 12 > 5 OR (p_partkey % 12 = 5 AND p_size % 11 > 10) AS newer, regexp_full_match(p_type, '[0-9a-f]{64}') AS digest FROM part",
     "two_stage_vectors": "SELECT v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id = 3 AND v.label = q.label ORDER BY score DESC, v.vec_id LIMIT 10",
 }
