@@ -128,3 +128,15 @@ def violations(doomed: DataFrame, sources: DataFrame, must_stay: DataFrame, expe
     lost = must_stay.join(doomed, "source", "left_semi").select(F.concat(F.lit("would lose "), F.col("source")).alias("why"))
     gone = must_stay.join(sources, "source", "left_anti").select(F.concat(F.lit("not there: "), F.col("source")).alias("why"))
     return n.unionByName(lost).unionByName(gone)
+
+
+def exported(fragment: str, fragments: DataFrame, units: DataFrame, chunks: DataFrame, vectors: DataFrame) -> dict[str, DataFrame]:
+    """The content of one fragment, down the chain of keys; what no fragment has is the core."""
+    own = units.join(F.broadcast(fragments.where(F.col("fragment") == fragment).select("source")), "source", "left_semi")
+    parts = chunks.join(own.select("unit_id"), "unit_id", "left_semi")
+    return {"units": own, "chunks": parts, "vectors": vectors.join(parts.select("chunk_id"), "chunk_id", "left_semi")}
+
+
+def pending(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Chunks that have no vector yet: all that an incremental run encodes."""
+    return chunks.join(vectors.select("chunk_id"), "chunk_id", "left_anti")

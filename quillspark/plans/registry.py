@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import audit, coverage, ingest, library, packs, search, state, streams
+from . import audit, coverage, curation, ingest, library, packs, search, state, streams
 
-MODULES = (library, search, audit, packs, state, ingest, streams, coverage)
+MODULES = (library, search, audit, packs, state, ingest, streams, coverage, curation)
 QUERIES: dict = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL: dict = {name: sql for module in MODULES for name, sql in module.SQL.items()}
