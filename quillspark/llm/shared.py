@@ -13,6 +13,17 @@ SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 
 
+#: Bytes of rows that go to a Python worker at once. Texts can be long, and a worker holds a batch several times over.
+BATCH_BYTES = 8 << 20
+_BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller batches than Spark's own, unless the session has set a size."""
+    if spark.conf.get(_BATCH).rstrip("b") == _SPARKS_OWN:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
@@ -27,6 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs a re-read."""
+    bounded_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -38,6 +50,7 @@ def parts(df: DataFrame) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -65,6 +78,7 @@ def small_join(rows: DataFrame, small: DataFrame, key: str, spread: str) -> Data
 
 def shielded(docs: DataFrame, needed: tuple[str, ...]):
     """docs with all columns but the needed ones under names that no operator uses, and a function that puts a result's names back."""
+    bounded_batches(docs.sparkSession)
     inner = [c if c in needed else f"_{i}" for i, c in enumerate(docs.columns)]
     quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
     return docs.select(*(quoted(c).alias(n) for c, n in zip(docs.columns, inner))), lambda df: df.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, inner)))
