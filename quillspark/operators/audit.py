@@ -58,7 +58,7 @@ def verdicts(units: DataFrame) -> DataFrame:
     of_source = flagged.groupBy("source").agg(F.count("*").alias("n_units"))
     of_title = flagged.groupBy("source", "t").agg(F.count("*").alias("same_title")).where("same_title > 1")
     of_tokens = flagged.where("wordy AND worded").groupBy("source", "tokens").agg(F.count("*").alias("same_tokens")).where("same_tokens > 1")
-    rows = flagged.join(of_source, "source").join(of_title, ["source", "t"], "left").join(of_tokens, ["source", "tokens"], "left").join(copies(units), "unit_id")
+    rows = flagged.join(of_source, "source", "left").join(of_title, ["source", "t"], "left").join(of_tokens, ["source", "tokens"], "left").join(copies(units), "unit_id")
     has = lambda c, reason: F.when(c, reason)
     boilerplate = F.array_compact(F.array(has(F.col("bp_title"), "boilerplate title"), has((F.col("markers") > 0) & ((F.col("n") < 1200) | (F.col("markers") > 1)), "boilerplate markers")))
     strong = F.array_compact(
@@ -71,7 +71,7 @@ def verdicts(units: DataFrame) -> DataFrame:
             has((F.col("n") > 0) & (F.col("copies") > 1), "duplicate content"),
         )
     )
-    odd = F.col("n_units").isin(*TEMPLATE_COUNTS)
+    odd = F.coalesce(F.col("n_units"), F.lit(0)).isin(*TEMPLATE_COUNTS)
     rows = rows.withColumn("bp", boilerplate).withColumn("strong", strong)
     verdict = F.when(F.size("bp") > 0, "boilerplate").when((F.size("strong") >= 2) | ((F.size("strong") == 1) & odd), "summary").when(F.size("strong") == 1, "unknown").otherwise("primary_text")
     reasons = F.when(F.size("bp") > 0, F.col("bp")).otherwise(F.col("strong"))
