@@ -31,6 +31,8 @@ from .shared import materialize, shielded, table
 
 #: Bytes of distinct text that a table of the first step and a bucket of the last hold.
 TABLE_BYTES = 16 << 20
+#: What an entry takes besides its text: its row and its place in the table.
+ENTRY_BYTES = 2000
 #: Bits by which an overfull bucket is partitioned again.
 BITS = 4
 
@@ -59,7 +61,7 @@ class ContentTable:
         self.slots[at] = len(self.hashes)
         self.hashes.append(h)
         self.contents.append(content)
-        self.bytes += len(content) + 200
+        self.bytes += len(content) + ENTRY_BYTES
         if 2 * len(self.hashes) > len(self.slots):
             self.slots = [-1] * (4 * len(self.slots))
             for entry, (h, content) in enumerate(zip(self.hashes, self.contents)):

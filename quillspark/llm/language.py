@@ -144,7 +144,7 @@ def identify(pages: DataFrame, model: tuple[list[str], np.ndarray], lean: float
     """page_id, host, declared, lang and confidence of every page."""
     langs, weights = model
     host, suffix = address(F.col("url"))
-    rows = pages.select("page_id", "html", host.alias("host"), suffix.alias("suffix"), declared_language(F.col("html")).alias("declared"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "html", host.alias("host"), suffix.alias("suffix"), declared_language(F.col("html")).alias("declared"))
     if not langs:
         return rows.select("page_id", "host", "declared", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"))
     n = len(langs)

@@ -27,6 +27,8 @@ from .shared import shielded, table
 BITS = 20
 #: The most labelled rows that a model is fitted on.
 SAMPLE = 24_000
+#: Features of 4 bytes that the task which fits a model holds; rows of the sample beyond them, in hash order, are left out.
+MOST_FEATURES = 60_000_000
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 1.0
 #: Bytes of a word's stem.
@@ -80,20 +82,22 @@ class Ftrl:
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The whole sample -> the weights that aren't zero."""
-    intercept, rows = 1 << BITS, []
+    """The whole sample in order of place -> the weights that aren't zero."""
+    intercept, rows, held = 1 << BITS, [], 0
     for whole in batches:
         for batch in wordhash.slices(whole, "text"):
             at, text = features(batch.column("text"))
             bounds = np.searchsorted(text_sorted := np.sort(text), np.arange(batch.num_rows + 1))
             at = at[np.argsort(text, kind="stable")]
             assert len(text_sorted) == len(at)
-            for i, (place, label) in enumerate(zip(batch.column("place").to_pylist(), batch.column("toxic").to_pylist())):
-                rows.append((place, np.r_[np.unique(at[bounds[i] : bounds[i + 1]]), intercept].astype(np.int32), int(label)))
-    rows.sort(key=lambda r: r[0])  # the order of learning is a hash, whatever order rows arrive in
+            for i, label in enumerate(batch.column("toxic").to_pylist()):
+                own = np.r_[np.unique(at[bounds[i] : bounds[i + 1]]), intercept].astype(np.int32)
+                held += len(own)
+                if held <= MOST_FEATURES:
+                    rows.append((own, int(label)))
     model = Ftrl()
     for _ in range(EPOCHS):
-        for _, at, label in rows:
+        for at, label in rows:
             model.learn(at, label)
     w = model.weights()
     at = np.flatnonzero(w)
@@ -106,8 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     place = F.xxhash64("doc_id", F.lit(3))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("place", place).orderBy("place", "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "text", "toxic")
-    got = rows.coalesce(1) if rows.sparkSession.sparkContext.defaultParallelism == 1 else rows.repartition(1)
-    found = got.mapInArrow(_fit, "feature long, weight double").collect()
+    in_order = rows.repartition(1).sortWithinPartitions("place", "text")  # a hash, whatever order rows arrive in
+    found = in_order.mapInArrow(_fit, "feature long, weight double").collect()
     return np.array([r[0] for r in found], dtype=np.int64), np.array([r[1] for r in found])
 
 
