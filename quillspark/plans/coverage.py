@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,11 +12,12 @@ from .packs import _held, _members
 
 
 def coverage_suggestions(spark, sf):
-    parts = table(spark, sf, "part").where("p_partkey < 400")
+    parts = table(spark, sf, "part")
     fragment = (F.col("p_partkey") % 25).cast("int")
     title = F.concat_ws(" ", "p_name", "p_type", F.col("p_partkey").cast("string"))
     contents = parts.select(fragment.alias("fragment"), F.lit("author").alias("kind"), F.concat(F.lit("Writer "), F.translate("p_brand", "#", "x")).alias("value")).union(parts.select(fragment, F.lit("title"), title)).union(parts.select(fragment, F.lit("tradition"), F.when(F.col("p_partkey") % 3 == 0, "Baptist").otherwise("Catholic"))).distinct()
-    asked = parts.where("p_partkey < 12").select(F.col("p_partkey").cast("int").alias("qid"), F.concat_ws(" ", F.lit("What do baptists say of"), title).alias("text"))
+    first = parts.groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey"))
+    asked = parts.join(first, ["p_brand", "p_partkey"]).select(F.col("p_partkey").cast("int").alias("qid"), F.concat_ws(" ", F.lit("What do baptists say of"), title).alias("text"))
     tags = parts.groupBy(fragment.alias("fragment"), F.concat(F.lit("size-"), F.col("p_size") % 4).alias("slug")).agg(F.count("*").alias("n"))
     wanted = asked.select("qid", F.concat(F.lit("size-"), F.col("qid") % 4).alias("slug"))
     return V.suggest(asked, contents, _members(spark, sf), _held(spark, sf), tags, wanted)
@@ -31,7 +33,8 @@ def shelf_order(spark, sf):
     """Pinned works first, then those of one kind, then by name."""
     works = units(spark, sf).select("source").distinct()
     pinned = F.col("source").isin("src7", "src2")
-    return works.orderBy(F.when(pinned, 0).otherwise(1), F.when(F.col("source").endswith("1"), 0).otherwise(1), "source").limit(6)
+    place = F.row_number().over(Window.orderBy(F.when(pinned, 0).otherwise(1), F.when(F.col("source").endswith("1"), 0).otherwise(1), "source"))
+    return works.select("source", place.alias("place"))
 
 
 def shingle_counts(spark, sf):
@@ -55,7 +58,7 @@ QUERIES = {f.__name__: f for f in (coverage_suggestions, title_trigrams, shelf_o
 _FILL = ", ".join(f"'{w}'" for w in T.FILLER)
 SQL = {
     "title_trigrams": f"SELECT p_partkey, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS run FROM (SELECT p_partkey, list_filter(regexp_extract_all(lower(p_name || ' of the ' || p_type), '[a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ({_FILL})) AS w FROM part) WHERE len(w) >= 3",
-    "shelf_order": f"WITH {UNITS_SQL} SELECT source FROM (SELECT DISTINCT source FROM units) ORDER BY source NOT IN ('src7', 'src2'), NOT ends_with(source, '1'), source LIMIT 6",
+    "shelf_order": f"WITH {UNITS_SQL} SELECT source, row_number() OVER (ORDER BY source NOT IN ('src7', 'src2'), NOT ends_with(source, '1'), source)::INT AS place FROM (SELECT DISTINCT source FROM units)",
     "shingle_counts": "SELECT item_id, len(list_distinct(list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(w[i:i + 7], ' '))))::INT AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark)",
     "first_lines": rf"""WITH {UNITS_SQL}, w AS (SELECT unit_id, title, list_filter(string_split_regex(trim(title), '\s+'), lambda x: regexp_matches(x, '\pL')) AS w FROM units)
 SELECT unit_id, len(w) > 0 AND len(w) <= 12 AND NOT regexp_matches(trim(title), '[.!?;,]$') AND len(list_filter(w, lambda x: regexp_matches(x, '^[^\pL]*\p{{Lu}}'))) >= 0.6 * len(w) AS heading FROM w""",

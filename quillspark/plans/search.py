@@ -124,16 +124,17 @@ def diversified(spark, sf):
     return M.diversify(ranked, PLACES)
 
 
-SOURCES = 40
-
-
 def _works(spark, sf):
-    return table(spark, sf, "part").where(f"p_partkey < {SOURCES}").select(F.col("p_partkey").alias("source"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.when(F.col("p_partkey") % 4 != 0, F.concat_ws(" ", F.col("p_brand"), F.lit("Writer"), (F.col("p_partkey") % 7).cast("string"))).alias("author"))
+    """A work for each brand and type; every brand but each fourth type has a writer."""
+    part = table(spark, sf, "part")
+    one = part.groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("source"))
+    return one.select("source", F.concat_ws(" ", "p_type", "p_brand").alias("title"), F.when(F.col("source") % 4 != 0, F.concat_ws(" ", F.col("p_brand"), F.lit("Writer"), (F.col("source") % 7).cast("string"))).alias("author"), "p_brand")
 
 
 def scope_recognise(spark, sf):
+    """A question on the first work of each brand."""
     works = _works(spark, sf)
-    asked = works.where("source % 5 = 1").select(F.col("source").cast("int").alias("qid"), F.concat_ws(" ", F.lit("what does the"), "title", F.lit("say of africa and the europes?")).alias("text"))
+    asked = works.groupBy("p_brand").agg(F.min(F.struct("source", "title")).alias("w")).select(F.col("w.source").cast("int").alias("qid"), F.concat_ws(" ", F.lit("what does the"), "w.title", F.lit("say of africa and the europes?")).alias("text"))
     return S.recognise(asked, works, table(spark, sf, "region").select(F.initcap("r_name").alias("tradition")))
 
 
@@ -185,7 +186,7 @@ _FUSED = f"SELECT qid, unit_id, rank, round(score, 9) AS score FROM (SELECT *, r
 _TAGS = "tags AS (SELECT DISTINCT unit_id, tradition, slug FROM units JOIN (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in KEYWORDS.items()) + r") AS k(word, slug) ON regexp_matches(title || ' ' || substr(content, 1, 4000), '(?i)\b' || word || '(s|es)?\b'))"
 _STOP = ", ".join(f"'{w}'" for w in S.ENTITY_STOPWORDS)
 _TOKENS = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9'']+'), lambda t: length(t) > 2 AND t NOT IN (" + _STOP + ")))"
-_WORKS = f"""works AS (SELECT p_partkey AS source, p_name || ' ' || p_type AS title, CASE WHEN p_partkey % 4 <> 0 THEN p_brand || ' Writer ' || p_partkey % 7 END AS author FROM part WHERE p_partkey < {SOURCES}),
+_WORKS = f"""works AS (SELECT source, p_type || ' ' || p_brand AS title, CASE WHEN source % 4 <> 0 THEN p_brand || ' Writer ' || source % 7 END AS author, p_brand FROM (SELECT p_brand, p_type, min(p_partkey) AS source FROM part GROUP BY ALL)),
 st AS (SELECT *, count(*) OVER (PARTITION BY token) AS works FROM (SELECT source, len(own)::INT AS total, unnest(own) AS token FROM (SELECT source, {_TOKENS.format("title")} AS own FROM works)))"""
 _SLASH = ", ".join(f"'{w}'" for w in sorted(SEARCH_STOPWORDS))
 
@@ -209,7 +210,7 @@ SELECT vec_id AS unit_id, list_sum(q)::INT AS total, q[1]::INT AS first, round(l
     "rrf_with_tags": f"""{_LEX}, {_TAGS}, tagged AS (SELECT unit_id, row_number() OVER (ORDER BY count(slug) DESC, unit_id) AS rank FROM tags WHERE slug IN ('with-tag', 'that-tag') GROUP BY unit_id ORDER BY rank LIMIT {LIMIT}),
 ranked AS (SELECT qid, unit_id, rank FROM lexical WHERE qid = 1 UNION ALL SELECT 1, unit_id, rank + (SELECT max(rank) FROM lexical WHERE qid = 1) FROM tagged) {_FUSED}""",
     "entity_tokens": f"WITH {_WORKS} SELECT * FROM st",
-    "scope_recognise": f"""WITH {_WORKS}, asked AS (SELECT source AS qid, unnest({_TOKENS.format("('what does the ' || title || ' say of africa and the europes?')")}) AS token FROM works WHERE source % 5 = 1),
+    "scope_recognise": f"""WITH {_WORKS}, asked AS (SELECT source AS qid, unnest({_TOKENS.format("('what does the ' || title || ' say of africa and the europes?')")}) AS token FROM works WHERE source IN (SELECT min(source) FROM works GROUP BY p_brand)),
 regions AS (SELECT upper(r_name[1]) || lower(r_name[2:]) AS tradition FROM region),
 tt AS (SELECT token, max(tradition) AS tradition FROM (SELECT tradition, unnest({_TOKENS.format("tradition")}) AS token FROM regions UNION SELECT tradition, string_split(lower(tradition), ' ')[-1] FROM regions UNION SELECT tradition, string_split(lower(tradition), ' ')[-1] || 's' FROM regions) GROUP BY token),
 authors AS (SELECT token, min(author) AS author FROM (SELECT author, unnest({_TOKENS.format("author")}) AS token FROM (SELECT DISTINCT author FROM works WHERE author IS NOT NULL)) GROUP BY token HAVING count(*) = 1),

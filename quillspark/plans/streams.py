@@ -32,12 +32,12 @@ def reasoning_filter(spark, sf):
 
 def sse_frames(spark, sf):
     event = lambda text: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(text.alias("content")).alias("delta"))).alias("choices"))), F.lit("\n\n"))
-    body = F.concat(event(F.col("role")), F.lit(": ping\ndata: {broken\n"), event(F.left("text", F.lit(40))), F.lit("data: [DONE]\n"))
+    body = F.concat(event(F.col("role")), F.lit(": ping\ndata: {broken\n"), event(F.col("text")), F.lit("data: [DONE]\n"))
     return _joined(S.batch(_chunks(spark, sf, body), "frames"))
 
 
 def ndjson_frames(spark, sf):
-    body = F.concat(F.to_json(F.struct(F.col("role").alias("response"))), F.lit("\n"), F.to_json(F.struct(F.left("text", F.lit(30)).alias("response"))))
+    body = F.concat(F.to_json(F.struct(F.col("role").alias("response"))), F.lit("\n"), F.to_json(F.struct(F.col("text").alias("response"))))
     return _joined(S.batch(_chunks(spark, sf, body), "frames"))
 
 
@@ -48,8 +48,9 @@ def newer_versions(spark, sf):
 
 
 def model_tiers(spark, sf):
-    models = table(spark, sf, "part").where("p_partkey < 9").select(F.col("p_partkey").alias("nth"), (F.col("p_size") * 100).cast("long").alias("bytes"))
-    return tiers(models, 3500)
+    """Nations stand for models."""
+    models = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nth"), (F.col("n_nationkey") * 100).cast("long").alias("bytes"))
+    return tiers(models, 1500)
 
 
 def work_excerpts(spark, sf):
@@ -75,9 +76,9 @@ QUERIES = {f.__name__: f for f in (reasoning_filter, sse_frames, ndjson_frames,
 
 SQL = {
     "reasoning_filter": "SELECT conv_id || '-' || turn AS stream_id, md5(ltrim(rtrim(ltrim(text)) || CASE WHEN turn % 3 = 0 THEN ' yes' ELSE '' END, ' ' || chr(10))) AS md5 FROM conversations",
-    "sse_frames": "SELECT conv_id || '-' || turn AS stream_id, md5(role || substr(text, 1, 40)) AS md5 FROM conversations",
-    "ndjson_frames": "SELECT conv_id || '-' || turn AS stream_id, md5(role || substr(text, 1, 30)) AS md5 FROM conversations",
-    "model_tiers": """WITH m AS (SELECT p_partkey AS nth, row_number() OVER (ORDER BY p_partkey) AS k, count(*) OVER () AS n FROM part WHERE p_partkey < 9 AND p_size * 100 <= 3500)
+    "sse_frames": "SELECT conv_id || '-' || turn AS stream_id, md5(role || text) AS md5 FROM conversations",
+    "ndjson_frames": "SELECT conv_id || '-' || turn AS stream_id, md5(role || text) AS md5 FROM conversations",
+    "model_tiers": """WITH m AS (SELECT n_nationkey AS nth, row_number() OVER (ORDER BY n_nationkey) AS k, count(*) OVER () AS n FROM nation WHERE n_nationkey * 100 <= 1500)
 SELECT nth, tier FROM (SELECT nth, CASE WHEN n = 1 THEN 'recommended' WHEN n = 2 THEN CASE WHEN k = 1 THEN 'small' ELSE 'recommended' END WHEN k = 1 THEN 'small' WHEN k = n - 1 THEN 'recommended' WHEN k = n THEN 'large' END AS tier FROM m) WHERE tier IS NOT NULL""",
     "newer_versions": "SELECT p_partkey, p_partkey % 12 > 5 OR (p_partkey % 12 = 5 AND p_size % 11 > 10) AS newer, regexp_full_match(p_type, '[0-9a-f]{64}') AS digest FROM part",
     "two_stage_vectors": "SELECT v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id = 3 AND v.label = q.label ORDER BY score DESC, v.vec_id LIMIT 10",

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -106,7 +107,7 @@ def batch(chunks: DataFrame, kind: str) -> DataFrame:
     """Whole streams at once."""
     step, fresh, _ = KINDS[kind]
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(step(key[0], rows.sort_values("seq"), fresh)[1], columns=["stream_id", "seq", "text"])
 
     return chunks.groupBy(F.col("stream_id").cast("string").alias("stream_id")).applyInPandas(run, OUT)
