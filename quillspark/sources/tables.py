@@ -10,9 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than cores, dealt out: a file with one row group is one task however much work its texts are. Larger tables stay as they are read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """unit_id, source, tradition, title (the first line's first 80 characters), content, sequence."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     content = F.coalesce("text", F.lit(""))
     title = F.substring(F.element_at(F.split(content, "\n"), 1), 1, 80)
     return docs.select(F.col("doc_id").alias("unit_id"), "source", F.col("lang").alias("tradition"), title.alias("title"), content.alias("content"), F.col("doc_id").alias("sequence"))
