@@ -184,5 +184,5 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "pages"), fit(table(spark, sf_dir, "documents")))
 
 
-#: n-gram hashes are beyond SQL; tests compare with a plain version and measure accuracy on held-out documents.
+#: n-gram hashes are beyond SQL; tests check the languages of labelled pages, with and without each kind of evidence.
 SQL: dict = {}

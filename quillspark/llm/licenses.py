@@ -206,5 +206,5 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"))
 
 
-#: Alignment is beyond SQL; tests compare with an alignment of every window.
+#: Alignment is beyond SQL; tests check planted notices, and the subsequences against all subsets.
 SQL: dict = {}

@@ -262,7 +262,7 @@ def test_license_scan(spark):
 
 
 def test_license_bound_skips_nothing(spark):
-    """Against an alignment of every window of every text."""
+    """Notices planted among the words of other notices are found wherever they stand."""
     rng = random.Random(12)
     scanner = licenses.Scanner(coverage=0.75)
     import pyarrow as pa
