@@ -10,6 +10,10 @@ so a stretch of SPREAD times the template's length with too few of these cannot
 All others are aligned, in overlapping windows, so that two copies in a row do not hide each
 other's unique words. Of overlapping finds the one with the larger number of matched words stays.
 
+Short templates have rules of their own. Up to NAMING words, what tells licenses apart (every word
+that isn't in PLAIN) has to match. From TOLERANT words on, one plain word may differ even where
+COVERAGE asks for all. Below TOLERANT words all have to match, and below TIGHT in one run.
+
 Texts are scanned one by one in a single pass without a shuffle, so no key can be hot. Defined
 results: a null or empty text has no finds; rows that repeat a doc_id are rows of their own; an
 empty table gives an empty result; other columns are not read.
@@ -32,7 +36,12 @@ from .shared import table
 #: The least share of a template that a find matches, and how much longer than the template it may be.
 COVERAGE, SPREAD = 0.9, 1.5
 
-# Public notices, each with the identifier of its license.
+#: Words of a template: below TIGHT it is matched as a run, from TOLERANT on one plain word may differ, up to NAMING no other may.
+TIGHT, TOLERANT, NAMING = 5, 6, 16
+#: Words by which no two licenses differ.
+PLAIN = "a general gnu international is license licensed public the this under v version work"
+
+# Public notices, each with the identifier of its license. Results hold a template's number: new ones go last.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
@@ -49,6 +58,23 @@ TEMPLATES = [
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher."),
+    ("proprietary", "All rights reserved."),
+    ("proprietary", "All rights are reserved."),
+    ("proprietary", "Alle Rechte vorbehalten."),
+    ("proprietary", "Tous droits réservés."),
+    ("proprietary", "Todos los derechos reservados."),
+    ("BSD-3-Clause", "All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "Distributed under the MIT License."),
+    ("Apache-2.0", "Licensed under Apache 2.0."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License 2.0."),
+    *((f"GPL-{v}.0", f"Licensed under the {name}.") for v in (3, 2) for name in (f"GNU General Public License, version {v}", f"GNU General Public License v{v}.0", f"GPL-{v}.0", f"GPLv{v}")),
+    ("GPL-3.0", "Licensed under GPLv3."),
+    ("GPL-2.0", "Licensed under GPLv2."),
+    *((f"CC-{k}-4.0", f"Licensed under CC {k} 4.0.") for k in ("BY-ND", "BY-NC-SA", "BY-NC-ND")),
+    *((f"CC-{k}-4.0", f"This work is licensed under a Creative Commons {name} 4.0 International License.") for k, name in (("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))),
+    *((k, f"SPDX-License-Identifier: {k}") for k in ("MIT", "Apache-2.0", "GPL-3.0", "GPL-3.0-or-later", "GPL-2.0", "GPL-2.0-or-later", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0")),
 ]
 
 _INSIDE = np.zeros(256, dtype=bool)
@@ -113,7 +139,11 @@ class Scanner:
         self.sorted = [np.unique(h) for h in hashes]
         self.all = np.unique(np.concatenate(hashes))
         self.need = [math.ceil(coverage * len(h)) for h in hashes]
-        self.width = [math.ceil(spread * len(h)) for h in hashes]
+        self.width = [math.ceil(spread * len(h)) if len(h) >= TIGHT else len(h) for h in hashes]
+        plain = set(_words(pa.array([PLAIN]))[4].tolist())
+        self.naming = [{i for i, w in enumerate(words) if w not in plain} if len(words) <= NAMING else set() for words in self.words]
+        if coverage < 1:
+            self.need = [n - 1 if TOLERANT <= n == len(words) else n for n, words in zip(self.need, self.words)]
 
     def scan(self, column: pa.Array) -> list[tuple[int, int, int, int, float]]:
         """Finds: text, template, start, end (code points), coverage."""
@@ -157,15 +187,34 @@ class Scanner:
         bag = Counter(words)
         while a <= b:
             window = hashes[a : min(a + width + step, end)].tolist()
+            if len(words) < TIGHT:
+                window = window[:width]
             if (Counter(window) & bag).total() >= need:
-                found = align(window, words)
-                if len(found) >= need:
+                found = self._found(t, window)
+                if found:
                     yield len(found), t, a + found[0][0], a + found[-1][0]
                     a += found[-1][0] + 1
                     continue
             a += step
 
 
+    def _found(self, t: int, window: list) -> list[tuple[int, int]]:
+        """The matched places of a window, none if they are too few. Of a short template words that follow may not hide the unique ones, so the window grows."""
+        words, need = self.words[t], self.need[t]
+        best: list[tuple[int, int]] = []
+        for size in range(need, len(window)) if len(words) <= NAMING else ():
+            found = align(window[:size], words)
+            best = found if len(found) > len(best) and self._names(t, found) else best
+            if len(best) == len(words):
+                return best
+        found = align(window, words)
+        best = found if len(found) > len(best) and self._names(t, found) else best
+        return best if len(best) >= need else []
+
+    def _names(self, t: int, found: list[tuple[int, int]]) -> bool:
+        return self.naming[t] <= {j for _, j in found}
+
+
 def _best(finds: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Of finds that overlap, the one with the most matched words; then the shortest, the first template."""
     taken: list[tuple[int, int]] = []

@@ -261,6 +261,26 @@ def test_license_scan(spark):
     assert set(found) == {2, 3, 4, 7}
 
 
+NOTICES = {
+    "All rights reserved.": "proprietary", "(c) 2021 K. Miller & Co. ALL RIGHTS RESERVED": "proprietary", "Alle Rechte vorbehalten": "proprietary", "All rights reserved. No part may be copied.": "proprietary",
+    "Licensed under the Apache License 2.0": "Apache-2.0", "licensed under Apache License, version 2.0; see 2 and 0": "Apache-2.0", "Available under the Apache License, Version 2.0": "Apache-2.0",
+    "This project is licensed under the MIT license": "MIT", "// SPDX-License-Identifier: MIT": "MIT", "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0-or-later", "SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+    "This book is licensed under the GNU Public License, version 3": "GPL-3.0", "Licensed under GPLv2": "GPL-2.0", "Licensed under the GPLv2": "GPL-2.0", "licensed under the GNU General Public License v3.0 or the MIT one": "GPL-3.0",
+    "available under CC BY 4.0": "CC-BY-4.0", "Licensed under CC BY-ND 4.0": "CC-BY-ND-4.0", "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0", "Licensed under CC BY 3.0": None,
+    "This work is licensed under a Creative Commons Attribution 4.0 International License": "CC-BY-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 License": "CC-BY-NC-4.0",
+    "All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "BSD-3-Clause",
+    "all seats and rights were reserved": None, "licensed under the Apache License, Version 1.1": None, "This work is licensed under the GNU General Public License, version 1": None,
+}
+
+
+def test_license_notices_in_other_words(spark):
+    df = spark.createDataFrame([(i, f"{prose(20)} {t} {prose(20)}") for i, t in enumerate(NOTICES)], "doc_id long, text string")
+    found = defaultdict(list)
+    for r in licenses.find(df).collect():
+        found[r.doc_id].append(r.license)
+    assert {t: found[i] for i, t in enumerate(NOTICES)} == {t: [k] if k else [] for t, k in NOTICES.items()}
+
+
 def test_license_bound_skips_nothing(spark):
     """Notices planted among the words of other notices are found wherever they stand."""
     rng = random.Random(12)
