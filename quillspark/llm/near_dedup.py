@@ -2,11 +2,14 @@
 
 1. A document's set is its distinct 5-word shingles (64-bit hashes). Equal sets collapse to one
    node, the smallest doc_id. A node has 128 MinHash values.
-2. Forest: 16 trees, each the nodes sorted by another run of 8 values. The sort is a range
-   exchange, so a region that many nodes share is dealt over tasks by deeper values. Neighbours in
-   an order have the longest common prefixes; a node takes its nearest WINDOW on either side with
-   any common prefix, so the depth at which it finds them is small in sparse regions and large in
-   dense ones. Candidates whose 2-bit sketches put the similarity below LIKELY are no candidates.
+2. Forest: 16 trees, each the nodes sorted by another run of 8 values. Nodes with the same first
+   SHARED values of a tree are a run, and all pairs of a run are compared:
+   a. Runs of up to WINDOW + 1 nodes stay in one task of the sort, a range exchange by runs. There a
+      node takes its nearest WINDOW on either side with any common prefix, which is its whole run
+      and some nodes beyond it. Pairs whose 2-bit sketches put the similarity below LIKELY are no
+      candidates.
+   b. Longer runs leave the sort. Their nodes are compared in blocks of bounded size, every block
+      with every other, by sketches and then by all values, with LIKELY_BY_ALL as the bound.
 3. Families are the connected components of candidates. The full sets of a family are compared in
    blocks of bounded size, every block with every other, so what counts as a link never depends on
    which neighbours the trees gave; a family merely has to be connected by them.
@@ -29,14 +32,20 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .components import components, contracting
-from .shared import materialize, parts, table
+from .shared import materialize, parts, small_join, table
 
 TREES, DEPTH = 16, 8
+#: Values that nodes of a run have in common. A pair at the threshold shares them in no tree with probability (1 - 0.75**3)**16, 0.0002.
+SHARED = 3
 VALUES = TREES * DEPTH
 #: Neighbours on either side in each order.
 WINDOW = 4
 #: A sketch estimate under this is over four standard deviations below the threshold.
 LIKELY = 0.55
+#: The same for an estimate by all values, which are more exact.
+LIKELY_BY_ALL = 0.58
+#: Nodes that a block of a run holds.
+RUN_NODES = 4096
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Sets, and shingles, that a block of a family holds.
@@ -70,16 +79,41 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "n_shingles", "key", "values"])
 
 
+def _values(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("values").to_pylist()), dtype=">u2").astype(np.uint16).reshape(-1, VALUES)
+
+
+def _sketch(values: np.ndarray) -> np.ndarray:
+    """Two bits of each value, four values a byte."""
+    two = (values >> 7 & 3).astype(np.uint8).reshape(-1, VALUES // 4, 4)
+    return (two << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(2).astype(np.uint8)
+
+
+def _run(values: np.ndarray, t: int) -> np.ndarray:
+    """The number of each node's run in a tree: the tree and its first SHARED values."""
+    out = np.full(len(values), t, dtype=np.int64)
+    for k in range(t * DEPTH, t * DEPTH + SHARED):
+        out = out << 16 | values[:, k]
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            values = _values(batch)
+            for t in range(TREES):
+                yield pa.RecordBatch.from_arrays([pa.array(_run(values, t)), batch.column("node")], names=["run", "node"])
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        values = np.frombuffer(b"".join(batch.column("values").to_pylist()), dtype=">u2").reshape(-1, VALUES)
-        two = (values.astype(np.uint16) >> 7 & 3).astype(np.uint8).reshape(-1, VALUES // 4, 4)
-        sketch = (two << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(2).astype(np.uint8)
+        values = _values(batch)
+        sketch = _binary(_sketch(values))
         for t in range(TREES):
-            rows = np.ascontiguousarray(values[:, t * DEPTH : (t + 1) * DEPTH])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, dtype=np.int32)), _binary(rows.view(np.uint8)), batch.column("node"), _binary(sketch)], names=["tree", "prefix", "node", "sketch"])
+            rows = np.ascontiguousarray(values[:, t * DEPTH : (t + 1) * DEPTH].astype(">u2"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, dtype=np.int32)), pa.array(_run(values, t)), _binary(rows.view(np.uint8)), batch.column("node"), sketch], names=["tree", "run", "prefix", "node", "sketch"])
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -87,10 +121,10 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def _similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether two-bit sketches (rows of 64-bit words) leave the threshold possible; a fourth of unequal values agree by chance."""
+def _similar(a: np.ndarray, b: np.ndarray, axis: int = 1) -> np.ndarray:
+    """Whether two-bit sketches (64-bit words along an axis) leave the threshold possible; a fourth of unequal values agree by chance."""
     x = a ^ b
-    unequal = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(1)
+    unequal = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis)
     return unequal <= (1 - LIKELY) * 0.75 * VALUES
 
 
@@ -109,6 +143,73 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = rows.slice(max(0, rows.num_rows - WINDOW)).combine_chunks().to_batches()[0] if rows.num_rows else None
 
 
+def alike(nodes: np.ndarray, values: np.ndarray) -> list[tuple[int, int]]:
+    """Candidates that span the components of a run's nodes: whatever is reached is compared with what isn't reached yet."""
+    out: list[tuple[int, int]] = []
+    sketch = np.ascontiguousarray(_sketch(values).view(np.uint64).T)
+    left, rest = np.arange(1, len(nodes)), sketch[:, 1:]
+    queue = [0]
+    while len(left):
+        if not queue:
+            queue, left, rest = [int(left[0])], left[1:], rest[:, 1:]
+        u = queue.pop()
+        maybe = np.flatnonzero(_similar(rest, sketch[:, u, None], 0))
+        if len(maybe):
+            hit = maybe[(values[left[maybe]] == values[u]).sum(1) >= LIKELY_BY_ALL * VALUES]
+            if len(hit):
+                found = left[hit]
+                queue += found.tolist()
+                out += [(int(nodes[u]), v) for v in nodes[found].tolist()]
+                left, rest = np.delete(left, hit), np.delete(rest, hit, axis=1)
+    return out
+
+
+def _within_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (run, i, j, node, values) sorted by run, i, j -> candidates."""
+    nodes, values, now = [], [], None
+
+    def group():
+        pairs = np.array(alike(np.concatenate(nodes), np.concatenate(values)) if nodes else [], dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in ("run", "i", "j")], axis=1)
+        node, own = batch.column("node").to_numpy(), _values(batch)
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(node)]):
+            if (key := tuple(keys[a].tolist())) != now:
+                yield group()
+                nodes, values, now = [], [], key
+            nodes.append(node[a:b])
+            values.append(own[a:b])
+    yield group()
+
+
+def candidates(nodes: DataFrame, n: int) -> DataFrame:
+    """nodes (node, values) -> edges a, b that connect whatever shares a run and may be similar."""
+    runs = nodes.mapInArrow(_runs, "run long, node long")
+    long_runs = runs.groupBy("run").count().where(F.col("count") > WINDOW + 1).select("run", F.ceil(F.col("count") / RUN_NODES).cast("int").alias("blocks"))
+    long_runs = materialize(long_runs, "near-runs")
+
+    trees = nodes.mapInArrow(_trees, "tree int, run long, prefix binary, node long, sketch binary")
+    short = small_join(trees, long_runs, "run", "node", "left_anti")
+    ordered = short.repartitionByRange(n, "run").sortWithinPartitions("run", "prefix").select("tree", "prefix", "node", "sketch")
+    near = ordered.mapInArrow(contracting(_neighbours), "a long, b long")
+
+    placed = small_join(runs, long_runs, "run", "node").select("run", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    pairs = _block_pairs(placed.join(nodes.select("node", "values"), "node"), "run", "node", "values")
+    grouped = pairs.repartition(n, "run", "i", "j").sortWithinPartitions("run", "i", "j")
+    return near.union(grouped.mapInArrow(contracting(_within_runs), "a long, b long"))
+
+
+def _block_pairs(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Rows with key, blocks and block, once for every pair (i, j) of blocks that theirs is in."""
+    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block"))))
+    return rows.withColumn("other", other).select(key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *columns)
+
+
 def linked(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that span the components of sets: whatever is reached is compared with what isn't reached yet."""
     out: list[tuple[int, int]] = []
@@ -171,9 +272,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = materialize(nodes, "near-nodes")
     n = parts(docs)
 
-    trees = nodes.where("node IS NOT NULL").mapInArrow(_trees, "tree int, prefix binary, node long, sketch binary")
-    ordered = trees.repartitionByRange(n, "tree", "prefix").sortWithinPartitions("tree", "prefix")
-    families = components(ordered.mapInArrow(contracting(_neighbours), "a long, b long"))
+    families = components(candidates(nodes.where("node IS NOT NULL"), n))
 
     # blocks: as many for a family as bound its sets and its shingles
     sized = families.withColumnRenamed("label", "family").join(nodes.select("node", "n"), "node")
@@ -181,8 +280,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = F.coalesce(F.col("blocks"), F.lit(1))
     placed = sized.join(large, "family", "left").select("node", "family", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     texts = placed.join(docs.withColumnRenamed("doc_id", "node"), "node")
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block"))))
-    pairs = texts.withColumn("other", other).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "text")
+    pairs = _block_pairs(texts, "family", "node", "text")
     grouped = pairs.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j")
     found = components(grouped.mapInArrow(contracting(_confirm), "a long, b long"))
 

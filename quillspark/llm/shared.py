@@ -64,16 +64,16 @@ BROADCAST_ROWS = 100_000
 SALTS = 32
 
 
-def small_join(rows: DataFrame, small: DataFrame, key: str, spread: str) -> DataFrame:
-    """Inner equi-join with a table of aggregates, which has every key of rows once.
+def small_join(rows: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """Equi-join (inner or left_anti) with a table of aggregates, which has every key of rows once.
 
     A broadcast while the table is small, else over salted keys, by which a hot key's rows are
     dealt out on `spread`.
     """
     if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(small), key)
+        return rows.join(F.broadcast(small), key, how)
     salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"]).drop("__salt")
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
 
 
 def shielded(docs: DataFrame, needed: tuple[str, ...]):

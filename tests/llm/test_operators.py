@@ -422,6 +422,32 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()} == want
 
 
+@pytest.mark.parametrize("block", [4096, 8])
+def test_near_duplicates_in_a_crowded_run(spark, monkeypatch, block):
+    """Pairs that only one tree brings together, in a run of 40 equal prefixes, are all linked."""
+    rng, numbers = random.Random(8), np.random.default_rng(8)
+    texts = [t for text in (prose(60, rng) for _ in range(20)) for t in (text, changed(text, 1, rng))]
+    of_pair = numbers.integers(0, 1 << 16, (20, 16, 8))
+    made = {}
+    for i, text in enumerate(texts):
+        values = of_pair[i // 2].copy()
+        values[0], values[1:, 0] = 7, 1000 * i + np.arange(15)
+        made[text] = values.reshape(-1).astype(">u2").tobytes()
+
+    def sketches(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            own = b.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([56] * len(own)), pa.array([hashlib.md5(t.encode()).digest() for t in own]), pa.array([made[t] for t in own])], names=["doc_id", "n_shingles", "key", "values"])
+
+    monkeypatch.setattr(near_dedup, "_sketches", sketches)
+    monkeypatch.setattr(near_dedup, "RUN_NODES", block, raising=False)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    linked = sum(got[i] == got[i + 1] for i in range(0, 40, 2))
+    assert (linked, len(set(got.values()))) == (20, 20)
+
+
 def test_rows_without_id(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (None, "zz yy"), (4, "a b c d e f"), (9, None)], "doc_id long, text string")
     got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()}
