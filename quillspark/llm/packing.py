@@ -1,4 +1,4 @@
-"""Best-fit packing of tokenised documents into sequences, in bulk-synchronous sweeps.
+"""Best-fit packing of tokenised documents into sequences; classes of lengths are matched on the driver.
 
 1. Documents become pieces of at most `size` tokens (an end token closes each document).
 2. Pieces are range-sorted by length; a piece's rank within its length comes from its place in its
