@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import HOT_ROWS, hot_join, hot_keys, materialize
 
 
 EDGES_A_TASK = 250_000
@@ -62,7 +62,8 @@ def components(edges: DataFrame) -> DataFrame:
     Whatever makes the edges should contract() those of a partition.
 
     A round takes the smallest label of the neighbours, then the label's own label, so labels
-    move along chains at doubling speed. Rounds end when no label changes.
+    move along chains at doubling speed. Rounds end when no label changes. The root of a large
+    component is the neighbour, and the label, of all its nodes, so both joins treat it as hot.
     """
     edges = materialize(edges.where("a <> b"), "edges")
     # these tables are small beside the documents: as many tasks as their rows take, not as the session's shuffles have
@@ -70,11 +71,13 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a")).distinct()
     both = materialize(both.coalesce(tasks), "edges-both")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")).coalesce(tasks), "labels")
+    hot_neighbours, many = hot_keys(both, "b"), labels.count() > HOT_ROWS
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = hot_join(both, labels.withColumnRenamed("node", "b"), "b", hot_neighbours).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("low"))
         up = labels.select(F.col("node").alias("low"), F.col("label").alias("lowest"))
-        jumped = lower.join(up, "low", "left").select("node", F.least("low", "lowest").alias("label"), "was")
+        lower = materialize(lower.coalesce(tasks), "labels-lower") if many else lower
+        jumped = hot_join(lower, up, "low", hot_keys(lower, "low") if many else None).select("node", F.least("low", "lowest").alias("label"), "was")
         after = materialize(jumped.coalesce(tasks), "labels")
         if after.where("label <> was").isEmpty():
             return after.select("node", "label")

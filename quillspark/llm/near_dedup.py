@@ -4,15 +4,17 @@
    node, the smallest doc_id. A node has 128 MinHash values.
 2. Forest: 16 trees, each the nodes sorted by another run of 8 values. Nodes with the same first
    SHARED values of a tree are a run, and all pairs of a run are compared:
-   a. Runs of up to WINDOW + 1 nodes stay in one task of the sort, a range exchange by runs. There a
-      node takes its nearest WINDOW on either side with any common prefix, which is its whole run
-      and some nodes beyond it. Pairs whose 2-bit sketches put the similarity below LIKELY are no
-      candidates.
+   a. Runs of up to WINDOW + 1 nodes stay in the sort, a range exchange by runs. There a node takes
+      its nearest WINDOW on either side with any common prefix, which is its whole run and some nodes
+      beyond it. Neighbours in two tasks meet through the first and last WINDOW rows of each task, so
+      candidates do not depend on how the sort was partitioned. Pairs whose 4-bit sketches put the
+      similarity below LIKELY are no candidates.
    b. Longer runs leave the sort. Their nodes are compared in blocks of bounded size, every block
       with every other, by sketches and then by all values, with LIKELY_BY_ALL as the bound.
 3. Families are the connected components of candidates. The full sets of a family are compared in
    blocks of bounded size, every block with every other, so what counts as a link never depends on
-   which neighbours the trees gave; a family merely has to be connected by them.
+   which neighbours the trees gave; a family merely has to be connected by them. A block's size
+   follows the root of the family's, so a large family is dealt over many tasks without many copies.
 4. Components of confirmed links give the result.
 
 Defined results: a null or wordless text has an empty set and links with nothing. A row without
@@ -27,12 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .components import components, contracting
-from .shared import materialize, parts, small_join, table
+from .components import Forest, components, contracting
+from .shared import hot_join, hot_keys, materialize, parts, quoted, small_join, table
 
 TREES, DEPTH = 16, 8
 #: Values that nodes of a run have in common. A pair at the threshold shares them in no tree with probability (1 - 0.75**3)**16, 0.0002.
@@ -41,15 +44,15 @@ VALUES = TREES * DEPTH
 #: Neighbours on either side in each order.
 WINDOW = 4
 #: A sketch estimate under this is over four standard deviations below the threshold.
-LIKELY = 0.55
+LIKELY = 0.57
 #: The same for an estimate by all values, which are more exact.
 LIKELY_BY_ALL = 0.58
 #: Nodes that a block of a run holds.
 RUN_NODES = 4096
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Sets, and shingles, that a block of a family holds.
-BLOCK_SETS, BLOCK_SHINGLES = 256, 1 << 20
+#: Sets (at least and at most), and shingles, that a block of a family holds.
+FEW_SETS, BLOCK_SETS, BLOCK_SHINGLES = 64, 2048, 1 << 20
 
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 2**64, VALUES, dtype=np.uint64)
@@ -84,9 +87,9 @@ def _values(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _sketch(values: np.ndarray) -> np.ndarray:
-    """Two bits of each value, four values a byte."""
-    two = (values >> 7 & 3).astype(np.uint8).reshape(-1, VALUES // 4, 4)
-    return (two << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(2).astype(np.uint8)
+    """Four bits of each value, two values a byte."""
+    four = (values >> 6 & 15).astype(np.uint8).reshape(-1, VALUES // 2, 2)
+    return four[:, :, 0] | four[:, :, 1] << 4
 
 
 def _run(values: np.ndarray, t: int) -> np.ndarray:
@@ -122,25 +125,64 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def _similar(a: np.ndarray, b: np.ndarray, axis: int = 1) -> np.ndarray:
-    """Whether two-bit sketches (64-bit words along an axis) leave the threshold possible; a fourth of unequal values agree by chance."""
+    """Whether four-bit sketches (64-bit words along an axis) leave the threshold possible; a sixteenth of unequal values agree by chance."""
     x = a ^ b
-    unequal = np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis)
-    return unequal <= (1 - LIKELY) * 0.75 * VALUES
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    unequal = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis)
+    return unequal <= (1 - LIKELY) * 15 / 16 * VALUES
+
+
+_EDGE_OR_BORDER = "a long, b long, part int, tree int, prefix binary, sketch binary"
+
+
+def _pairs(rows: pa.RecordBatch | pa.Table, across: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of a tree -> pairs of nodes up to WINDOW places apart that may be similar; across: of two partitions only."""
+    tree, node = rows.column("tree").to_numpy(), rows.column("node").to_numpy()
+    prefix = np.frombuffer(b"".join(rows.column("prefix").to_pylist()), dtype=">u2").reshape(-1, DEPTH)
+    sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(node), VALUES // 16)
+    part = rows.column("part").to_numpy() if across else None
+    found = []
+    for k in range(1, min(WINDOW, len(node) - 1) + 1):
+        near = (tree[k:] == tree[:-k]) & (prefix[k:, 0] == prefix[:-k, 0])
+        at = np.flatnonzero(near & (part[k:] != part[:-k]) if across else near)
+        at = at[_similar(sketch[at], sketch[at + k])]
+        found.append((node[at], node[at + k]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: pa.RecordBatch | None = None
+    """A partition's contracted candidates, then its first and last rows, by which it meets the partitions beside it."""
+    forest, part = Forest(), TaskContext.get().partitionId()
+    head: list[pa.RecordBatch] = []
+    held: pa.Table | None = None
+    n_head = seen = 0
     for batch in batches:
-        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        tree, node = rows.column("tree").to_numpy(), rows.column("node").to_numpy()
-        prefix = np.frombuffer(b"".join(rows.column("prefix").to_pylist()), dtype=">u2").reshape(-1, DEPTH)
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint64).reshape(-1, VALUES // 32)
-        for k in range(1, min(WINDOW, len(node) - 1) + 1):
-            at = np.flatnonzero((tree[k:] == tree[:-k]) & (prefix[k:, 0] == prefix[:-k, 0]))
-            at = at[_similar(sketch[at], sketch[at + k])]
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[at + k])], names=["a", "b"])
-        held = rows.slice(max(0, rows.num_rows - WINDOW)).combine_chunks().to_batches()[0] if rows.num_rows else None
+        if not batch.num_rows:
+            continue
+        if n_head < WINDOW:
+            head.append(batch.slice(0, WINDOW - n_head))
+            n_head += head[-1].num_rows
+        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+        for a, b in zip(*(x.tolist() for x in _pairs(rows))):
+            forest.join(a, b)
+        seen += batch.num_rows
+        held = pa.Table.from_batches(rows.slice(max(0, rows.num_rows - WINDOW)).to_batches()).combine_chunks()
+    edges = forest.edges()
+    nothing = lambda n, *kinds: [pa.nulls(n, k) for k in kinds]
+    yield pa.RecordBatch.from_arrays([*edges.columns, *nothing(edges.num_rows, pa.int32(), pa.int32(), pa.binary(), pa.binary())], names=["a", "b", "part", "tree", "prefix", "sketch"])
+    if held is not None:
+        tail = held.slice(max(0, held.num_rows - (seen - n_head)))  # without rows that the head has
+        for rows in [*head, *tail.combine_chunks().to_batches()]:
+            n = rows.num_rows
+            yield pa.RecordBatch.from_arrays([rows.column("node"), pa.nulls(n, pa.int64()), pa.array(np.full(n, part, np.int32)), rows.column("tree"), rows.column("prefix"), rows.column("sketch")], names=["a", "b", "part", "tree", "prefix", "sketch"])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First and last rows of all partitions in order, a few of each -> candidates across their borders."""
+    rows = pa.Table.from_batches(list(batches), schema=pa.schema([("node", pa.int64()), ("part", pa.int32()), ("tree", pa.int32()), ("prefix", pa.binary()), ("sketch", pa.binary())])).combine_chunks()
+    a, b = _pairs(rows, across=True)
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def alike(nodes: np.ndarray, values: np.ndarray) -> list[tuple[int, int]]:
@@ -195,8 +237,12 @@ def candidates(nodes: DataFrame, n: int) -> DataFrame:
 
     trees = nodes.mapInArrow(_trees, "tree int, run long, prefix binary, node long, sketch binary")
     short = small_join(trees, long_runs, "run", "node", "left_anti")
-    ordered = short.repartitionByRange(n, "run").sortWithinPartitions("run", "prefix").select("tree", "prefix", "node", "sketch")
-    near = ordered.mapInArrow(contracting(_neighbours), "a long, b long")
+    ordered = short.repartitionByRange(n, "run").sortWithinPartitions("run", "prefix", "node").select("tree", "prefix", "node", "sketch")
+    met = materialize(ordered.mapInArrow(_neighbours, _EDGE_OR_BORDER), "near-neighbours")
+    borders = met.where("tree IS NOT NULL").select(F.col("a").alias("node"), "part", "tree", "prefix", "sketch")  # at most 2 * WINDOW rows of each task
+    run = F.conv(F.hex(F.substring("prefix", 1, 2 * SHARED)), 16, 10).cast("long")
+    across = borders.repartition(1).sortWithinPartitions("part", "tree", run, "prefix", "node").mapInArrow(_across, "a long, b long")
+    near = met.where("tree IS NULL").select("a", "b").union(across)
 
     placed = small_join(runs, long_runs, "run", "node").select("run", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     pairs = _block_pairs(placed.join(nodes.select("node", "values"), "node"), "run", "node", "values")
@@ -276,16 +322,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # blocks: as many for a family as bound its sets and its shingles
     sized = families.withColumnRenamed("label", "family").join(nodes.select("node", "n"), "node")
-    large = sized.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).withColumn("blocks", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")).where("blocks > 1").select("family", "blocks")
+    per_block = F.least(F.lit(BLOCK_SETS), F.greatest(F.lit(FEW_SETS), 3 * F.sqrt("sets")))
+    large = sized.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).withColumn("blocks", F.ceil(F.greatest(F.col("sets") / per_block, F.col("shingles") / BLOCK_SHINGLES)).cast("int")).where("blocks > 1").select("family", "blocks")
+    sized = materialize(sized, "near-sized")
+    placed = small_join(sized, materialize(large, "near-large"), "family", "node", "left")
     blocks = F.coalesce(F.col("blocks"), F.lit(1))
-    placed = sized.join(large, "family", "left").select("node", "family", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    placed = placed.select("node", "family", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     texts = placed.join(docs.withColumnRenamed("doc_id", "node"), "node")
     pairs = _block_pairs(texts, "family", "node", "text")
     grouped = pairs.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j")
     found = components(grouped.mapInArrow(contracting(_confirm), "a long, b long"))
 
     by_key = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
-    out = sketched.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
+    rows = sketched.select("doc_id", "n_shingles", "key")
+    out = hot_join(rows, by_key, "key", hot_keys(rows, "key"))  # a third of all rows may share a key
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("label"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
@@ -293,7 +343,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs without those that a smaller doc_id of their component stands for."""
     gone = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ SALTS = 32
 
 
 def small_join(rows: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
-    """Equi-join (inner or left_anti) with a table of aggregates, which has every key of rows once.
+    """Equi-join (inner, left or left_anti) with a table of aggregates, which has a key at most once.
 
     A broadcast while the table is small, else over salted keys, by which a hot key's rows are
     dealt out on `spread`.
@@ -76,9 +76,34 @@ def small_join(rows: DataFrame, small: DataFrame, key: str, spread: str, how: st
     return rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
 
 
+#: A key that more rows than this share can be hot.
+HOT_ROWS = 10_000
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """Keys of more than HOT_ROWS rows and more than one in BROADCAST_ROWS of all, so there are fewer than BROADCAST_ROWS; None if there is none."""
+    counts = materialize(rows.where(F.col(key).isNotNull()).groupBy(key).count(), "hot-counts")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = counts.where(F.col("count") > max(HOT_ROWS, total // BROADCAST_ROWS)).select(key)
+    return None if hot.isEmpty() else hot
+
+
+def hot_join(rows: DataFrame, unique: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """Left join with a table that has a key at most once: hot keys' part of it is broadcast, the others' rows meet by a shuffle."""
+    if hot is None:
+        return rows.join(unique, key, "left")
+    found = materialize(unique.join(F.broadcast(hot), key, "left_semi"), "hot-rows")
+    cold = rows.join(F.broadcast(hot), key, "left_anti").join(unique, key, "left")
+    return rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(found), key, "left").unionByName(cold)
+
+
+def quoted(name: str) -> F.Column:
+    """The column of this name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shielded(docs: DataFrame, needed: tuple[str, ...]):
     """docs with all columns but the needed ones under names that no operator uses, and a function that puts a result's names back."""
     bounded_batches(docs.sparkSession)
     inner = [c if c in needed else f"_{i}" for i, c in enumerate(docs.columns)]
-    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
     return docs.select(*(quoted(c).alias(n) for c, n in zip(docs.columns, inner))), lambda df: df.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, inner)))
