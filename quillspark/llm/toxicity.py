@@ -6,14 +6,22 @@ also counts by its first STEM, so the forms of a word share a weight. FTRL-proxi
 rate for each coordinate, and L1 leaves most weights at zero, so the model is a short list of
 (feature, weight), at most 2**BITS of 12 bytes, which every executor gets.
 
-Fitting reads at most SAMPLE labelled rows, those with the smallest hash of doc_id; scoring reads
-whole texts of all rows in one pass without a shuffle. Defined results: null and empty texts score
-as the intercept says; labels that are null, or whose doc_id is null or missing from the documents,
-are not learnt from; without labels every score is 0; an empty table gives an empty result.
+Fitting learns from a sample with two bounds: at most SAMPLE labelled rows, those with the smallest
+hash of doc_id, and of these, in the same order, as many as have MOST_FEATURES features together. The
+texts become distinct feature numbers where they lie; one task gets those, 4 bytes each, and learns
+them in order. If the second bound ends the sample, fit() warns with the number of rows learnt from.
+Scoring reads whole texts of all rows in one pass without a shuffle.
+
+Defined results: null and empty texts score as the intercept says, whatever their number; labels that
+are null, or whose doc_id is null or missing from the documents, are not learnt from; a doc_id that
+repeats in the documents is a row of the sample for each of its texts, and one that repeats in the
+labels is toxic if any of them is; every row is scored by itself; without labels every score is 0; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +35,7 @@ from .shared import shielded, table
 BITS = 20
 #: The most labelled rows that a model is fitted on.
 SAMPLE = 24_000
-#: Features of 4 bytes that the task which fits a model holds; rows of the sample beyond them, in hash order, are left out.
+#: The most features, of 4 bytes, that these rows have together.
 MOST_FEATURES = 60_000_000
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 1.0
@@ -36,6 +44,7 @@ STEM = 5
 #: Of five parts by crc32 of doc_id, the part that is never learnt from.
 FOLDS, HELD_OUT = 5, 0
 
+_LEARNT, _BEYOND = -1, -2
 _INSIDE = np.zeros(256, dtype=bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _SEEDS = (np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179))
@@ -81,38 +90,52 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The whole sample in order of place -> the weights that aren't zero."""
-    intercept, rows, held = 1 << BITS, [], 0
+def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """place, text, toxic -> place, toxic and the distinct features, ascending, as packed 32-bit numbers."""
     for whole in batches:
         for batch in wordhash.slices(whole, "text"):
             at, text = features(batch.column("text"))
-            bounds = np.searchsorted(text_sorted := np.sort(text), np.arange(batch.num_rows + 1))
-            at = at[np.argsort(text, kind="stable")]
-            assert len(text_sorted) == len(at)
-            for i, label in enumerate(batch.column("toxic").to_pylist()):
-                own = np.r_[np.unique(at[bounds[i] : bounds[i + 1]]), intercept].astype(np.int32)
-                held += len(own)
-                if held <= MOST_FEATURES:
-                    rows.append((own, int(label)))
-    model = Ftrl()
-    for _ in range(EPOCHS):
-        for at, label in rows:
-            model.learn(at, label)
-    w = model.weights()
-    at = np.flatnonzero(w)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["feature", "weight"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+            pairs = np.unique(text << (BITS + 1) | at)
+            bounds = np.searchsorted(pairs >> (BITS + 1), np.arange(batch.num_rows + 1))
+            flat = (pairs & ((1 << (BITS + 1)) - 1)).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("toxic"), packed], names=["place", "toxic", "features"])
+
+
+def _fit(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The whole sample in order of place -> the weights that aren't zero; as features _LEARNT and _BEYOND the numbers of rows."""
+        intercept, rows, held, n = 1 << BITS, [], 0, 0
+        for batch in batches:
+            for own, label in zip(batch.column("features").to_pylist(), batch.column("toxic").to_pylist()):
+                held += len(own) // 4
+                n += 1
+                if held <= most:
+                    rows.append((np.r_[np.frombuffer(own, dtype=np.int32), intercept].astype(np.int32), int(label)))
+        model = Ftrl()
+        for _ in range(EPOCHS):
+            for at, label in rows:
+                model.learn(at, label)
+        w = model.weights()
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, _LEARNT, _BEYOND]), pa.array(np.r_[w[at], float(len(rows)), float(n - len(rows))])], names=["feature", "weight"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features: int = MOST_FEATURES) -> tuple[np.ndarray, np.ndarray]:
     """Features and weights, from labels outside the held-out part. The sample is bounded, so one task learns it."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) != HELD_OUT)
     place = F.xxhash64("doc_id", F.lit(3))
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("place", place).orderBy("place", "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("place", "text", "toxic")
-    in_order = rows.repartition(1).sortWithinPartitions("place", "text")  # a hash, whatever order rows arrive in
-    found = in_order.mapInArrow(_fit, "feature long, weight double").collect()
-    return np.array([r[0] for r in found], dtype=np.int64), np.array([r[1] for r in found])
+    rows = rows.select("place", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_featurise, "place long, toxic int, features binary")
+    in_order = rows.repartition(1).sortWithinPartitions("place", "features")  # a hash, whatever order rows arrive in
+    weights = {r[0]: r[1] for r in in_order.mapInArrow(_fit(most_features), "feature long, weight double").collect()}
+    learnt, beyond = (int(weights.pop(f, 0)) for f in (_LEARNT, _BEYOND))
+    if beyond:
+        warnings.warn(f"learnt from {learnt} labelled rows: {beyond} more rows of the sample are beyond {most_features} features", stacklevel=2)
+    return np.array(list(weights), dtype=np.int64), np.array(list(weights.values()))
 
 
 def _score(model):
