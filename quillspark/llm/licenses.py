@@ -10,12 +10,18 @@ so a stretch of SPREAD times the template's length with too few of these cannot
 All others are aligned, in overlapping windows, so that two copies in a row do not hide each
 other's unique words. Of overlapping finds the one with the larger number of matched words stays.
 
+Coverage is asked of both sides: of the words from the first match to the last, SPAN_SHARE have to be
+matched. A find fails if one of the words between is a TELLING word that the template doesn't match
+there, as it names another license (GNU Affero, NonCommercial), or if one of the NEGATING words stands
+within two words before it.
+
 Short templates have rules of their own. Up to NAMING words, what tells licenses apart (every word
-that isn't in PLAIN) has to match. From TOLERANT words on, one plain word may differ even where
+that isn't in PLAIN) has to match; of longer ones, the number of a version. From TOLERANT words on, one plain word may differ even where
 COVERAGE asks for all. Below TOLERANT words all have to match, and below TIGHT in one run.
 
 Texts are scanned one by one in a single pass without a shuffle, so no key can be hot. Defined
-results: a null or empty text has no finds; rows that repeat a doc_id are rows of their own; an
+results: a null or empty text has no finds; of equally good finds that overlap the shortest stays, then
+that of the first template; a long text is scanned whole, by itself; rows that repeat a doc_id are rows of their own; an
 empty table gives an empty result; other columns are not read.
 """
 
@@ -35,12 +41,18 @@ from .shared import table
 
 #: The least share of a template that a find matches, and how much longer than the template it may be.
 COVERAGE, SPREAD = 0.9, 1.5
+#: The least share of the words of a find that are matched.
+SPAN_SHARE = 0.75
 
 #: Words of a template: below TIGHT it is matched as a run, from TOLERANT on one plain word may differ, up to NAMING no other may.
 TIGHT, TOLERANT, NAMING = 5, 6, 16
 #: Words by which no two licenses differ.
 PLAIN = "a general gnu international is license licensed public the this under v version work"
 
+#: Words that tell one license from another: between matched words they rule a find out.
+TELLING = "affero lesser library agpl lgpl nc nd sa noncommercial noderivatives noderivs sharealike commercial derivatives alike limited proprietary no not non except"
+NEGATING = "not never neither nor isn unlike without"
+
 # Public notices, each with the identifier of its license. Results hold a template's number: new ones go last.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -75,6 +87,23 @@ TEMPLATES = [
     *((f"CC-{k}-4.0", f"Licensed under CC {k} 4.0.") for k in ("BY-ND", "BY-NC-SA", "BY-NC-ND")),
     *((f"CC-{k}-4.0", f"This work is licensed under a Creative Commons {name} 4.0 International License.") for k, name in (("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))),
     *((k, f"SPDX-License-Identifier: {k}") for k in ("MIT", "Apache-2.0", "GPL-3.0", "GPL-3.0-or-later", "GPL-2.0", "GPL-2.0-or-later", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0")),
+    *((f"AGPL-{v}.0", f"{start} under the {name}.") for v in (3,) for start in ("Licensed", "This work is licensed") for name in (f"GNU Affero General Public License, version {v}", f"GNU Affero General Public License v{v}.0", f"AGPL-{v}.0", f"AGPLv{v}")),
+    *((f"LGPL-{v}", f"{start} under the {name}.") for v in ("2.0", "2.1", "3.0") for start in ("Licensed", "This work is licensed") for name in (f"GNU Lesser General Public License, version {v.removesuffix('.0')}", f"GNU Lesser General Public License v{v}", f"GNU Library General Public License, version {v.removesuffix('.0')}", f"LGPL-{v}", f"LGPLv{v.removesuffix('.0')}")),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    *((f"LGPL-{v}-or-later", f"This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version {v.removesuffix('.0')} of the License, or (at your option) any later version.") for v in ("2.1", "3.0")),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    *((k, f"SPDX-License-Identifier: {k}") for k in ("AGPL-3.0", "AGPL-3.0-or-later", "LGPL-2.1", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-or-later", "BSD-2-Clause", "ISC", "CC0-1.0", "Unlicense")),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    *((k, f"Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {first} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. {second} Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. {third}") for k, first, second, third in (
+        ("BSD-2-Clause", "1.", "2.", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\""),
+        ("BSD-3-Clause", "1.", "2.", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\""),
+    )),
 ]
 
 _INSIDE = np.zeros(256, dtype=bool)
@@ -140,8 +169,9 @@ class Scanner:
         self.all = np.unique(np.concatenate(hashes))
         self.need = [math.ceil(coverage * len(h)) for h in hashes]
         self.width = [math.ceil(spread * len(h)) if len(h) >= TIGHT else len(h) for h in hashes]
-        plain = set(_words(pa.array([PLAIN]))[4].tolist())
-        self.naming = [{i for i, w in enumerate(words) if w not in plain} if len(words) <= NAMING else set() for words in self.words]
+        plain, self.telling, self.negating = (set(_words(pa.array([w]))[4].tolist()) for w in (PLAIN, TELLING, NEGATING))
+        version = _words(pa.array(["version"]))[4][0]
+        self.naming = [{i for i, w in enumerate(words) if (w not in plain if len(words) <= NAMING else i and words[i - 1] == version)} for words in self.words]
         if coverage < 1:
             self.need = [n - 1 if TOLERANT <= n == len(words) else n for n, words in zip(self.need, self.words)]
 
@@ -191,6 +221,9 @@ class Scanner:
                 window = window[:width]
             if (Counter(window) & bag).total() >= need:
                 found = self._found(t, window)
+                if found and self._denied(a + found[0][0], hashes, first):
+                    a += found[0][0] + 1
+                    continue
                 if found:
                     yield len(found), t, a + found[0][0], a + found[-1][0]
                     a += found[-1][0] + 1
@@ -198,21 +231,35 @@ class Scanner:
             a += step
 
 
+    def _denied(self, at: int, hashes: np.ndarray, first: np.ndarray) -> bool:
+        """Whether one of the two words before a place denies what follows."""
+        begin = int(first[np.searchsorted(first, at, side="right") - 1])
+        return not self.negating.isdisjoint(hashes[max(begin, at - 2) : at].tolist())
+
     def _found(self, t: int, window: list) -> list[tuple[int, int]]:
-        """The matched places of a window, none if they are too few. Of a short template words that follow may not hide the unique ones, so the window grows."""
+        """The matched places of a window, none if they are too few.
+
+        Words that follow may hide the unique ones, so the window grows: word by word for a short
+        template, by quarters of a long one.
+        """
         words, need = self.words[t], self.need[t]
+        step = 1 if len(words) <= NAMING else max(1, len(words) // 4)
         best: list[tuple[int, int]] = []
-        for size in range(need, len(window)) if len(words) <= NAMING else ():
+        for size in [*range(need, len(window), step), len(window)]:
             found = align(window[:size], words)
-            best = found if len(found) > len(best) and self._names(t, found) else best
+            if len(found) > len(best) and self._holds(t, found, window):
+                best = found
             if len(best) == len(words):
-                return best
-        found = align(window, words)
-        best = found if len(found) > len(best) and self._names(t, found) else best
+                break
         return best if len(best) >= need else []
 
-    def _names(self, t: int, found: list[tuple[int, int]]) -> bool:
-        return self.naming[t] <= {j for _, j in found}
+    def _holds(self, t: int, found: list[tuple[int, int]], window: list) -> bool:
+        """Whether matches name this license and no other, and are dense enough."""
+        if len(found) < self.need[t] or not self.naming[t] <= {j for _, j in found}:
+            return False
+        a, b = found[0][0], found[-1][0] + 1
+        matched = {i for i, _ in found}
+        return len(found) >= SPAN_SHARE * (b - a) and self.telling.isdisjoint(w for i, w in enumerate(window[a:b], a) if i not in matched)
 
 
 def _best(finds: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:

@@ -1,0 +1,218 @@
+"""Cases that only show at some size, and plain versions of what SQL cannot express."""
+
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm import exact_dedup, exact_topk, licenses, near_dedup, shared, toxicity
+from test_operators import changed, plain_top, prose
+
+# --- near duplicates ---
+
+
+def test_candidates_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 1 << 16, (60, near_dedup.VALUES))
+    values[1::2] = values[::2]
+    values[1::2, ::8] ^= 1  # neighbours of a pair share no first value of a tree but by the order of the rest
+    values[1::2, 8 * np.arange(16)] = values[::2, 8 * np.arange(16)]
+    values[1::2, 1::8] += 1  # they share one value only, so no run
+    nodes = spark.createDataFrame([(i, v.astype(">u2").tobytes()) for i, v in enumerate(values)], "node long, values binary")
+    found = [{tuple(sorted((r.a, r.b))) for r in near_dedup.candidates(nodes, n).collect()} for n in (1, 4, 61)]
+    linked = [{p for p in f if p[1] == p[0] + 1 and p[0] % 2 == 0} for f in found]
+    assert linked[0] == linked[1] == linked[2] == {(i, i + 1) for i in range(0, 60, 2)}
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 20)
+    rows = spark.range(500).select(F.when(F.col("id") < 200, 7).when(F.col("id") < 210, None).otherwise(F.col("id")).alias("key"), F.col("id").alias("x"))
+    unique = spark.range(0, 400, 1).select(F.col("id").alias("key"), (F.col("id") * 2).alias("y"))
+    hot = shared.hot_keys(rows, "key")
+    assert [r.key for r in hot.collect()] == [7]
+    got = shared.hot_join(rows, unique, "key", hot).collect()
+    assert len(got) == 500 and all(r.y == (2 * r.key if r.key is not None and r.key < 400 else None) for r in got)
+
+
+def test_templated_pages(spark):
+    """Pages with shared text under the threshold stay apart, copies among them are linked."""
+    rng = random.Random(17)
+    shared_text = prose(90, rng)
+    texts = [shared_text + " " + prose(70, rng) for _ in range(300)]
+    texts += [changed(texts[i], 2, rng) for i in range(0, 60, 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    from test_operators import plain_near
+
+    want = plain_near(dict(enumerate(texts)))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()} == want
+
+
+def test_names_with_backticks(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 3), (2, "a b c d e f", 4)], ["doc_id", "text", "odd`name"])
+    assert near_dedup.keep_first(df).columns == df.columns
+
+
+# --- exact duplicates ---
+
+
+def test_short_lines_fill_a_bucket(spark):
+    """Entries count besides texts, so buckets of many short lines are split."""
+    entries = spark.range(40_000).select(F.concat(F.lit("l"), F.col("id")).alias("text"), F.xxhash64("id").alias("__hash"))
+    sizes = [r[1] for r in exact_dedup._bucketed(entries, 1 << 20).groupBy("__bucket").count().collect()]
+    assert sum(sizes) == 40_000 and max(sizes) * exact_dedup.ENTRY_BYTES <= 1.1 * (1 << 20)
+
+
+def test_one_hash_is_not_split(spark):
+    entries = spark.range(3000).select(F.repeat(F.lit("x"), 500).alias("text"), F.lit(5).cast("long").alias("__hash"))
+    assert exact_dedup._bucketed(entries, 10_000).select("__bucket").distinct().count() == 1
+
+
+# --- top k ---
+
+
+def test_large_components(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(120)]
+    rows += [(200, [1e7] * 4), (201, [9e6] * 4), (250, [-1e7, 1e7, 3.0, 4.0]), (300, [1e5, 2.0, 2.0, 2.0])]
+    rows += [(350, [1e16] * 4), (351, [-1e16] * 4), (352, [3e300] * 4)]  # scores beyond a long are the largest or smallest there is
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    most, least = (1 << 63) - 1, -(1 << 63)
+    bounded = [(i, [max(-(2.0**63), min(exact_topk._LARGEST, math.floor(256 * x))) / 256 for x in v]) for i, v in rows]
+    want = {(q, i): min(most, max(least, sum(int(256 * a) * int(256 * b) if abs(256 * a) > 2**52 or abs(256 * b) > 2**52 else math.floor(256 * a) * math.floor(256 * b) for a, b in zip(v, w)))) for q, v in bounded if q % 50 == 0 for i, w in bounded if i != q}
+    got = [tuple(r) for r in exact_topk.top_k(df).select("query_id", "rank", "vec_id", "score").collect()]
+    for q in {q for q, _ in want}:
+        best = sorted((-s, i) for (a, i), s in want.items() if a == q)[:5]
+        assert sorted((r, i, s) for a, r, i, s in got if a == q) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert (200, 201) in {(q, i) for q, _, i, _ in got} and want[200, 201] == 4 * (256 * 10**7) * (256 * 9 * 10**6) if 4 * (256 * 10**7) * (256 * 9 * 10**6) <= most else True
+
+
+def test_blocks_of_queries(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    as_float = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    assert {tuple(r) for r in exact_topk.top_k(df, block=4).select("query_id", "rank", "vec_id", "score").collect()} == plain_top(as_float)
+
+
+# --- toxicity ---
+
+
+def plain_features(text):
+    """The set of feature strings that hashing stands for."""
+    w = re.findall("[0-9a-z\x80-\U0010ffff]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return {*w, *(("stem", x[:5]) for x in w if len(x) > 5), *zip(w, w[1:]), *((a, "*", b) for a, b in zip(w, w[2:]))}
+
+
+def plain_ftrl(rows, epochs, alpha, beta, l1, l2):
+    """FTRL-proximal feature by feature; the intercept is the feature None, without L1."""
+    z, n = {}, {}
+
+    def weight(f):
+        bound = 0.0 if f is None else l1
+        zf = z.get(f, 0.0)
+        return 0.0 if abs(zf) <= bound else -(zf - math.copysign(bound, zf)) / ((beta + math.sqrt(n.get(f, 0.0))) / alpha + l2)
+
+    for _ in range(epochs):
+        for own, label in rows:
+            w = {f: weight(f) for f in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for f in own:
+                before = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / alpha * w[f]
+                n[f] = before + g * g
+    return weight
+
+
+def test_ftrl_against_a_plain_version(spark):
+    rng = random.Random(13)
+    texts = [prose(rng.randint(3, 30), rng) + (" awful filth" if i % 4 == 0 else "") for i in range(160)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(len(texts))], "doc_id long, toxic int")
+    learnt = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5]
+    order = {r.doc_id: r.place for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(3)).alias("place")).collect()}
+    rows = [(plain_features(texts[i]) | {None}, int(i % 4 == 0)) for i in sorted(learnt, key=order.get)]
+    weight = plain_ftrl(rows, toxicity.EPOCHS, toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2)
+    want = [1 / (1 + math.exp(-sum(map(weight, plain_features(t) | {None})))) for t in texts]
+    got = {r.doc_id: r["__score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert max(abs(got[i] - w) for i, w in enumerate(want)) < 1e-4  # no two of these features share a bucket
+
+
+def test_toxicity_query_columns(spark, monkeypatch):
+    long_text = prose(30_000)
+    docs = spark.createDataFrame([(i, prose(20) + " vile" * (i % 2), "clash") for i in range(60)] + [(60, None, ""), (61, "", ""), (62, long_text, ""), (62, long_text, ""), (None, "x", "")], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "table", lambda s, d, n: {"documents": docs, "labels": labels}[n])
+    rows = toxicity.op2_toxicity(spark, "").collect()
+    assert len(rows) == 65
+    for r in rows:
+        assert r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1
+        assert r.doc_id is None or r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_bound_on_features_warns(spark):
+    docs = spark.createDataFrame([(i, prose(20)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    with pytest.warns(UserWarning, match="beyond 500 features"):
+        toxicity.fit(docs, labels, most_features=500)
+
+
+# --- licenses ---
+
+OTHER_LICENSES = {
+    "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0",
+    "This program is licensed under the GNU Affero General Public License v3.0": "AGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 2.": "LGPL-2.0",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "AGPL-3.0-or-later",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 1 of the License, or (at your option) any later version.": None,
+    "This software is not licensed under the MIT License.": None, "licensed under the MIT no attribution license": None, "SPDX-License-Identifier: AGPL-3.0": "AGPL-3.0",
+    "licensed first under some rules of ours, then under others, the last of which is a license by MIT and a license": None,
+}
+
+
+def test_other_licenses_are_not_taken_for_these():
+    scanner = licenses.Scanner()
+    for text, name in OTHER_LICENSES.items():
+        assert [scanner.licenses[f[1]] for f in scanner.scan(pa.array([f"{prose(9)} {text} {prose(9)}"]))] == ([name] if name else []), text
+
+
+def plain_finds(scanner, text):
+    """Licenses found by aligning every template with every window."""
+    h = licenses._words(pa.array([text]))[4].tolist()
+    first = np.array([0, len(h)])
+    found = []
+    for t, words in enumerate(scanner.words):
+        for a in range(len(h)):
+            for size in range(scanner.need[t], scanner.width[t] + 1):
+                at = licenses.align(h[a : a + size], words)
+                if at and scanner._holds(t, at, h[a : a + size]) and not scanner._denied(a + at[0][0], np.array(h, dtype=np.uint64), first):
+                    found.append((len(at), t, a + at[0][0], a + at[-1][0]))
+    return {scanner.licenses[t] for _, t, _, _ in licenses._best(found)}
+
+
+def test_scans_agree_with_every_window():
+    rng = random.Random(21)
+    chosen = [t for t in licenses.TEMPLATES if len(t[1].split()) <= 12]
+    scanner = licenses.Scanner(chosen)
+    words = "licensed released under the mit apache license version cc by nc sa 4 0 2 3 gnu general public affero all rights reserved this work is a".split()
+    wrong = 0
+    for _ in range(60):
+        tokens = [rng.choice(words) for _ in range(25)]
+        k = rng.randrange(20)
+        if rng.random() < 0.7:
+            tokens[k:k] = re.findall("[a-z0-9]+", rng.choice(chosen)[1].lower())
+        text = " ".join(tokens)
+        got = {scanner.licenses[f[1]] for f in scanner.scan(pa.array([text]))}
+        wrong += got != plain_finds(scanner, text)
+    assert wrong <= 1, wrong
+
+
+def test_licenses_of_odd_rows(spark):
+    notice = "Released under the MIT License."
+    rows = [(1, None), (2, ""), (3, notice), (3, notice), (None, notice), (4, prose(50_000) + " " + notice + " " + prose(50_000))]
+    found = licenses.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.license) for r in found) == [(0, "MIT"), (3, "MIT"), (3, "MIT"), (4, "MIT")]
