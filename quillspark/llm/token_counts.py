@@ -1,15 +1,16 @@
 """Token counts of whole texts under a unigram model, by dynamic programming shared along a trie.
 
 The pieces of a SentencePiece vocabulary file get log-probabilities by Zipf's law from their rank
-(ids are in order of rank, single characters last); a byte that no piece covers is a token of its
+(ids are in order of rank, single characters last), as the file has ranks and tokenizers are not
+trained here; a byte that no piece covers is a token of its
 own at a lower score. A pre-token is a run of characters outside x20 and x09-x0D behind the mark of
 a word's beginning. Its tokens are those of the segmentation with the highest score, of equal
 scores the one with fewest tokens.
 
 A task takes the distinct pre-tokens of a slice of its texts into a trie, whose nodes are the
 distinct beginnings, and computes the best score of each node once from those of the nodes above
-it, all nodes of a depth at a time; the count at the node where a pre-token ends is kept for later
-slices. Documents are then sums over their pre-tokens. There is no shuffle, so no key can be hot,
+it, all nodes of a depth at a time, however deep; the count at the node where a pre-token ends is
+kept for later slices. White space between pre-tokens is no token. Documents are then sums over their pre-tokens. There is no shuffle, so no key can be hot,
 and memory is bounded by the slice and by CACHE.
 
 Defined results: a null or empty text has 0 words and 0 tokens; rows that repeat a doc_id are rows
@@ -32,8 +33,8 @@ from .shared import table
 MARK = "▁".encode()
 #: Distinct pre-tokens whose counts a Python worker keeps, 12 bytes each.
 CACHE = 2_000_000
-#: Pre-tokens of more bytes than this have a path of their own beside the trie.
-DEEP = 64
+#: Depths of the trie with fewer pieces than this are worked off one by one, without numpy's overhead.
+NARROW = 24
 #: How much less likely than the last piece a bare byte is, as a logarithm.
 BYTE_PENALTY = 10.0
 
@@ -75,23 +76,6 @@ class TrieCounter:
     def clear(self) -> None:
         self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
-    def alone(self, word: bytes) -> int:
-        """The count of one pre-token without a trie."""
-        n = len(word)
-        best, count = [0.0] + [-math.inf] * n, [0] * (n + 1)
-        for end in range(1, n + 1):
-            top, fewest = best[end - 1] + self.byte_score, count[end - 1] + 1
-            for size in self.sizes:
-                if size > end:
-                    break
-                score = self.scores.get(word[end - size : end])
-                if score is not None:
-                    score += best[end - size]
-                    if score > top or (score == top and count[end - size] + 1 < fewest):
-                        top, fewest = score, count[end - size] + 1
-            best[end], count[end] = top, fewest
-        return count[n]
-
     def together(self, words: list[bytes]) -> np.ndarray:
         """The counts of distinct pre-tokens, over the trie of their beginnings."""
         if not words:
@@ -125,8 +109,14 @@ class TrieCounter:
         best[root] = 0.0
         order = np.argsort(deep[to], kind="stable")
         to, source, score = to[order], source[order], score[order]
-        bounds = np.searchsorted(deep[to], np.arange(1, int(deep.max()) + 2))
+        bounds = np.searchsorted(deep[to], np.arange(1, int(deep.max()) + 2)).tolist()
         for a, b in zip(bounds[:-1], bounds[1:]):
+            if b - a < NARROW:
+                for t, u, w in zip(to[a:b].tolist(), source[a:b].tolist(), score[a:b].tolist()):
+                    s, n = best[u] + w, count[u] + 1
+                    if s > best[t] or (s == best[t] and n < count[t]):
+                        best[t], count[t] = s, n
+                continue
             t, s = to[a:b], best[source[a:b]] + score[a:b]
             n = count[source[a:b]] + 1
             rank = np.lexsort((n, -s, t))
@@ -144,11 +134,7 @@ class TrieCounter:
             self.clear()
         new = ~np.isin(distinct, self.hashes, assume_unique=True)
         if new.any():
-            words = [MARK + data[starts[i] : ends[i]].tobytes() for i in at[new]]
-            long = np.array([len(w) > DEEP for w in words])
-            counts = np.zeros(len(words), np.int32)
-            counts[~long] = self.together([w for w in words if len(w) <= DEEP])
-            counts[long] = [self.alone(w) for w in words if len(w) > DEEP]
+            counts = self.together([MARK + data[starts[i] : ends[i]].tobytes() for i in at[new]])
             hashes = np.concatenate([self.hashes, distinct[new]])
             order = np.argsort(hashes)
             self.hashes, self.counts = hashes[order], np.concatenate([self.counts, counts])[order]
