@@ -3,12 +3,16 @@
 1. Candidates: matches of the patterns below, each with the text just before and after it. Matches
    of the four base kinds that pass their check (parts, Luhn, digits) are personal data whatever
    follows; those that fail it stay candidates, beside names, national phone and identity numbers.
-2. Three labelers vote yes, no or nothing on every candidate: the shape (regex), word lists
-   (gazetteer), and cue words around the span (context).
+2. Three labelers vote yes, no or nothing on every candidate of every kind, each from something the
+   others don't read: the span's structure (regex: checksums, ranges, number plans, what a name begins
+   with), lists (gazetteer: top-level domains, networks, issuers, calling codes, area codes, countries,
+   names), and cue words around the span (context: the kind's own, another kind's, or such as speak
+   of part numbers and versions).
 3. Expectation-maximisation over the counts of vote patterns (kinds x 27 at most, whatever the
    input) estimates how reliable each labeler is and how likely each pattern is personal data.
 4. These likelihoods train a naive Bayes classifier over the spans' own features; spans that it
-   puts at one half or more and that overlap no base span are added to the base spans.
+   puts at one half or more and that overlap no base span are added to the base spans. Base spans of a
+   kind are in order and apart, so a binary search for each kind tells whether a span overlaps one.
 
 Everything is DataFrame expressions in one narrow pass over the texts: a document never leaves its
 row, so no key can be hot. The patterns are rewritten with possessive groups and look-behinds that
@@ -22,6 +26,7 @@ a null doc_id stays null; an empty table gives an empty result; other columns ar
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, table
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "name", "national_phone", "ssn", "iban")
+KINDS = (*BASE, "name", "national_phone", "ssn", "iban", "secret")
 LABELERS = ("v_regex", "v_gazetteer", "v_context")
 FEATURES = ("shape", "regex", "context", "gazetteer", "length", "digits", "left", "right")
 #: Characters of context before and after a span.
@@ -42,24 +47,48 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Mme|Mlle|Herr|Frau|Sr|Sra|{given})\.? [\p{{Lu}}][\p{{Ll}}]+(?: [\p{{Lu}}][\p{{Ll}}]+)?",
+    "name": r"\b(?:{titles}|{given})\.? [\p{{Lu}}][\p{{Ll}}]+(?: [\p{{Lu}}][\p{{Ll}}]+)?",
     "national_phone": r"(?<![0-9+)(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}\b",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[0-9][A-Z0-9]{0,2})?\b",
+    "secret": r"(?<![A-Za-z0-9_/+=.@-])(?:(?:AKIA|ghp_|gho_|sk-|xoxb-|xoxp-|AIza)[A-Za-z0-9_-]{16,}+|[A-Za-z0-9_/+-]{32,128}+={0,2})(?![A-Za-z0-9_/+=.@-])",
 }
-# Word lists.
-GIVEN = "John|Mary|James|Anna|Peter|Paul|Maria|Jean|Pierre|Marie|Claire|Luc|Hans|Klaus|Anke|Heidi|Jürgen|Carlos|Juan|José|Ana|Lucía|Carmen".split("|")
+# Word lists and number plans.
+TITLES = "Mr|Mrs|Ms|Dr|Prof|Mme|Mlle|Herr|Frau|Sr|Sra"
+GIVEN = "John|Mary|James|Anna|Peter|Paul|Maria|Jean|Pierre|Marie|Claire|Luc|Hans|Klaus|Anke|Heidi|Jürgen|Carlos|Juan|José|Ana|Lucía|Carmen|Robert|Michael|William|David|Richard|Thomas|Charles|Daniel|Elizabeth|Susan|Sarah|Karen|Nancy|Laura|Emma|Julia|Martin|Andreas|Stefan|Wolfgang|Ursula|Monika|Sabine|François|Philippe|Nicolas|Isabelle|Sophie|Camille|Antonio|Francisco|Manuel|Miguel|Pablo|Isabel|Elena|Rosa".split("|")
+SURNAMES = "Smith|Johnson|Williams|Brown|Jones|Miller|Davis|Wilson|Anderson|Taylor|Moore|Jackson|White|Harris|Clark|Lewis|Walker|Hall|Young|King|Wright|Green|Baker|Adams|Nelson|Carter|Müller|Schmidt|Schneider|Fischer|Weber|Meyer|Wagner|Becker|Schulz|Hoffmann|Koch|Bauer|Richter|Klein|Wolf|Neumann|Schwarz|Martin|Bernard|Dubois|Durand|Leroy|Moreau|Simon|Laurent|Lefebvre|Michel|Garcia|García|Martínez|López|Sánchez|Pérez|Gómez|Fernández|Díaz|Moreno|Romero|Torres|Ruiz|Ramos".split("|")
 NOT_NAMES = "January|February|March|April|May|June|July|August|September|October|November|December|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|Street|Avenue|University".split("|")
-CUES = r"(?i)\b(?:e-?mail|mail|contact|tel|phone|call|fax|mobile|whatsapp|card|visa|iban|account|ssn|social security|ip|host|name|dear|signed|téléphone|courriel|telefon|konto|teléfono|correo|tarjeta|cuenta)\b"
-NOT_CUES = r"(?i)\b(?:version|release|isbn|issn|section|figure|table|chapter|page|order|invoice|item|sku|serial|hash|token|commit)\b"
+DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|io|dev|app|de|fr|es|it|uk|us|eu|ch|at|nl|be|pl|se|no|dk|fi|pt|br|mx|ar|cl|co|ca|au|nz|jp|cn|in|kr|ru"
+NO_DOMAINS = "example|test|invalid|localhost|local"
+LOCAL_NETWORKS = r"^0*(?:0|10|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|^192\.168\.|^169\.254\.|^172\.(?:1[6-9]|2[0-9]|3[01])\."
+ISSUERS = "^(?:4|5[0-9]|2[2-7]|3[0-9]|6011|6[2-5])"
+CALLING_CODES = r"^(?:1|7|20|21[12368]|2[2-6][0-9]|27|29[0189]|3[0-469]|3[578][0-9]|4[013-9]|42[013]|5[1-8]|5[09][0-9]|6[0-6]|6[789][0-9]|8[1246]|85[02356]|88[068]|9[0-58]|9[67][0-9]|99[2-68])"
+TOLL_FREE = "800|833|844|855|866|877|888|900"
+AREAS = "202|203|206|212|213|214|215|216|217|301|303|305|310|312|313|314|315|323|347|404|408|410|412|414|415|416|469|503|504|510|512|514|516|602|604|612|613|614|615|617|619|626|646|650|702|703|704|713|718|773|801|804|808|813|816|818|832|847|858|904|907|914|916|917|919|925|949|954|972"
+VOID_NUMBERS = "078-05-1120|219-09-9999|123-45-6789|111-11-1111|999-99-9999"
+IBAN_COUNTRIES = "AD|AE|AT|BE|BG|BH|BR|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IL|IS|IT|KW|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|QA|RO|SA|SE|SI|SK|SM|TR|UA"
+KEY_PREFIXES = "^(?:AKIA|ghp_|gho_|sk-|xoxb-|xoxp-|AIza)"
+PLACEHOLDERS = "(?i)example|sample|placeholder|your|dummy|test|0{8}|x{8}|12345678"
+CUES = {
+    "email": r"e-?mail|mail|contact|courriel|correo|write to",
+    "ip": r"ip|host|server|address|ssh|ping|login",
+    "card": r"card|visa|mastercard|amex|credit|debit|tarjeta|carte|karte",
+    "phone": r"tel|phone|call|fax|mobile|whatsapp|cell|téléphone|telefon|teléfono",
+    "national_phone": r"tel|phone|call|fax|mobile|whatsapp|cell|téléphone|telefon|teléfono",
+    "name": r"name|dear|signed|sincerely|contact|author|von|por|monsieur|madame",
+    "ssn": r"ssn|social security|tax id|sin",
+    "iban": r"iban|account|bank|konto|cuenta|compte|bic|swift",
+    "secret": r"token|secret|password|passwd|pwd|api[ _-]?key|apikey|access[ _-]?key|credentials?|bearer|auth",
+}
+NOT_CUES = r"(?i)\b(?:version|release|isbn|issn|section|figure|table|chapter|page|order|invoice|item|sku|serial|hash|sha1|sha256|md5|digest|checksum|commit|build)\b"
 
-PATTERNS["name"] = PATTERNS["name"].format(given="|".join(GIVEN))
+PATTERNS["name"] = PATTERNS["name"].format(titles=TITLES, given="|".join(GIVEN))
 
 
 def _column(kind: str, text: Column) -> tuple[Column, Column]:
     """The matches of a kind, and of each piece of text between them: length, end and beginning."""
     pattern = PATTERNS[kind]
-    possible = {"email": text.contains("@"), "phone": text.contains("+"), "name": F.lit(True)}.get(kind, text.rlike("[0-9]"))
+    possible = {"email": text.contains("@"), "phone": text.contains("+"), "name": F.lit(True), "secret": text.rlike("[A-Za-z0-9_/+-]{20}")}.get(kind, text.rlike("[0-9]"))
     piece = lambda s: F.struct(F.length(s).cast("long").alias("n"), F.right(s, F.lit(BEFORE)).alias("tail"), F.left(s, F.lit(AFTER)).alias("head"))
     hits = F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
     pieces = F.when(possible, F.transform(F.split(text, pattern, -1), piece))
@@ -82,6 +111,8 @@ def _blocks(kind: str) -> Column:
     return F.expr(f"if(size({s}) = 0, array(), transform(sequence(0, (size({s}) - 1) div 128), b -> aggregate(slice({s}, b * 128 + 1, 128), 0L, (a, x) -> a + x)))").cast("array<bigint>").alias(f"block_{kind}")
 
 
+_MOD_97 = "aggregate(sequence(1, length(translate(h, ' ', ''))), 0, (a, k) -> if(substr(_turned, k, 1) between '0' and '9', (a * 10 + ascii(substr(_turned, k, 1)) - 48) % 97, (a * 100 + ascii(substr(_turned, k, 1)) - 55) % 97))"
+_MOD_97 = _MOD_97.replace("_turned", "concat(substr(translate(h, ' ', ''), 5), substr(translate(h, ' ', ''), 1, 4))")
 _SHAPE = {  # (worth a vote at all, passes its check), over the matched text h
     "email": ("true", "true"),
     "ip": ("true", r"forall(split(h, '[.]'), p -> length(trim(LEADING '0' FROM p)) < 3 or (length(trim(LEADING '0' FROM p)) = 3 and trim(LEADING '0' FROM p) <= '255'))"),
@@ -90,10 +121,12 @@ _SHAPE = {  # (worth a vote at all, passes its check), over the matched text h
         "aggregate(sequence(1, length(translate(h, ' -', ''))), 0, (a, k) -> a + (ascii(substr(translate(h, ' -', ''), -k, 1)) - 48) * (2 - k % 2) - if(k % 2 = 0 and ascii(substr(translate(h, ' -', ''), -k, 1)) > 52, 9, 0)) % 10 = 0",
     ),
     "phone": ("true", "length(translate(h, '+ ().-', '')) between 10 and 15"),
-    "name": ("true", "cast(null as boolean)"),
-    "national_phone": ("true", "cast(null as boolean)"),
-    "ssn": ("true", "substr(h, 1, 3) not in ('000', '666') and substr(h, 1, 1) <> '9'"),
-    "iban": ("true", "length(translate(h, ' ', '')) between 15 and 34"),
+    "name": ("true", f"if(h rlike '^(?:{TITLES})[. ]', true, cast(null as boolean))"),
+    "national_phone": ("true", "regexp_replace(h, '[^0-9]', '') rlike '^[2-9](?!11)[0-9]{2}[2-9](?!11)[0-9]{6}$'"),
+    "ssn": ("true", "substr(h, 1, 3) not in ('000', '666') and substr(h, 1, 1) <> '9' and substr(h, 5, 2) <> '00' and substr(h, 8, 4) <> '0000'"),
+    "iban": ("length(translate(h, ' ', '')) between 15 and 34", f"{_MOD_97} = 1"),
+    # letters and digits by turns; one case and a usual length is a digest as likely as a key
+    "secret": ("h rlike '[0-9]' and h rlike '[A-Za-z]'", "case when h rlike '^[A-Za-z]+[0-9]{0,4}$' or h rlike '(.)\\\\1{7}' or h rlike '/.*/' then false when h rlike '[a-z]' and h rlike '[A-Z]' then true end"),
 }
 
 
@@ -107,13 +140,29 @@ def _spans(kind: str) -> Column:
 
 def _voted(s: Column) -> Column:
     """A candidate with the votes of the labelers and the features of the classifier."""
-    yes, no = F.lit(1), F.lit(0)
-    in_list = lambda words: s["text"].rlike(r"\b(?:" + "|".join(words) + r")\b")
-    around = F.concat_ws(" ", s["before"], s["after"])
+    yes, no, around = F.lit(1), F.lit(0), F.concat_ws(" ", s["before"], s["after"])
+    of = lambda kind: s["kind"] == kind
+    text, any_of = s["text"], lambda words: r"\b(?:" + "|".join(words) + r")\b"
+    number = F.regexp_replace(text, "[^0-9]", "")
+    listed = (
+        F.when(of("email"), F.when(text.rlike(rf"(?i)[.](?:{NO_DOMAINS})$|@(?:{NO_DOMAINS})[.]"), no).when(text.rlike(rf"(?i)[.](?:{DOMAINS})$"), yes))
+        .when(of("ip"), F.when(text.rlike(LOCAL_NETWORKS), no).otherwise(yes))
+        .when(of("card"), F.when(number.rlike(ISSUERS), yes).otherwise(no))
+        .when(of("phone"), F.when(number.rlike(CALLING_CODES), yes).otherwise(no))
+        .when(of("name"), F.when(text.rlike(any_of(NOT_NAMES)), no).when(F.regexp_replace(text, r"^\S+ ", "").rlike(any_of([*GIVEN, *SURNAMES])), yes))
+        .when(of("national_phone"), F.when(number.rlike(f"^(?:{TOLL_FREE})"), no).when(number.rlike(f"^(?:{AREAS})"), yes))
+        .when(of("ssn"), F.when(text.isin(*VOID_NUMBERS.split("|")), no).when(text < "773", yes).otherwise(no))
+        .when(of("iban"), F.when(text.rlike(f"^(?:{IBAN_COUNTRIES})"), yes).otherwise(no))
+        .when(of("secret"), F.when(text.rlike(PLACEHOLDERS), no).when(text.rlike(KEY_PREFIXES), yes))
+    )
+    own = F.lit(None).cast("boolean")
+    for kind, cues in CUES.items():
+        own = F.when(of(kind), around.rlike(rf"(?i)\b(?:{cues})\b")).otherwise(own)
+    others = around.rlike(r"(?i)\b(?:" + "|".join(dict.fromkeys("|".join(CUES.values()).split("|"))) + r")\b")
     votes = {
         "v_regex": F.when(s["passes"], yes).when(~s["passes"], no),
-        "v_gazetteer": F.when(s["kind"] == "name", F.when(in_list(NOT_NAMES), no).when(in_list(GIVEN), yes)).when((s["kind"] == "ip") & s["text"].rlike(r"^(?:0|10|127|255)\.|^192\.168\.|^169\.254\."), no),
-        "v_context": F.when(around.rlike(NOT_CUES), no).when(around.rlike(CUES), yes),
+        "v_gazetteer": listed,
+        "v_context": F.when(own, yes).when(around.rlike(NOT_CUES) | others, no),
     }
     digits = F.length(F.regexp_replace(s["text"], "[^0-9]", ""))
     side = lambda c: F.when(c == "", "none").when(c.rlike(r"\s"), "blank").when(c.rlike("[0-9]"), "digit").when(c.rlike(r"\p{L}"), "letter").otherwise("other")
@@ -208,9 +257,21 @@ def find(docs: DataFrame) -> DataFrame:
     plain = lambda s: F.struct(s["start"].alias("start"), order(s).alias("nth"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text"))
     table_ = _map(weights or {"": 0.0})
     score = lambda s: F.aggregate(s["features"], F.lit(bias), lambda a, f: a + F.coalesce(F.try_element_at(table_, f), F.lit(0.0)))
-    added = F.filter("candidates", lambda s: ~s["base"] & (score(s) >= 0) & ~F.exists(F.filter("candidates", lambda b: b["base"]), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    base = F.filter("candidates", lambda s: s["base"])
-    return found.select("doc_id", F.array_sort(F.transform(base, plain)).alias("base"), F.array_sort(F.transform(F.concat(base, added), plain)).alias("spans"))
+    ranges = lambda kind: F.transform(F.filter("candidates", lambda b: b["base"] & (b["kind"] == kind)), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))).alias(f"base_{kind}")
+    found = _barrier(found, ["doc_id", "candidates"], [F.filter("candidates", lambda s: s["base"]).alias("plain"), *map(ranges, BASE)])
+    free = lambda s: ~reduce(Column.__or__, (_overlaps(s, F.col(f"base_{kind}")) for kind in BASE))
+    added = F.filter("candidates", lambda s: F.when(~s["base"] & (score(s) >= 0), free(s)).otherwise(False))
+    return found.select("doc_id", F.array_sort(F.transform("plain", plain)).alias("base"), F.array_sort(F.transform(F.concat("plain", added), plain)).alias("spans"))
+
+
+def _overlaps(s: Column, ranges: Column) -> Column:
+    """Whether a span overlaps one of some ranges that are in order and apart, by a binary search for the last that begins before its end."""
+    def step(at: Column, bit: Column) -> Column:
+        to = at + F.call_function("shiftleft", F.lit(1), bit)
+        return F.when((to <= F.size(ranges)) & (ranges[to - 1]["start"] < s["end"]), to).otherwise(at)
+
+    last = F.aggregate(F.sequence(F.lit(24), F.lit(0), F.lit(-1)), F.lit(0), step)
+    return F.when(F.size(ranges) > 0, F.coalesce(F.try_element_at(ranges, F.nullif(last, F.lit(0)))["end"] > s["start"], F.lit(False))).otherwise(False)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
