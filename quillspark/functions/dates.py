@@ -20,7 +20,29 @@ def years(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"\b\d{3,4}\b"), F.lit(0)), lambda y: y.cast("int"))
 
 
+def year_range(text: Column) -> Column:
+    """`1616-1683`, `c. 280–367` or a single year as a struct of first and last; null without a year."""
+    found = years(text)
+    return F.when(F.size(found) > 0, F.struct(F.array_min(found).alias("first"), F.array_max(found).alias("last")))
+
+
+def iso(ts: Column) -> Column:
+    """A time as ISO 8601 text to the millisecond, as stored records have it."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS")
+
+
+def from_iso(text: Column) -> Column:
+    """ISO 8601 text, with or without fraction, zone or time of day, as a time; null for anything else."""
+    return F.coalesce(*(F.try_to_timestamp(text, F.lit(p)) for p in ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS][XXX]", "yyyy-MM-dd")))
+
+
 def version_key(version: Column) -> Column:
-    """Numeric parts of a dotted version, padded to four: compare these, never the text."""
-    parts = F.transform(F.split(version, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
-    return F.slice(F.concat(parts, F.array_repeat(F.lit(0), 4)), 1, 4)
+    """A version as a struct of numeric parts and build, which compares as versions do; null for anything that is none.
+
+    A leading v is dropped, the build stands behind a plus, and closing zeros do not count, so 2026.8
+    and 2026.8.0 are one version.
+    """
+    text = F.regexp_replace(F.trim(version), "^[vV]", "")
+    name, build = F.element_at(F.split(text, r"\+", 2), 1), F.regexp_extract(text, r"\+\s*(\d+)\s*$", 1)
+    parts = F.transform(F.split(F.regexp_replace(name, r"(?:\.\s*0+\s*)+$", ""), r"\."), lambda p: F.trim(p).cast("int"))
+    return F.when(name.rlike(r"^\s*\d{1,9}\s*(?:\.\s*\d{1,9}\s*)*$"), F.struct(parts.alias("parts"), F.coalesce(F.nullif(build, F.lit("")).cast("int"), F.lit(0)).alias("build")))

@@ -6,11 +6,13 @@ import bisect
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-TARGET, MOST, OVERLAP, PER_UNIT = 1200, 1800, 200, 1000
+TARGET, MOST, OVERLAP, PER_UNIT, FAR = 1200, 1800, 200, 1000, 10_000_000
 _PARAGRAPH, _SENTENCE = re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?])\s+")
 
 
@@ -44,9 +46,12 @@ def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def chunk(units: DataFrame) -> DataFrame:
-    """chunk_id, unit_id, seq, char_start, char_end. A unit of PER_UNIT chunks or more would run into the next one's ids: its chunk_id is null."""
-    found = units.select("unit_id", "content").mapInPandas(_explode, "unit_id long, seq int, char_start int, char_end int")
-    return found.withColumn("chunk_id", F.when(F.col("seq") < PER_UNIT, F.col("unit_id") * PER_UNIT + F.col("seq")))
+    """chunk_id, unit_id, seq, char_start, char_end. Ids are unit_id * PER_UNIT + seq; from a unit's chunk PER_UNIT on,
+    which would have the next unit's ids, they are -(unit_id * FAR + seq), so every id is there once."""
+    long = units.select("unit_id", "content").where(F.length("content") > MOST).mapInPandas(_explode, "unit_id long, seq int, char_start int, char_end int")
+    whole = units.where(F.coalesce(F.length("content"), F.lit(0)) <= MOST).select(F.col("unit_id").cast("long").alias("unit_id"), F.lit(0).alias("seq"), F.lit(0).alias("char_start"), F.coalesce(F.length("content"), F.lit(0)).alias("char_end"))
+    near, far = F.col("unit_id") * PER_UNIT + F.col("seq"), -(F.col("unit_id") * FAR + F.col("seq"))
+    return whole.unionByName(long).withColumn("chunk_id", F.when(F.col("seq") < PER_UNIT, near).otherwise(far))
 
 
 def slices(chunks: DataFrame, units: DataFrame) -> DataFrame:
@@ -63,13 +68,21 @@ def best(pieces: DataFrame, terms: list[str]) -> DataFrame:
 def packed(rows: DataFrame, group: str, order: list[str], size: str, target: int) -> DataFrame:
     """Rows of a group in order, packed into parts: a part ends when its sizes reach the target.
 
-    Sums that start anew are a fold, not a window; a group's sizes are one array of numbers.
+    Sums that start anew are a loop over a group's sizes, one number a row; texts stay where they are.
     """
-    each = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).alias("__size")))).alias("r"))
-    step = lambda a, x: F.struct(F.when(a["sum"] + x["__size"] >= target, 0).otherwise(a["sum"] + x["__size"]).cast("long").alias("sum"), F.when(a["sum"] + x["__size"] >= target, a["part"] + 1).otherwise(a["part"]).alias("part"), F.concat(a["out"], F.array(a["part"])).alias("out"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("part"), F.array().cast("array<int>").alias("out"))
-    parts = F.aggregate("r", start, step, lambda a: a["out"])
-    return each.select(group, "r", parts.alias("part")).select(group, F.inline(F.arrays_zip("r", "part"))).select(group, *(f"r.{c}" for c in order), "part")
+    own = rows.select(group, *order, F.col(size).cast("long").alias("__size"))
+    schema = StructType([*(own.schema[c] for c in (group, *order)), StructField("part", IntegerType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        ends = np.cumsum(pdf["__size"].to_numpy())
+        parts, at, done, part = np.zeros(len(ends), np.int32), 0, 0, 0
+        while at < len(ends):
+            to = min(int(np.searchsorted(ends, done + target)) + 1, len(ends))
+            parts[at:to], at, done, part = part, to, ends[to - 1], part + 1
+        return pdf[[group, *order]].assign(part=parts)
+
+    return own.groupBy(group).applyInPandas(run, schema)
 
 
 def ordinal(rows: DataFrame, group: str, order: list[str]) -> DataFrame:

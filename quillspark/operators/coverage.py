@@ -1,7 +1,7 @@
 """Which collections that a reader does not have would help with a question.
 
 All matches are equi-joins of word runs, so catalogues and question tables of any size work: names
-and aliases against the question's runs of one to four words, titles by three significant words in a
+and aliases against the question's runs of as many words as the longest name has, titles by three significant words in a
 row, subjects by tag.
 """
 
@@ -24,6 +24,8 @@ TRADITION_NAMES = {
     "Catholic": ["catholic", "catholics", "catholicism"],
     "Eastern Orthodox": ["eastern orthodox", "orthodoxy"],
 }
+#: Words of the longest of these.
+ALIAS_WORDS = max(len(a.split()) for names in TRADITION_NAMES.values() for a in names)
 COMMON_NAMES = ("john", "gregory", "clement", "the", "of", "saint")
 
 
@@ -31,7 +33,7 @@ def significant(text: Column) -> Column:
     return F.filter(T.words(text), lambda w: (F.length(w) > 2) & ~w.isin(*T.FILLER))
 
 
-def runs(text: Column, most: int = 4) -> Column:
+def runs(text: Column, most: int) -> Column:
     """All runs of one to `most` words of a text."""
     return T.bound(T.words(text), lambda w: F.array_distinct(F.flatten(F.array(*(T.ngrams(w, n) for n in range(1, most + 1))))))
 
@@ -56,8 +58,10 @@ def suggest(questions: DataFrame, contents: DataFrame, members: DataFrame, held:
     have = contents.join(held.select("fragment"), "fragment", "left_semi").select("kind", "value").distinct()
     of = members.join(missing, "collection").join(contents, "fragment").select("collection", "kind", "value").distinct()
     new = of.join(have, ["kind", "value"], "left_anti")
-    said = questions.select("qid", F.explode(runs(F.col("text"))).alias("run"))
-    authors = new.where("kind = 'author'").select("collection", "value", F.explode(name_forms(F.col("value"))).alias("run")).join(said, "run")
+    forms = new.where("kind = 'author'").select("collection", "value", F.explode(name_forms(F.col("value"))).alias("run"))
+    longest = max(forms.agg(F.max(F.size(F.split("run", " ")))).first()[0] or 1, ALIAS_WORDS)
+    said = questions.select("qid", F.explode(runs(F.col("text"), longest)).alias("run"))
+    authors = forms.join(said, "run")
     thirds = questions.select("qid", F.explode(F.array_distinct(T.ngrams(significant(F.col("text")), 3))).alias("run"))
     works = new.where("kind = 'title'").select("collection", "value", F.explode(F.array_distinct(T.ngrams(significant(F.col("value")), 3))).alias("run")).join(thirds, "run")
     aliases = questions.sparkSession.createDataFrame([(k, a) for k, names in TRADITION_NAMES.items() for a in names], "value string, run string")

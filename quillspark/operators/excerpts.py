@@ -2,56 +2,49 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
+from ..functions import text as T
 from .library import openings
 
-LENGTH, FLOORS, SENTENCE_SHARE = 400, (80, 60), 0.6
-_HEADING = re.compile(r"^(?:BY|By|Translated|Edited|PREFACE|CONTENTS)\b")
-
-
-def _display(text: str) -> bool:
-    letters = [c for c in text if c.isalpha()]
-    if not letters or sum(c.isupper() for c in letters) > len(letters) / 2:
-        return True
-    rows = [r for r in text.splitlines() if r.strip()]
-    return len(rows) > 1 and sum(len(r) < 45 for r in rows) > 0.7 * len(rows) or len(text) < 120 and bool(_HEADING.match(text))
+#: An excerpt's length; the least length of a paragraph, and of a whole unit where no paragraph will do.
+LENGTH, PARAGRAPH, WHOLE = 400, 80, 60
+#: A sentence end counts from here on.
+SENTENCE_FROM = 241
+# How front matter begins.
+FRONT = r"^(?:BY|By|Translated|Edited|PREFACE|CONTENTS)\b"
+APPARATUS = r"^(?:The following are the contents|Contents of|[A-Z][A-Za-z.'\- ]+,\s*(?:D\.D\.|M\.A\.|LL\.D\.|Ph\.D\.|B\.D\.)[,.]?\s)"
 
 
-def _shortened(text: str) -> str:
-    if len(text) <= LENGTH:
-        return text
-    head = text[:LENGTH]
-    stop = max(head.rfind(mark) for mark in (". ", "? ", "! "))
-    return head[: stop + 1] if stop > SENTENCE_SHARE * LENGTH else head[: head.rfind(" ")].rstrip(",;:") + "…"
+def front_matter(text: Column) -> Column:
+    """Title pages, bylines and the like, in text whose white space is squeezed: more capitals than other letters, or a beginning that prose does not have."""
+    capitals, letters = F.regexp_count(text, F.lit(r"\p{Lu}")), F.regexp_count(text, F.lit(r"\p{L}"))
+    return (2 * capitals > letters) | (letters == 0) | text.rlike(APPARATUS) | text.rlike("(?i)\\btranscriber") | ((F.length(text) < 120) & text.rlike(FRONT))
 
 
-def excerpt(units: list[str]) -> str:
-    """The first prose of a work's opening units: paragraphs first, then whole units for works in verse; empty if there is none."""
-    flat = [" ".join(u.split()) for u in units]
-    parts = [p for u, f in zip(units, flat) for p in ([f] if len(f) <= LENGTH else re.split(r"\n\s*\n", u))]
-    for floor, candidates in zip(FLOORS, (parts, flat)):
-        for c in candidates:
-            c = re.sub(r"^\[[^\]]{1,12}\]\s*", "", " ".join(c.split()))
-            if len(c) >= floor and not _display(c):
-                return _shortened(c)
-    return ""
+def shortened(text: Column) -> Column:
+    """At most LENGTH characters: up to the last sentence end if that lies beyond SENTENCE_FROM, else up to the last word and an ellipsis."""
+    head = F.left(text, F.lit(LENGTH))
+    sentences, words = F.regexp_extract(head, r"(?s)^(.*[.?!]) ", 1), F.regexp_extract(head, "(?s)^(.*) ", 1)
+    cut = F.when(F.length(sentences) > SENTENCE_FROM, sentences).otherwise(F.concat(F.regexp_replace(F.when(words == "", head).otherwise(words), "[,;:]+$", ""), F.lit("…")))
+    return F.when(F.length(text) <= LENGTH, text).otherwise(cut)
 
 
-@F.pandas_udf(StringType())
-def _excerpts(openings_: pd.Series) -> pd.Series:
-    return openings_.map(lambda units: excerpt(list(units)))
+def _first_prose(passages: Column, least: int) -> Column:
+    """The first of some passages that is prose, without an editor's label in brackets; null if none is."""
+    bare = F.transform(passages, lambda p: F.regexp_replace(T.squeeze(p), r"^\[[^\]]{1,12}\]\s*", ""))
+    return F.get(F.filter(bare, lambda p: (F.length(p) >= least) & ~front_matter(p)), F.lit(0))
 
 
 def excerpts(units: DataFrame, n: int = 3) -> DataFrame:
-    """source and excerpt, from the first n units of each work."""
-    few = openings(units, n).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "content"))), lambda x: x["content"]).alias("own"))
-    return few.select("source", _excerpts("own").alias("excerpt"))
+    """source and excerpt, from the first n units of each work: its first prose paragraph, a short unit counting as one; for
+    works in verse, whose lines are too short, the first unit that is prose as a whole; empty if there is none."""
+    flat = T.squeeze(F.col("content"))
+    passages = F.when(F.length(flat) <= LENGTH, F.array(flat)).otherwise(F.split("content", r"\n\s*\n"))
+    found = openings(units, n).select("source", "place", _first_prose(passages, PARAGRAPH).alias("paragraph"), _first_prose(F.array(flat), WHOLE).alias("unit"))
+    earliest = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place")))
+    return found.groupBy("source").agg(F.coalesce(shortened(earliest("paragraph")), shortened(earliest("unit")), F.lit("")).alias("excerpt"))
 
 
 def tiers(models: DataFrame, budget: int) -> DataFrame:

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SEARCH_STOPWORDS, bound, words
+from ..functions.text import SEARCH_STOPWORDS, words
+from ..sources.store import stored
 
 K1, B = 1.2, 0.75
 
@@ -22,18 +23,29 @@ def match_expression(question: str) -> str:
     return " OR ".join(f"{t}*" for t in query_terms(question))
 
 
+def _counted(units: DataFrame, terms: list[str]) -> DataFrame:
+    """unit_id, source, tradition, dl and tf, an array of counts in order of the terms.
+
+    One regular expression finds the terms at beginnings of tokens, the longest first, so a text is
+    scanned once however many terms there are; a term counts what was found of it and of longer ones.
+    """
+    text = F.lower(F.concat_ws(" ", "content", "title"))
+    usable = sorted((t for t in terms if re.fullmatch("[a-z0-9]+", t)), key=lambda t: (-len(t), t))
+    hits = F.regexp_extract_all(text, F.lit(rf"(?<![a-z0-9])(?:{'|'.join(usable)})"), F.lit(0)) if usable else F.array().cast("array<string>")
+    rows = units.select("unit_id", "source", "tradition", F.regexp_count(text, F.lit("[a-z0-9]+")).alias("dl"), hits.alias("hits"))
+    of = lambda t: F.size(F.filter("hits", lambda h: h.isin(*(x for x in usable if x.startswith(t))) if t in usable else F.lit(False)))
+    return rows.select("unit_id", "source", "tradition", "dl", F.array(*map(of, terms)).cast("array<int>").alias("tf"))
+
+
 def bm25(units: DataFrame, questions: list[tuple[int, str]]) -> DataFrame:
-    """qid, unit_id, score of every unit that holds a token that starts with a term of the question.
+    """qid, unit_id, source, tradition, score of every unit that holds a token that starts with a term of the question.
 
-    Terms of all questions are counted within each row, so the corpus is read twice (for the
-    statistics, then for the scores) and never shuffled; only sums leave the tasks.
+    Terms of all questions are counted within each row in one pass over the texts; the counts, a few
+    numbers for each unit, are stored, and statistics and scores come from them. Nothing is shuffled.
     """
     asked = [(qid, query_terms(text)) for qid, text in questions]
     terms = sorted({t for _, own in asked for t in own})
-    tokens = words(F.concat_ws(" ", "content", "title"))
-    counted = units.select("unit_id", "source", "tradition", tokens.alias("tokens"))
-    tf = bound(F.col("tokens"), lambda own: F.struct(F.size(own).alias("dl"), F.transform(F.array(*map(F.lit, terms)), lambda t: F.size(F.filter(own, lambda x: F.startswith(x, t)))).alias("tf")))
-    counted = counted.select("unit_id", "source", "tradition", tf.alias("c")).select("unit_id", "source", "tradition", "c.dl", "c.tf")
+    counted = stored(_counted(units, terms), "bm25-counts")
     if not terms:
         return counted.limit(0).select(F.lit(0).alias("qid"), "unit_id", "source", "tradition", F.lit(0.0).alias("score"))
     totals = counted.agg(F.count("*"), F.avg("dl"), *(F.count_if(F.col("tf")[k] > 0) for k in range(len(terms)))).first()
@@ -61,6 +73,16 @@ def postings(units: DataFrame) -> DataFrame:
     return units.select("unit_id", F.explode(words(F.concat_ws(" ", "content", "title"))).alias("token")).groupBy("token", "unit_id").agg(F.count("*").cast("int").alias("tf"))
 
 
+def without_units(index: DataFrame, ids: DataFrame) -> DataFrame:
+    """The index without some units (unit_id)."""
+    return index.join(ids.select("unit_id").distinct(), "unit_id", "left_anti")
+
+
+def with_units(index: DataFrame, units: DataFrame) -> DataFrame:
+    """The index with some units, in place of what it had of them; only their texts are read."""
+    return without_units(index, units).unionByName(postings(units))
+
+
 def dictionary(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import stored
 
 
 def stats(units: DataFrame) -> DataFrame:
@@ -66,10 +67,25 @@ def stems(units: DataFrame, at_least: int = 30, share: float = 0.5) -> DataFrame
 
 
 def slugs(rows: DataFrame, key: str, label: Column) -> DataFrame:
-    """key and slug: equal slugs get -2, -3, ... in order of the key; a suffix that another slug has is not looked for."""
+    """key and slug: in order of the key each row takes its slug, or the first of slug-2, slug-3, ... that no row before it has.
+
+    Rows start with their number among equal slugs. Where two rows want one slug (a third `a` and a
+    row called `a-3`), the smaller key has it; the other moves on by one, and with it the rows behind
+    it whose numbers follow without a gap. Rounds end when all slugs differ.
+    """
     base = rows.select(key, T.slug(label).alias("base"))
-    nth = F.row_number().over(Window.partitionBy("base").orderBy(key))
-    return base.withColumn("nth", nth).select(key, F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("nth").cast("string"))).alias("slug"))
+    held = stored(base.withColumn("nth", F.row_number().over(Window.partitionBy("base").orderBy(key))).withColumn("n", F.col("nth")), "slugs")
+    name = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("n").cast("string")))
+    while True:
+        named = held.withColumn("slug", name)
+        # only slugs that several bases want
+        wanted = named.groupBy("slug").agg(F.count("*").alias("rows"), F.min(key).alias("first")).where("rows > 1")
+        losers = named.join(wanted, "slug").where(F.col(key) != F.col("first")).groupBy("base").agg(F.min(F.struct("n", (F.col("n") - F.col("nth")).alias("gap"))).alias("from"))
+        losers = stored(losers.select("base", F.col("from.n").alias("__n"), F.col("from.gap").alias("__gap")), "slugs-moved")
+        if losers.isEmpty():
+            return named.select(key, "slug")
+        moved = (F.col("n") >= F.col("__n")) & (F.col("n") - F.col("nth") == F.col("__gap"))
+        held = stored(held.join(losers, "base", "left").select(key, "base", "nth", F.when(moved, F.col("n") + 1).otherwise(F.col("n")).alias("n")), "slugs")
 
 
 def numbered(rows: DataFrame, after: int, group: str, order: list[str]) -> DataFrame:
@@ -92,9 +108,51 @@ def thread_title(text: Column) -> Column:
     return F.when(F.length(line) > 80, F.concat(F.rtrim(F.left(line, F.lit(80))), F.lit("…"))).otherwise(line)
 
 
+# How parts of a provenance note begin.
+NOTE_LABELS = {"translator": "Translated by ", "edition": "Print basis: ", "rights": "Rights: ", "source": "Ingested from ", "corroboration": "Corroborated against "}
+SERIES = r"^(?:Ante-Nicene|Nicene and Post-Nicene) Fathers"
+OPEN_RIGHTS = "Public-domain translation,"
+
+
 def parse_notes(notes: Column) -> Column:
-    """Labelled parts of a provenance note, which bars separate."""
-    parts = F.transform(F.split(notes, r"\|"), T.squeeze)
-    after = lambda label: F.regexp_replace(F.element_at(F.filter(parts, lambda p: F.startswith(p, F.lit(label))), -1), f"^{label}", "")
-    found = lambda label: F.when(F.exists(parts, lambda p: F.startswith(p, F.lit(label))), after(label))
-    return F.struct(found("Translated by ").alias("translator"), found("Print basis: ").alias("edition"), found("Rights: ").alias("rights"), found("Ingested from ").alias("source"), found("Corroborated against ").alias("corroboration"))
+    """The parts of a provenance note, which bars separate, as a struct; what has no label is in `extra`.
+
+    Of parts with the same label the last counts. A series' name is an edition as well, and the later
+    of the two kinds stays; a public-domain translation is the rights if none stood before it.
+    """
+    parts = F.filter(F.transform(F.split(F.coalesce(notes, F.lit("")), r"\|"), T.squeeze), lambda p: p != "")
+    begins = lambda p, label: F.startswith(p, F.lit(label))
+    last = lambda found: F.get(F.reverse(found), F.lit(0))
+    after = lambda label: last(F.transform(F.filter(parts, lambda p: begins(p, label)), lambda p: F.trim(F.substring(p, len(label) + 1, 1 << 30))))
+    fields = {name: after(label) for name, label in NOTE_LABELS.items()}
+    basis = NOTE_LABELS["edition"]
+    editions = F.filter(parts, lambda p: begins(p, basis) | p.rlike(SERIES))
+    fields["edition"] = last(F.transform(editions, lambda p: F.when(begins(p, basis), F.trim(F.substring(p, len(basis) + 1, 1 << 30))).otherwise(F.regexp_replace(p, r"\s+,", ","))))
+    rights = F.filter(parts, lambda p: begins(p, NOTE_LABELS["rights"]) | begins(p, OPEN_RIGHTS))
+    fields["rights"] = F.coalesce(fields["rights"], F.get(rights, F.lit(0)))
+    known = lambda p: p.rlike(SERIES) | begins(p, OPEN_RIGHTS) | F.exists(F.array(*map(F.lit, NOTE_LABELS.values())), lambda label: F.startswith(p, label))
+    return F.struct(*(c.alias(name) for name, c in fields.items()), F.filter(parts, lambda p: ~known(p)).alias("extra"))
+
+
+def listing(works: DataFrame, *by: str) -> DataFrame:
+    """Works in order of some columns, those without a value last in each."""
+    return works.orderBy(*(F.col(c).asc_nulls_last() for c in by))
+
+
+def of_dimension(works: DataFrame, column: str, value) -> DataFrame:
+    """Works of one tradition or type by their date as text, undated ones first."""
+    return works.where(F.col(column) == value).orderBy(F.col("date_composed").asc_nulls_first())
+
+
+#: What a citation keeps of a passage.
+CITATION = "contentId bigint, source string, author string, tradition string, sourceUrl string"
+
+
+def citation_json(unit_id: Column, source: Column, author: Column, tradition: Column, url: Column) -> Column:
+    """A citation as JSON; fields without a value are null in it."""
+    return F.to_json(F.struct(unit_id.cast("long").alias("contentId"), source.alias("source"), author.alias("author"), tradition.alias("tradition"), url.alias("sourceUrl")), {"ignoreNullFields": "false"})
+
+
+def citation_of(json: Column) -> Column:
+    """The citation in a JSON text, a struct of nulls for anything else."""
+    return F.from_json(json, CITATION)

@@ -21,8 +21,8 @@ def author_tokens(sources: DataFrame) -> DataFrame:
 
 
 def source_tokens(sources: DataFrame) -> DataFrame:
-    """token, source, how many tokens the title has and how many works have the token."""
-    each = sources.select("source", tokens(F.col("title")).alias("own")).select("source", F.size("own").alias("total"), F.explode("own").alias("token"))
+    """token, source, how many tokens title and author have together and how many works have the token."""
+    each = sources.select("source", tokens(F.concat_ws(" ", "title", "author")).alias("own")).select("source", F.size("own").alias("total"), F.explode("own").alias("token"))
     return each.join(each.groupBy("token").agg(F.count("*").alias("works")), "token")
 
 

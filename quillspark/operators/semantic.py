@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,18 +53,17 @@ def appended(first: DataFrame, second: DataFrame) -> DataFrame:
 def _choose(limit: int, of_source: int, of_tradition: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rank")
-        used, taken, waiting = {}, [], []
-        for at, source, tradition in zip(rows.index, rows["source"], rows["tradition"]):
-            keys = ("s", source), ("t", tradition)
-            if len(taken) < limit and used.get(keys[0], 0) < of_source and used.get(keys[1], 0) < of_tradition:
-                taken.append(at)
-                for key in keys:
-                    used[key] = used.get(key, 0) + 1
-            else:
-                waiting.append(at)
-        out = rows.loc[(taken + waiting)[:limit]].copy()
-        out["place"] = range(1, len(out) + 1)
-        return out[["qid", "unit_id", "source", "tradition", "place"]]
+        left = {"source": defaultdict(lambda: of_source), "tradition": defaultdict(lambda: of_tradition)}
+        passed_over = np.ones(len(rows), dtype=bool)
+        for at, (source, tradition) in enumerate(zip(rows["source"].astype(object).where(rows["source"].notna(), None), rows["tradition"].astype(object).where(rows["tradition"].notna(), None))):
+            if left["source"][source] and left["tradition"][tradition]:
+                left["source"][source] -= 1
+                left["tradition"][tradition] -= 1
+                passed_over[at] = False
+                if (~passed_over).sum() == limit:
+                    break
+        out = rows.iloc[np.argsort(passed_over, kind="stable")[:limit]]
+        return out[["qid", "unit_id", "source", "tradition"]].assign(place=np.arange(1, len(out) + 1, dtype=np.int32))
 
     return run
 
@@ -70,12 +71,15 @@ def _choose(limit: int, of_source: int, of_tradition: int):
 def diversify(ranked: DataFrame, limit: int, of_source: int = 2, of_tradition: int | None = None) -> DataFrame:
     """Takes rows in rank order under quotas of source and tradition, then fills up with those passed over.
 
-    A row that one quota turns away must not count for the other, so this is a loop over the few
-    ranked rows of a question (at most four times the limit), not a pair of windows.
+    A row that one quota turns away must not count for the other, so this is a loop over a question's
+    rows. It needs few of them: of a source and tradition only the first of_source rows can be taken,
+    as neither quota opens again, and the rows that fill up are among the first 2 * limit.
     """
-    cap = of_tradition or math.ceil(limit / 2)
-    few = ranked.where(F.col("rank") <= 4 * limit).select("qid", "unit_id", "source", "tradition", "rank")
-    return few.groupBy("qid").applyInPandas(_choose(limit, of_source, cap), "qid int, unit_id long, source string, tradition string, place int")
+    own = Window.partitionBy("qid", "source", "tradition").orderBy("rank")
+    rows = ranked.select("qid", "unit_id", "source", "tradition", "rank").withColumn("__nth", F.row_number().over(own))
+    whole = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
+    few = rows.withColumn("__place", whole).where((F.col("__nth") <= of_source) | (F.col("__place") <= 2 * limit)).drop("__nth", "__place")
+    return few.groupBy("qid").applyInPandas(_choose(limit, of_source, of_tradition or math.ceil(limit / 2)), "qid int, unit_id long, source string, tradition string, place int")
 
 
 def _voiced(limit: int):

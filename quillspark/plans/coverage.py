@@ -42,11 +42,14 @@ def shingle_counts(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.size(F.array_distinct(T.ngrams(T.words(F.col("text")), 8))).alias("n"))
 
 
+_FOOTER = """concat('Text. Translated by S.', CASE WHEN c_custkey % 2 = 0 THEN 'D.F. ' ELSE ' ' END, initcap(c_mktsegment), CASE c_custkey % 3 WHEN 0 THEN concat('. From Fathers, Vol. ', CAST(c_custkey % 9 AS STRING), '. Edited by P. Schaff. (Buffalo, ', CAST(1700 + c_custkey % 200 AS STRING), '.)') WHEN 1 THEN '. Revised by K. Knight.' ELSE '.' END)"""
+_PLURAL = "concat('On Letters and ', element_at(array('Orations', 'Lectures', 'Treatises', 'Conferences', 'things', 'Hymns'), CAST(c_custkey % 6 + 1 AS INT)), ' of Men')"
+
+
 def footers(spark, sf):
     c = table(spark, sf, "customer")
-    note = F.concat(F.lit("Text. Translated by "), F.col("c_name"), F.lit(". From "), F.col("c_mktsegment"), F.lit(", Vol. "), F.col("c_custkey") % 9, F.lit(". Buffalo, "), 1700 + F.col("c_custkey") % 200, F.lit("."))
-    p = T.provenance_footer(note)
-    return c.select("c_custkey", p["translator"].alias("translator"), p["year"].alias("year"), T.part_noun(F.when(F.col("c_custkey") % 2 == 0, "Letters and Homilies").otherwise(F.col("c_name"))).alias("noun"), T.reference_apparatus(F.concat(F.lit("see http://x.org/"), F.col("c_name"))).alias("links"))
+    p = T.provenance_footer(F.expr(_FOOTER))
+    return c.select("c_custkey", p["translator"].alias("translator"), p["edition"].alias("edition"), p["year"].alias("year"), T.part_noun(F.expr(_PLURAL)).alias("noun"), T.reference_apparatus(F.concat(F.lit("see http://x.org/"), F.col("c_name"))).alias("links"))
 
 
 def first_lines(spark, sf):
@@ -62,5 +65,7 @@ SQL = {
     "shingle_counts": "SELECT item_id, len(list_distinct(list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(w[i:i + 7], ' '))))::INT AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark)",
     "first_lines": rf"""WITH {UNITS_SQL}, w AS (SELECT unit_id, title, list_filter(string_split_regex(trim(title), '\s+'), lambda x: regexp_matches(x, '\pL')) AS w FROM units)
 SELECT unit_id, len(w) > 0 AND len(w) <= 12 AND NOT regexp_matches(trim(title), '[.!?;,]$') AND len(list_filter(w, lambda x: regexp_matches(x, '^[^\pL]*\p{{Lu}}'))) >= 0.6 * len(w) AS heading FROM w""",
-    "footers": "SELECT c_custkey, c_name AS translator, (1700 + c_custkey % 200)::INT AS year, CASE WHEN c_custkey % 2 = 0 THEN 'Homily' ELSE 'Part' END AS noun, (length(c_name) + 13)::DOUBLE / (length(c_name) + 17) > 0.5 AS links FROM customer",
+    "footers": rf"""WITH t AS (SELECT c_custkey, c_name, {_FOOTER.replace("initcap(c_mktsegment)", "upper(c_mktsegment[1]) || lower(c_mktsegment[2:])").replace("STRING", "VARCHAR")} AS t FROM customer)
+SELECT c_custkey, nullif(regexp_extract(t, 'Translated by (.+?)\.(\s+(From|Edited|Revised)\b|\s*$)', 1), '') AS translator, nullif(regexp_extract(t, 'From (.+?)\.(\s*(Edited|Revised)\b|\s*\(|\s*$)', 1), '') AS edition, try_cast(regexp_extract(t, '\b(1[6-9]\d\d)\b', 1) AS INT) AS year,
+  ['Oration', 'Lecture', 'Treatise', 'Conference', 'Letter', 'Letter'][c_custkey % 6 + 1] AS noun, (length(c_name) + 13)::DOUBLE / (length(c_name) + 17) > 0.5 AS links FROM t""",
 }

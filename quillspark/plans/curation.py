@@ -13,7 +13,7 @@ from .packs import _ASSIGN, fragment_assign
 
 def random_unit(spark, sf):
     """One unit, the same for the same seed."""
-    return units(spark, sf).select("unit_id", "title").orderBy(F.xxhash64("unit_id", F.lit(7)), "unit_id").limit(1)
+    return units(spark, sf).select("unit_id", "title").orderBy(F.md5(F.concat(F.lit("7:"), F.col("unit_id").cast("string"))), "unit_id").limit(1)
 
 
 def _thousands(spark, sf):
@@ -46,10 +46,10 @@ def traceability(spark, sf):
 
 
 def union_first(spark, sf):
-    """Units that two lists found, each once, the first list's row first."""
+    """Units that two lists found, each once, the first list's row first: long units, and all units."""
     u = units(spark, sf)
-    a = u.where("unit_id % 3 = 0").select("unit_id", F.lit(1).alias("list"))
-    return L.first_seen(a.unionByName(u.where("unit_id % 2 = 0").select("unit_id", F.lit(2).alias("list"))), ["unit_id"], ["list"])
+    a = u.where(F.length("content") >= 500).select("unit_id", F.lit(1).alias("list"))
+    return L.first_seen(a.unionByName(u.select("unit_id", F.lit(2).alias("list"))), ["unit_id"], ["list"])
 
 
 def repeated_titles(spark, sf):
@@ -68,6 +68,7 @@ SQL = {
 SELECT count(*) AS n, 'units' AS name FROM own UNION ALL SELECT count(*), 'chunks' FROM c UNION ALL SELECT count(*), 'vectors' FROM c WHERE chunk_id % 3 = 0""",
     "incremental_chunks": f"{_U}, {_CUT} SELECT unit_id, count(*) AS pending FROM cut WHERE chunk_id % 3 <> 0 GROUP BY unit_id",
     "traceability": f"{_U} SELECT length(content) >= 500 AS long, count(*) AS n, count(*) FILTER (source IN ('src4', 'src9')) AS untraceable FROM units GROUP BY ALL",
-    "union_first": f"{_U} SELECT unit_id, CASE WHEN unit_id % 3 = 0 THEN 1 ELSE 2 END AS list FROM units WHERE unit_id % 3 = 0 OR unit_id % 2 = 0",
+    "union_first": f"{_U} SELECT unit_id, CASE WHEN length(content) >= 500 THEN 1 ELSE 2 END AS list FROM units",
+    "random_unit": f"{_U} SELECT unit_id, title FROM units ORDER BY md5('7:' || unit_id), unit_id LIMIT 1",
     "repeated_titles": "SELECT p_partkey, CASE WHEN nth > 1 THEN p_type || ' (' || nth || ')' ELSE p_type END AS title FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS nth FROM part)",
 }

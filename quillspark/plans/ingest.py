@@ -9,6 +9,11 @@ from ..operators import ingest as I
 from ..sources.tables import UNITS_SQL, table, units
 
 
+#: Fields of one or two persons, with dates and roles, in SQL that both engines read.
+_PERSONS = """concat(initcap(c_mktsegment), ', ', 'C', CAST(c_custkey AS STRING), CASE WHEN c_custkey % 2 = 0 THEN concat(' (', CAST(1500 + c_custkey % 300 AS STRING), '-', CAST(1550 + c_custkey % 300 AS STRING), ')') ELSE '' END, CASE WHEN c_custkey % 3 = 0 THEN ' (Alternative) (Translator)' ELSE '' END,
+  CASE WHEN c_custkey % 6 <> 1 AND c_custkey % 6 <> 5 AND c_custkey % 5 < 3 THEN concat(' Second, Person ', CAST(c_nationkey AS STRING), ' (Translator)') ELSE '' END)"""
+
+
 def html_clean(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.length(T.strip_tags(F.col("html"))).alias("n"), F.md5(T.strip_tags(F.col("html"))).alias("md5"))
 
@@ -32,9 +37,19 @@ def hard_splits(spark, sf):
 
 def creators(spark, sf):
     c = table(spark, sf, "customer")
-    text = F.concat(F.col("c_mktsegment"), F.lit(", "), F.col("c_name"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" ("), 1500 + F.col("c_custkey") % 300, F.lit("-"), 1550 + F.col("c_custkey") % 300, F.lit(")"))).otherwise(""), F.when(F.col("c_custkey") % 3 == 0, " (Translator)").otherwise(""))
-    made = I.creator(text)
-    return c.select("c_custkey", made["name"].alias("name"), made["role"].alias("role"), F.coalesce(made["birth"], F.lit(-1)).alias("birth"), F.coalesce(made["death"], F.lit(-1)).alias("death"))
+    made = I.credits(F.expr(_PERSONS))
+    return c.select("c_custkey", made["author"].alias("author"), made["translator"].alias("translator"), F.coalesce(made["birth"], F.lit(-1)).alias("birth"), F.coalesce(made["death"], F.lit(-1)).alias("death"))
+
+
+def plain_clean(spark, sf):
+    """Footnote numbers, italics and rules put into documents and taken out again."""
+    u = units(spark, sf).select("unit_id", T.squeeze(F.col("content")).alias("flat"))
+    marked = F.concat(F.lit("_"), F.lit("Title"), F.lit("_[12] is =bold=\n-----\n"), F.regexp_replace("flat", "[_=\\[\\]{}*-]", ""))
+    return u.select("unit_id", F.md5(I.clean_plain(marked)).alias("md5"))
+
+
+def parse_summary(spark, sf):
+    return I.summaries(units(spark, sf).select("tradition", F.col("source").alias("work"), "content"))
 
 
 def token_repair(spark, sf):
@@ -42,8 +57,9 @@ def token_repair(spark, sf):
     return I.repaired(words, words.where("n >= 20")).where("repaired <> token").select("token", "repaired")
 
 
-QUERIES = {f.__name__: f for f in (html_clean, html_paragraphs, anchor_segments, unit_gates, hard_splits, creators, token_repair)}
+QUERIES = {f.__name__: f for f in (html_clean, html_paragraphs, anchor_segments, unit_gates, hard_splits, creators, plain_clean, parse_summary, token_repair)}
 
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"))
 
 
@@ -60,6 +76,20 @@ SQL = {
 p AS (SELECT page_id, {_strip("regexp_extract(bare, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS heading, unnest(list_zip(range(len(string_split_regex(bare, '(?i)<p\b[^>]*>'))), string_split_regex(bare, '(?i)<p\b[^>]*>'))) AS z FROM b)
 SELECT page_id, nth::INT AS nth, md5(heading) AS heading_md5, md5(text) AS md5 FROM (SELECT page_id, heading, z[1] - 1 AS nth, {_strip("regexp_replace(z[2], '(?is)(</p>|</article>).*$', '')")} AS text FROM p WHERE z[1] > 0) WHERE length(text) >= 1""",
     "unit_gates": "SELECT o_orderkey AS work, o_orderkey % 7 + 1 AS n, count(l_linenumber) AS actual, count(l_linenumber) = o_orderkey % 7 + 1 AS complete, coalesce(max(l_linenumber) = count(DISTINCT l_linenumber), false) AS contiguous FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity < 45) ON l_orderkey = o_orderkey GROUP BY o_orderkey",
-    "creators": "SELECT c_custkey, c_name || ' ' || c_mktsegment AS name, CASE WHEN c_custkey % 3 = 0 THEN 'translator' ELSE 'author' END AS role, CASE WHEN c_custkey % 2 = 0 THEN 1500 + c_custkey % 300 ELSE -1 END::INT AS birth, CASE WHEN c_custkey % 2 = 0 THEN 1550 + c_custkey % 300 ELSE -1 END::INT AS death FROM customer",
-    "token_repair": f"WITH {UNITS_SQL}, w AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(content), '[a-z]+')) AS token FROM units) GROUP BY token), v AS (SELECT token FROM w WHERE n >= 20) SELECT token, substr(token, 2) AS repaired FROM w WHERE token NOT IN (SELECT token FROM v) AND substr(token, 2) IN (SELECT token FROM v)",
+    "creators": rf"""WITH t AS (SELECT c_custkey, {_PERSONS.replace("initcap(c_mktsegment)", "upper(c_mktsegment[1]) || lower(c_mktsegment[2:])").replace("STRING", "VARCHAR")} AS t FROM customer),
+s AS (SELECT c_custkey, list_transform(string_split(regexp_replace(t, '\)\s+([A-Z][A-Za-z''-]+\s*,)', ')|\1', 'g'), '|'), lambda p: {{'name': trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(p, '\([^)]*\)', ' ', 'g'), '\s+', ' ', 'g')), '^([^,]*),\s*(.*)$', '\2 \1'), '\s+', ' ', 'g')),
+  'translates': regexp_matches(p, '\(Translator\)'), 'plain': NOT regexp_matches(p, '\((Translator|Editor|Compiler|Alternative)\)'), 'birth': try_cast(regexp_extract(p, '\((\d+)-(\d+)\)', 1) AS INT), 'death': try_cast(regexp_extract(p, '\((\d+)-(\d+)\)', 2) AS INT)}}) AS p FROM t),
+a AS (SELECT *, coalesce(list_filter(p, lambda x: x.birth IS NOT NULL)[1], list_filter(p, lambda x: x.plain)[1], p[1]) AS a FROM s)
+SELECT c_custkey, a.name AS author, list_filter(p, lambda x: x.translates AND x.name <> a.name)[1].name AS translator, coalesce(a.birth, -1) AS birth, coalesce(a.death, -1) AS death FROM a""",
+    "plain_clean": rf"""WITH {UNITS_SQL} SELECT unit_id, md5('Title is bold' || chr(10) || chr(10) || regexp_replace(regexp_replace(trim(regexp_replace(content, '\s+', ' ', 'g')), '[_=\[\]{{}}*-]', '', 'g'), '[ \t]+', ' ', 'g')) AS md5 FROM units""",
+    "parse_summary": f"WITH {UNITS_SQL} SELECT tradition, count(DISTINCT source) AS works, count(*) AS units, sum(length(content))::BIGINT AS chars, max(length(content))::INT AS longest FROM units GROUP BY tradition",
+    "anchor_segments": rf"""WITH {UNITS_SQL}, l AS (SELECT unit_id, length(content) AS n, string_split(content, chr(10)) AS lines FROM units), e AS (SELECT unit_id, n, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM l),
+p AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY unit_id ORDER BY k) - length(line) - 1 AS pos FROM e)
+SELECT unit_id, (row_number() OVER w - 1)::INT AS nth, regexp_extract(line, '^[\pL\pN_]+') AS anchor, pos::INT AS start, coalesce(lead(pos) OVER w, n)::INT AS "end" FROM p WHERE regexp_matches(line, '^[\pL\pN_]') WINDOW w AS (PARTITION BY unit_id ORDER BY k)""",
+    "hard_splits": rf"""WITH RECURSIVE {UNITS_SQL}, w AS (SELECT unit_id, 0 AS k, ''::VARCHAR AS piece, content AS rest FROM units
+UNION ALL SELECT unit_id, k + 1, substr(rest, 1, cut), ltrim(substr(rest, cut + 1), {_WS}) FROM (
+  SELECT *, CASE WHEN length(rest) <= 900 THEN 900 WHEN s > 450 THEN s WHEN b >= 450 THEN b + 1 ELSE 900 END AS cut FROM (
+    SELECT unit_id, k, rest, length(regexp_extract(substr(rest, 1, 900), '(?s)^(.*[.?!]) ', 1)) AS s, length(regexp_extract(substr(rest, 1, 900), '(?s)^(.*) ', 1)) AS b FROM w WHERE rest <> '')))
+SELECT unit_id, (row_number() OVER (PARTITION BY unit_id ORDER BY k) - 1)::INT AS nth, md5(trim(piece, {_WS})) AS md5 FROM w WHERE trim(piece, {_WS}) <> ''""",
+    "token_repair": f"WITH {UNITS_SQL}, w AS (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(content), '[a-z]+')) AS token FROM units) GROUP BY token), v AS (SELECT token FROM w WHERE n >= 20) SELECT token, substr(token, 2) AS repaired FROM w ANTI JOIN v USING (token) WHERE substr(token, 2) IN (SELECT token FROM v)",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import SEARCH_STOPWORDS
+from ..operators import answering as A
 from ..operators import chunks as C
 from ..operators import lexical as X
 from ..operators import scope as S
@@ -50,7 +51,7 @@ def postings_dictionary(spark, sf):
 
 
 def query_expression(spark, sf):
-    asked = [(i, q) for i, (_, q) in enumerate(QUESTIONS)] + [(10, "what are these about"), (11, "a an"), (12, 'The "Council" (of Trent)')]
+    asked = [(i, q) for i, (_, q) in enumerate(QUESTIONS)] + [(10, "what are these about"), (11, "a an"), (12, 'The "Synod" (of Dort)')]
     return spark.createDataFrame([(i, X.match_expression(q)) for i, q in asked], "qid int, expression string")
 
 
@@ -158,25 +159,33 @@ def fixed_slices(spark, sf):
     return C.best(pieces, ["onth", "ering", "ment", "ungen"])
 
 
+#: Questions that name a work, several traditions, a topic, nothing, and one that no token answers.
+ASKED = [(1, "What did the annals of src3 say about onthe and ering heon?"), (2, "how do the ens and the frs differ on menten and that"), (3, "der Ungen und keiter with"), (4, "zzzz qqqq"), (5, "")]
+ASKED_PHRASES = {"onthe": ["that-tag"], "with": ["with-tag", "nicht-tag"]}
+
+
+def _annals(u):
+    """Every source is the work `src… Annals`, by an author of its own."""
+    return u.select("source").distinct().select("source", F.concat(F.col("source"), F.lit(" Annals")).alias("title"), F.concat(F.lit("Keeper x"), F.col("source")).alias("author"))
+
+
 def search_rag(spark, sf):
-    """The whole pipeline: scope, lexical with fallback, vectors, fusion, quotas, named traditions, best chunk."""
+    """The whole pipeline on a few questions; two vectors in a row stand for the chunks of a unit."""
     u = units(spark, sf)
-    scored = X.bm25(u, QUESTIONS)
-    named = spark.createDataFrame([(1, "en"), (1, "de"), (2, "fr")], "qid int, tradition string")
-    scoped = scored.join(F.broadcast(named), ["qid", "tradition"], "left_semi")
-    enough = scoped.groupBy("qid").count().where("count >= 2").select("qid")
-    lexical = scoped.join(F.broadcast(enough), "qid", "left_semi").unionByName(scored.join(F.broadcast(enough), "qid", "left_anti"))
-    semantic = M.nearest(_vectors(spark, sf), _asked_vectors(spark, sf), 4 * PLACES)
-    fused = M.fuse([(X.top(lexical, 4 * PLACES), 1.0), (semantic, 1.0)], 4 * PLACES)
-    ranked = fused.join(u.select("unit_id", "source", "tradition"), "unit_id", "left")
-    chosen = M.with_named_traditions(M.diversify(ranked, PLACES), scored, named, PLACES)
-    few = u.join(F.broadcast(chosen.select("unit_id").distinct()), "unit_id", "left_semi")
-    terms = sorted({t for _, q in QUESTIONS for t in X.query_terms(q)})
-    best = C.best(C.slices(C.chunk(few), few), terms)
-    return chosen.join(best, "unit_id", "left").select("qid", "place", "unit_id", "source", "tradition", F.coalesce("seq", F.lit(0)).alias("chunk_seq"))
-
-
-QUERIES = {f.__name__: f for f in (lexical_bm25_topk, bm25_index_topk, postings_dictionary, query_expression, keyword_tags, tag_coverage, tag_search, query_tags, vector_topk, quantize_int8, best_chunk_per_unit, rrf_hybrid, rrf_with_tags, diversified, scope_recognise, entity_tokens, chunk_spans, chunk_text, fixed_slices, search_rag)}
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 2).cast("long").alias("unit_id"), F.col("embedding").alias("vector"))
+    found = A.answer(u, ASKED, _annals(u), u.select("tradition").distinct(), G.unit_tags(u, KEYWORDS), vectors, _asked_vectors(spark, sf), PLACES, phrases=ASKED_PHRASES)
+    return found.select("qid", "place", "unit_id", "source", "tradition", "chunk_seq", F.md5("passage").alias("md5"))
+
+
+def postings_upkeep(spark, sf):
+    """An index from which one part of the units was taken, and into which another came again."""
+    u = units(spark, sf)
+    index = X.postings(u)
+    short, long = u.where(F.length("content") < 300), u.where(F.length("content") > 3000)
+    return X.dictionary(X.with_units(X.without_units(index, short.unionByName(long)), long))
+
+
+QUERIES = {f.__name__: f for f in (lexical_bm25_topk, bm25_index_topk, postings_dictionary, query_expression, keyword_tags, tag_coverage, tag_search, query_tags, vector_topk, quantize_int8, best_chunk_per_unit, rrf_hybrid, rrf_with_tags, diversified, scope_recognise, entity_tokens, chunk_spans, chunk_text, fixed_slices, search_rag, postings_upkeep)}
 
 _LEX = _bm25_sql()
 _VEC = f"""vec AS (SELECT * FROM (SELECT q.vec_id // 2 AS qid, v.vec_id AS unit_id, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score,
@@ -187,14 +196,28 @@ _TAGS = "tags AS (SELECT DISTINCT unit_id, tradition, slug FROM units JOIN (VALU
 _STOP = ", ".join(f"'{w}'" for w in S.ENTITY_STOPWORDS)
 _TOKENS = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9'']+'), lambda t: length(t) > 2 AND t NOT IN (" + _STOP + ")))"
 _WORKS = f"""works AS (SELECT source, p_type || ' ' || p_brand AS title, CASE WHEN source % 4 <> 0 THEN p_brand || ' Writer ' || source % 7 END AS author, p_brand FROM (SELECT p_brand, p_type, min(p_partkey) AS source FROM part GROUP BY ALL)),
-st AS (SELECT *, count(*) OVER (PARTITION BY token) AS works FROM (SELECT source, len(own)::INT AS total, unnest(own) AS token FROM (SELECT source, {_TOKENS.format("title")} AS own FROM works)))"""
+st AS (SELECT *, count(*) OVER (PARTITION BY token) AS works FROM (SELECT source, len(own)::INT AS total, unnest(own) AS token FROM (SELECT source, {_TOKENS.format("concat_ws(' ', title, author)")} AS own FROM works)))"""
+_CHUNKS = r"""text AS (SELECT unit_id, content, length(content) AS n FROM units),
+breaks AS (SELECT unit_id, kind, list(pos ORDER BY pos) AS ends FROM (
+  SELECT unit_id, kind, sum(length(piece) + length(sep)) OVER (PARTITION BY unit_id, kind ORDER BY k) AS pos FROM (
+    SELECT unit_id, kind, unnest(p[1:len(s)]) AS piece, unnest(s) AS sep, generate_subscripts(s, 1) AS k FROM (
+      SELECT unit_id, kind, string_split_regex(content, pattern) AS p, regexp_extract_all(content, pattern) AS s FROM text, (VALUES ('p', '\n\s*\n'), ('s', '[.!?]\s+')) AS t(kind, pattern) WHERE n > 1800))) GROUP BY ALL),
+whole AS (SELECT t.unit_id, content, n, coalesce(p.ends, []) AS p, coalesce(s.ends, []) AS s FROM text t LEFT JOIN breaks p ON p.unit_id = t.unit_id AND p.kind = 'p' LEFT JOIN breaks s ON s.unit_id = t.unit_id AND s.kind = 's'),
+walk AS (SELECT unit_id, -1::BIGINT AS seq, 0::BIGINT AS a, 0::BIGINT AS e, 0::BIGINT AS next FROM whole
+  UNION ALL SELECT unit_id, seq + 1, a, e, CASE WHEN e = n THEN NULL ELSE greatest(a + 1, e - 200) END FROM (
+    SELECT *, CASE WHEN n - a <= 1800 THEN n ELSE coalesce(near(p, a), near(s, a), CASE WHEN strpos(reverse(substr(content, a + 601, 1200)), ' ') > 0 AND 1200 - strpos(reverse(substr(content, a + 601, 1200)), ' ') > 0 THEN a + 1800 - strpos(reverse(substr(content, a + 601, 1200)), ' ') END, a + 1800) END AS e FROM (
+      SELECT w.unit_id, w.seq, w.next AS a, content, n, p, s FROM walk w JOIN whole USING (unit_id) WHERE w.next IS NOT NULL))),
+spans AS (SELECT unit_id, seq, a AS char_start, e AS char_end, CASE WHEN seq < 1000 THEN unit_id * 1000 + seq ELSE -(unit_id * 10000000 + seq) END AS chunk_id FROM walk WHERE seq >= 0)"""
+for _list in ("p", "s"):  # the break of a list that is nearest to the aimed length, the first of equal ones
+    _CHUNKS = _CHUNKS.replace(f"near({_list}, a)", f"list_sort(list_transform(list_filter({_list}, lambda x: x >= a + 600 AND x <= a + 1800), lambda x: {{'d': abs(x - a - 1200), 'x': x}}))[1].x")
 _SLASH = ", ".join(f"'{w}'" for w in sorted(SEARCH_STOPWORDS))
 
 SQL = {
     "lexical_bm25_topk": f"{_LEX} SELECT qid, unit_id, rank, round(score, 6) AS score FROM lexical",
     "bm25_index_topk": f"{_LEX} SELECT qid, unit_id, rank, round(score, 6) AS score FROM lexical",
     "postings_dictionary": f"WITH {UNITS_SQL} SELECT token, count(DISTINCT unit_id) AS df, count(*) AS cf FROM (SELECT unit_id, unnest(regexp_extract_all(lower(content || ' ' || title), '[a-z0-9]+')) AS token FROM units) GROUP BY token",
-    "query_expression": f"""WITH asked(qid, q) AS (VALUES {", ".join(f"({i}, '{q}')" for i, (_, q) in enumerate(QUESTIONS))}, (10, 'what are these about'), (11, 'a an'), (12, 'The "Council" (of Trent)')),
+    "postings_upkeep": f"WITH {UNITS_SQL} SELECT token, count(DISTINCT unit_id) AS df, count(*) AS cf FROM (SELECT unit_id, unnest(regexp_extract_all(lower(content || ' ' || title), '[a-z0-9]+')) AS token FROM units WHERE length(content) >= 300) GROUP BY token",
+    "query_expression": f"""WITH asked(qid, q) AS (VALUES {", ".join(f"({i}, '{q}')" for i, (_, q) in enumerate(QUESTIONS))}, (10, 'what are these about'), (11, 'a an'), (12, 'The "Synod" (of Dort)')),
 w AS (SELECT qid, list_filter(string_split_regex(lower(regexp_replace(q, '[^A-Za-z0-9_\\s]', ' ', 'g')), '\\s+'), lambda t: length(t) > 2) AS own FROM asked)
 SELECT qid::INT AS qid, array_to_string(list_transform(CASE WHEN len(list_filter(own, lambda t: t NOT IN ({_SLASH}))) > 0 THEN list_filter(own, lambda t: t NOT IN ({_SLASH})) ELSE own END, lambda t: t || '*'), ' OR ') AS expression FROM w""".replace("\\\\", "\\"),
     "keyword_tags": f"WITH {UNITS_SQL}, {_TAGS} SELECT unit_id, slug FROM tags",
@@ -217,6 +240,14 @@ authors AS (SELECT token, min(author) AS author FROM (SELECT author, unnest({_TO
 hits AS (SELECT qid, source, count(*) AS hits, max(total) AS total, min(works) AS rarest FROM asked JOIN st USING (token) GROUP BY qid, source),
 named AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n FROM hits WHERE hits >= 2 AND (hits >= total OR hits >= 0.6 * total OR rarest <= 2))
 SELECT DISTINCT qid::INT AS qid, 'tradition' AS kind, tradition AS label FROM asked JOIN tt USING (token) UNION ALL SELECT DISTINCT qid::INT, 'author', author FROM asked JOIN authors USING (token) UNION ALL SELECT qid::INT, 'work', source::VARCHAR FROM named WHERE n <= 6""",
+    "chunk_spans": f"WITH RECURSIVE {UNITS_SQL}, {_CHUNKS} SELECT unit_id, seq::INT AS seq, char_start::INT AS char_start, char_end::INT AS char_end, chunk_id FROM spans",
+    "chunk_text": f"WITH RECURSIVE {UNITS_SQL}, {_CHUNKS} SELECT chunk_id, length(substr(content, char_start + 1, char_end - char_start))::INT AS n, md5(substr(content, char_start + 1, char_end - char_start)) AS md5 FROM spans JOIN units USING (unit_id)",
+    "diversified": f"""{_LEX.replace("WITH ", "WITH RECURSIVE ", 1)}, {_VEC}, ranked AS (SELECT qid, unit_id, rank FROM lexical UNION ALL SELECT qid, unit_id, rank FROM vec), fused AS ({_FUSED}),
+r AS (SELECT f.*, source, tradition FROM fused f LEFT JOIN units USING (unit_id)),
+walk AS (SELECT DISTINCT qid, 0 AS rank, 0::BIGINT AS unit_id, ''::VARCHAR AS source, ''::VARCHAR AS tradition, false AS taken, []::VARCHAR[] AS s, []::VARCHAR[] AS t FROM r
+  UNION ALL SELECT qid, rank, unit_id, source, tradition, ok, CASE WHEN ok THEN list_append(s, coalesce(source, '~')) ELSE s END, CASE WHEN ok THEN list_append(t, coalesce(tradition, '~')) ELSE t END FROM (
+    SELECT r.*, s, t, len(s) < {PLACES} AND len(list_filter(s, lambda x: x = coalesce(r.source, '~'))) < 2 AND len(list_filter(t, lambda x: x = coalesce(r.tradition, '~'))) < {-(-PLACES // 2)} AS ok FROM walk w JOIN r ON r.qid = w.qid AND r.rank = w.rank + 1))
+SELECT qid::INT AS qid, unit_id, source, tradition, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY NOT taken, rank) AS place FROM walk WHERE rank > 0) WHERE place <= {PLACES}""",
     "fixed_slices": f"""WITH {UNITS_SQL}, pieces AS (SELECT unit_id, seq, substr(content, seq * 1000 + 1, 1000) AS text FROM (SELECT unit_id, content, unnest(range(greatest(1, ceil(length(content) / 1000))::BIGINT)) AS seq FROM units))
 SELECT unit_id, seq::INT AS seq, found::INT AS found FROM (SELECT unit_id, seq, contains(lower(text), 'onth')::INT + contains(lower(text), 'ering')::INT + contains(lower(text), 'ment')::INT + contains(lower(text), 'ungen')::INT AS found FROM pieces) QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY found DESC, seq) = 1""",
 }

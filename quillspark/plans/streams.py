@@ -8,7 +8,7 @@ from ..functions import dates
 from ..functions.vectors import dot
 from ..functions.wordpiece import wordpiece
 from ..operators.excerpts import excerpts, tiers
-from ..sources.tables import table, units
+from ..sources.tables import UNITS_SQL, table, units
 from ..streaming import tokens as S
 
 
@@ -41,10 +41,13 @@ def ndjson_frames(spark, sf):
     return _joined(S.batch(_chunks(spark, sf, body), "frames"))
 
 
+_VERSIONS = """concat(CASE WHEN p_partkey % 4 = 0 THEN 'v' ELSE '' END, CAST(p_partkey % 12 AS STRING), '.', CAST(p_size % 12 AS STRING), CASE p_partkey % 5 WHEN 0 THEN '.0.0' WHEN 1 THEN '.0.0.7' WHEN 2 THEN '.x' ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN concat('+', CAST(p_size % 9 AS STRING)) ELSE '' END)"""
+
+
 def newer_versions(spark, sf):
+    """Versions with and without a v, trailing zeros, a fifth part and a build; some are no versions."""
     part = table(spark, sf, "part")
-    own = F.concat_ws(".", (F.col("p_partkey") % 12).cast("string"), (F.col("p_size") % 11).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "x"))
-    return part.select("p_partkey", (dates.version_key(own) > dates.version_key(F.lit("5.10"))).alias("newer"), F.col("p_type").rlike("^[0-9a-f]{64}$").alias("digest"))
+    return part.select("p_partkey", F.coalesce(dates.version_key(F.expr(_VERSIONS)) > dates.version_key(F.lit("v5.10.0+3")), F.lit(False)).alias("newer"), F.col("p_type").rlike("^[0-9a-f]{64}$").alias("digest"))
 
 
 def model_tiers(spark, sf):
@@ -80,6 +83,17 @@ SQL = {
     "ndjson_frames": "SELECT conv_id || '-' || turn AS stream_id, md5(role || text) AS md5 FROM conversations",
     "model_tiers": """WITH m AS (SELECT n_nationkey AS nth, row_number() OVER (ORDER BY n_nationkey) AS k, count(*) OVER () AS n FROM nation WHERE n_nationkey * 100 <= 1500)
 SELECT nth, tier FROM (SELECT nth, CASE WHEN n = 1 THEN 'recommended' WHEN n = 2 THEN CASE WHEN k = 1 THEN 'small' ELSE 'recommended' END WHEN k = 1 THEN 'small' WHEN k = n - 1 THEN 'recommended' WHEN k = n THEN 'large' END AS tier FROM m) WHERE tier IS NOT NULL""",
-    "newer_versions": "SELECT p_partkey, p_partkey % 12 > 5 OR (p_partkey % 12 = 5 AND p_size % 11 > 10) AS newer, regexp_full_match(p_type, '[0-9a-f]{64}') AS digest FROM part",
+    "newer_versions": rf"""WITH v AS (SELECT p_partkey, p_type, regexp_replace({_VERSIONS.replace("STRING", "VARCHAR")}, '^v', '') AS v FROM part),
+k AS (SELECT *, list_transform(range(1, 6), lambda i: coalesce(try_cast(string_split(string_split(v, '+')[1], '.')[i] AS INT), 0)) || [coalesce(try_cast(string_split(v, '+')[2] AS INT), 0)] AS key FROM v)
+SELECT p_partkey, NOT contains(v, 'x') AND key > [5, 10, 0, 0, 0, 3] AS newer, regexp_full_match(p_type, '[0-9a-f]{{64}}') AS digest FROM k""",
+    "work_excerpts": rf"""WITH {UNITS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sequence, unit_id) AS place, trim(regexp_replace(content, '\s+', ' ', 'g')) AS flat FROM units QUALIFY place <= 3),
+c AS (SELECT source, place, 1 AS kind, unnest(l) AS c, generate_subscripts(l, 1) AS k FROM (SELECT *, CASE WHEN length(flat) <= 400 THEN [flat] ELSE string_split_regex(content, '
+\s*
+') END AS l FROM o) UNION ALL SELECT source, place, 2, flat, 1 FROM o),
+t AS (SELECT source, place, kind, k, regexp_replace(trim(regexp_replace(c, '\s+', ' ', 'g')), '^\[[^\]]{{1,12}}\]\s*', '') AS c FROM c),
+g AS (SELECT * FROM t WHERE length(c) >= CASE kind WHEN 1 THEN 80 ELSE 60 END AND regexp_matches(c, '\pL') AND 2 * len(regexp_extract_all(c, '\p{{Lu}}')) <= len(regexp_extract_all(c, '\pL')) AND NOT regexp_matches(c, '(?i)transcriber') AND NOT (length(c) < 120 AND regexp_matches(c, '^(BY|By|Translated|Edited|PREFACE|CONTENTS)'))
+  AND NOT regexp_matches(c, '^(The following are the contents|Contents of)') QUALIFY row_number() OVER (PARTITION BY source ORDER BY kind, place, k) = 1),
+x AS (SELECT source, c, regexp_extract(substr(c, 1, 400), '(?s)^(.*[.?!]) ', 1) AS s, regexp_extract(substr(c, 1, 400), '(?s)^(.*) ', 1) AS w FROM g)
+SELECT source, coalesce(CASE WHEN length(c) <= 400 THEN c WHEN length(s) > 241 THEN s ELSE regexp_replace(w, '[,;:]+$', '') || '…' END, '') AS excerpt FROM (SELECT DISTINCT source FROM units) LEFT JOIN x USING (source)""",
     "two_stage_vectors": "SELECT v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id = 3 AND v.label = q.label ORDER BY score DESC, v.vec_id LIMIT 10",
 }

@@ -21,7 +21,7 @@ def one(spark, column, value, kind="string"):
 
 
 def test_query_terms():
-    assert match_expression("What did the Council of Trent decree?") == "council* OR trent* OR decree*"
+    assert match_expression("What did the Synod of Dort decree?") == "synod* OR dort* OR decree*"
     assert query_terms("what are these about") == ["what", "are", "these", "about"]
     assert query_terms("") == [] == query_terms("a of")
 
@@ -35,12 +35,44 @@ def test_text_functions(spark):
     assert one(spark, T.display_matter, "BY THE REV. JOHN") and not one(spark, T.display_matter, "plain prose here")
     assert one(spark, T.strip_tags, "<p>a&amp;b <script>x</script><b>c</b></p>") == "a&b c"
     assert one(spark, dates.years, "c. 280-367") == [280, 367]
-    assert one(spark, lambda c: dates.version_key(c), "2026.07.x") == [2026, 7, 0, 0]
+    assert one(spark, dates.version_key, "2026.07.x") is None and one(spark, dates.version_key, "") is None
+    assert tuple(one(spark, dates.version_key, "v2026.7.1+12")) == ([2026, 7, 1], 12) and tuple(one(spark, dates.version_key, "2026.7.0.0.5")) == ([2026, 7, 0, 0, 5], 0)
+    assert one(spark, dates.version_key, "2026.8") == one(spark, dates.version_key, "2026.8.0")
+    assert one(spark, lambda c: dates.version_key(c) > dates.version_key(F.lit("2026.7.1+3")), "2026.7.1+12")
+    assert tuple(one(spark, dates.year_range, "c. 280–367")) == (280, 367) and one(spark, dates.year_range, "n.d.") is None
+    assert str(one(spark, dates.from_iso, "2026-07-01T10:20:30.500")) == "2026-07-01 10:20:30.500000" and one(spark, dates.from_iso, "soon") is None
+    assert one(spark, lambda c: dates.iso(dates.from_iso(c)), "2026-07-01T10:20:30") == "2026-07-01T10:20:30.000"
+    assert [one(spark, T.part_noun, t) for t in ("Three Orations", "Lectures", "On Treatises and things", "Conferences of Cassian", "Hymns")] == ["Oration", "Lecture", "Treatise", "Conference", "Part"]
+    f = one(spark, T.provenance_footer, "Translated by S.D.F. Salmond. From Nicene and Post-Nicene Fathers, Second Series, Vol. 9. Edited by Philip Schaff. (Buffalo, NY, 1899.)")
+    assert tuple(f) == ("S.D.F. Salmond", "Nicene and Post-Nicene Fathers, Second Series, Vol. 9", 1899)
 
 
 def test_slugs_and_ids(spark):
     df = spark.createDataFrame([(1, "A b"), (2, "a-B"), (3, "c")], "id int, title string")
     assert [r.slug for r in library.slugs(df, "id", F.col("title")).orderBy("id").collect()] == ["a-b", "a-b-2", "c"]
+    rng = np.random.default_rng(2)
+    for n in range(4):
+        titles = [["a", "A", "a-2", "a"], ["a-2", "a", "a", "a", "a 3", "a-2"], ["a", "a", "a-3", "a", "a-2", "a 2 2", "a"], [str(t) for t in rng.choice(["x", "x 2", "x-3", "x 2 2", "x 3"], 40)]][n]
+        taken, want = set(), []
+        for t in titles:
+            base = t.lower().replace(" ", "-")
+            want.append(next(s for s in (base if k == 1 else f"{base}-{k}" for k in range(1, 99)) if s not in taken))
+            taken.add(want[-1])
+        df = spark.createDataFrame(list(enumerate(titles)), "id int, title string")
+        assert [r.slug for r in library.slugs(df, "id", F.col("title")).orderBy("id").collect()] == want
+
+
+def test_notes(spark):
+    n = one(spark, library.parse_notes, "Translated by A.B. | Ante-Nicene Fathers , Vol. 1 | Public-domain translation, 1885 | From a scan | Ingested from x.org")
+    assert tuple(n) == ("A.B.", "Ante-Nicene Fathers, Vol. 1", "Public-domain translation, 1885", "x.org", None, ["From a scan"])
+    n = one(spark, library.parse_notes, "Public-domain translation, 1885 | Rights: Mine | odd")
+    assert (n.rights, n.extra) == ("Mine", ["odd"]) and one(spark, library.parse_notes, None).extra == []
+
+
+def test_citations_as_json(spark):
+    c = one(spark, lambda x: library.citation_of(library.citation_json(F.lit(7), x, F.lit(None).cast("string"), F.lit("t"), F.lit(None).cast("string"))), 'a "quoted" title')
+    assert (c.contentId, c.source, c.author, c.tradition, c.sourceUrl) == (7, 'a "quoted" title', None, "t", None)
+    assert one(spark, library.citation_of, "{broken").contentId is None
 
 
 def test_markup(spark):
@@ -53,8 +85,11 @@ def test_markup(spark):
     got = one(spark, ingest.header_fields, "Title: A Book\n  of Things\nRights: Public Domain\n\nBody: no")
     assert got == {"Title": "A Book of Things", "Rights": "Public Domain"}
     assert one(spark, lambda c: ingest.unescaped(c), "a &amp; &eacute;") == "a & é"
-    c = one(spark, ingest.creator, "Owen, John (1616-1683) (Translator)")
-    assert (c.name, c.role, c.birth, c.death) == ("John Owen", "translator", 1616, 1683)
+    credits = lambda t: tuple(one(spark, ingest.credits, t))
+    assert credits("Calvin, John (1509-1564) (Alternative) (Translator)") == ("John Calvin", None, 1509, 1564)
+    assert credits("Calvin, John (1509-1564) Beveridge, Henry (Translator)") == ("John Calvin", "Henry Beveridge", 1509, 1564)
+    assert credits("Henry, Matthew") == ("Matthew Henry", None, None, None) and credits("")[:2] == (None, None)
+    assert one(spark, ingest.clean_plain, "a_b_c _so_ =it= is[12]\n-----\nx  y") == "a_b_c so it is\n\nx y"
 
 
 def test_usfm(spark):
@@ -76,6 +111,25 @@ def test_anchors_and_gates(spark):
     assert [(r.actual, r.complete, r.contiguous) for r in g] == [(3, True, False), (0, False, False)]
 
 
+def test_hard_splits_against_a_plain_loop():
+    def plain(text, limit):
+        out = []
+        while len(text) > limit:
+            head = text[:limit]
+            at = max(head.rfind(m) for m in (". ", "? ", "! "))
+            at = at if at >= limit // 2 else head.rfind(" ")
+            end = at + 1 if at >= limit // 2 else limit
+            out.append(text[:end].strip())
+            text = text[end:].lstrip()
+        return [p for p in [*out, text.strip()] if p]
+
+    rng = np.random.default_rng(3)
+    for limit in (7, 20, 41):
+        for _ in range(200):
+            text = "".join(rng.choice(list("abc  .?!"), 150))
+            assert [p for a, b in ingest.cuts(text, limit) if (p := text[a:b].strip())] == plain(text, limit)
+
+
 def test_hard_split_loses_nothing(spark):
     text = "One. Two three four five six. Seven eight nine ten eleven twelve! " * 20
     df = spark.createDataFrame([(1, text), (2, "x" * 95), (3, "")], "unit_id long, content string")
@@ -103,9 +157,9 @@ def test_verdicts(spark):
 
 
 def test_scope(spark):
-    works = spark.createDataFrame([(1, "The Canons and Decrees of the Council of Trent", "Anonymous Writers"), (2, "On the Trinity", "Augustine of Hippo"), (3, "On Virgins", "Ambrose")], "source int, title string, author string")
+    works = spark.createDataFrame([(1, "The Canons and Decrees of the Synod of Dort", "Anonymous Writers"), (2, "On the Trinity", "Augustine of Hippo"), (3, "On Virgins", "Ambrose")], "source int, title string, author string")
     traditions = spark.createDataFrame([("Lutheran",), ("Eastern Orthodoxy",), ("Reformed",)], "tradition string")
-    asked = spark.createDataFrame([(1, "What did the Council of Trent decree?"), (2, "what do Lutherans and a Calvinist say"), (3, "was Augustine right"), (4, "the virgin birth"), (5, "")], "qid int, text string")
+    asked = spark.createDataFrame([(1, "What did the Synod of Dort decree?"), (2, "what do Lutherans and a Calvinist say"), (3, "was Augustine right"), (4, "the virgin birth"), (5, "")], "qid int, text string")
     got = {(r.qid, r.kind, r.label) for r in scope.recognise(asked, works, traditions).collect()}
     assert got == {(1, "work", "1"), (2, "tradition", "Lutheran"), (2, "tradition", "Reformed"), (3, "author", "Augustine of Hippo")}
 
@@ -165,11 +219,39 @@ def test_manifest(spark, tmp_path):
         snapshots.manifest(spark, f"file://{tmp_path}/bad.json")["fragments"].collect()
 
 
-def test_excerpts():
-    assert excerpts.excerpt(["THE TITLE OF IT", "[Addr-1] This opening sentence is long enough to be quoted, surely, as it has over eighty letters."]).startswith("This opening")
-    assert excerpts.excerpt(["BY JOHN"]) == "" == excerpts.excerpt([])
+def test_excerpts(spark):
     long = "word " * 200
-    assert excerpts.excerpt([long]).endswith("…") and len(excerpts.excerpt([long])) <= 401
+    works = {"titled": ["THE TITLE OF IT", "[Addr-1] This opening sentence is long enough to be quoted, surely, as it has over eighty letters."], "bare": ["BY JOHN"], "long": [long],
+             "verse": ["one short line of it\n\nand one more line here\n\n" * 12], "sentence": ["This is a sentence of prose. " * 20]}
+    rows = [(source, i, i, c) for source, own in works.items() for i, c in enumerate(own)]
+    got = {r.source: r.excerpt for r in excerpts.excerpts(spark.createDataFrame(rows, "source string, unit_id long, sequence long, content string")).collect()}
+    assert got["titled"].startswith("This opening") and got["bare"] == ""
+    assert got["long"].endswith("word…") and len(got["long"]) <= 401 and got["verse"].startswith("one short line of it and one")
+    assert got["sentence"].endswith("prose.") and 241 < len(got["sentence"]) <= 400
+
+
+def test_chunk_ids_are_unique(spark):
+    from quillspark.operators import chunks
+
+    df = spark.createDataFrame([(4, "word " * 400_000), (5, "short"), (6, None)], "unit_id long, content string")
+    got = chunks.chunk(df).toPandas()
+    assert got.chunk_id.is_unique and got.chunk_id.notna().all() and (got.unit_id == 4).sum() > 1000
+
+
+def test_packed_parts(spark):
+    from quillspark.operators import chunks
+
+    rng = np.random.default_rng(5)
+    rows = [(g, i, int(x)) for g in "ab" for i, x in enumerate(rng.integers(1, 60, 80))]
+    got = {(r.g, r.i): r.part for r in chunks.packed(spark.createDataFrame(rows, "g string, i int, n int"), "g", ["i"], "n", 100).collect()}
+    for g in "ab":
+        part = size = 0
+        for own, i, n in rows:
+            if own == g:
+                assert got[g, i] == part
+                size += n
+                if size >= 100:
+                    part, size = part + 1, 0
 
 
 def test_wordpiece_and_pooling():

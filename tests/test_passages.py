@@ -26,11 +26,11 @@ def test_chunk_prefers_paragraph_then_sentence():
     assert C.spans("c" * 1100 + ". " + "d" * 1500)[0] == (0, 1102)
 
 
-def test_unit_of_too_many_chunks_has_no_ids(spark):
+def test_unit_of_many_chunks_has_ids_of_its_own(spark):
     df = spark.createDataFrame([(1, "x" * 1_700_000), (2, None), (3, "")], "unit_id long, content string")
     rows = C.chunk(df).groupBy("unit_id").agg({"chunk_id": "count", "seq": "count"}).collect()
     got = {r.unit_id: (r["count(chunk_id)"], r["count(seq)"]) for r in rows}
-    assert got[1][0] == 1000 and got[1][1] > 1000 and got[2] == (1, 1) == got[3]
+    assert got[1][0] == got[1][1] > 1000 and got[2] == (1, 1) == got[3]
 
 
 def test_packing_starts_anew(spark):
