@@ -1,41 +1,56 @@
-"""Best-fit packing of tokenised documents into sequences; classes of lengths are matched on the driver.
+"""Best-fit packing of tokenised documents into sequences, in bulk-synchronous sweeps.
 
 1. Documents become pieces of at most `size` tokens (an end token closes each document).
 2. Pieces are range-sorted by length; a piece's rank within its length comes from its place in its
-   sorted partition and the counts of the partitions before, so no task sees a whole length.
-3. Pieces of one length are alike, and so are gaps of one size, so a sweep matches whole classes:
-   lengths descend, and each class takes the smallest class of gaps that holds it (its successor),
-   as many bins as its ranks need; gaps shrink and the sweep repeats until the class is placed,
-   opening new bins when no gap is left. The state is one count for each length up to `size`.
-4. What a sweep has matched is an interval of ranks onto an interval of bins; pieces find theirs by
-   a join on length and rank. Conflicts cannot arise: intervals are given out by rank.
-
-This is best-fit decreasing. Defined results: a null text is an empty document, one end token; rows
-that repeat a doc_id are documents of their own; an empty table packs into nothing.
+   sorted partition and the counts of the partitions before, so no task sees a whole length. Pieces
+   of one length are alike, and so are gaps of one size: a row of the tables below is a class of
+   equal lengths with the ranks that are still to be placed, or an interval of bins with equal gaps.
+   There is a class for each length up to `size` at most, however large the input.
+3. A round is a Spark job over the table of classes and gaps, which the one before has written:
+   a. New bins are opened for the pieces that the gaps cannot hold for certain: of the longest band
+      of lengths (as many of which fit a bin) those beyond what all gaps have room for; once LOOSE or
+      more fit a bin, as many bins as the volume beyond that of the gaps asks for.
+   b. Successor sweep in order of size: pieces heap up, and every gap takes at most one piece (or one
+      bundle of equal short pieces) from the top, the longest that it holds and no smaller gap took.
+   c. Conflicts are resolved by rank: of a class the lowest ranks that are left are matched first, of
+      equal gaps the first bins.
+   d. Gaps shrink by what they hold; rounds repeat until all ranks are placed, 20 to 80 of them.
+   The table has at most `size` classes and as many sizes of gaps whatever the input, so the sweep of
+   a round is one task; what grows with the input, the sort, the ranks and the join, is distributed.
+4. What a round has matched is an interval of ranks onto an interval of bins; pieces find theirs by
+   a join on length and rank.
+
+Defined results: a null text is an empty document, one end token; rows that repeat a doc_id are
+documents of their own; an empty table packs into nothing. The tokenizer has to be one whose
+pre-tokens end at white space and before .,;:!? and whose text is lower-cased, as the default's are;
+a file that splits a probing text otherwise is refused.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import wordhash
-from .shared import materialize, parts, table
+from .shared import materialize, parts, shared_dir, table
 
 SIZE = 2048
 END = 0
 #: Distinct pre-tokens whose ids a Python worker keeps, about 40 bytes each.
 CACHE = 1_500_000
 
+#: A text on which a tokenizer of other rules gives itself away.
+PROBE = "Ab cd, ef-GH 12.5 it's  x\ty\nz... (q) é_è don't 3,000; a:b! w? ünder"
+
 _LETTERS = re.compile("[a-zà-öø-ÿ]+")
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
@@ -65,10 +80,14 @@ class PieceEncoder:
         rest = [b for b in range(256) if b not in plain]
         self.stand_in = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.clear()
+        ids, _ = self.encode(pa.array([PROBE]))
+        if ids[:-1].tolist() != self.tokenizer.encode(PROBE, add_special_tokens=False).ids:
+            raise ValueError(f"{path}: ids of the pieces of a text are not the ids of the text")
+        self.clear()
 
     def clear(self) -> None:
         self.hashes, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
         ids: list[list[int] | None] = [None] * len(pieces)
@@ -85,8 +104,8 @@ class PieceEncoder:
         n = np.fromiter(map(len, ids), np.int32, len(ids))
         total = int(n.sum())
         if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(total, self.used) + (1 << 16), np.uint16)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for one in ids for x in one), np.uint16, total)
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(total, self.used) + (1 << 16), np.uint32)])
+        self.flat[self.used : self.used + total] = np.fromiter((x for one in ids for x in one), np.uint32, total)
         at = self.used + np.cumsum(n) - n
         self.used += total
         hashes = np.concatenate([self.hashes, hashes])
@@ -159,67 +178,131 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, ids:
     return docs.select("doc_id", "text").mapInArrow(_cut(tokenizer or default_tokenizer(), size, ids), schema)
 
 
-def best_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int, int]]:
-    """Best-fit decreasing over classes: (length, from rank, to rank, pieces a bin, first bin, offset in the bin)."""
-    flows: list[tuple[int, int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # free tokens: intervals (first bin, bins)
-    sizes: list[int] = []
-    bins = 0
-
-    def give_back(free: int, first: int, n: int) -> None:
-        if free and n:
-            if free not in gaps:
-                gaps[free] = []
-                bisect.insort(sizes, free)
-            gaps[free].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            k = bisect.bisect_left(sizes, length)  # the successor among the gaps
-            if k < len(sizes):
-                free = sizes[k]
-                first, n = gaps[free].pop()
-                if not gaps[free]:
-                    del gaps[free]
-                    sizes.pop(k)
-            else:
-                free, first, n = size, bins, -(-left // (size // length))
-                bins += n
-            each = free // length
-            full = min(n, left // each)
-            if full:
-                flows.append((length, rank, rank + full * each, each, first, size - free))
-                give_back(free - each * length, first, full)
-                rank, left = rank + full * each, left - full * each
-            if left and full < n:  # fewer than a bin holds
-                flows.append((length, rank, rank + left, left, first + full, size - free))
-                give_back(free - left * length, first + full, 1)
-                rank, left, full = rank + left, 0, full + 1
-            give_back(free, first + full, n - full)
-    return flows
+#: From this many pieces a bin on, bins are opened by volume.
+LOOSE = 4
+#: Bundles of short pieces are no longer than this share of a bin, or than the longest piece.
+BUNDLE = 8
+_STATE = "kind int, a long, b long, c long, d long, e long, f long"
+#: Kinds of rows: a class (length, first rank, pieces left), a gap (free, first bin, bins), what was placed (length, ranks from and to, each, bin, offset), and the number of bins.
+_CLASS, _GAP, _FLOW, _BINS = range(4)
+
+
+class Round:
+    """One round over classes {length: [first rank, left]} and gaps [(free, first bin, bins)]."""
+
+    def __init__(self, classes: dict[int, list[int]], gaps: list[tuple[int, int, int]], bins: int, size: int):
+        self.classes, self.gaps, self.bins, self.size = classes, gaps, bins, size
+        self.flows: list[tuple[int, ...]] = []
+
+    def put(self, length: int, each: int, free: int, first: int, n: int) -> None:
+        """The next ranks of a length into n bins, `each` to a bin."""
+        lo = self.classes[length][0]
+        self.flows.append((length, lo, lo + each * n, each, first, self.size - free))
+        self.classes[length][0] += each * n
+        self.classes[length][1] -= each * n
+        if free > each * length:
+            self.gaps.append((free - each * length, first, n))
+
+    def open(self) -> None:
+        top, least = max(self.classes), min(self.classes)
+        each = self.size // top
+        band = sorted((x for x in self.classes if x > self.size // (each + 1)), reverse=True)
+        excess = sum(self.classes[x][1] for x in band) - sum(n * (free // band[-1]) for free, _, n in self.gaps)
+        if each < LOOSE:  # pieces of the band in a row fill bins of their own; what is left of a class goes into an empty one
+            rest = 0
+            for length in band:
+                now = max(0, min(self.classes[length][1], excess))
+                excess -= now
+                if now >= each:
+                    self.put(length, each, self.size, self.bins, now // each)
+                    self.bins += now // each
+                rest += now % each
+            empty = -(-rest // each)
+        else:
+            volume = sum(x * left for x, (_, left) in self.classes.items()) - sum(free * n for free, _, n in self.gaps if free >= least)
+            empty = max(0, -(-excess // each), -(-volume // self.size))
+        if empty:
+            self.gaps.append((self.size, self.bins, empty))
+            self.bins += empty
+
+    def bundles(self) -> dict[int, int]:
+        """How many pieces of a length go together: more than one only where pieces outnumber the gaps that hold them."""
+        ascending = sorted(self.gaps)
+        sizes, able = [g[0] for g in ascending], np.cumsum([0, *(g[2] for g in reversed(ascending))])[::-1]
+        longest = max(max(self.classes), self.size // BUNDLE)
+        out = {}
+        for length, (_, left) in self.classes.items():
+            n = int(able[bisect.bisect_left(sizes, length)])
+            out[length] = max(1, min(sizes[-1] // length, left // n, longest // length)) if n and left > n else 1
+        return out
+
+    def sweep(self) -> None:
+        each = self.bundles()
+        events = sorted([(e * x, 0, x, 0) for x, e in each.items()] + [(free, 1, first, n) for free, first, n in self.gaps])
+        heap: list[list[int]] = []
+        self.gaps = []
+        for value, is_gap, x, n in events:
+            if not is_gap:
+                heap.append([x, self.classes[x][1] // each[x]])
+                continue
+            while n and heap:
+                length, waiting = heap[-1]
+                now = min(n, waiting)
+                if now:
+                    self.put(length, each[length], value, x, now)
+                x, n, heap[-1][1] = x + now, n - now, waiting - now
+                if now == waiting:
+                    heap.pop()
+            if n:
+                self.gaps.append((value, x, n))
+
+    def run(self) -> None:
+        self.open()
+        self.classes = {x: c for x, c in self.classes.items() if c[1]}
+        if self.classes:
+            self.sweep()
+            self.classes = {x: c for x, c in self.classes.items() if c[1]}
+
+
+def _round(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+        if not rows:
+            return
+        own = Round({r[1]: [r[2], r[3]] for r in rows if r[0] == _CLASS}, [r[1:4] for r in rows if r[0] == _GAP], max((r[1] for r in rows if r[0] == _BINS), default=0), size)
+        own.run()
+        out = [(_CLASS, x, *c) for x, c in own.classes.items()] + [(_GAP, *g) for g in own.gaps] + [(_FLOW, *f) for f in own.flows] + [(_BINS, own.bins)]
+        columns = zip(*((*r, *[None] * (7 - len(r))) for r in out))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else pa.int32()) for k, c in enumerate(columns)], names=["kind", *"abcdef"])
+
+    return run
 
 
-FLOW = T.StructType([T.StructField(c, T.LongType()) for c in ("length", "lo", "hi", "each", "bin", "at")])
+def flows(counts: DataFrame, size: int = SIZE) -> DataFrame:
+    """counts (length, n) -> length, lo, hi, each, bin, at: ranks lo to hi of a length go into bins from `bin` on, `each` to a bin, from offset `at`."""
+    spark = counts.sparkSession
+    path, nth = f"{shared_dir(spark)}/pack-rounds-{uuid.uuid4().hex}", 0
+    nothing = [F.lit(None).cast("long").alias(c) for c in "def"]
+    state = counts.select(F.lit(_CLASS).alias("kind"), F.col("length").alias("a"), F.lit(0).cast("long").alias("b"), F.col("n").cast("long").alias("c"), *nothing)
+    while not state.where(F.col("kind") == _CLASS).isEmpty():
+        state.where(F.col("kind") != _FLOW).coalesce(1).mapInArrow(_round(size), _STATE).write.parquet(f"{path}/round={nth}")
+        state, nth = spark.read.schema(_STATE).parquet(f"{path}/round={nth}"), nth + 1
+    whole = spark.read.schema(_STATE).parquet(path) if nth else spark.createDataFrame([], _STATE)
+    names = zip("abcdef", ("length", "lo", "hi", "each", "bin", "at"))
+    return whole.where(F.col("kind") == _FLOW).select(*(F.col(c).alias(n) for c, n in names))
 
 
 def place(found: DataFrame, size: int = SIZE) -> DataFrame:
     """pieces with sequence_id and offset."""
-    spark = found.sparkSession
     n = parts(found)
     ordered = found.repartitionByRange(n, "length", "doc_id", "piece").sortWithinPartitions("length", "doc_id", "piece")
     ordered = materialize(ordered.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "pack-ordered")
-    # at most one row for each length and one more for each partition
-    runs = ordered.groupBy("length", "__part").agg(F.count("*").alias("n"), F.min("__row").alias("first")).collect()
-    counts: dict[int, int] = {}
-    bases = []
-    for r in sorted(runs, key=lambda r: (r["length"], r["__part"])):
-        bases.append((r["length"], r["__part"], counts.get(r["length"], 0) - r["first"]))
-        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
-    base = spark.createDataFrame(bases, "length long, __part int, base long")
-    flows = spark.createDataFrame(best_fit(counts, size), FLOW)
+    # a row for each length and one more for each partition
+    runs = materialize(ordered.groupBy("length", "__part").agg(F.count("*").alias("n"), F.min("__row").alias("first")), "pack-runs")
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = runs.select("length", "__part", (earlier - F.col("first")).alias("base"))
     ranked = ordered.join(F.broadcast(base), ["length", "__part"]).withColumn("__rank", F.col("__row") + F.col("base"))
-    f = flows.withColumnRenamed("length", "l")
+    f = flows(runs.groupBy("length").agg(F.sum("n").alias("n")), size).withColumnRenamed("length", "l")
     met = ranked.join(F.broadcast(f), (F.col("length") == F.col("l")) & (F.col("__rank") >= F.col("lo")) & (F.col("__rank") < F.col("hi")))
     nth = F.col("__rank") - F.col("lo")
     return met.select(*found.columns, (F.col("bin") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"), (F.col("at") + nth % F.col("each") * F.col("length")).cast("long").alias("offset"))

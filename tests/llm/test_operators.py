@@ -330,20 +330,66 @@ def test_packing(spark, docs):
     assert len(bins) <= 1.25 * math.ceil(total / 2048) + 1
 
 
-def test_best_fit_is_best_fit_decreasing():
+def best_fit_decreasing(counts, size):
+    """Sequences that best-fit decreasing takes, piece by piece."""
+    gaps: list[int] = []
+    for n in sorted(counts.elements(), reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is None:
+            gaps.append(size - n)
+        else:
+            gaps[gaps.index(fit)] -= n
+    return len(gaps)
+
+
+def rounds(counts, size):
+    """Bins, and how many rounds they took; checks that every rank has its place and nothing overlaps."""
+    own, n = packing.Round({x: [0, c] for x, c in counts.items()}, [], 0, size), 0
+    while own.classes:
+        own.run()
+        n += 1
+    spans = defaultdict(list)
+    ranks = defaultdict(list)
+    for length, lo, hi, each, first, at in own.flows:
+        for k in range(lo, hi):
+            ranks[length].append(k)
+            spans[first + (k - lo) // each].append((at + (k - lo) % each * length, length))
+    assert {x: sorted(r) for x, r in ranks.items()} == {x: list(range(c)) for x, c in counts.items()}
+    for own_spans in spans.values():
+        end = 0
+        for at, length in sorted(own_spans):
+            assert at == end
+            end += length
+        assert end <= size
+    assert set(spans) == set(range(own.bins))
+    return own.bins, n
+
+
+def test_rounds_pack_as_well_as_best_fit_decreasing():
     rng = random.Random(9)
-    for size in (7, 20, 64):
-        counts = Counter(rng.randint(1, size) for _ in range(200))
-        flows = packing.best_fit(counts, size)
-        gaps: list[int] = []
-        for n in sorted(counts.elements(), reverse=True):
-            fit = min((g for g in gaps if g >= n), default=None)
-            if fit is None:
-                gaps.append(size - n)
-            else:
-                gaps[gaps.index(fit)] -= n
-        bins = max(b + -(-(hi - lo) // each) for _, lo, hi, each, b, _ in flows)
-        assert bins == len(gaps)
+    for size in (7, 20, 64, 2048):
+        for low, high in ((1, size), (1, size // 4 + 1), (size // 3, size // 2 + 2)):
+            counts = Counter(rng.randint(max(1, low), high) for _ in range(600))
+            bins, n = rounds(counts, size)
+            assert bins <= 1.01 * best_fit_decreasing(counts, size) + 1 and n <= 90
+    assert rounds(Counter({5: 20_000}), 2048)[0] == 49 and rounds(Counter({2048: 3}), 2048)[0] == 3
+
+
+def test_rounds_on_spark(spark):
+    rng = random.Random(10)
+    counts = Counter(rng.randint(1, 300) for _ in range(500))
+    rows = packing.flows(spark.createDataFrame(list(counts.items()), "length long, n long"), 300).collect()
+    assert max(r.bin + -(-(r.hi - r.lo) // r.each) for r in rows) == rounds(counts, 300)[0]
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    rules = json.load(open(packing.default_tokenizer()))
+    rules["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    (tmp_path / "t.json").write_text(json.dumps(rules))
+    with pytest.raises(ValueError, match="not the ids of the text"):
+        packing.PieceEncoder(str(tmp_path / "t.json"))
 
 
 # --- 7 token counts ---
