@@ -8,13 +8,13 @@
    There is a class for each length up to `size` at most, however large the input.
 3. A round is a Spark job over the table of classes and gaps, which the one before has written:
    a. New bins are opened for the pieces that the gaps cannot hold for certain: of the longest band
-      of lengths (as many of which fit a bin) those beyond what all gaps have room for; once LOOSE or
+      of lengths (as many of which fit a bin) those beyond what the gaps have room for; once LOOSE or
       more fit a bin, as many bins as the volume beyond that of the gaps asks for.
    b. Successor sweep in order of size: pieces heap up, and every gap takes at most one piece (or one
       bundle of equal short pieces) from the top, the longest that it holds and no smaller gap took.
    c. Conflicts are resolved by rank: of a class the lowest ranks that are left are matched first, of
       equal gaps the first bins.
-   d. Gaps shrink by what they hold; rounds repeat until all ranks are placed, 20 to 80 of them.
+   d. Gaps shrink by what they hold; rounds repeat until all ranks are placed, some 20 of them, up to 80 for short pieces alone.
    The table has at most `size` classes and as many sizes of gaps whatever the input, so the sweep of
    a round is one task; what grows with the input, the sort, the ranks and the join, is distributed.
 4. What a round has matched is an interval of ranks onto an interval of bins; pieces find theirs by
@@ -180,7 +180,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE, ids:
 
 #: From this many pieces a bin on, bins are opened by volume.
 LOOSE = 4
-#: Bundles of short pieces are no longer than this share of a bin, or than the longest piece.
+#: Bundles of short pieces are no longer than this share of a bin, so they take no gap from a long piece.
 BUNDLE = 8
 _STATE = "kind int, a long, b long, c long, d long, e long, f long"
 #: Kinds of rows: a class (length, first rank, pieces left), a gap (free, first bin, bins), what was placed (length, ranks from and to, each, bin, offset), and the number of bins.
@@ -207,16 +207,20 @@ class Round:
         top, least = max(self.classes), min(self.classes)
         each = self.size // top
         band = sorted((x for x in self.classes if x > self.size // (each + 1)), reverse=True)
-        excess = sum(self.classes[x][1] for x in band) - sum(n * (free // band[-1]) for free, _, n in self.gaps)
-        if each < LOOSE:  # pieces of the band in a row fill bins of their own; what is left of a class goes into an empty one
-            rest = 0
-            for length in band:
-                now = max(0, min(self.classes[length][1], excess))
-                excess -= now
+        free, n = (np.array([g[k] for g in self.gaps], dtype=np.int64) for k in (0, 2))
+        rest = count = excess = 0
+        for length in band:
+            left = self.classes[length][1]
+            count += left
+            # pieces from the longest down to this one, beyond what the gaps could hold of this length
+            now = max(0, count - int((free // length * n).sum()) - excess)
+            excess += now
+            if each < LOOSE:  # pieces of the band in a row fill bins of their own; what is left of a class goes into an empty one
                 if now >= each:
                     self.put(length, each, self.size, self.bins, now // each)
                     self.bins += now // each
                 rest += now % each
+        if each < LOOSE:
             empty = -(-rest // each)
         else:
             volume = sum(x * left for x, (_, left) in self.classes.items()) - sum(free * n for free, _, n in self.gaps if free >= least)
@@ -229,7 +233,7 @@ class Round:
         """How many pieces of a length go together: more than one only where pieces outnumber the gaps that hold them."""
         ascending = sorted(self.gaps)
         sizes, able = [g[0] for g in ascending], np.cumsum([0, *(g[2] for g in reversed(ascending))])[::-1]
-        longest = max(max(self.classes), self.size // BUNDLE)
+        longest = self.size // BUNDLE
         out = {}
         for length, (_, left) in self.classes.items():
             n = int(able[bisect.bisect_left(sizes, length)])
