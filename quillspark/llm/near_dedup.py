@@ -47,8 +47,8 @@ WINDOW = 4
 LIKELY = 0.57
 #: The same for an estimate by all values, which are more exact.
 LIKELY_BY_ALL = 0.58
-#: Nodes that a block of a run holds.
-RUN_NODES = 4096
+#: Nodes that a block of a run holds, at least and at most.
+FEW_NODES, RUN_NODES = 128, 4096
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Sets (at least and at most), and shingles, that a block of a family holds.
@@ -232,7 +232,7 @@ def _within_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(nodes: DataFrame, n: int) -> DataFrame:
     """nodes (node, values) -> edges a, b that connect whatever shares a run and may be similar."""
     runs = nodes.mapInArrow(_runs, "run long, node long")
-    long_runs = runs.groupBy("run").count().where(F.col("count") > WINDOW + 1).select("run", F.ceil(F.col("count") / RUN_NODES).cast("int").alias("blocks"))
+    long_runs = runs.groupBy("run").count().where(F.col("count") > WINDOW + 1).select("run", F.ceil(F.col("count") / F.least(F.lit(RUN_NODES), F.greatest(F.lit(FEW_NODES), 6 * F.sqrt("count")))).cast("int").alias("blocks"))
     long_runs = materialize(long_runs, "near-runs")
 
     trees = nodes.mapInArrow(_trees, "tree int, run long, prefix binary, node long, sketch binary")
