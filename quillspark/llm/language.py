@@ -15,7 +15,9 @@ over salted keys.
 
 Defined results: a null or empty page has no text evidence and gets what its address says; a null
 or malformed url counts as the empty host; without any labelled document every page's language is
-null; rows that repeat a page_id are rows of their own; an empty table gives an empty result.
+null; of languages with equal posteriors the first by code point is given; rows that repeat a page_id
+are rows of their own, each with its part in the counts of hosts; long pages are read whole, each by
+itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, table, word_count
+from .shared import materialize, quoted, table, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed: int = SE
     sizes = docs.select("source", word_count(F.col("text")).alias("__size"))
     totals = sizes.groupBy("source").agg(F.sum("__size").alias("source_size"))
     targets = materialize(source_targets(totals, weights, share, most), "mix-targets")
-    inner = docs.select("doc_id", "source", F.struct(*(f"`{c}`" for c in docs.columns)).alias("__row"))
+    inner = docs.select("doc_id", "source", F.struct(*map(quoted, docs.columns)).alias("__row"))
     taken = _with_copies(inner, targets, seed).where("copies > 0")
     return taken.select(F.explode(F.array_repeat("__row", F.col("copies").cast("int"))).alias("__row")).select("__row.*")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import exact_dedup, exact_topk, licenses, near_dedup, shared, toxicity
+from quillspark.llm import exact_dedup, exact_topk, language, licenses, near_dedup, shared, toxicity
 from test_operators import changed, plain_top, prose
 
 # --- near duplicates ---
@@ -280,3 +280,80 @@ def test_iban_checksum(spark):
     rows = [(1, "IBAN GB82 WEST 1234 5698 7654 32"), (2, "IBAN GB83 WEST 1234 5698 7654 32")]
     got = {r.doc_id: [s.v_regex for s in r.candidates if s.kind == "iban"] for r in pii.candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: [1], 2: [0]}
+
+
+# --- language ---
+
+
+def plain_languages(train, pages, lean):
+    """Evidence fusion page by page, with n-grams as they are instead of buckets."""
+    from collections import Counter, defaultdict
+
+    buckets = 1 << language.BITS
+
+    def grams(text):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        letter = [97 <= b <= 122 or b >= 128 for b in raw]
+        plain = bytes(b if ok else 32 for b, ok in zip(raw, letter))
+        return [plain[i : i + n] for n in (1, 2, 3) for i in range(len(plain) - n + 1) if letter[i]]
+
+    counts = defaultdict(Counter)
+    for text, lang in train:
+        counts[lang].update(grams(text))
+    langs = sorted(counts)
+    rows = []
+    for url, html in pages:
+        own = grams(" ".join(re.sub("<[^>]*>", " ", html).split()))
+        ev = [sum(math.log((counts[k][g] + 0.5) / (sum(counts[k].values()) + 0.5 * buckets)) for g in own) * (min(len(own), language.EVIDENCE) / max(len(own), 1)) for k in langs]
+        ev = [e - max(ev) for e in ev]
+        p = [math.exp(e) / sum(map(math.exp, ev)) for e in ev]
+        host = re.sub("^https?://([^/]*).*$", r"\1", url)
+        said = re.search('lang="([a-z]+)"', html)
+        rows.append((host, host.rsplit(".", 1)[-1], said and said.group(1), ev, p))
+    sums = lambda own: [sum(r[4][k] for r in own) for k in range(len(langs))]
+    whole, n = sums(rows), len(langs)
+    overall = [(s + 1) / (len(rows) + n) for s in whole]
+    name = lambda r: "-" if r[2] is None else r[2] if r[2] in langs else "other"
+    out = []
+    for r in rows:
+        hosts, suffixes, saying = ([o for o in rows if o[0] == r[0]], [o for o in rows if o[1] == r[1]], [o for o in rows if name(o) == name(r)])
+        fused = []
+        for k in range(n):
+            suffix = (sums(suffixes)[k] - r[4][k] + lean * overall[k]) / (len(suffixes) - 1 + lean)
+            prior = (sums(hosts)[k] - r[4][k] + lean * suffix) / (len(hosts) - 1 + lean)
+            markup = (sums(saying)[k] + (2.0 if name(r) == langs[k] else 1.0)) / (whole[k] + n + 3)
+            fused.append(r[3][k] + math.log(max(1e-9, prior)) + math.log(markup))
+        top = max(fused)
+        out.append((langs[fused.index(top)], 1 / sum(math.exp(f - top) for f in fused)))
+    return out
+
+
+def test_languages_against_a_plain_version(spark):
+    rng = random.Random(23)
+    words = {"aa": ["thing", "with", "the", "on"], "bb": ["über", "schon", "nicht", "on"], "cc": ["pour", "dans", "on"]}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    train = [(text(lang, 20), lang) for lang in words for _ in range(5)]
+    pages = []
+    for i in range(60):
+        lang = rng.choice(list(words))
+        declared = rng.choice([f' lang="{lang}"', f' lang="{lang}"', "", ' lang="zz"', ' lang="aa"'])
+        pages.append((f"http://h{rng.randrange(6)}.example.{rng.choice([lang, lang, 'com'])}/x", f"<html{declared}><p>{text(lang, rng.choice([0, 1, 3, 40]))}</p></html>"))
+    model = language.fit(spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(train)], "doc_id long, text string, lang string"))
+    got = {r.page_id: (r.lang, r.confidence) for r in language.identify(spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string"), model).collect()}
+    for i, (lang, confidence) in enumerate(plain_languages(train, pages, language.LEAN)):
+        assert got[i][0] == lang and abs(got[i][1] - confidence) < 1e-3, (i, pages[i])
+
+
+def test_languages_of_odd_pages(spark):
+    train = spark.createDataFrame([(1, "aaa aba", "l2"), (2, "aaa aba", "l1")], "doc_id long, text string, lang string")
+    long_page = "<p>" + "aba " * 200_000 + "</p>"
+    rows = [(1, "http://x.y/", long_page), (1, "http://x.y/", long_page), (2, None, None), (None, "", "")]
+    got = language.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), language.fit(train)).collect()
+    assert len(got) == 4 and {r.lang for r in got} == {"l1"}  # equal posteriors: the first
+
+
+def test_columns_with_backticks_pass_through_mixing(spark):
+    from quillspark.llm import mixing
+
+    df = spark.createDataFrame([(1, "a b", "s", 5)], ["doc_id", "text", "source", "odd`name"])
+    assert mixing.mix(df).columns == df.columns
