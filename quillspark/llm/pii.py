@@ -47,12 +47,17 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "name": r"\b(?:{titles}|{given})\.? [\p{{Lu}}][\p{{Ll}}]+(?: [\p{{Lu}}][\p{{Ll}}]+)?",
+    "name": r"\b(?=\p{{Lu}})(?:{titles}|{given})\.? [\p{{Lu}}][\p{{Ll}}]+(?: [\p{{Lu}}][\p{{Ll}}]+)?",
     "national_phone": r"(?<![0-9+)(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[0-9][A-Z0-9]{0,2})?\b",
     "secret": r"(?<![A-Za-z0-9_/+=.@-])(?:(?:AKIA|ghp_|gho_|sk-|xoxb-|xoxp-|AIza)[A-Za-z0-9_-]{16,}+|[A-Za-z0-9_/+-]{32,128}+={0,2})(?![A-Za-z0-9_/+=.@-])",
 }
+#: What a text must hold for a match of a kind, cheaper to look for: only such a text is taken apart.
+NEEDED = {
+    "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "national_phone": r"[0-9][.-][0-9]{4}", "ssn": r"[0-9]-[0-9]{2}-[0-9]",
+    "iban": r"[A-Z]{2}[0-9]{2}", "secret": r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20}",
+}
 # Word lists and number plans.
 TITLES = "Mr|Mrs|Ms|Dr|Prof|Mme|Mlle|Herr|Frau|Sr|Sra"
 GIVEN = "John|Mary|James|Anna|Peter|Paul|Maria|Jean|Pierre|Marie|Claire|Luc|Hans|Klaus|Anke|Heidi|Jürgen|Carlos|Juan|José|Ana|Lucía|Carmen|Robert|Michael|William|David|Richard|Thomas|Charles|Daniel|Elizabeth|Susan|Sarah|Karen|Nancy|Laura|Emma|Julia|Martin|Andreas|Stefan|Wolfgang|Ursula|Monika|Sabine|François|Philippe|Nicolas|Isabelle|Sophie|Camille|Antonio|Francisco|Manuel|Miguel|Pablo|Isabel|Elena|Rosa".split("|")
@@ -88,7 +93,9 @@ PATTERNS["name"] = PATTERNS["name"].format(titles=TITLES, given="|".join(GIVEN))
 def _column(kind: str, text: Column) -> tuple[Column, Column]:
     """The matches of a kind, and of each piece of text between them: length, end and beginning."""
     pattern = PATTERNS[kind]
-    possible = {"email": text.contains("@"), "phone": text.contains("+"), "name": F.lit(True), "secret": text.rlike("[A-Za-z0-9_/+-]{20}")}.get(kind, text.rlike("[0-9]"))
+    possible = {"email": text.contains("@"), "phone": text.contains("+"), "name": text.rlike(pattern)}.get(kind, text.rlike("[0-9]"))
+    if kind in NEEDED:
+        possible = possible & text.rlike(NEEDED[kind])
     piece = lambda s: F.struct(F.length(s).cast("long").alias("n"), F.right(s, F.lit(BEFORE)).alias("tail"), F.left(s, F.lit(AFTER)).alias("head"))
     hits = F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
     pieces = F.when(possible, F.transform(F.split(text, pattern, -1), piece))
