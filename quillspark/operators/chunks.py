@@ -68,13 +68,13 @@ def best(pieces: DataFrame, terms: list[str]) -> DataFrame:
 def packed(rows: DataFrame, group: str, order: list[str], size: str, target: int) -> DataFrame:
     """Rows of a group in order, packed into parts: a part ends when its sizes reach the target.
 
-    Sums that start anew are a loop over a group's sizes, one number a row; texts stay where they are.
+    Sums that start anew are a loop over a group's sizes, one number a row; texts stay where they are. Rows that the order leaves equal go by size.
     """
     own = rows.select(group, *order, F.col(size).cast("long").alias("__size"))
     schema = StructType([*(own.schema[c] for c in (group, *order)), StructField("part", IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+        pdf = pdf.sort_values([*order, "__size"])
         ends = np.cumsum(pdf["__size"].to_numpy())
         parts, at, done, part = np.zeros(len(ends), np.int32), 0, 0, 0
         while at < len(ends):
