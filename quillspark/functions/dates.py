@@ -46,3 +46,23 @@ def version_key(version: Column) -> Column:
     name, build = F.element_at(F.split(text, r"\+", 2), 1), F.regexp_extract(text, r"\+\s*(\d+)\s*$", 1)
     parts = F.transform(F.split(F.regexp_replace(name, r"(?:\.\s*0+\s*)+$", ""), r"\."), lambda p: F.trim(p).cast("int"))
     return F.when(name.rlike(r"^\s*\d{1,9}\s*(?:\.\s*\d{1,9}\s*)*$"), F.struct(parts.alias("parts"), F.coalesce(F.nullif(build, F.lit("")).cast("int"), F.lit(0)).alias("build")))
+
+
+RELEASE = "version string, build int, notes string, url string, platforms map<string, struct<kind: string, url: string, version: string, build: int, bytes: long, sha256: string>>"
+# How a release is delivered.
+DELIVERIES = ("download", "store")
+
+
+def release(json: Column) -> Column:
+    """A release manifest as a struct of version, notes and platforms; null where it has no usable version or platform.
+
+    A platform of an unknown kind, without an https address, or a download without a size and a SHA-256
+    is left out; one without a version of its own has the manifest's.
+    """
+    def usable(_, p: Column) -> Column:
+        file = F.coalesce((p["bytes"] > 0) & F.lower(p["sha256"]).rlike("^[0-9a-f]{64}$"), F.lit(False))
+        return p["kind"].isin(*DELIVERIES) & F.coalesce(p["url"].rlike(r"^https://[^/\s]+"), F.lit(False)) & ((p["kind"] == "store") | file)
+
+    doc = F.from_json(json, RELEASE)
+    own = F.transform_values(F.map_filter(doc["platforms"], lambda k, p: F.coalesce(usable(k, p), F.lit(False))), lambda k, p: F.struct(p["kind"].alias("kind"), p["url"].alias("url"), F.when(version_key(p["version"]).isNull(), doc["version"]).otherwise(p["version"]).alias("version"), p["bytes"].alias("bytes"), F.lower(p["sha256"]).alias("sha256")))
+    return F.when(version_key(doc["version"]).isNotNull() & (F.size(own) > 0), F.struct(doc["version"].alias("version"), F.nullif(F.trim(doc["notes"]), F.lit("")).alias("notes"), own.alias("platforms")))

@@ -141,3 +141,60 @@ def union_coverage(units: DataFrame, witnesses: DataFrame) -> DataFrame:
     return own.join(known, "gram", "left").groupBy("unit_id").agg(F.count("*").alias("pairs"), F.count("known").alias("known"))
 
 
+def contents_works(units: DataFrame) -> DataFrame:
+    """source, densities over a work's units as if they were one text joined by blanks, and whether the work looks like a page of
+    contents. Counts of units add up, so no work's text is gathered; a mark that only joining would make does not count."""
+    count = lambda pattern: F.sum(F.regexp_count("content", F.lit(pattern)).cast("long"))
+    each = units.groupBy("source").agg(count(MARKER).alias("m"), count(SENTENCE).alias("s"), (F.sum(F.length("content").cast("long")) + F.count("*") - 1).alias("n"))
+    per_1k = lambda c: F.when(F.col("n") > 0, F.col(c) * 1000.0 / F.col("n")).otherwise(0.0)
+    rows = each.select("source", per_1k("m").alias("markers"), per_1k("s").alias("sentences"))
+    return rows.withColumn("suspect", (F.col("markers") >= MARKERS_PER_1K) & (F.col("sentences") < SENTENCES_PER_1K))
+
+
+def unexpanded(hubs: DataFrame, units: DataFrame, withdrawn: DataFrame) -> DataFrame:
+    """source, parts, units and state of works (source, parts) of whose parts too few came in: withheld on purpose (withdrawn:
+    source), absent, or short, which is fewer units than half the parts, and than two."""
+    held = units.groupBy("source").agg(F.count("*").alias("units"))
+    rows = hubs.join(held, "source", "left").join(withdrawn.select("source", F.lit(True).alias("gone")).distinct(), "source", "left")
+    short = (F.col("parts") >= 2) & (F.col("units") < F.greatest(F.lit(2.0), F.col("parts") / 2))
+    state = F.when(F.col("gone"), "withheld").when(F.col("units").isNull(), "absent").when(short, "short")
+    return rows.select("source", "parts", F.coalesce("units", F.lit(0)).cast("long").alias("units"), state.alias("state")).where("state IS NOT NULL")
+
+
+# What units must share with their witnesses, by kind of collection, and what a foreign text must not reach.
+CORROBORATION = {
+    "catechism": {"floor": 0.55, "median": 0.80},
+    "edition": {"floor": 0.75, "union": 0.90},
+    "commentary": {"floor": 0.70, "median": 0.85},
+    "paragraphs": {"floor": 0.95},
+    "confession": {"floor": 0.80},
+    "articles": {"floor": 0.70, "median": 0.88},
+}
+CONTROL = {"edition": 0.60, "commentary": 0.55}
+
+
+def corroborated(scores: DataFrame, group: str, kind: str) -> DataFrame:
+    """For each group whether its units (containment in the best witness, and `whole` in all of them) pass the gate of their kind.
+
+    A unit passes by its best witness or, where the kind allows it, by all witnesses together. Scores
+    are rounded to six digits, so the table of an exact median stays small however many units a group has.
+    """
+    rule = CORROBORATION[kind]
+    best = F.round("containment", 6)
+    ok = best >= rule["floor"]
+    if "union" in rule:
+        ok = ok | (F.col("whole") >= rule["union"])
+    each = scores.groupBy(group).agg(F.count("*").alias("n"), F.count_if(~ok).alias("failing"), F.percentile(best, 0.5).alias("median"))
+    return each.withColumn("ok", (F.col("failing") == 0) & (F.col("median") >= rule.get("median", 0.0)))
+
+
+def control_holds(scores: DataFrame, kind: str) -> DataFrame:
+    """One row: the highest containment of texts that must not pass, and whether it stays below what the kind allows. No such text is no control."""
+    return scores.agg(F.max("containment").alias("highest")).select("highest", F.coalesce(F.col("highest") < CONTROL[kind], F.lit(False)).alias("ok"))
+
+
+def vocabulary_share(units: DataFrame, witness: DataFrame, least: int = 2) -> DataFrame:
+    """unit_id, its distinct words of `least` letters or more and how many of them the witness texts (text) use; words are made distinct in the row, then the witness's once."""
+    known = witness.select(F.explode(F.array_distinct(T.stream_words(F.col("text"), least))).alias("word")).distinct().withColumn("known", F.lit(1))
+    own = units.select("unit_id", F.explode(F.array_distinct(T.stream_words(F.col("content"), least))).alias("word"))
+    return own.join(known, "word", "left").groupBy("unit_id").agg(F.count("*").alias("words"), F.count("known").alias("known"))

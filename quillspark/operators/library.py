@@ -156,3 +156,44 @@ def citation_json(unit_id: Column, source: Column, author: Column, tradition: Co
 def citation_of(json: Column) -> Column:
     """The citation in a JSON text, a struct of nulls for anything else."""
     return F.from_json(json, CITATION)
+
+
+def last_seen(rows: DataFrame, key: list[str], at: str) -> DataFrame:
+    """Of rows with the same key the one that stands last; max_by combines in each task, so a key that many share is a row a task."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), at).alias("__row")).select(*key, "__row.*")
+
+
+def ordinal_titles(rows: DataFrame, group: list[str], title: str, order: list[str]) -> DataFrame:
+    """A title that a group has several times gets its number from the second on: `Psalm (2)`."""
+    nth = F.row_number().over(Window.partitionBy(*group, title).orderBy(*order))
+    return rows.withColumn("__nth", nth).withColumn(title, F.when(F.col("__nth") > 1, F.format_string("%s (%d)", F.col(title), F.col("__nth"))).otherwise(F.col(title))).drop("__nth")
+
+
+def kind_place(kind: Column, *order: str) -> Column:
+    """Where a kind stands in an order of kinds; kinds that are not in it come behind, all alike."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, order)), kind), F.lit(0)) + F.when(kind.isin(*order), 0).otherwise(len(order) + 1)
+
+
+def shelved(works: DataFrame, pinned: Column, first: Column, *order: str) -> DataFrame:
+    """Works for a shelf: pinned ones, then those of the kind that leads, then in the order given, as a column `shelf` and sorted."""
+    place = F.when(pinned, 0).when(first, 1).otherwise(2)
+    return works.withColumn("shelf", place).orderBy("shelf", *order)
+
+
+def opened(units: DataFrame, requests: DataFrame) -> DataFrame:
+    """Where readers land in a work. requests: request, source, wanted (a unit or null), at (a place from 0 or null), resume (the place last read or null).
+
+    A unit of the work that is wanted comes first, then the place, then where reading stopped, else the
+    beginning; places are clamped to the work. Returns request, place, unit_id, previous and next (-1 for
+    none). Requests for works without units have no row. Units of works that nobody asks for drop out
+    before they are put in order.
+    """
+    asked = units.join(requests.select("source").distinct(), "source", "left_semi")
+    order = Window.partitionBy("source").orderBy("sequence", "unit_id")
+    rows = asked.select("source", "unit_id", (F.row_number().over(order) - 1).alias("place"), F.coalesce(F.lag("unit_id").over(order), F.lit(-1)).alias("previous"), F.coalesce(F.lead("unit_id").over(order), F.lit(-1)).alias("next"))
+    sizes = asked.groupBy("source").agg(F.count("*").alias("n"))
+    known = rows.select("source", F.col("unit_id").alias("wanted"), F.col("place").alias("found"))
+    landing = F.coalesce("found", "at", "resume", F.lit(0))
+    wished = requests.join(known, ["source", "wanted"], "left").join(sizes, "source").select("request", "source", F.greatest(F.lit(0), F.least(landing, F.col("n") - 1)).cast("int").alias("place"))
+    return wished.join(rows, ["source", "place"]).select("request", "place", "unit_id", "previous", "next")

@@ -140,3 +140,15 @@ def exported(fragment: str, fragments: DataFrame, units: DataFrame, chunks: Data
 def pending(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Chunks that have no vector yet: all that an incremental run encodes."""
     return chunks.join(vectors.select("chunk_id"), "chunk_id", "left_anti")
+
+
+def core(keep: DataFrame, sources: DataFrame, units: DataFrame, chunks: DataFrame, vectors: DataFrame, tags: DataFrame) -> dict[str, DataFrame]:
+    """The corpus without all works that are not to be kept (keep: source), down the chain of keys: nothing is left that points at a row that went."""
+    stay = keep.select("source").distinct()
+    own = units.join(stay, "source", "left_semi")
+    ids = own.select("unit_id")
+    parts = chunks.join(ids, "unit_id", "left_semi")
+    return {
+        "sources": sources.join(stay, "source", "left_semi"), "units": own, "chunks": parts,
+        "vectors": vectors.join(parts.select("chunk_id"), "chunk_id", "left_semi"), "tags": tags.join(ids, "unit_id", "left_semi"),
+    }

@@ -41,3 +41,22 @@ def toggled(events: DataFrame, keys: list[str]) -> DataFrame:
 def bookmarks(events: DataFrame) -> DataFrame:
     """Newest first, each item once, kept where it was first marked."""
     return first_seen(events, ["user_id", "item"], ["ts", "event_id"]).orderBy(F.col("ts").desc(), F.col("event_id").desc())
+
+
+def collapsed(users: DataFrame, events: DataFrame, traditions: list[str]) -> DataFrame:
+    """user_id, arranged, and the traditions whose sections a reader sees closed.
+
+    events: user_id, at, kind (toggle, close_all, open_all), tradition (of a toggle). A shelf starts all
+    closed, which is a default and no choice; closing or opening all sets every section, and presses
+    since then flip it. A press of a tradition that is not listed counts as arranging only.
+    """
+    all_ = F.array(*map(F.lit, traditions)).cast("array<string>")
+    reset = events.where("kind <> 'toggle'").groupBy("user_id").agg(F.max("at").alias("reset_at"), (F.max_by("kind", "at") == "close_all").alias("closed"))
+    presses = events.join(reset, "user_id", "left").where("kind = 'toggle' AND (reset_at IS NULL OR at > reset_at)").groupBy("user_id", "tradition").agg(F.count("*").alias("n"))
+    odd = presses.where("n % 2 = 1").groupBy("user_id").agg(F.collect_set("tradition").alias("flipped"))
+    touched = events.select("user_id", F.lit(True).alias("arranged")).distinct()
+    rows = users.select("user_id").distinct().join(touched, "user_id", "left").join(reset, "user_id", "left").join(odd, "user_id", "left")
+    start = F.when(F.coalesce("closed", F.lit(True)), all_).otherwise(F.array().cast("array<string>"))
+    flipped = F.array_intersect(F.coalesce("flipped", F.array().cast("array<string>")), all_)
+    shut = F.array_union(F.array_except(start, flipped), F.array_except(flipped, start))
+    return rows.select("user_id", F.coalesce("arranged", F.lit(False)).alias("arranged"), F.array_sort(shut).alias("collapsed"))

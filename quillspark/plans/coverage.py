@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import coverage as V
+from ..operators import library as L
 from ..sources.tables import UNITS_SQL, table, units
 from .packs import _held, _members
 
@@ -33,8 +33,7 @@ def shelf_order(spark, sf):
     """Pinned works first, then those of one kind, then by name."""
     works = units(spark, sf).select("source").distinct()
     pinned = F.col("source").isin("src7", "src2")
-    place = F.row_number().over(Window.orderBy(F.when(pinned, 0).otherwise(1), F.when(F.col("source").endswith("1"), 0).otherwise(1), "source"))
-    return works.select("source", place.alias("place"))
+    return L.shelved(works, pinned, F.col("source").endswith("1"), "source")
 
 
 def shingle_counts(spark, sf):
@@ -61,10 +60,10 @@ QUERIES = {f.__name__: f for f in (coverage_suggestions, title_trigrams, shelf_o
 _FILL = ", ".join(f"'{w}'" for w in T.FILLER)
 SQL = {
     "title_trigrams": f"SELECT p_partkey, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS run FROM (SELECT p_partkey, list_filter(regexp_extract_all(lower(p_name || ' of the ' || p_type), '[a-z0-9]+'), lambda x: length(x) > 2 AND x NOT IN ({_FILL})) AS w FROM part) WHERE len(w) >= 3",
-    "shelf_order": f"WITH {UNITS_SQL} SELECT source, row_number() OVER (ORDER BY source NOT IN ('src7', 'src2'), NOT ends_with(source, '1'), source)::INT AS place FROM (SELECT DISTINCT source FROM units)",
+    "shelf_order": f"WITH {UNITS_SQL} SELECT source, CASE WHEN source IN ('src7', 'src2') THEN 0 WHEN ends_with(source, '1') THEN 1 ELSE 2 END AS shelf FROM (SELECT DISTINCT source FROM units)",
     "shingle_counts": "SELECT item_id, len(list_distinct(list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(w[i:i + 7], ' '))))::INT AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark)",
-    "first_lines": rf"""WITH {UNITS_SQL}, w AS (SELECT unit_id, title, list_filter(string_split_regex(trim(title), '\s+'), lambda x: regexp_matches(x, '\pL')) AS w FROM units)
-SELECT unit_id, len(w) > 0 AND len(w) <= 12 AND NOT regexp_matches(trim(title), '[.!?;,]$') AND len(list_filter(w, lambda x: regexp_matches(x, '^[^\pL]*\p{{Lu}}'))) >= 0.6 * len(w) AS heading FROM w""",
+    "first_lines": rf"""WITH {UNITS_SQL}, w AS (SELECT unit_id, trim(title) AS t FROM units)
+SELECT unit_id, length(t) > 0 AND length(t) <= 90 AND (regexp_matches(t, '{T.SPACED}') OR regexp_matches(t, '{T.HEADING_WORDS}') OR (regexp_matches(t, '\pL') AND length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) > 0.9 * length(regexp_replace(t, '[^\pL]', '', 'g')))) AS heading FROM w""",
     "footers": rf"""WITH t AS (SELECT c_custkey, c_name, {_FOOTER.replace("initcap(c_mktsegment)", "upper(c_mktsegment[1]) || lower(c_mktsegment[2:])").replace("STRING", "VARCHAR")} AS t FROM customer)
 SELECT c_custkey, nullif(regexp_extract(t, 'Translated by (.+?)\.(\s+(From|Edited|Revised)\b|\s*$)', 1), '') AS translator, nullif(regexp_extract(t, 'From (.+?)\.(\s*(Edited|Revised)\b|\s*\(|\s*$)', 1), '') AS edition, try_cast(regexp_extract(t, '\b(1[6-9]\d\d)\b', 1) AS INT) AS year,
   ['Oration', 'Lecture', 'Treatise', 'Conference', 'Letter', 'Letter'][c_custkey % 6 + 1] AS noun, (length(c_name) + 13)::DOUBLE / (length(c_name) + 17) > 0.5 AS links FROM t""",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import library as L
@@ -54,9 +53,8 @@ def union_first(spark, sf):
 
 def repeated_titles(spark, sf):
     """Titles that a work has several times get their number."""
-    part = table(spark, sf, "part")
-    nth = F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy("p_partkey"))
-    return part.withColumn("nth", nth).select("p_partkey", F.when(F.col("nth") > 1, F.format_string("%s (%d)", "p_type", "nth")).otherwise(F.col("p_type")).alias("title"))
+    part = table(spark, sf, "part").select("p_partkey", "p_brand", F.col("p_type").alias("title"))
+    return L.ordinal_titles(part, ["p_brand"], "title", ["p_partkey"]).select("p_partkey", "title")
 
 
 QUERIES = {f.__name__: f for f in (random_unit, fragment_export, incremental_chunks, traceability, union_first, repeated_titles)}

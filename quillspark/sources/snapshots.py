@@ -2,7 +2,8 @@
 
 A version is complete when its row in the log is written, which happens after all of its tables;
 readers take the highest version in the log. So a job that dies, or an executor that is lost, leaves
-the current version as it was.
+the current version as it was. A number is claimed before anything is written under it, so two jobs
+that publish at once get two versions; a number whose job died is not used again.
 """
 
 from __future__ import annotations
@@ -27,11 +28,19 @@ def current(spark: SparkSession, root: str) -> int:
     return versions(spark, root).agg(F.max("version")).first()[0] or 0
 
 
+def _claimed(spark: SparkSession, root: str, version: int) -> bool:
+    """Whether this writer is the first to take a version's number: creating its mark is one step in the file system, so of two writers one fails and moves on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_claims/v{version}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(path)
+
+
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], id_space: int, model: str, partition_by: dict[str, str] | None = None, dry_run: bool = False) -> int:
     """Write all tables as the next version and make it current; a dry run says which version it would be."""
     version = current(spark, root) + 1
     if dry_run:
         return version
+    while not _claimed(spark, root, version):
+        version += 1
     for name, df in tables.items():
         writer = df.write.mode("overwrite")
         by = (partition_by or {}).get(name)
@@ -72,3 +81,38 @@ def manifest(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def catalogue_json(rows: DataFrame, key: str) -> DataFrame:
     """One line of JSON for each row, for files that other programs read."""
     return rows.select(key, F.to_json(F.struct(*rows.columns)).alias("json"))
+
+
+_CONTENTS = "struct<name: string, authors: array<string>, titles: array<string>, tags: map<string, int>, traditions: array<string>>"
+
+
+def _document(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A JSON file that is one object; one that is not fails."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True)
+
+
+def catalogue(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a catalogue file: contents (level, id, kind, value) of packs and fragments, their tags (level, id, slug, n), and core's tags. What is missing in the file is empty."""
+    doc = _document(spark, path, f"packs map<string, {_CONTENTS}>, core map<string, int>, fragments map<string, {_CONTENTS}>")
+    level = lambda name: doc.select(F.lit(name).alias("level"), F.explode(name).alias("id", "c"))
+    held = level("packs").unionByName(level("fragments"))
+    of_kind = lambda kind: F.transform(F.coalesce(f"c.{kind}s", F.array().cast("array<string>")), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+    named = F.flatten(F.array(*map(of_kind, ("author", "title", "tradition"))))
+    return {"contents": held.select("level", "id", F.inline(named)), "tags": held.select("level", "id", F.explode("c.tags").alias("slug", "n")), "core": doc.select(F.explode("core").alias("slug", "n"))}
+
+
+def withdrawn(spark: SparkSession, path: str) -> DataFrame:
+    """id and reason of works that were taken out on purpose."""
+    return _document(spark, path, "withdrawn array<struct<id: string, reason: string>>").select(F.inline("withdrawn"))
+
+
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger of a published build: id_space, and source, min, max, count and hash of each work."""
+    doc = _document(spark, path, "idSpace int, sources map<string, struct<min: long, max: long, count: long, hash: string>>")
+    return doc.select(F.coalesce("idSpace", F.lit(1)).alias("id_space"), F.explode("sources").alias("source", "r")).select("id_space", "source", "r.*")
+
+
+def unit_files(spark: SparkSession, path: str) -> DataFrame:
+    """Units from JSON files, each an array of objects: file, title, content, and sequence as the place in the file."""
+    rows = spark.read.schema("units array<struct<title: string, content: string>>").json(path, multiLine=True)
+    return rows.select(F.input_file_name().alias("file"), F.posexplode("units").alias("sequence", "u")).select("file", "sequence", "u.*")

@@ -132,3 +132,13 @@ def stream(chunks: DataFrame, kind: str) -> DataFrame:
 def persist(shown: DataFrame, root: str, checkpoint: str):
     """Writes a stream's texts, a folder for each micro-batch: a batch that runs again overwrites its own, so nothing is stored twice."""
     return shown.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{root}/batch={batch}"))
+
+
+def until_cancelled(shown: DataFrame, cancels: DataFrame) -> DataFrame:
+    """What is kept of streams (stream_id, seq, text) once they are over: one row each with the text up to the cancel (stream_id,
+    seq: no chunk from there on), and whether it was cancelled. A stream cancelled before its first text keeps an empty one."""
+    first = cancels.groupBy(F.col("stream_id").cast("string").alias("stream_id")).agg(F.min("seq").alias("stop"))
+    rows = shown.join(first, "stream_id", "left")
+    kept = F.when(F.col("stop").isNull() | (F.col("seq") < F.col("stop")), F.struct("seq", "text"))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["text"]), "")
+    return rows.groupBy("stream_id").agg(texts.alias("text"), F.max(F.col("stop").isNotNull()).alias("cancelled"))

@@ -25,8 +25,12 @@ def test_suggestions(spark):
 
 def test_small_text_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("y")).first().y
-    assert one(T.headingish(F.lit("Of the Holy Scripture and Canon"))) and not one(T.headingish(F.lit("a line of prose.")))
-    assert one(T.unspaced(F.lit("C H A P T E R one"))) == "CHAPTER one"
+    assert all(one(T.headingish(F.lit(x))) for x in ("OF THE HOLY SCRIPTURE", "Chapter 4 of grace", "G E N E S I S"))
+    assert not any(one(T.headingish(F.lit(x))) for x in ("a line of prose.", "The Immutability of God", "", "X" * 91, "Parting is sorrow"))
+    assert one(T.unspaced(F.lit("G E N E S I S"))) == "Genesis" and one(T.unspaced(F.lit("A B plain"))) == "A B plain"
+    assert one(T.title_and_body(F.lit("THE FIRST SERMON.\n\nThe Immutability of God\n\nText one.\n\nText two."))) == ("THE FIRST SERMON — The Immutability of God", "Text one.\n\nText two.")
+    assert one(T.title_and_body(F.lit("Only a heading"))) == ("", "Only a heading") and one(T.title_and_body(F.lit("It ends.\n\nMore."))) == ("", "It ends.\n\nMore.")
+    assert one(T.stream_words(F.lit("Men’s after-\nward equivo-\n g\ncation, a I"))) == ["mens", "afterward", "equivocation"]
     assert one(T.part_noun(F.lit("Homilies and Letters"))) == "Letter"
     assert one(T.sizes_from_headers(F.lit("HTTP/1.1 206\r\nContent-Range: bytes 0-99/12345\r\n"))) == 12345
     assert one(T.reference_apparatus(F.lit("http://a.b/c d"))) and not one(T.reference_apparatus(F.lit("")))
