@@ -117,11 +117,11 @@ def bigrams(rows: DataFrame, key: str, text: Column, pattern: str = "[a-z]{2,}")
 
 
 def containment(units: DataFrame, witnesses: DataFrame) -> DataFrame:
-    """unit_id, witness_id and the share of the witness's word pairs that the unit holds. Witnesses are few and their pairs are broadcast while Spark finds them small."""
+    """unit_id, witness_id and the share of the witness's word pairs that the unit holds. Spark broadcasts the witnesses' side while it finds it small."""
     w = bigrams(witnesses, "witness_id", F.col("text"))
     size = w.groupBy("witness_id").agg(F.count("*").alias("size"))
     shared = bigrams(units, "unit_id", F.col("content")).join(w, "gram").groupBy("unit_id", "witness_id").agg(F.count("*").alias("shared"))
-    return shared.join(F.broadcast(size), "witness_id").select("unit_id", "witness_id", "shared", (F.col("shared") / F.col("size")).alias("containment"))
+    return shared.join(size, "witness_id").select("unit_id", "witness_id", "shared", (F.col("shared") / F.col("size")).alias("containment"))
 
 
 def best_witness(scores: DataFrame) -> DataFrame:

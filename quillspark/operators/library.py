@@ -25,7 +25,7 @@ def with_totals(sources: DataFrame, units: DataFrame) -> DataFrame:
 
 def citations(units: DataFrame, sources: DataFrame) -> DataFrame:
     """The projection that all retrieval shares; a unit whose source is missing keeps its row."""
-    return units.join(F.broadcast(sources), "source", "left").select("unit_id", "title", F.coalesce("source_title", F.lit("(none)")).alias("source_title"), F.coalesce("tradition", F.lit("Other")).alias("tradition"), F.coalesce("license", F.lit("")).alias("license"))
+    return units.join(sources, "source", "left").select("unit_id", "title", F.coalesce("source_title", F.lit("(none)")).alias("source_title"), F.coalesce("tradition", F.lit("Other")).alias("tradition"), F.coalesce("license", F.lit("")).alias("license"))
 
 
 def prompt_label(*parts: Column) -> Column:

@@ -10,7 +10,7 @@ def assign(sources: DataFrame, rules: DataFrame) -> DataFrame:
     """source -> fragment: the first rule (nth, fragment, authors, traditions) that holds the author, else the tradition, else core."""
     by_author = rules.select("nth", "fragment", F.explode("authors").alias("author")).groupBy("author").agg(F.min_by("fragment", "nth").alias("by_author"))
     by_tradition = rules.select("nth", "fragment", F.explode("traditions").alias("tradition")).groupBy("tradition").agg(F.min_by("fragment", "nth").alias("by_tradition"))
-    joined = sources.join(F.broadcast(by_author), "author", "left").join(F.broadcast(by_tradition), "tradition", "left")
+    joined = sources.join(by_author, "author", "left").join(by_tradition, "tradition", "left")
     return joined.select("source", F.coalesce("by_author", "by_tradition", F.lit("core")).alias("fragment"))
 
 
@@ -107,12 +107,12 @@ def refresh(old: DataFrame, new: DataFrame) -> DataFrame:
 def supersede(held: DataFrame, loaded: DataFrame, replaced: DataFrame) -> DataFrame:
     """held without works that loaded ones replace, and the loaded ones. replaced: title."""
     gone = replaced.select("title").union(loaded.select("title")).distinct()
-    return held.join(F.broadcast(gone), "title", "left_anti").unionByName(loaded)
+    return held.join(gone, "title", "left_anti").unionByName(loaded)
 
 
 def relabelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """A source_url from the map of titles for rows that have none."""
-    return rows.join(F.broadcast(labels.withColumnRenamed("source_url", "known")), "title", "left").withColumn("source_url", F.when(F.coalesce("source_url", F.lit("")) == "", F.coalesce("known", "source_url")).otherwise(F.col("source_url"))).drop("known")
+    return rows.join(labels.withColumnRenamed("source_url", "known"), "title", "left").withColumn("source_url", F.when(F.coalesce("source_url", F.lit("")) == "", F.coalesce("known", "source_url")).otherwise(F.col("source_url"))).drop("known")
 
 
 def doomed_cascade(doomed: DataFrame, units: DataFrame, chunks: DataFrame, vectors: DataFrame) -> dict[str, DataFrame]:
@@ -132,7 +132,7 @@ def violations(doomed: DataFrame, sources: DataFrame, must_stay: DataFrame, expe
 
 def exported(fragment: str, fragments: DataFrame, units: DataFrame, chunks: DataFrame, vectors: DataFrame) -> dict[str, DataFrame]:
     """The content of one fragment, down the chain of keys; what no fragment has is the core."""
-    own = units.join(F.broadcast(fragments.where(F.col("fragment") == fragment).select("source")), "source", "left_semi")
+    own = units.join(fragments.where(F.col("fragment") == fragment).select("source"), "source", "left_semi")
     parts = chunks.join(own.select("unit_id"), "unit_id", "left_semi")
     return {"units": own, "chunks": parts, "vectors": vectors.join(parts.select("chunk_id"), "chunk_id", "left_semi")}
 

@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from .library import first_seen
 
 
-def overlapping(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of half-open intervals of the same unit that overlap; b's columns get a prefix."""
-    right = b.select(*(F.col(c).alias(c if c == "unit_id" else f"other_{c}") for c in b.columns))
-    return a.join(right, "unit_id").where("start < other_end AND other_start < end")
+def overlapping(a: DataFrame, b: DataFrame, width: int = 1000) -> DataFrame:
+    """Pairs of half-open intervals of the same unit that overlap; b's columns get a prefix.
+
+    Intervals meet in stretches of `width`, so a unit with very many is dealt over its length; a pair
+    counts in the stretch where the later of the two begins, which both are in.
+    """
+    stretches = lambda start, end: F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(F.col(start), F.col(end) - 1) / width)))
+    left = a.withColumn("__at", stretches("start", "end"))
+    right = b.select(*(F.col(c).alias(c if c == "unit_id" else f"other_{c}") for c in b.columns)).withColumn("__at", stretches("other_start", "other_end"))
+    later = F.floor(F.greatest("start", "other_start") / width) == F.col("__at")
+    return left.join(right, ["unit_id", "__at"]).where("start < other_end AND other_start < end").where(later).drop("__at")
 
 
 def written(held: DataFrame, new: DataFrame) -> DataFrame:

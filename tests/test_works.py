@@ -146,3 +146,10 @@ def test_export(spark, tmp_path):
     assert [r["source"] for r in read("sources")] == ["t", "s"]
     assert read("totals") == [{"n_sources": 2, "n_units": 3, "n_chars": 35, "n_authors": 2, "n_traditions": 1}]
     assert sorted((r["collection"], r["n_sources"]) for r in read("collections")) == [("c", 1), ("d", 0)]
+
+
+def test_overlaps_across_stretches(spark):
+    spans = [(1, 0, 5000), (2, 999, 1000), (3, 1000, 1000), (4, 4999, 9000), (5, 5000, 5001), (6, 7, 3), (7, None, 4)]
+    a = spark.createDataFrame([(i, 1, s, e) for i, s, e in spans], "id int, unit_id int, start int, end int")
+    got = sorted((r.id, r.other_id) for r in S.overlapping(a, a).collect())
+    assert got == sorted((i, j) for i, s, e in spans for j, t, f in spans if None not in (s, t) and s < f and t < e)
