@@ -34,20 +34,19 @@ class Form:
 # How the sections of each kind of text begin, and how many there are.
 FORMS = {
     "verses": Form(r"(?<![\d:])\d+:(\d+)\s+"),
-    "verse_chapters": Form(r"^CHAPTER (\d+)$"),
     "catechism": Form(r"^[ \t]*(?:Q|Question\s*)(\d+)\s*[:.]"),
     "numbered_catechism": Form(r"^(\d{1,3})[.)]\s*", rising=True),
     "articles": Form(r"^([IVXL]+)\.[ \t]+_((?s:.+?))_\.", roman=True, sections=39),
-    "westminster": Form(r"^CHAPTER ([IVXL]+)\.?[ \t]*(.*)$", roman=True, sections=33),
+    "westminster": Form(r"(?is)\{\{c\|\{\{larger\|\{\{sc\|Chap\.\s*([ivxl]+)\.\s*(.*?)\}\}\}\}\}\}", roman=True, sections=33),
     "baptist": Form(r"^==\s*Chapter\s+(\d+)\s*:\s*(.+?)\s*==[ \t]*$", sections=32),
     "numbered_paragraphs": Form(r"^(\d+)\.\s+"),
-    "first_baptist": Form(r"^([IVXL]+)\.\s+", roman=True, by_place=True, sections=53),
+    "first_baptist": Form(r"^([IVXL]+)\.?(?:[ \t]*\[sic\])?[ \t]*$", roman=True, by_place=True, sections=53),
     "scots": Form(r"^={2,3}\s*Chapter\s+(\d+):\s*(.*?)\s*={2,3}[ \t]*$", sections=25),
     "sermons": Form(r"^[ \t]*Sermon[ \t]+(\d+)\b[ \t]*(.*)$", sections=141),
     "roman_chapters": Form(r"^[ \t]*([IVXLCDM]+)\.", roman=True, by_place=True, sections=108),
     "needs": Form(r"^_Chapter\s+([IVXLC]+)\._[ \t]*$", roman=True, sections=28),
     "longer_catechism": Form(r"^(\d{1,3})[.)]\s*", rising=True, sections=611),
-    "psalms": Form(r"^PSALM (\d+)\.?[ \t]*$", sections=150),
+    "psalms": Form(r"^Psalm\s+(\d+)[ \t]*$", rising=True, sections=150),
     "questions": Form(r"^Question\s+(\d+)\.[ \t]*(.*)$"),
     "summa_articles": Form(r"^Article\s+(\d+)\.[ \t]*(.*)$"),
 }

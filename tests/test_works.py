@@ -26,13 +26,13 @@ def found(spark, form, text):
         ("verses", "1:1 In it. 1:2 And it was 12:3 so.", [(1, "", "In it."), (2, "", "And it was"), (3, "", "so.")]),
         ("catechism", "Intro\nQ1. What?\nA. That.\nQuestion 2: Who?\nA2: One.", [(1, "", "What?\nA. That."), (2, "", "Who?\nA2: One.")]),
         ("articles", "I. _Of Faith\nin One_. Text.\nXXXIX. _Of Oaths_. Last.", [(1, "Of Faith in One", "Text."), (39, "Of Oaths", "Last.")]),
-        ("westminster", "CHAPTER I.\nText.\nCHAPTER II. Of God\nMore.", [(1, "", "Text."), (2, "Of God", "More.")]),
+        ("westminster", "{{c|{{larger|{{sc|Chap. I. Of Scripture}}}}}}\nText.\n{{c|{{larger|{{sc|Chap. II.\nOf God}}}}}}\nMore.", [(1, "Of Scripture", "Text."), (2, "Of God", "More.")]),
         ("baptist", "== Chapter 1: Of Things ==\n1. One.\n== Notes ==\nx", [(1, "Of Things", "1. One.\n== Notes ==\nx")]),
-        ("first_baptist", "I. One.\nIII. Two.\nIII. Three.", [(1, "", "One."), (2, "", "Two."), (3, "", "Three.")]),
+        ("first_baptist", "I.\nOne.\nIII [sic]\nTwo.\nIII\nThree.", [(1, "", "One."), (2, "", "Two."), (3, "", "Three.")]),
         ("scots", "===The Preface===\np\n===Chapter 1: Of God===\nText.", [(1, "Of God", "Text.")]),
         ("sermons", "Sermon 1 On Faith\nA Sermon 9 within.\n  Sermon 2\nB", [(1, "On Faith", "A Sermon 9 within."), (2, "", "B")]),
         ("needs", "_Chapter IV._\nText.", [(4, "", "Text.")]),
-        ("psalms", "PSALM 1.\nText of PSALM 2 here.\nPSALM 2\nMore.", [(1, "", "Text of PSALM 2 here."), (2, "", "More.")]),
+        ("psalms", "Psalm 1\nText of Psalm 2 here.\nPsalm 1\non.\nPsalm 2\nMore.", [(1, "", "Text of Psalm 2 here.\nPsalm 1\non."), (2, "", "More.")]),
         ("questions", "Question 1. Of it\nText.", [(1, "Of it", "Text.")]),
         ("numbered_catechism", "1. What? So.\n1) a point\n4. Who? He.\n2. stray\n5. End?", [(1, "", "What? So.\n1) a point"), (4, "", "Who? He.\n2. stray"), (5, "", "End?")]),
         ("sermons", "", []),
@@ -44,7 +44,7 @@ def test_forms(spark, form, text, want):
 
 
 def test_sections_of_sections(spark):
-    chapters = P.sections(spark.createDataFrame([("w", "CHAPTER I.\n1. One.\n2. Two.\nCHAPTER II.\n1. Three.")], "work string, text string"), P.FORMS["westminster"])
+    chapters = P.sections(spark.createDataFrame([("w", "== Chapter 1: A ==\n1. One.\n2. Two.\n== Chapter 2: B ==\n1. Three.")], "work string, text string"), P.FORMS["baptist"])
     inner = P.sections(chapters.withColumnRenamed("number", "chapter"), P.FORMS["numbered_paragraphs"], ("work", "chapter"), "body")
     assert sorted((r.chapter, r.number, r.body) for r in inner.collect()) == [(1, 1, "One."), (1, 2, "Two."), (2, 1, "Three.")]
 
