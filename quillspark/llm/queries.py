@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, exact_topk, language, licenses, mixing, near_dedup, packing, pii, token_counts, toxicity
+from . import exact_dedup, exact_topk, language, licenses, lloyd, mixing, near_dedup, packing, pii, token_counts, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_exact_topk": exact_topk.op10_exact_topk,
+    "op11_centroid_clustering": lloyd.op11_centroid_clustering,
 }
 
-SQL = {**mixing.SQL, **near_dedup.SQL, **exact_dedup.SQL, **exact_topk.SQL}
+SQL = {**mixing.SQL, **near_dedup.SQL, **exact_dedup.SQL, **exact_topk.SQL, **lloyd.SQL}
