@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, exact_topk, filter_audit, language, licenses, lloyd, mixing, near_dedup, packing, pii, token_counts, toxicity
+from . import exact_dedup, exact_topk, filter_audit, language, licenses, lloyd, mixing, near_dedup, packing, pii, secret_scan, token_counts, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_exact_topk": exact_topk.op10_exact_topk,
     "op11_centroid_clustering": lloyd.op11_centroid_clustering,
+    "op12_secret_scan": secret_scan.op12_secret_scan,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
