@@ -47,7 +47,7 @@ def first_centroids(data: DataFrame, k: int = K, seed: int = SEED) -> np.ndarray
     """The k vectors whose `seed:vec_id` has the smallest sha256, in that order."""
     order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = data.select(order.alias("hash"), "q").orderBy(F.col("hash").asc_nulls_last(), "q").limit(k).collect()
-    return np.array([r["q"] for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r["q"] for r in rows], dtype=np.int64)
 
 
 def nearest(vectors: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.llm import components, exact_dedup, exact_topk, language, licenses, mixing, near_dedup, packing, pii, queries, token_counts, toxicity
+from quillspark.llm import components, exact_dedup, exact_topk, language, licenses, mixing, near_dedup, packing, pii, queries, secret_scan, token_counts, toxicity
 
 RNG = random.Random(11)
 VOCAB = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("lo", "mi", "nu", "ra", "st")]
@@ -75,7 +75,7 @@ def test_no_rows_from_no_rows(name, spark, empty, monkeypatch):
         "labels": spark.createDataFrame([], "doc_id long, quality int, toxic int"),
         "pages": spark.createDataFrame([], "page_id long, url string, html string"),
     }
-    for m in (pii, toxicity, language, licenses, packing, token_counts, near_dedup):
+    for m in (pii, toxicity, language, licenses, packing, token_counts, near_dedup, secret_scan):
         monkeypatch.setattr(m, "table", lambda s, d, n: tables[n])
     assert queries.QUERIES[name](spark, "").collect() == []
 
