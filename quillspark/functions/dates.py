@@ -39,13 +39,16 @@ def from_iso(text: Column) -> Column:
 def version_key(version: Column) -> Column:
     """A version as a struct of numeric parts and build, which compares as versions do; null for anything that is none.
 
-    A leading v is dropped, the build stands behind a plus, and closing zeros do not count, so 2026.8
-    and 2026.8.0 are one version.
+    A leading v is dropped, the build stands behind the first plus, and closing zeros do not count, so
+    2026.8 and 2026.8.0 are one version. Numbers have 64 bits: a part beyond that is none, a build
+    that is no number, or is beyond that, is 0.
     """
-    text = F.regexp_replace(F.trim(version), "^[vV]", "")
-    name, build = F.element_at(F.split(text, r"\+", 2), 1), F.regexp_extract(text, r"\+\s*(\d+)\s*$", 1)
-    parts = F.transform(F.split(F.regexp_replace(name, r"(?:\.\s*0+\s*)+$", ""), r"\."), lambda p: F.trim(p).cast("int"))
-    return F.when(name.rlike(r"^\s*\d{1,9}\s*(?:\.\s*\d{1,9}\s*)*$"), F.struct(parts.alias("parts"), F.coalesce(F.nullif(build, F.lit("")).cast("int"), F.lit(0)).alias("build")))
+    halves = F.split(F.regexp_replace(F.trim(version), "^[vV]", ""), r"\+", 2)
+    number = lambda digits: F.when(F.trim(digits).rlike("^[0-9]+$"), F.trim(digits).try_cast("long"))
+    build = F.trim(F.get(halves, F.lit(1))).rlike("^-?[0-9]+$")
+    given = F.transform(F.split(halves[0], r"\."), number)
+    parts = F.transform(F.split(F.regexp_replace(halves[0], r"(?:\.\s*0+\s*)+$", ""), r"\."), number)
+    return F.when(F.forall(given, lambda n: n.isNotNull()), F.struct(parts.alias("parts"), F.coalesce(F.when(build, F.trim(halves[1]).try_cast("long")), F.lit(0).cast("long")).alias("build")))
 
 
 RELEASE = "version string, build int, notes string, url string, platforms map<string, struct<kind: string, url: string, version: string, build: int, bytes: long, sha256: string>>"

@@ -67,13 +67,15 @@ def nearest_units(vectors: DataFrame, asked: DataFrame, units: DataFrame, source
 
 
 def best_passage(chosen: DataFrame, units: DataFrame, asked: DataFrame) -> DataFrame:
-    """chosen with the chunk of its unit that holds most words of the question: chunk_seq and passage. Only chosen units' texts are read on."""
+    """chosen with the chunk of its unit that holds most words of the question: chunk_seq and passage. A question without words of over two characters gets the whole text, and no chunk_seq. Only chosen units' texts are read on."""
     few = units.join(chosen.select("unit_id").distinct(), "unit_id", "left_semi").select("unit_id", "content")
     terms = asked.select("qid", F.array_distinct(F.filter(words(F.col("text")), lambda t: F.length(t) > 2)).alias("terms"))
-    pieces = C.slices(C.chunk(few), few).join(chosen.select("qid", "unit_id"), "unit_id").join(terms, "qid")
+    wanted = chosen.select("qid", "unit_id").join(terms, "qid")
+    pieces = C.slices(C.chunk(few), few).join(wanted.where(F.size("terms") > 0), "unit_id")
     held = F.size(F.filter("terms", lambda t: F.contains(F.lower("text"), t)))
     best = pieces.groupBy("qid", "unit_id").agg(F.max_by(F.struct("seq", "text"), F.struct(held, -F.col("seq"))).alias("b"))
-    return chosen.join(best, ["qid", "unit_id"], "left").select(*chosen.columns, F.coalesce("b.seq", F.lit(0)).alias("chunk_seq"), F.coalesce("b.text", F.lit("")).alias("passage"))
+    whole = wanted.where(F.size("terms") == 0).join(few, "unit_id").select("qid", "unit_id", F.struct(F.lit(None).cast("int").alias("seq"), F.col("content").alias("text")).alias("b"))
+    return chosen.join(best.unionByName(whole), ["qid", "unit_id"], "left").select(*chosen.columns, F.when(F.col("b").isNull(), 0).otherwise(F.col("b.seq")).alias("chunk_seq"), F.coalesce("b.text", F.lit("")).alias("passage"))
 
 
 def answer(

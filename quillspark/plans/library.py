@@ -143,7 +143,7 @@ FROM units LEFT JOIN sources USING (source)""",
     "contents_stems": r"SELECT *, n_titles > 30 AND n_stems <= 0.5 * n_titles AS grouped FROM (SELECT p_brand AS source, count(*) AS n_titles, count(DISTINCT regexp_replace(p_type || ' ' || p_size, '\s+\d+\s*$', '')) AS n_stems FROM part GROUP BY p_brand)",
     "part_slugs": """WITH RECURSIVE b AS (SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_partkey, coalesce(nullif(substr(trim(regexp_replace(lower(CASE WHEN p_partkey % 50 = 7 THEN p_type || ' 2' ELSE p_type END), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80), ''), 'source') AS base FROM part),
 t AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS p_partkey, ''::VARCHAR AS slug, []::VARCHAR[] AS taken
-  UNION ALL SELECT i, p_partkey, s, list_append(taken, s) FROM (SELECT b.i, b.p_partkey, taken, CASE WHEN NOT list_contains(taken, base) THEN base ELSE base || '-' || list_min(list_filter(range(2, 60), lambda n: NOT list_contains(taken, base || '-' || n))) END AS s FROM t JOIN b ON b.i = t.i + 1))
+  UNION ALL SELECT i, p_partkey, s, list_append(taken, s) FROM (SELECT i, p_partkey, taken, CASE WHEN NOT list_contains(taken, base) THEN base ELSE base || '-' || list_min(list_filter(range(2, len(own) + 3), lambda n: NOT list_contains(own, base || '-' || n))) END AS s FROM (SELECT b.i, b.p_partkey, base, taken, list_filter(taken, lambda x: starts_with(x, base)) AS own FROM t JOIN b ON b.i = t.i + 1)))
 SELECT p_partkey, slug FROM t WHERE i > 0""",
     "id_assignment": "SELECT s_suppkey, 5000 + row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS new_id FROM supplier",
     "prompt_context": rf"""{_W} SELECT unit_id, md5(CASE WHEN length(content) > 1000 THEN regexp_replace(substr(content, 1, 1000), ' +$', '') || '… [truncated]' ELSE content END) AS context_md5,
