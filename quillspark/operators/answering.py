@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 from ..sources.store import stored
 from . import chunks as C
+from . import kept_index as K
 from . import lexical as X
 from . import scope as S
 from . import semantic as M
@@ -78,9 +79,34 @@ def best_passage(chosen: DataFrame, units: DataFrame, asked: DataFrame) -> DataF
     return chosen.join(best.unionByName(whole), ["qid", "unit_id"], "left").select(*chosen.columns, F.when(F.col("b").isNull(), 0).otherwise(F.col("b.seq")).alias("chunk_seq"), F.coalesce("b.text", F.lit("")).alias("passage"))
 
 
+def _scanned(units: DataFrame, questions: list[tuple[int, str]], sources: DataFrame, named: DataFrame, limit: int, reach: Reach) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores of all units, the ranked ones within scopes and the ranked ones, from a pass over the texts."""
+    scored = X.bm25(units, questions).select("qid", "unit_id", F.col("source").cast("string").alias("source"), "tradition", "score")
+    scored = stored(scored, "scored")
+    scoped = stored(X.top(within(scored, sources, named), reach.scoped * limit).select("qid", "unit_id", "rank"), "scoped")
+    return scored, scoped, X.top(scored, reach.lexical * limit).select("qid", "unit_id", "rank")
+
+
+def _kept(index: str, questions: list[tuple[int, str]], sources: DataFrame, named: DataFrame, limit: int, reach: Reach, spark) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same from a kept index; of the scores only those of ranked units and of the best unit of each tradition that a question names."""
+    said = {qid: X.query_terms(text) for qid, text in questions}
+    voices = [tuple(r) for r in named.select("qid", "tradition").limit(K.MOST_ASKS + 1).collect()]  # more asks than that are refused
+    wanted = [("free", qid, None) for qid in said] + [("scoped", qid, None) for qid in said] + [("voice", qid, tradition) for qid, tradition in voices]
+    sizes = {"free": reach.lexical * limit, "scoped": reach.scoped * limit, "voice": 1}
+    asks = [K.Ask(n, tuple(said[qid]), sizes[kind], kind != "free") for n, (kind, qid, _) in enumerate(wanted)]
+    numbered = spark.createDataFrame([(n, *w) for n, w in enumerate(wanted)], "ask int, kind string, qid int, named string")
+    own = numbered.where("kind = 'scoped'").select("ask", "qid")
+    none = F.lit(None).cast("string")
+    scope = own.join(sources, "qid").select("ask", "source", none.alias("tradition")).unionByName(own.join(named, "qid").select("ask", none.alias("source"), "tradition"))
+    scope = scope.unionByName(numbered.where("kind = 'voice'").select("ask", none.alias("source"), F.col("named").alias("tradition")))
+    found = stored(K.top(spark, index, asks, scope).rows.join(F.broadcast(numbered), "ask").select("kind", "qid", "unit_id", "source", "tradition", "score", "rank"), "kept-found")
+    of = lambda kind: found.where(F.col("kind") == kind).select("qid", "unit_id", "rank")
+    return found.where("kind <> 'scoped'").select("qid", "unit_id", "source", "tradition", "score"), of("scoped"), of("free")
+
+
 def answer(
     units: DataFrame, questions: list[tuple[int, str]], works: DataFrame, traditions: DataFrame, tags: DataFrame | None = None, vectors: DataFrame | None = None, asked_vectors: DataFrame | None = None,
-    limit: int = 5, reach: Reach = Reach(), index: DataFrame | None = None, phrases: dict[str, list[str]] = G.QUESTION_PHRASES,
+    limit: int = 5, reach: Reach = Reach(), index: str | None = None, phrases: dict[str, list[str]] = G.QUESTION_PHRASES,
 ) -> DataFrame:
     """qid, place, unit_id, source, tradition, chunk_seq, passage: at most `limit` passages for each question.
 
@@ -92,21 +118,17 @@ def answer(
 
     units: unit_id, source, tradition, title, content, sequence. works: source, title, author.
     traditions: tradition. tags: unit_id, slug. vectors: chunk_id, unit_id, vector, with
-    asked_vectors: qid, query. index: a postings table of the units, kept by lexical.with_units; without
-    one the texts are scanned once. The questions are few and sent to all tasks; a question without
+    asked_vectors: qid, query. index: the folder of a kept index of the units (kept_index), from which
+    only what can be among the best is read; without one the texts are scanned once. The questions are few and sent to all tasks; a question without
     words, or without any list, has no passages.
     """
     spark = units.sparkSession
     asked = spark.createDataFrame(questions, "qid int, text string")
     sources, named = scopes(asked, works, traditions)
     about = units.select("unit_id", F.col("source").cast("string").alias("source"), "tradition")
-    scored = X.bm25(units, questions) if index is None else X.bm25_indexed(index, units, questions).join(about, "unit_id")
-    scored = stored(scored.select("qid", "unit_id", F.col("source").cast("string").alias("source"), "tradition", "score"), "scored")
-
-    scoped = stored(X.top(within(scored, sources, named), reach.scoped * limit).select("qid", "unit_id", "rank"), "scoped")
+    scored, scoped, free = _scanned(units, questions, sources, named, limit, reach) if index is None else _kept(index, questions, sources, named, limit, reach, spark)
     enough = scoped.groupBy("qid").count().where(F.col("count") >= reach.enough).select("qid")
-    free = X.top(scored.join(F.broadcast(enough), "qid", "left_anti"), reach.lexical * limit).select("qid", "unit_id", "rank")
-    lexical = scoped.join(F.broadcast(enough), "qid", "left_semi").unionByName(free).unionByName(unheard(units, questions, scored, reach.lexical * limit))
+    lexical = scoped.join(F.broadcast(enough), "qid", "left_semi").unionByName(free.join(F.broadcast(enough), "qid", "left_anti")).unionByName(unheard(units, questions, scored, reach.lexical * limit))
     if tags is not None:
         topics = asked.select("qid", F.explode(G.question_tags(F.col("text"), phrases)).alias("slug"))
         matches = tags.join(F.broadcast(topics), "slug").groupBy("qid", "unit_id").agg(F.count("slug").alias("score"))

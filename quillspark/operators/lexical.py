@@ -86,23 +86,3 @@ def with_units(index: DataFrame, units: DataFrame) -> DataFrame:
 def dictionary(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
 
-
-def bm25_indexed(index: DataFrame, units: DataFrame, questions: list[tuple[int, str]]) -> DataFrame:
-    """bm25() over a postings table, for many questions: qid, unit_id, score.
-
-    Every prefix of a dictionary token is a row, so looking up prefix terms is an equi-join; only
-    postings of matching tokens are read on.
-    """
-    spark = index.sparkSession
-    terms = spark.createDataFrame([(qid, t) for qid, text in questions for t in query_terms(text)], "qid int, term string")
-    lengths = index.groupBy("unit_id").agg(F.sum("tf").cast("long").alias("dl"))
-    n = units.count()
-    mean = float(lengths.agg(F.sum("dl")).first()[0] or 0) / max(n, 1) or 1.0
-    prefixes = F.explode(F.transform(F.sequence(F.lit(3), F.length("token")), lambda k: F.left("token", k)))
-    found = index.select("token").where("length(token) >= 3").distinct().select("token", prefixes.alias("term")).join(F.broadcast(terms.select("term").distinct()), "term")
-    tf = index.join(found, "token").groupBy("term", "unit_id").agg(F.sum("tf").cast("double").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    each = tf.join(df, "term").join(terms, "term").join(lengths, "unit_id")
-    idf = F.log(F.greatest(F.lit(1.000001), (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
-    return each.groupBy("qid", "unit_id").agg(F.sum(part).alias("score"))

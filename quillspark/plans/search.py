@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import SEARCH_STOPWORDS
 from ..operators import answering as A
 from ..operators import chunks as C
+from ..operators import kept_index as K
 from ..operators import lexical as X
 from ..operators import scope as S
 from ..operators import semantic as M
 from ..operators import tagging as G
+from ..sources.store import shared_dir
 from ..sources.tables import UNITS_SQL, table, units
 
 #: Questions in the words of the synthetic documents.
@@ -25,17 +31,46 @@ def lexical_bm25_topk(spark, sf):
     return found.select("qid", "unit_id", "rank", F.round("score", 6).alias("score"))
 
 
+def kept(spark, sf):
+    """The folder of the index of a corpus: it is written when it is first asked for in an application, then kept."""
+    root = f"{shared_dir(spark)}/kept-index-{spark.sparkContext.applicationId}-{hashlib.md5(sf.encode()).hexdigest()[:12]}"
+    if not K.Reader(spark, root).segments:
+        K.add(units(spark, sf), root)
+    return root
+
+
+def _ranked(found):
+    return found.rows.select(F.col("ask").alias("qid"), "unit_id", "rank", F.round("score", 6).alias("score"))
+
+
 def bm25_index_topk(spark, sf):
-    """The same through a postings table."""
-    u = units(spark, sf)
-    found = X.top(X.bm25_indexed(X.postings(u), u, QUESTIONS), LIMIT)
-    return found.select("qid", "unit_id", "rank", F.round("score", 6).alias("score"))
+    """The same through a kept index."""
+    return _ranked(K.top(spark, kept(spark, sf), K.asks(QUESTIONS, LIMIT)))
+
+
+#: The shelves that a question may use: works, traditions.
+SCOPES = {1: (["src3", "src5"], []), 2: ([], ["fr"]), 3: (["src1"], ["en"])}
+
+
+def kept_index_scoped(spark, sf):
+    """Each question within some works or traditions."""
+    scope = spark.createDataFrame([(q, w, None) for q, (works, _) in SCOPES.items() for w in works] + [(q, None, t) for q, (_, traditions) in SCOPES.items() for t in traditions], "ask int, source string, tradition string")
+    return _ranked(K.top(spark, kept(spark, sf), [replace(a, scoped=True) for a in K.asks(QUESTIONS, LIMIT)], scope))
+
+
+def kept_index_upkeep(spark, sf):
+    """An index that took in all units, lost the short ones and got the long ones again with nothing but their titles."""
+    u, root = units(spark, sf), f"{shared_dir(spark)}/upkeep-{uuid.uuid4().hex}"
+    K.add(u, root)
+    K.remove(spark, root, u.where(F.length("content") < 300))
+    K.add(u.where(F.length("content") > 3000).withColumn("content", F.col("title")), root)
+    return _ranked(K.top(spark, root, K.asks(QUESTIONS, LIMIT)))
 
 
-def _bm25_sql() -> str:
+def _bm25_sql(units_sql: str = UNITS_SQL) -> str:
     asked = [(qid, X.query_terms(text)) for qid, text in QUESTIONS]
     rows = ", ".join(f"({qid}, '{t}')" for qid, own in asked for t in own)
-    return f"""WITH {UNITS_SQL}, asked(qid, term) AS (VALUES {rows}),
+    return f"""WITH {units_sql}, asked(qid, term) AS (VALUES {rows}),
 tokens AS (SELECT unit_id, unnest(regexp_extract_all(lower(content || ' ' || title), '[a-z0-9]+')) AS token FROM units),
 lengths AS (SELECT unit_id, len(regexp_extract_all(lower(content || ' ' || title), '[a-z0-9]+')) AS dl FROM units),
 stats AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS mean FROM lengths),
@@ -173,7 +208,7 @@ def search_rag(spark, sf):
     """The whole pipeline on a few questions; two vectors in a row stand for the chunks of a unit."""
     u = units(spark, sf)
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 2).cast("long").alias("unit_id"), F.col("embedding").alias("vector"))
-    found = A.answer(u, ASKED, _annals(u), u.select("tradition").distinct(), G.unit_tags(u, KEYWORDS), vectors, _asked_vectors(spark, sf), PLACES, phrases=ASKED_PHRASES)
+    found = A.answer(u, ASKED, _annals(u), u.select("tradition").distinct(), G.unit_tags(u, KEYWORDS), vectors, _asked_vectors(spark, sf), PLACES, index=kept(spark, sf), phrases=ASKED_PHRASES)
     return found.select("qid", "place", "unit_id", "source", "tradition", "chunk_seq", F.md5("passage").alias("md5"))
 
 
@@ -185,9 +220,11 @@ def postings_upkeep(spark, sf):
     return X.dictionary(X.with_units(X.without_units(index, short.unionByName(long)), long))
 
 
-QUERIES = {f.__name__: f for f in (lexical_bm25_topk, bm25_index_topk, postings_dictionary, query_expression, keyword_tags, tag_coverage, tag_search, query_tags, vector_topk, quantize_int8, best_chunk_per_unit, rrf_hybrid, rrf_with_tags, diversified, scope_recognise, entity_tokens, chunk_spans, chunk_text, fixed_slices, search_rag, postings_upkeep)}
+QUERIES = {f.__name__: f for f in (lexical_bm25_topk, bm25_index_topk, kept_index_scoped, kept_index_upkeep, postings_dictionary, query_expression, keyword_tags, tag_coverage, tag_search, query_tags, vector_topk, quantize_int8, best_chunk_per_unit, rrf_hybrid, rrf_with_tags, diversified, scope_recognise, entity_tokens, chunk_spans, chunk_text, fixed_slices, search_rag, postings_upkeep)}
 
 _LEX = _bm25_sql()
+_INSIDE = " OR ".join(f"qid = {q} AND {column} = '{name}'" for q, both in SCOPES.items() for column, names in zip(("source", "tradition"), both) for name in names)
+_UPKEPT = f"{UNITS_SQL.replace('units AS', 'every AS', 1)}, units AS (SELECT unit_id, title, CASE WHEN length(content) > 3000 THEN title ELSE content END AS content FROM every WHERE length(content) >= 300)"
 _VEC = f"""vec AS (SELECT * FROM (SELECT q.vec_id // 2 AS qid, v.vec_id AS unit_id, list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, v.vec_id)::INT AS rank
   FROM embeddings v, embeddings q WHERE q.vec_id IN (3, 5, 7)) WHERE rank <= {LIMIT})"""
@@ -215,6 +252,8 @@ _SLASH = ", ".join(f"'{w}'" for w in sorted(SEARCH_STOPWORDS))
 SQL = {
     "lexical_bm25_topk": f"{_LEX} SELECT qid, unit_id, rank, round(score, 6) AS score FROM lexical",
     "bm25_index_topk": f"{_LEX} SELECT qid, unit_id, rank, round(score, 6) AS score FROM lexical",
+    "kept_index_scoped": f"{_LEX} SELECT qid, unit_id, rank, round(score, 6) AS score FROM (SELECT qid, unit_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit_id)::INT AS rank FROM scored JOIN units USING (unit_id) WHERE {_INSIDE}) WHERE rank <= {LIMIT}",
+    "kept_index_upkeep": f"{_bm25_sql(_UPKEPT)} SELECT qid, unit_id, rank, round(score, 6) AS score FROM lexical",
     "postings_dictionary": f"WITH {UNITS_SQL} SELECT token, count(DISTINCT unit_id) AS df, count(*) AS cf FROM (SELECT unit_id, unnest(regexp_extract_all(lower(content || ' ' || title), '[a-z0-9]+')) AS token FROM units) GROUP BY token",
     "postings_upkeep": f"WITH {UNITS_SQL} SELECT token, count(DISTINCT unit_id) AS df, count(*) AS cf FROM (SELECT unit_id, unnest(regexp_extract_all(lower(content || ' ' || title), '[a-z0-9]+')) AS token FROM units WHERE length(content) >= 300) GROUP BY token",
     "query_expression": f"""WITH asked(qid, q) AS (VALUES {", ".join(f"({i}, '{q}')" for i, (_, q) in enumerate(QUESTIONS))}, (10, 'what are these about'), (11, 'a an'), (12, 'The "Synod" (of Dort)')),
