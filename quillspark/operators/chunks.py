@@ -6,11 +6,11 @@ import bisect
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+
+from . import scans
 
 TARGET, MOST, OVERLAP, PER_UNIT, FAR = 1200, 1800, 200, 1000, 10_000_000
 _PARAGRAPH, _SENTENCE = re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?])\s+")
@@ -68,21 +68,10 @@ def best(pieces: DataFrame, terms: list[str]) -> DataFrame:
 def packed(rows: DataFrame, group: str, order: list[str], size: str, target: int) -> DataFrame:
     """Rows of a group in order, packed into parts: a part ends when its sizes reach the target.
 
-    Sums that start anew are a loop over a group's sizes, one number a row; texts stay where they are. Rows that the order leaves equal go by size.
+    A group need not fit one task (scans.parts). Texts stay where they are; rows that the order leaves equal go by size, and a size that is null counts as 0.
     """
     own = rows.select(group, *order, F.col(size).cast("long").alias("__size"))
-    schema = StructType([*(own.schema[c] for c in (group, *order)), StructField("part", IntegerType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*order, "__size"])
-        ends = np.cumsum(pdf["__size"].to_numpy())
-        parts, at, done, part = np.zeros(len(ends), np.int32), 0, 0, 0
-        while at < len(ends):
-            to = min(int(np.searchsorted(ends, done + target)) + 1, len(ends))
-            parts[at:to], at, done, part = part, to, ends[to - 1], part + 1
-        return pdf[[group, *order]].assign(part=parts)
-
-    return own.groupBy(group).applyInPandas(run, schema)
+    return scans.parts(own, [group], order, "__size", target).select(group, *order, F.col("__part").alias("part"))
 
 
 def ordinal(rows: DataFrame, group: str, order: list[str]) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 SPLIT_OVER, LEAST_VERSES = 700, 2
 _VERSE = re.compile(r"^[ \t]*(\d{1,3})\.[ \t]+", re.M)
 _SENTENCE = re.compile(r"(?<=[.!?])(?:(?<=[.!?])|(?<=[.!?][\")\]]))\s+(?=[A-Z\"“(\[])|(?<=[.!?][\")\]])\s+(?=[A-Z\"“(\[])")
@@ -95,20 +97,23 @@ def number_gaps(rows: DataFrame, key: str, number: str) -> DataFrame:
 
 
 def span_ends(marks: DataFrame, key: str, start: str, length: Column) -> DataFrame:
-    """Each mark's span ends where the next begins, the last one's at the end."""
-    return marks.withColumn("span_end", F.coalesce(F.lead(start).over(Window.partitionBy(key).orderBy(start)), length))
+    """Each mark's span ends where the next begins, the last one's at the end. A work's marks need not fit one task."""
+    return scans.following(marks, [key], [start], start, "span_end").withColumn("span_end", F.coalesce("span_end", length))
 
 
 def carried(rows: DataFrame, key: str, order: list[str], label: Column) -> DataFrame:
     """The last label that was seen, for rows that have none."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("carried", F.last(label, ignorenulls=True).over(w))
+    return scans.carried(rows, [key], order, {"carried": label})
 
 
 def rising(rows: DataFrame, key: str, order: list[str], number: str) -> DataFrame:
-    """Rows whose number is higher than all before it: headings in order, without strays."""
-    before = F.max(number).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("__before", before).where(F.col("__before").isNull() | (F.col(number) > F.col("__before"))).drop("__before")
+    """Rows whose number is higher than all before it: headings in order, without strays. skipped() tells which were left out."""
+    return scans.highest_before(rows, [key], order, number, "__before").where(F.col("__before").isNull() | (F.col(number) > F.col("__before"))).drop("__before")
+
+
+def skipped(rows: DataFrame, key: str, order: list[str], number: str) -> DataFrame:
+    """The rows that rising() leaves out, with the number that they are not above."""
+    return scans.highest_before(rows, [key], order, number, "above").where(F.col(number).isNull() | (F.col(number) <= F.col("above")))
 
 
 def without_runs(rows: DataFrame, key: str, at: str, gap: int, length: int) -> DataFrame:
