@@ -12,23 +12,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .reader import carried
+from . import scans
 
 
 @dataclass(frozen=True)
 class Form:
     """anchor: a pattern, multi-line, whose group 1 is the number and group 2, if any, the title. roman: how numbers are written.
-    by_place: the place counts as the number, for prints that number wrongly. rising: an anchor whose number is not above all
-    before it belongs to the section it stands in. sections, missing, least: how many there must be, numbers known to be
-    absent, and the characters that each must have."""
+    by_place: the place counts as the number; the printed one must then be the place's, but for `misprints` (place: numeral)
+    that the print is known for. first: only the first anchor of each number from 1 to `sections` begins a section, in the
+    order of the print, which then need not be that of the numbers. rising: an anchor whose number is not above all before it
+    belongs to the section it stands in, as do later anchors of a number under `first`. sections, missing, least: how many
+    there must be, numbers known to be absent, and the characters that each must have. unanswered: the numbers of a catechism
+    that are known to have no answer; None for other texts."""
 
     anchor: str
     roman: bool = False
     by_place: bool = False
+    misprints: tuple[tuple[int, str], ...] = ()
+    first: bool = False
     rising: bool = False
     sections: int | None = None
     missing: tuple[int, ...] = ()
     least: int = 1
+    unanswered: tuple[int, ...] | None = None
 
 
 # How the sections of each kind of text begin, and how many there are.
@@ -40,12 +46,12 @@ FORMS = {
     "westminster": Form(r"(?is)\{\{c\|\{\{larger\|\{\{sc\|Chap\.\s*([ivxl]+)\.\s*(.*?)\}\}\}\}\}\}", roman=True, sections=33),
     "baptist": Form(r"^==\s*Chapter\s+(\d+)\s*:\s*(.+?)\s*==[ \t]*$", sections=32),
     "numbered_paragraphs": Form(r"^(\d+)\.\s+"),
-    "first_baptist": Form(r"^([IVXL]+)\.?(?:[ \t]*\[sic\])?[ \t]*$", roman=True, by_place=True, sections=53),
+    "first_baptist": Form(r"^([IVXL]+)\.?(?:[ \t]*\[sic\])?[ \t]*$", roman=True, by_place=True, misprints=((36, "XXVI"), (53, "LII")), sections=53, least=80),
     "scots": Form(r"^={2,3}\s*Chapter\s+(\d+):\s*(.*?)\s*={2,3}[ \t]*$", sections=25),
     "sermons": Form(r"^[ \t]*Sermon[ \t]+(\d+)\b[ \t]*(.*)$", sections=141),
-    "roman_chapters": Form(r"^[ \t]*([IVXLCDM]+)\.", roman=True, by_place=True, sections=108),
+    "roman_chapters": Form(r"^[ \t]*([IVXLCDM]+)\.", roman=True, first=True, sections=108),
     "needs": Form(r"^_Chapter\s+([IVXLC]+)\._[ \t]*$", roman=True, sections=28),
-    "longer_catechism": Form(r"^(\d{1,3})[.)]\s*", rising=True, sections=611),
+    "longer_catechism": Form(r"^(\d{1,3})[.)]\s*", rising=True, sections=610, missing=(288,), unanswered=(126, 150)),
     "psalms": Form(r"^Psalm\s+(\d+)[ \t]*$", rising=True, sections=150),
     "questions": Form(r"^Question\s+(\d+)\.[ \t]*(.*)$"),
     "summa_articles": Form(r"^Article\s+(\d+)\.[ \t]*(.*)$"),
@@ -63,7 +69,7 @@ def _trimmed(text: Column) -> Column:
 
 
 def sections(texts: DataFrame, form: Form, keys: tuple[str, ...] = ("work",), text: str = "text") -> DataFrame:
-    """The keys, nth, number, title and body of each section; what stands before the first anchor is no section.
+    """The keys, nth, number, printed (the number as it stands), title and body of each section; what stands before the first anchor is no section.
 
     Sections of sections come by calling it again with `number` renamed among the keys. A null text has none.
     """
@@ -71,24 +77,36 @@ def sections(texts: DataFrame, form: Form, keys: tuple[str, ...] = ("work",), te
     rows = texts.select(*keys, F.posexplode(F.split(text, f"(?m)(?={form.anchor})")).alias("at", "raw")).where(F.col("raw").rlike(starts))
     printed = F.regexp_extract("raw", starts, 1)
     rows = rows.withColumn("number", (T.roman_to_int(printed) if form.roman else printed.try_cast("int")).cast("int"))
+    rows = rows.withColumn("printed", printed)
     if form.rising:
         rows = _rising(rows, list(keys))
+    if form.first:
+        rows = _first(rows, list(keys), form.sections)
     titled = form.anchor.replace("(?", "").replace(r"\(", "").count("(") > 1
     title = T.squeeze(F.regexp_extract("raw", starts, 2)) if titled else F.lit("")
-    rows = rows.select(*keys, "at", "number", title.alias("title"), _trimmed(F.regexp_replace("raw", starts, "")).alias("body"))
+    rows = rows.select(*keys, "at", "number", "printed", title.alias("title"), _trimmed(F.regexp_replace("raw", starts, "")).alias("body"))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("at"))
     rows = rows.withColumn("nth", nth)
-    return rows.select(*keys, "nth", (F.col("nth") if form.by_place else F.col("number")).alias("number"), "title", "body")
+    return rows.select(*keys, "nth", (F.col("nth") if form.by_place else F.col("number")).alias("number"), "printed", "title", "body")
 
 
 def _rising(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose number is above all before them, each with the rows that follow up to the next such."""
-    whole = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    above = F.col("number") > F.coalesce(F.max("number").over(whole), F.lit(0))
-    marked = rows.withColumn("own", F.when(above, F.col("at"))).withColumn("key", F.struct(*keys))
-    marked = carried(marked, "key", ["at"], F.col("own")).where("carried IS NOT NULL")
+    above = scans.highest_before(rows, keys, ["at"], "number", "__high")
+    return _joined(above.withColumn("own", F.when(F.col("number") > F.coalesce("__high", F.lit(0)), F.col("at"))), keys)
+
+
+def _first(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The first row of each number from 1 to `most`, each with the rows that follow up to the next such."""
+    nth = F.row_number().over(Window.partitionBy(*keys, "number").orderBy("at"))
+    return _joined(rows.withColumn("own", F.when(F.col("number").between(1, most) & (nth == 1), F.col("at"))), keys)
+
+
+def _joined(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with an `own` place as they are, the others' text behind the one before."""
+    marked = scans.carried(rows, keys, ["at"], {"own": F.col("own")}).where("own IS NOT NULL")
     raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "raw"))), lambda r: r["raw"]), "")
-    return marked.groupBy(*keys, F.col("carried").alias("at")).agg(raw.alias("raw"), F.min_by("number", "at").alias("number"))
+    return marked.groupBy(*keys, F.col("own").alias("at")).agg(raw.alias("raw"), F.min_by("number", "at").alias("number"), F.min_by("printed", "at").alias("printed"))
 
 
 def asked(body: Column) -> Column:
@@ -102,8 +120,12 @@ def asked(body: Column) -> Column:
 def report(found: DataFrame, form: Form, works: DataFrame) -> DataFrame:
     """work, check, expected, actual and ok: a row for each thing that every work (works: work) must fulfil. A work without sections fails, it is not left out."""
     spare = F.size(F.array_except(F.array(*map(F.lit, form.missing)).cast("array<int>"), F.collect_set("number")))
+    misprints = F.create_map(*(F.lit(x) for kv in form.misprints for x in kv)) if form.misprints else F.create_map().cast("map<int,string>")
+    proper = F.coalesce(F.try_element_at(misprints, F.col("number")), T.int_to_roman(F.col("number")) if form.roman else F.col("number").cast("string"))
+    silent = F.array_sort(F.collect_set(F.when(asked(F.col("body"))["answer"] == "", F.col("number"))))
     each = found.groupBy("work").agg(
         F.count("*").alias("n"), F.countDistinct("number").alias("numbers"), F.max("number").alias("last"), F.count_if(F.length("body") < form.least).alias("short"), spare.alias("spare"),
+        F.count_if(F.col("printed") != proper).alias("misprinted"), silent.alias("silent"),
     )
     each = works.select("work").join(each, "work", "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long")
@@ -116,6 +138,10 @@ def report(found: DataFrame, form: Form, works: DataFrame) -> DataFrame:
     ]
     if form.sections is not None:
         checks.append(check("sections", F.lit(form.sections), F.col("n"), F.col("n") == form.sections))
+    if form.by_place:
+        checks.append(check("printed numbers in sequence", F.lit(0), F.col("misprinted"), F.col("misprinted") == 0))
+    if form.unanswered is not None:
+        checks.append(check("unanswered", F.lit(len(form.unanswered)), F.size("silent"), F.col("silent") == F.array(*map(F.lit, form.unanswered)).cast("array<int>")))
     return each.select("work", F.inline(F.array(*checks)))
 
 

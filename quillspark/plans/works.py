@@ -215,7 +215,9 @@ cards AS (SELECT source, 'Work ' || source AS title, CASE WHEN k % 3 = 0 THEN 'A
 mem AS (SELECT * FROM (VALUES ('c1', 'west'), ('c1', 'gallic'), ('c2', 'rest'), ('c2', 'west'), ('c3', 'none')) m(collection, fragment))"""
 
 SQL = {
-    "form_sections": f"WITH {_LINES} SELECT work, nth, number, 'On part ' || part AS title, 'Text of' || chr(10) || part || '.' AS body FROM lines",
+    "form_sections": rf"""WITH {_LINES}, texts AS (SELECT work, 'A preface' || chr(10) || chr(10) || string_agg('  Sermon ' || number || '  On part ' || part || chr(10) || chr(10) || 'Text of' || chr(10) || part || '.' || chr(10) || chr(10), '' ORDER BY nth) AS text FROM lines GROUP BY work),
+p AS (SELECT work, unnest(string_split(regexp_replace(text, '(?m)^([ \t]*Sermon[ \t]+\d+\b.*)$', chr(1) || '\1', 'g'), chr(1))) AS raw, generate_subscripts(string_split(regexp_replace(text, '(?m)^([ \t]*Sermon[ \t]+\d+\b.*)$', chr(1) || '\1', 'g'), chr(1)), 1) - 1 AS nth FROM texts)
+SELECT work, nth::INT AS nth, regexp_extract(raw, '^[ \t]*Sermon[ \t]+(\d+)', 1)::INT AS number, regexp_extract(raw, '^[ \t]*Sermon[ \t]+(\d+)', 1) AS printed, trim(regexp_extract(raw, '^[ \t]*Sermon[ \t]+\d+\b(.*)', 1)) AS title, trim(regexp_replace(raw, '^.*', ''), ' ' || chr(10)) AS body FROM p WHERE nth > 0""",
     "form_report": f"""WITH {_LINES}, g AS (SELECT o_orderkey AS work, count(number) AS n, count(DISTINCT number) AS numbers, coalesce(max(number), 0) AS last FROM orders LEFT JOIN lines ON work = o_orderkey GROUP BY o_orderkey)
 SELECT work, 'numbers run without a gap' AS "check", last AS expected, numbers AS actual, n > 0 AND numbers = last AS ok FROM g UNION ALL SELECT work, 'no number twice', n, numbers, n > 0 AND n = numbers FROM g UNION ALL SELECT work, 'no section too short', 0, 0, n > 0 FROM g UNION ALL SELECT work, 'sections', 141, n, n = 141 FROM g""",
     "catechism_answers": f"WITH {_LINES} SELECT work, nth, 2 * nth - 1 AS number, 'What of ' || part || '?' AS question, 'It is' || chr(10) || 'no ' || part || '.' || chr(10) || '1. A point.' AS answer FROM lines",

@@ -57,6 +57,36 @@ def test_report_knows_missing_numbers_and_empty_works(spark):
     assert got["whole", "numbers run without a gap"] == (3, 3, True) and got["none", "sections"] == (3, 0, False)
 
 
+def gates(spark, form, text):
+    texts = spark.createDataFrame([("w", text)], "work string, text string")
+    return {r["check"]: r.ok for r in P.report(P.sections(texts, P.FORMS[form]), P.FORMS[form], texts).collect()}
+
+
+ROMAN = [a + b for a in ("", "X", "XX", "XXX", "XL", "L") for b in ("", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX")][1:54]
+BODY = "The text of an article that is long enough to be one, and then a little longer still than that."
+
+
+def test_places_are_compared_with_what_is_printed(spark):
+    known = {36: "XXVI", 53: "LII"}
+    text = lambda numerals: "".join(f"{n}.\n{BODY}\n" for n in numerals)
+    genuine = [known.get(i, n) for i, n in enumerate(ROMAN, 1)]
+    assert all(gates(spark, "first_baptist", text(genuine)).values())
+    for wrong in (["IX"] * 53, ROMAN):
+        assert [c for c, ok in gates(spark, "first_baptist", text(wrong)).items() if not ok] == ["printed numbers in sequence"]
+
+
+def test_the_genuine_longer_catechism_passes(spark):
+    text = lambda missing, silent: "".join(f"{n}. What of {n}? " + ("" if n in silent else f"That.\n1. point\n") + "\n" for n in range(1, 612) if n not in missing)
+    assert all(gates(spark, "longer_catechism", text({288}, {126, 150})).values())
+    bad = lambda *a: {c for c, ok in gates(spark, "longer_catechism", text(*a)).items() if not ok}
+    assert bad({288}, {126}) == {"unanswered"} and bad(set(), {126, 150}) >= {"sections"} and bad({288, 300}, {126, 150}) >= {"sections", "numbers run without a gap"}
+
+
+def test_first_anchors_in_the_order_of_the_print(spark):
+    rows = P.sections(spark.createDataFrame([("w", "I. a\nII. b\nIV. c\nII. seen above\nIII. d\nCIX. no chapter\n")], "work string, text string"), P.FORMS["roman_chapters"])
+    assert [(r.number, r.printed, r.body) for r in rows.orderBy("nth").collect()] == [(1, "I", "a"), (2, "II", "b"), (4, "IV", "c\nII. seen above"), (3, "III", "d\nCIX. no chapter")]
+
+
 def test_questions_and_answers(spark):
     rows = spark.createDataFrame([("What is it?\nA. It is\nthis.",), ("469. Who? They.",), ("No question",)], "body string").select(P.asked(F.col("body")).alias("a")).collect()
     assert [tuple(r.a) for r in rows] == [("What is it?", "It is\nthis."), ("469. Who?", "They."), ("No question", "")]
