@@ -9,6 +9,7 @@ from ..functions.vectors import dot
 from ..functions.wordpiece import wordpiece
 from ..operators.excerpts import excerpts, tiers
 from ..sources.tables import UNITS_SQL, table, units
+from ..streaming import answers as N
 from ..streaming import tokens as S
 
 
@@ -75,9 +76,23 @@ def two_stage_vectors(spark, sf):
     return few.select("vec_id", F.round(dot(F.col("embedding"), F.col("q")), 6).alias("score")).orderBy(F.col("score").desc(), "vec_id").limit(10)
 
 
-QUERIES = {f.__name__: f for f in (reasoning_filter, sse_frames, ndjson_frames, newer_versions, model_tiers, work_excerpts, wordpiece_ids, two_stage_vectors)}
+def answers_kept(spark, sf):
+    """Answers that begin with a thought and come in chunks of seven characters; some are cancelled on the way or after their end."""
+    c = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("stream_id"), "conv_id", "turn", F.concat(F.lit("<think>"), "role", F.lit("</think>"), F.coalesce("text", F.lit(""))).alias("t"))
+    n = F.greatest(F.lit(1), F.ceil(F.length("t") / 7)).cast("int")
+    chunks = c.select("stream_id", "t", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
+    chunks = chunks.select("stream_id", "seq", F.substring(F.col("t"), F.col("seq") * 7 + 1, F.lit(7)).alias("chunk"), (F.col("seq") == F.col("n") - 1).alias("is_last"))
+    cancels = c.where("conv_id % 3 = 0").select("stream_id", (F.col("turn") * 5 % 40).alias("seq"))
+    return N.kept(N.batch(N.events(chunks, cancels))).select("stream_id", "event", F.md5("text").alias("md5"))
+
+
+QUERIES = {f.__name__: f for f in (answers_kept, reasoning_filter, sse_frames, ndjson_frames, newer_versions, model_tiers, work_excerpts, wordpiece_ids, two_stage_vectors)}
 
 SQL = {
+    "answers_kept": """WITH c AS (SELECT conv_id || '-' || turn AS stream_id, '<think>' || role || '</think>' || coalesce(text, '') AS t, CASE WHEN conv_id % 3 = 0 THEN turn * 5 % 40 END AS stop FROM conversations),
+k AS (SELECT stream_id, t, stop, coalesce(stop < greatest(1, ceil(length(t) / 7)), false) AS cut FROM c),
+v AS (SELECT stream_id, cut, ltrim(regexp_replace(CASE WHEN cut THEN substr(t, 1, 7 * stop) ELSE t END, '(?s)^<think>.*?(?:</think>|$)', ''), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM k)
+SELECT stream_id, CASE WHEN cut THEN 'cancelled' ELSE 'end' END AS event, md5(text || CASE WHEN cut AND text <> '' THEN chr(10) || chr(10) || '_(stopped)_' ELSE '' END) AS md5 FROM v""",
     "reasoning_filter": "SELECT conv_id || '-' || turn AS stream_id, md5(ltrim(rtrim(ltrim(text)) || CASE WHEN turn % 3 = 0 THEN ' yes' ELSE '' END, ' ' || chr(10))) AS md5 FROM conversations",
     "sse_frames": "SELECT conv_id || '-' || turn AS stream_id, md5(role || text) AS md5 FROM conversations",
     "ndjson_frames": "SELECT conv_id || '-' || turn AS stream_id, md5(role || text) AS md5 FROM conversations",

@@ -7,6 +7,7 @@ a short buffer for each stream, so a streaming query holds no more than an unfin
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -17,14 +18,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # What opens and closes a thought.
 PAIRS = (("<think>", "</think>"), ("<|channel>thought", "<channel|>"))
-_MARKERS = [(text, i, k) for i, pair in enumerate(PAIRS) for k, text in enumerate(pair)]
+#: pair and whether it closes, by marker
+_ROLES = {marker: (i, k == 1) for i, pair in enumerate(PAIRS) for k, marker in enumerate(pair)}
+_ANY = re.compile("|".join(map(re.escape, _ROLES)))
 #: buffer, pair that is open (-1: none), whether anything was emitted
 FRESH = ("", -1, False)
 
 
-def _held(buffer: str, markers) -> int:
-    """Length of the longest end of buffer that may be the beginning of a marker."""
-    return max((n for m in markers for n in range(1, min(len(buffer), len(m) - 1) + 1) if buffer.endswith(m[:n])), default=0)
+def _unfinished(markers) -> re.Pattern:
+    """An end of text with which one of the markers may begin."""
+    starts = sorted({m[:n] for m in markers for n in range(1, len(m))}, key=len, reverse=True)
+    return re.compile(rf"(?:{'|'.join(map(re.escape, starts))})\Z")
+
+
+# what may wait at the end: outside any marker can come, within a pair only its closer
+_WAITING = {-1: _unfinished(_ROLES)} | {i: _unfinished([pair[1]]) for i, pair in enumerate(PAIRS)}
 
 
 def visible(state: tuple, chunk: str, last: bool = False) -> tuple[tuple, str]:
@@ -33,30 +41,24 @@ def visible(state: tuple, chunk: str, last: bool = False) -> tuple[tuple, str]:
     An end that may become a marker waits; a thought that never closes is dropped, so is a closer
     without a thought; blanks before the first visible character go.
     """
-    buffer, inside, emitted = state
-    buffer, out = buffer + chunk, []
-    while True:
-        if inside >= 0:
-            closer = PAIRS[inside][1]
-            before, found, rest = buffer.partition(closer)
-            if not found:
-                n = _held(buffer, [closer])
-                buffer = buffer[len(buffer) - n :]
-                break
-            buffer, inside = rest, -1
+    carry, open_, emitted = state
+    text, shown, at = carry + chunk, [], 0
+    for found in _ANY.finditer(text):  # markers begin with a sign that none has within, so matches do not overlap
+        pair, closes = _ROLES[found[0]]
+        if open_ < 0:
+            shown.append(text[at : found.start()])
+            open_ = -1 if closes else pair
+        elif closes and pair == open_:
+            open_ = -1
+        else:
             continue
-        first = min(((at, i, k, text) for text, i, k in _MARKERS if (at := buffer.find(text)) >= 0), default=None)
-        if first is None:
-            n = 0 if last else _held(buffer, [m for m, _, _ in _MARKERS])
-            out.append(buffer[: len(buffer) - n])
-            buffer = buffer[len(buffer) - n :]
-            break
-        at, i, k, text = first
-        out.append(buffer[:at])
-        buffer, inside = buffer[at + len(text) :], i if k == 0 else -1
-    text = "".join(out)
-    text = text if emitted else text.lstrip()
-    return (("", -1, False) if last else (buffer, inside, emitted or bool(text))), text
+        at = found.end()
+    waits = None if last else _WAITING[open_].search(text, at)
+    end = waits.start() if waits else len(text)
+    if open_ < 0:
+        shown.append(text[at:end])
+    out = "".join(shown) if emitted else "".join(shown).lstrip()
+    return (FRESH if last else (text[end:], open_, emitted or bool(out))), out
 
 
 def lines(state: tuple, chunk: str, last: bool = False) -> tuple[tuple, list[str]]:
