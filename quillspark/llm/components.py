@@ -68,6 +68,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.where("a <> b"), "edges")
     # these tables are small beside the documents: as many tasks as their rows take, not as the session's shuffles have
     tasks = max(edges.sparkSession.sparkContext.defaultParallelism, edges.count() // EDGES_A_TASK)
+    # a node's edges of all partitions meet, so what is left is about one a node, however often a large group's nodes met
+    edges = edges.repartition(tasks, "a").mapInArrow(contract, "a long, b long")
     both = edges.union(edges.select("b", "a")).distinct()
     both = materialize(both.coalesce(tasks), "edges-both")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")).coalesce(tasks), "labels")
