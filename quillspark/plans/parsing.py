@@ -70,7 +70,7 @@ cut AS (SELECT work, string_split(regexp_replace(text, '(?m)({_HEAD}|^{_PARAGRAP
 pieces AS (SELECT work, unnest(p) AS raw, generate_subscripts(p, 1) AS pos FROM cut),
 told AS (SELECT work, pos, raw, regexp_matches(raw, '^{_HEAD}') AS head, regexp_matches(raw, '(?m)\A{_PARAGRAPH}$') AS para FROM pieces),
 own AS (SELECT work, pos, head, CASE WHEN head THEN list_position({_ROMAN}, upper(regexp_extract(raw, '^{_HEAD}', 1))) END AS chapter, CASE WHEN para THEN regexp_extract(raw, '^{_PARAGRAPH}', 1)::INT END AS paragraph,
-  CASE WHEN head THEN regexp_extract(raw, '^{_HEAD}', 2) ELSE '' END AS title, {_TRIM(f"string_split_regex(regexp_replace(raw, CASE WHEN head THEN '^{_HEAD}' ELSE '^{_PARAGRAPH}' END, ''), '\{{\{{PD-|\[\[Category:')[1]")} AS body FROM told WHERE head OR para),
+  CASE WHEN head THEN regexp_extract(raw, '^{_HEAD}', 2) ELSE '' END AS title, {_TRIM(rf"string_split_regex(regexp_replace(raw, CASE WHEN head THEN '^{_HEAD}' ELSE '^{_PARAGRAPH}' END, ''), '\{{\{{PD-|\[\[Category:')[1]")} AS body FROM told WHERE head OR para),
 held AS (SELECT *, last_value(chapter IGNORE NULLS) OVER (PARTITION BY work ORDER BY pos) AS c FROM own),
 found AS (SELECT work, 'chapter' AS level, c AS chapter, NULL::INT AS paragraph, title, '' AS body FROM held WHERE head UNION ALL SELECT work, 'paragraph', c, CASE WHEN head THEN 1 ELSE paragraph END, '', body FROM held WHERE c IS NOT NULL AND (NOT head OR body <> ''))"""
 _CHILDREN = ", ".join(f"({path[0]}, {n})" for path, n in N.FORMS["westminster"].children.items())
