@@ -60,7 +60,7 @@ def token_repair(spark, sf):
 QUERIES = {f.__name__: f for f in (html_clean, html_paragraphs, anchor_segments, unit_gates, hard_splits, creators, plain_clean, parse_summary, token_repair)}
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"))
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 
 
 def _strip(sql: str) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..functions.vectors import dot
-from ..functions.wordpiece import wordpiece
+from ..functions.wordpiece import FOLDED, wordpiece
 from ..operators.excerpts import excerpts, tiers
 from ..sources.tables import UNITS_SQL, table, units
 from ..streaming import answers as N
@@ -88,7 +88,16 @@ def answers_kept(spark, sf):
 
 QUERIES = {f.__name__: f for f in (answers_kept, reasoning_filter, sse_frames, ndjson_frames, newer_versions, model_tiers, work_excerpts, wordpiece_ids, two_stage_vectors)}
 
+_FOLD = f"translate(lower(content), '{''.join(FOLDED.values())}', '{''.join(bare * len(marks) for bare, marks in FOLDED.items())}')"
+_SIGN = r"!-/:-@\[-`{-~\x{2000}-\x{206F}"
+
 SQL = {
+    # single letters begin and go on with a word, so what is longest at each place is told by one alternation
+    "wordpiece_ids": rf"""WITH {UNITS_SQL}, w AS (SELECT unit_id, regexp_extract_all({_FOLD}, '[{_SIGN}]|[^{_SIGN} \t\n\r]+')[1:254] AS ws FROM units),
+i AS (SELECT unit_id, flatten(list_transform(ws, lambda w: CASE WHEN w = '.' THEN [59] WHEN w = ',' THEN [60] WHEN NOT regexp_matches(w, '^[a-z]{{1,100}}$') THEN [0]
+  ELSE list_concat([CASE WHEN starts_with(w, 'the') THEN 55 WHEN starts_with(w, 'and') THEN 56 ELSE ascii(w) - 94 END],
+    list_transform(regexp_extract_all(substr(w, CASE WHEN regexp_matches(w, '^(the|and)') THEN 4 ELSE 2 END), 'tion|ing|[a-z]'), lambda p: CASE p WHEN 'tion' THEN 58 WHEN 'ing' THEN 57 ELSE ascii(p) - 68 END)) END))[1:254] AS ids FROM w)
+SELECT unit_id, (len(ids) + 2)::INT AS n, md5(array_to_string(list_concat([1], ids, [2]), ',')) AS md5 FROM i""",
     "answers_kept": """WITH c AS (SELECT conv_id || '-' || turn AS stream_id, '<think>' || role || '</think>' || coalesce(text, '') AS t, CASE WHEN conv_id % 3 = 0 THEN turn * 5 % 40 END AS stop FROM conversations),
 k AS (SELECT stream_id, t, stop, coalesce(stop < greatest(1, ceil(length(t) / 7)), false) AS cut FROM c),
 v AS (SELECT stream_id, cut, ltrim(regexp_replace(CASE WHEN cut THEN substr(t, 1, 7 * stop) ELSE t END, '(?s)^<think>.*?(?:</think>|$)', ''), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM k)

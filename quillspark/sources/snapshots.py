@@ -34,8 +34,12 @@ def _claimed(spark: SparkSession, root: str, version: int) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(path)
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], id_space: int, model: str, partition_by: dict[str, str] | None = None, dry_run: bool = False) -> int:
-    """Write all tables as the next version and make it current; a dry run says which version it would be."""
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], id_space: int, model: str, partition_by: dict[str, str] | None = None, dry_run: bool = False, keys: dict[str, list[str]] | None = None) -> int:
+    """Write all tables as the next version and make it current; a dry run says which version it would be. keys: what must be unique in a table; if it is not, nothing is written, dry run or not."""
+    for name, key in (keys or {}).items():
+        twice = tables[name].groupBy(*key).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n").head(3)
+        if twice:
+            raise ValueError(f"{name}: keys that occur more than once, such as {[tuple(r) for r in twice]}")
     version = current(spark, root) + 1
     if dry_run:
         return version

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import dates, encoder
 from quillspark.functions import text as T
+from quillspark.functions.entities import unescaped
 from quillspark.functions.wordpiece import encode
 from quillspark.operators import audit, excerpts, ingest, library, packs, scope, state, tagging
 from quillspark.operators.lexical import match_expression, query_terms
@@ -84,7 +85,7 @@ def test_markup(spark):
     assert one(spark, ingest.pages, "a\fb") == ["a", "b"]
     got = one(spark, ingest.header_fields, "Title: A Book\n  of Things\nRights: Public Domain\n\nBody: no")
     assert got == {"Title": "A Book of Things", "Rights": "Public Domain"}
-    assert one(spark, lambda c: ingest.unescaped(c), "a &amp; &eacute;") == "a & é"
+    assert one(spark, lambda c: unescaped(c), "a &amp; &eacute;") == "a & é"
     credits = lambda t: tuple(one(spark, ingest.credits, t))
     assert credits("Calvin, John (1509-1564) (Alternative) (Translator)") == ("John Calvin", None, 1509, 1564)
     assert credits("Calvin, John (1509-1564) Beveridge, Henry (Translator)") == ("John Calvin", "Henry Beveridge", 1509, 1564)
