@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import stored
+from .joins import with_counts
 
 # What marks generated and scraped text.
 TEMPLATE_TITLE = r"(?i)^On the .+ (?:That Is|That the|as the|and the|Who Is|Which Is) "
@@ -22,10 +24,9 @@ PUBLIC_BEFORE = 1929
 
 
 def copies(units: DataFrame) -> DataFrame:
-    """unit_id and how many units have the same text. Digests are counted, and only those that repeat join back, so a text that many share is one row."""
-    keyed = units.select("unit_id", F.sha2(F.trim("content"), 256).alias("digest"))
-    repeated = keyed.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    return keyed.join(repeated, "digest", "left").select("unit_id", F.coalesce("n", F.lit(1)).cast("long").alias("copies"))
+    """unit_id and how many units have the same text. Texts are read once for their digests; a text that a third of all units share is no task of its own."""
+    keyed = stored(units.select("unit_id", F.sha2(F.trim("content"), 256).alias("digest")), "digests")
+    return with_counts(keyed, ["digest"], "n").select("unit_id", F.coalesce("n", F.lit(1)).cast("long").alias("copies"))
 
 
 def most_repeated(text: Column, sizes=(3, 4)) -> Column:
@@ -41,11 +42,11 @@ def title_tokens(title: Column) -> Column:
 
 
 def verdicts(units: DataFrame) -> DataFrame:
-    """unit_id, verdict and reasons. Sibling counts are grouped sums that join back on short keys."""
+    """unit_id, verdict and reasons. Texts are read once, for flags and digests, which are stored; sibling counts come from these."""
     content, title = F.trim("content"), F.trim("title")
     tokens = title_tokens(F.col("title"))
     flagged = units.select(
-        "unit_id", "source",
+        "unit_id", "source", F.sha2(content, 256).alias("digest"),
         F.lower(title).alias("t"), F.array_join(tokens, " ").alias("tokens"),
         (F.size(tokens) > 1).alias("wordy"), (F.size(F.filter(tokens, lambda t: ~t.rlike("^[0-9]+$"))) > 1).alias("worded"),
         F.lower(title).isin(*BOILERPLATE_TITLES).alias("bp_title"),
@@ -55,10 +56,10 @@ def verdicts(units: DataFrame) -> DataFrame:
         (F.regexp_count(content, F.lit(CHAIN)) >= CHAINS).alias("chain"),
         F.when((F.length(content) > 0) & (F.length(content) < REPEAT_MOST_LENGTH), most_repeated(content) >= REPEATS).otherwise(False).alias("repeats"),
     )
-    of_source = flagged.groupBy("source").agg(F.count("*").alias("n_units"))
-    of_title = flagged.groupBy("source", "t").agg(F.count("*").alias("same_title")).where("same_title > 1")
-    of_tokens = flagged.where("wordy AND worded").groupBy("source", "tokens").agg(F.count("*").alias("same_tokens")).where("same_tokens > 1")
-    rows = flagged.join(of_source, "source", "left").join(of_title, ["source", "t"], "left").join(of_tokens, ["source", "tokens"], "left").join(copies(units), "unit_id")
+    rows = with_counts(stored(flagged, "flags"), ["source"], "n_units", 1)
+    rows = with_counts(stored(rows, "flags"), ["source", "t"], "same_title")
+    rows = with_counts(stored(rows, "flags"), ["source", "tokens"], "same_tokens", where=F.col("wordy") & F.col("worded"))
+    rows = with_counts(stored(rows, "flags"), ["digest"], "copies")
     has = lambda c, reason: F.when(c, reason)
     boilerplate = F.array_compact(F.array(has(F.col("bp_title"), "boilerplate title"), has((F.col("markers") > 0) & ((F.col("n") < 1200) | (F.col("markers") > 1)), "boilerplate markers")))
     strong = F.array_compact(

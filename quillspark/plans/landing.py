@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import paged as P
 from ..operators import parsers as R
+from ..operators import release as L
 from ..operators import survey as S
-from ..sources.tables import spread, table
+from ..sources.tables import UNITS_SQL, spread, table, units
+from .packs import RULES, fragment_assign
 
 _OWNED = r"^([^/]+)/([^/]+)"
 
@@ -69,7 +72,33 @@ def running_heads_report(spark, sf):
     return R.report(P.texts_by_head(P.pages_by_head(books)), R.FORMS["psalms"], books)
 
 
-QUERIES = {f.__name__: f for f in (link_survey, survey_states, survey_totals, survey_pending, running_heads, running_heads_report)}
+_ORIGIN = """concat(CASE WHEN page_id % 8 = 0 THEN '' ELSE '<h2>About this page</h2><p><strong>' END, CASE WHEN page_id % 8 = 1 THEN 'Origin.' ELSE 'Source.' END, '</strong> Translated by A.B. Editor', CAST(page_id AS STRING), '. From <em>Collected &amp; Plain Works, Vol. ',
+  CAST(page_id % 12 AS STRING), '.</em>. Edited by C. D. (London, ', CAST(1800 + page_id % 99 AS STRING), '.) ', repeat('and more ', CAST(page_id % 70 AS INT)), '</p>', CASE WHEN page_id % 3 = 0 THEN '' ELSE '<p>Contact information. The editor is at 1999 Road.</p>' END)"""
+
+
+def page_footers(spark, sf):
+    """What pages say of their origin, in notes behind them of which some lack a part."""
+    pages = spread(table(spark, sf, "pages"))
+    f = pages.select("page_id", T.page_footer(F.concat("html", F.expr(_ORIGIN))).alias("f"))
+    return f.select("page_id", F.md5(F.coalesce("f.citation", F.lit("none"))).alias("citation_md5"), "f.translator", "f.edition", F.coalesce("f.year", F.lit(-1)).alias("year"))
+
+
+def release_fragments(spark, sf):
+    """What a manifest says of fragments: works, units and chunks; a unit's paragraphs stand for its chunks."""
+    own = units(spark, sf).join(fragment_assign(spark, sf), "source", "left").withColumn("fragment", F.coalesce("fragment", F.lit("core")))
+    return L.described(own, own.select("fragment", F.explode(F.split("content", "\n"))))
+
+
+def release_collections(spark, sf):
+    """Regions as collections, nations as fragments in the order of their names, of which those of more than six letters were built."""
+    n = table(spark, sf, "nation")
+    members = n.select(F.col("n_regionkey").alias("collection"), F.col("n_name").alias("nth"), F.col("n_nationkey").alias("fragment")).union(n.select((F.col("n_nationkey") % 5).cast("int"), "n_name", "n_nationkey"))
+    collections = table(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    found = L.listed(collections, members, n.where("length(n_name) > 6").select(F.col("n_nationkey").alias("fragment")))
+    return found.select("id", "name", F.array_join(F.col("fragments").cast("array<string>"), ",").alias("fragments"))
+
+
+QUERIES = {f.__name__: f for f in (link_survey, survey_states, survey_totals, survey_pending, running_heads, running_heads_report, page_footers, release_fragments, release_collections)}
 
 _LINKS = r"""pg AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS owner, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') AS folder,
   regexp_extract_all(html || '<a href="' || url || '"></a><a href="//other.example.org/w' || page_id % 7 || '">x</a><a HREF=' || chr(39) || '../up/./at' || page_id % 3 || '?q=1' || chr(39) || '>y</a><a href="#top"></a><a href="mailto:a@b.c"></a>', '(?i)\bhref\s*=\s*["\x27]([^"\x27<>]*)["\x27]', 1) AS hrefs FROM pages),
@@ -87,7 +116,15 @@ pp AS (SELECT work, unnest(string_split(text, chr(12))) AS raw, generate_subscri
 pn AS (SELECT *, last_value(try_cast(regexp_extract(raw, '^\s*Psalm (\d+)[ ]*(?:\n|$)', 1) AS INT) IGNORE NULLS) OVER (PARTITION BY work ORDER BY page) AS number FROM pp),
 sec AS (SELECT work, number, count(*) AS pages, string_agg(regexp_replace(raw, '^\s*(?:Psalm \d+[ ]*\n\s*)?\d+\n\n*', ''), chr(10) ORDER BY page) AS body FROM pn WHERE number IS NOT NULL GROUP BY ALL)"""
 
+_FRAGMENT = "CASE " + " ".join(f"WHEN source IN ({', '.join(repr(a) for a in authors)}) THEN '{name}'" for _, name, authors, _ in RULES if authors) + " " + " ".join(f"WHEN tradition IN ({', '.join(repr(t) for t in traditions)}) THEN '{name}'" for _, name, _, traditions in RULES) + " ELSE 'core' END"
+
 SQL = {
+    "page_footers": rf"""WITH t AS (SELECT page_id, html || {_ORIGIN.replace("STRING", "VARCHAR")} AS t FROM pages), n AS (SELECT page_id, CASE WHEN contains(t, 'About this page') THEN substr(t, strpos(t, 'About this page'), 900) END AS raw FROM t),
+c AS (SELECT page_id, trim(regexp_replace(replace(regexp_replace(raw, '<[^>]*>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS note FROM n), s AS (SELECT page_id, CASE WHEN contains(note, 'Source.') THEN trim(string_split(substr(note, strpos(note, 'Source.') + 7), 'Contact information')[1]) END AS s FROM c)
+SELECT page_id, md5(coalesce(s[1:400], 'none')) AS citation_md5, nullif(regexp_extract(s, 'Translated by (.+?)\. From', 1), '') AS translator, nullif(trim(regexp_extract(s, 'From (.+?)\.\s*Edited', 1)), '') AS edition, coalesce(try_cast(nullif(regexp_extract(s, '\b(1[6-9]\d\d)\b', 1), '') AS INT), -1) AS year FROM s""",
+    "release_fragments": f"""WITH {UNITS_SQL}, w AS (SELECT source, min(tradition) AS tradition FROM units GROUP BY source), f AS (SELECT source, {_FRAGMENT} AS fragment FROM w)
+SELECT coalesce(fragment, 'core') AS fragment, count(DISTINCT coalesce(source, chr(0)))::INT AS sources, count(*)::INT AS units, sum(len(string_split(content, chr(10))))::INT AS chunks FROM units LEFT JOIN f USING (source) GROUP BY ALL""",
+    "release_collections": "WITH m AS (SELECT n_regionkey AS id, n_name, n_nationkey FROM nation UNION SELECT n_nationkey % 5, n_name, n_nationkey FROM nation) SELECT id, r_name AS name, string_agg(n_nationkey, ',' ORDER BY n_name) AS fragments FROM m JOIN region ON r_regionkey = id WHERE length(n_name) > 6 GROUP BY ALL",
     "link_survey": f"WITH {_LINKS} SELECT owner, work, pages FROM lk",
     "survey_states": f"WITH {_PROBES} SELECT owner, work, state, coalesce(bytes, -1) AS bytes, md5(coalesce(title, '')) AS title_md5, creators, rights FROM st",
     "survey_totals": f"WITH {_PROBES} SELECT state, count(*) AS works, coalesce(sum(bytes), 0)::BIGINT AS bytes FROM st GROUP BY state",
