@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Names that also count without their semicolon, longest first, so that the longest wins.
 _SHORT = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 _SHORT_NAME = f"^({'|'.join(_SHORT)})"
+#: References that texts are full of: looked for first, as a map is searched from its front.
+_COMMON = {n: html5[n] for n in ("amp;", "nbsp;", "quot;", "lt;", "gt;")}
 _LAST, _UNKNOWN = 0x10FFFF, "\ufffd"
 
 
@@ -21,9 +23,8 @@ def _names(initial_lower: bool) -> Column:
 
 
 def _named(name: Column) -> Column:
-    """The characters of a name; the frequent ones first, as a map is searched from its front."""
-    found = F.when(name == "amp;", "&").when(name == "nbsp;", " ").when(name == "quot;", '"').when(name == "lt;", "<").when(name == "gt;", ">")
-    return found.when(name.rlike("^[a-z]"), F.try_element_at(_names(True), name)).otherwise(F.try_element_at(_names(False), name))
+    """The characters of a name, null for one that there is not."""
+    return F.when(name.rlike("^[a-z]"), F.try_element_at(_names(True), name)).otherwise(F.try_element_at(_names(False), name))
 
 
 def _numbered(n: Column) -> Column:
@@ -45,8 +46,11 @@ def _resolved(piece: Column) -> Column:
     digits, hexes = F.regexp_extract(piece, "^#0*([0-9]+)", 1), F.regexp_extract(piece, "^#[xX]0*([0-9a-fA-F]+)", 1)
     number = F.when(hexes != "", F.when(F.length(hexes) <= 8, F.conv(hexes, 16, 10).cast("long"))).otherwise(F.when(F.length(digits) <= 10, F.nullif(digits, F.lit("")).cast("long")))
     name, short = F.regexp_extract(piece, "^[A-Za-z][A-Za-z0-9]*;", 0), F.regexp_extract(piece, _SHORT_NAME, 1)
+    plain = F
+    for common, char in _COMMON.items():
+        plain = plain.when(F.startswith(piece, F.lit(common)), F.concat(F.lit(char), F.substring(piece, len(common) + 1, 1 << 30)))
     return (
-        F.when((digits != "") | (hexes != ""), F.concat(_numbered(number), F.regexp_replace(piece, "^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", "")))
+        plain.when((digits != "") | (hexes != ""), F.concat(_numbered(number), F.regexp_replace(piece, "^#(?:[xX][0-9a-fA-F]+|[0-9]+);?", "")))
         .when((name != "") & _named(name).isNotNull(), F.concat(_named(name), F.substring(piece, F.length(name) + 1, F.length(piece))))
         .when(short != "", F.concat(F.coalesce(F.try_element_at(_names(True), short), F.try_element_at(_names(False), short)), F.substring(piece, F.length(short) + 1, F.length(piece))))
         .otherwise(F.concat(F.lit("&"), piece))
@@ -55,5 +59,8 @@ def _resolved(piece: Column) -> Column:
 
 def unescaped(text: Column) -> Column:
     """Characters for all character references, named (with or without semicolon, as HTML has it), decimal and hexadecimal. Null stays null."""
-    parts = F.split(text, "&")
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(_resolved(p))), "")).otherwise(text)
+    for common, char in _COMMON.items():
+        if char != "&":  # these leave no ampersand behind, so they can go first, in the whole text
+            text = F.replace(text, F.lit("&" + common), F.lit(char))
+    each = F.array_join(F.transform(F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(_resolved(p))), "")
+    return F.when(~F.contains(text, F.lit("&")), text).when(text.rlike("&(?!amp;)[#A-Za-z]"), each).otherwise(F.replace(text, F.lit("&amp;"), F.lit("&")))

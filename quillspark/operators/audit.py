@@ -117,11 +117,35 @@ def bigrams(rows: DataFrame, key: str, text: Column, pattern: str = "[a-z]{2,}")
     return rows.select(key, F.explode(F.array_distinct(T.ngrams(T.words(text, pattern), 2))).alias("gram"))
 
 
+#: Ids of witnesses that one set can hold at most, and among how many tasks the rows of one word pair are dealt.
+BLOCK, SPLIT = 4096, 8
+
+
+def witness_sets(witnesses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """gram and set: which witnesses (witness_id: whole numbers) have a word pair; and set, witness_id.
+
+    Witnesses go in blocks of BLOCK ids, so a pair that all of them have is a row a block, and no set is
+    longer than a block. A set is named by the digest of its ids; pairs that the same witnesses have share it.
+    """
+    grams = bigrams(witnesses, "witness_id", F.col("text"))
+    sets = grams.groupBy("gram", F.floor(F.col("witness_id") / BLOCK).alias("block")).agg(F.array_sort(F.collect_set("witness_id")).alias("ids"))
+    named = stored(sets.select("gram", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("set"), "ids"), "witness-sets")
+    return named.select("gram", "set"), named.groupBy("set").agg(F.first("ids").alias("ids")).select("set", F.explode("ids").alias("witness_id"))
+
+
 def containment(units: DataFrame, witnesses: DataFrame) -> DataFrame:
-    """unit_id, witness_id and the share of the witness's word pairs that the unit holds. Spark broadcasts the witnesses' side while it finds it small."""
-    w = bigrams(witnesses, "witness_id", F.col("text"))
-    size = w.groupBy("witness_id").agg(F.count("*").alias("size"))
-    shared = bigrams(units, "unit_id", F.col("content")).join(w, "gram").groupBy("unit_id", "witness_id").agg(F.count("*").alias("shared"))
+    """unit_id, witness_id and the share of the witness's word pairs that the unit holds. Pairs without a witness, units without a shared pair and null texts give no rows.
+
+    A unit's pairs meet the sets of witnesses, one row a pair however many witnesses have it, and are
+    counted by set; only then a set becomes its witnesses, and counts add up. A pair that all units have
+    is dealt among SPLIT tasks by unit, as is a set. Spark broadcasts the witnesses' side while it finds it small.
+    """
+    grams, members = witness_sets(witnesses)
+    size = grams.join(members, "set").groupBy("witness_id").agg(F.count("*").alias("size"))
+    dealt = F.explode(F.array(*map(F.lit, range(SPLIT)))).alias("deal")
+    own = bigrams(units, "unit_id", F.col("content")).withColumn("deal", F.pmod(F.hash("unit_id"), F.lit(SPLIT)))
+    by_set = own.join(grams.select("*", dealt), ["gram", "deal"]).groupBy("unit_id", "deal", "set").agg(F.count("*").alias("n"))
+    shared = by_set.join(members.select("*", dealt), ["set", "deal"]).groupBy("unit_id", "witness_id").agg(F.sum("n").alias("shared"))
     return shared.join(size, "witness_id").select("unit_id", "witness_id", "shared", (F.col("shared") / F.col("size")).alias("containment"))
 
 
