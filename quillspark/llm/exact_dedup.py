@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import wordhash
 from .shared import materialize, quoted, shielded, table
@@ -228,7 +229,7 @@ def _compare(keep_rows: bool):
 
 
 def _stages(docs: DataFrame, members: bool, table_bytes: int) -> DataFrame:
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__hash long, __count long, __rep long, __uid long, __sha string"])
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), *(T.StructField(c, T.LongType()) for c in ("__hash", "__count", "__rep", "__uid")), T.StructField("__sha", T.StringType())])
     return materialize(docs.mapInArrow(_local(members, table_bytes), schema), "grace-records")
 
 

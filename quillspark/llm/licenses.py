@@ -13,7 +13,9 @@ other's unique words. Of overlapping finds the one with the larger number of mat
 Coverage is asked of both sides: of the words from the first match to the last, SPAN_SHARE have to be
 matched. A find fails if one of the words between is a TELLING word that the template doesn't match
 there, as it names another license (GNU Affero, NonCommercial), or if one of the NEGATING words stands
-within two words before it.
+within two words before it. A find of a license that permits fails as well if its sentence goes on with a
+restriction: one of SUFFIXES within two words (Creative Commons only), of RESTRICTING within BEHIND words, or there one of REFUSED
+at most two words behind one of REFUSING.
 
 Short templates have rules of their own. Up to NAMING words, what tells licenses apart (every word
 that isn't in PLAIN) has to match; of longer ones, the number of a version. From TOLERANT words on, one plain word may differ even where
@@ -52,6 +54,9 @@ PLAIN = "a general gnu international is license licensed public the this under v
 #: Words that tell one license from another: between matched words they rule a find out.
 TELLING = "affero lesser library agpl lgpl nc nd sa noncommercial noderivatives noderivs sharealike commercial derivatives alike limited proprietary no not non except"
 NEGATING = "not never neither nor isn unlike without"
+#: Words behind a find, in its sentence, by which it is a narrower license; RESERVED has nothing to narrow.
+BEHIND, SUFFIXES, RESTRICTING = 6, "nc nd sa", "noncommercial noderivatives noderivs sharealike"
+REFUSING, REFUSED, RESERVED = "no non not without", "commercial commercially derivatives derivative", "proprietary"
 
 # Public notices, each with the identifier of its license. Results hold a template's number: new ones go last.
 TEMPLATES = [
@@ -106,6 +111,7 @@ TEMPLATES = [
     )),
 ]
 
+_STOPS = frozenset(b".!?")
 _INSIDE = np.zeros(256, dtype=bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -169,7 +175,9 @@ class Scanner:
         self.all = np.unique(np.concatenate(hashes))
         self.need = [math.ceil(coverage * len(h)) for h in hashes]
         self.width = [math.ceil(spread * len(h)) if len(h) >= TIGHT else len(h) for h in hashes]
-        plain, self.telling, self.negating = (set(_words(pa.array([w]))[4].tolist()) for w in (PLAIN, TELLING, NEGATING))
+        plain, self.telling, self.negating, self.suffixes, self.restricting, self.refusing, self.refused = (
+            set(_words(pa.array([w]))[4].tolist()) for w in (PLAIN, TELLING, NEGATING, SUFFIXES, RESTRICTING, REFUSING, REFUSED)
+        )
         version = _words(pa.array(["version"]))[4][0]
         self.naming = [{i for i, w in enumerate(words) if (w not in plain if len(words) <= NAMING else i and words[i - 1] == version)} for words in self.words]
         if coverage < 1:
@@ -191,7 +199,7 @@ class Scanner:
             within = np.searchsorted(place, np.minimum(place + self.width[t], first[of + 1]))
             good = np.flatnonzero(within - np.arange(len(place)) >= self.need[t])
             for a, b in self._runs(place[good], self.width[t], first):
-                finds += self._aligned(t, a, b, hashes, first)
+                finds += self._aligned(t, a, b, hashes, first, lambda at: self._behind(at, data, starts, ends, hashes, first))
         finds = _best(finds)
         point = np.cumsum((data & 0xC0) != 0x80)  # code points up to and with a byte
         out = []
@@ -210,7 +218,7 @@ class Scanner:
         cut = np.flatnonzero((np.diff(places) > width) | (np.diff(of) > 0))
         yield from zip(places[np.r_[0, cut + 1]].tolist(), places[np.r_[cut, len(places) - 1]].tolist())
 
-    def _aligned(self, t: int, a: int, b: int, hashes: np.ndarray, first: np.ndarray):
+    def _aligned(self, t: int, a: int, b: int, hashes: np.ndarray, first: np.ndarray, behind):
         words, width, need = self.words[t], self.width[t], self.need[t]
         end = int(first[np.searchsorted(first, a, side="right")])
         step = max(1, len(words) // 4)
@@ -221,7 +229,7 @@ class Scanner:
                 window = window[:width]
             if (Counter(window) & bag).total() >= need:
                 found = self._found(t, window)
-                if found and self._denied(a + found[0][0], hashes, first):
+                if found and (self._denied(a + found[0][0], hashes, first) or self.licenses[t] != RESERVED and self._narrowed(t, behind(a + found[-1][0]))):
                     a += found[0][0] + 1
                     continue
                 if found:
@@ -230,6 +238,23 @@ class Scanner:
                     continue
             a += step
 
+    @staticmethod
+    def _behind(at: int, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> list:
+        """Up to BEHIND words that follow a word in its sentence."""
+        last = int(first[np.searchsorted(first, at, side="right")])
+        out: list = []
+        for i in range(at + 1, min(at + 1 + BEHIND, last)):
+            between = data[ends[i - 1] : starts[i]].tobytes()
+            if not _STOPS.isdisjoint(between) or b"\n\n" in between:
+                break
+            out.append(int(hashes[i]))
+        return out
+
+    def _narrowed(self, t: int, behind: list) -> bool:
+        """Whether words behind a find restrict what it permits."""
+        if self.licenses[t].startswith("CC") and not self.suffixes.isdisjoint(behind[:2]) or not self.restricting.isdisjoint(behind):
+            return True
+        return any(w in self.refusing and not self.refused.isdisjoint(behind[i + 1 : i + 3]) for i, w in enumerate(behind))
 
     def _denied(self, at: int, hashes: np.ndarray, first: np.ndarray) -> bool:
         """Whether one of the two words before a place denies what follows."""

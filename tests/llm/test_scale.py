@@ -161,6 +161,12 @@ def test_bound_on_features_warns(spark):
         toxicity.fit(docs, labels, most_features=500)
 
 
+def test_nested_columns_with_odd_field_names_stay(spark):
+    df = spark.createDataFrame([(1, "A b", {"a b": 1, "c`d": None}), (2, "a B", {"a b": 2, "c`d": "x"}), (3, None, None)], "doc_id long, text string, extra struct<`a b`: int, `c``d`: string>")
+    rows = {r.doc_id: r.extra for r in exact_dedup.deduplicate(df).collect()}
+    assert set(rows) == {2, 3} and rows[3] is None and tuple(rows[2]) == (2, "x")
+
+
 # --- licenses ---
 
 OTHER_LICENSES = {
@@ -174,6 +180,20 @@ OTHER_LICENSES = {
 }
 
 
+NARROWED = {
+    "Licensed under CC BY 4.0, but no commercial use.": None, "licensed under cc by 4.0 nc": None, "Released under the MIT License (non-commercial use only).": None, "Licensed under CC BY 4.0; NoDerivatives.": None,
+    "Licensed under CC BY 4.0. No commercial use of the name is made.": "CC-BY-4.0", "Released under the MIT License, not the GPL": "MIT", "Licensed under the Apache License, Version 2.0, for commercial use": "Apache-2.0",
+    "All rights reserved, no commercial use": "proprietary", "Licensed under CC BY 4.0\n\nNo derivatives were traded": "CC-BY-4.0",
+}
+
+
+def test_restrictions_behind_a_notice_narrow_it():
+    scanner = licenses.Scanner()
+    for text, name in NARROWED.items():
+        for tail in ("", " " + prose(9)):
+            assert [scanner.licenses[f[1]] for f in scanner.scan(pa.array([f"{prose(9)} {text}{tail}"]))] == ([name] if name else []), text
+
+
 def test_other_licenses_are_not_taken_for_these():
     scanner = licenses.Scanner()
     for text, name in OTHER_LICENSES.items():
@@ -183,6 +203,7 @@ def test_other_licenses_are_not_taken_for_these():
 def plain_finds(scanner, text):
     """Licenses found by aligning every template with every window."""
     h = licenses._words(pa.array([text]))[4].tolist()
+    tokens = re.findall("[a-z0-9]+", text)
     first = np.array([0, len(h)])
     found = []
     for t, words in enumerate(scanner.words):
@@ -190,6 +211,9 @@ def plain_finds(scanner, text):
             for size in range(scanner.need[t], scanner.width[t] + 1):
                 at = licenses.align(h[a : a + size], words)
                 if at and scanner._holds(t, at, h[a : a + size]) and not scanner._denied(a + at[0][0], np.array(h, dtype=np.uint64), first):
+                    behind = tokens[a + at[-1][0] + 1 :][:2]
+                    if scanner.licenses[t].startswith("CC") and {"nc", "nd", "sa"} & set(behind):
+                        continue
                     found.append((len(at), t, a + at[0][0], a + at[-1][0]))
     return {scanner.licenses[t] for _, t, _, _ in licenses._best(found)}
 
