@@ -1,75 +1,12 @@
-"""Passages for a reader: segments, verse ranges, quotations; spans of anchors, gaps and runs in numbered text."""
+"""Passages for a reader: verse ranges, quotations; spans of anchors, gaps and runs in numbered text."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scans
 
-SPLIT_OVER, LEAST_VERSES = 700, 2
-_VERSE = re.compile(r"^[ \t]*(\d{1,3})\.[ \t]+", re.M)
-_SENTENCE = re.compile(r"(?<=[.!?])(?:(?<=[.!?])|(?<=[.!?][\")\]]))\s+(?=[A-Z\"“(\[])|(?<=[.!?][\")\]])\s+(?=[A-Z\"“(\[])")
-_BLANK_LINE, _LINE = re.compile(r"\n[ \t]*\n+"), re.compile(r"\n+")
-
-
-def segments(text: str) -> list[tuple[str, int, int, int | None]]:
-    """(kind, start, end, verse number) of each piece that a reader can select."""
-
-    def trimmed(kind, a, b, number=None, words=None):
-        first = a if words is None else words
-        piece = text[first:b]
-        if piece.strip():
-            start = a if words is not None else first + len(piece) - len(piece.lstrip())
-            yield kind, start, first + len(piece.rstrip()), number
-
-    marks = list(_VERSE.finditer(text))
-    if len(marks) >= LEAST_VERSES:
-        out = list(trimmed("verse", 0, marks[0].start(), None, 0))
-        for m, end in zip(marks, [*(n.start() for n in marks[1:]), len(text)]):
-            out += trimmed("verse", m.start(), end, int(m.group(1)), m.end())
-        return out
-
-    def blocks(pattern):
-        a = 0
-        for m in pattern.finditer(text):
-            if m.start() > a:
-                yield a, m.start()
-            a = m.end()
-        if a < len(text):
-            yield a, len(text)
-
-    parts = list(blocks(_BLANK_LINE))
-    parts = parts if len(parts) > 1 else list(blocks(_LINE))
-    kind = "sentence" if any(len(text[a:b].strip()) > SPLIT_OVER for a, b in parts) else "paragraph"
-    out = []
-    for a, b in parts:
-        if len(text[a:b].strip()) > SPLIT_OVER:
-            at = a
-            for m in _SENTENCE.finditer(text[a:b]):
-                out += trimmed(kind, at, a + m.start())
-                at = a + m.end()
-            out += trimmed(kind, at, b)
-        else:
-            out += trimmed(kind, a, b)
-    return out
-
-
-def _segmented(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [(unit, i, *s) for unit, text in zip(pdf["unit_id"], pdf["content"]) for i, s in enumerate(segments(text or ""))]
-        out = pd.DataFrame(rows, columns=["unit_id", "idx", "kind", "start", "end", "number"])
-        out["number"] = out["number"].astype("Int32")
-        yield out
-
-
-def segment(units: DataFrame) -> DataFrame:
-    return units.select("unit_id", "content").mapInPandas(_segmented, "unit_id long, idx int, kind string, start int, end int, number int")
-
 
 def ranges(rows: DataFrame, key: str, number: str) -> DataFrame:
     """Numbers of each key as a reference: runs of three or more as 4–6, of two as 4, 5."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunks as C
 from ..operators import reader as R
+from ..operators import segments as G
 from ..operators import state as S
 from ..sources.tables import UNITS_SQL, table, units
 
@@ -94,7 +95,7 @@ def packed_units(spark, sf):
 
 
 def passage_segments(spark, sf):
-    return R.segment(units(spark, sf)).select("unit_id", "idx", "kind", "start", "end", F.coalesce("number", F.lit(-1)).alias("number"))
+    return G.segment(units(spark, sf)).select("unit_id", "idx", "kind", "start", "end", F.coalesce("number", F.lit(-1)).alias("number"))
 
 
 QUERIES = {f.__name__: f for f in (highlight_overlap, highlight_write, threads, mru_list, toggle_state, bookmarks, verse_ranges, verse_quotes, numbering_gaps, span_ends, carry_forward, rising_numbers, heading_runs, part_ordinals, packed_units, passage_segments)}
@@ -104,7 +105,30 @@ _PAIR = f"WITH a AS ({_H} 'click'), b AS ({_H} 'purchase')"
 _ACT = "act AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 2 = 0 THEN 'Item ' ELSE 'ITEM ' END || floor(value)::BIGINT AS item, event_type FROM events)"
 _ISLANDS = "SELECT l_orderkey, l_linenumber AS n FROM lineitem WHERE l_quantity < 30"
 
+_SEGMENTS = r"""
+WITH t AS (SELECT doc_id AS unit_id, coalesce(text, '') AS s FROM documents),
+m AS (
+  SELECT unit_id, s, len(regexp_extract_all(s, '(?m)^[ \t]*[0-9]{1,3}\.[ \t]+')) >= 2 AS verse,
+    len(list_filter(regexp_split_to_array(s, '\n[ \t]*\n+'), lambda x: x <> '')) > 1 AS blank
+  FROM t
+),
+k AS (
+  SELECT unit_id, verse, string_split(CASE WHEN verse THEN regexp_replace(s, '(?m)^([ \t]*[0-9]{1,3}\.[ \t]+)', chr(1) || '\1', 'g') WHEN blank THEN regexp_replace(s, '(\n[ \t]*\n+)', '\1' || chr(1), 'g') ELSE regexp_replace(s, '(\n+)', '\1' || chr(1), 'g') END, chr(1)) AS blocks
+  FROM m
+),
+b AS (SELECT unit_id, verse, unnest(blocks) AS raw, generate_subscripts(blocks, 1) AS i FROM k),
+l AS (SELECT *, NOT verse AND length(regexp_replace(raw, '^\s+|\s+$', '', 'g')) > 700 AS long FROM b),
+c AS (SELECT unit_id, verse, i, long, string_split(CASE WHEN long THEN regexp_replace(raw, '([.!?][")\]]?\s+)(["“A-Z(\[])', '\1' || chr(1) || '\2', 'g') ELSE raw END, chr(1)) AS cuts FROM l),
+p AS (SELECT unit_id, verse, i, bool_or(long) OVER (PARTITION BY unit_id) AS split, cuts FROM c),
+q AS (SELECT unit_id, verse, split, i, unnest(cuts) AS raw, generate_subscripts(cuts, 1) AS j FROM p),
+r AS (SELECT *, coalesce(sum(length(raw)) OVER (PARTITION BY unit_id ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS pos, regexp_extract(raw, '^[ \t]*([0-9]{1,3})\.[ \t]+', 1) AS number, regexp_replace(raw, '\s+$', '') AS own FROM q)
+SELECT unit_id, (row_number() OVER (PARTITION BY unit_id ORDER BY i, j) - 1)::INT AS idx, CASE WHEN verse THEN 'verse' WHEN split THEN 'sentence' ELSE 'paragraph' END AS kind,
+  (pos + CASE WHEN verse THEN 0 ELSE length(own) - length(regexp_replace(own, '^\s+', '')) END)::INT AS start, (pos + length(own))::INT AS "end", CASE WHEN verse AND number <> '' THEN number::INT ELSE -1 END AS number
+FROM r WHERE regexp_replace(CASE WHEN verse THEN regexp_replace(raw, '^[ \t]*[0-9]{1,3}\.[ \t]+', '') ELSE raw END, '\s+', '', 'g') <> ''
+"""
+
 SQL = {
+    "passage_segments": _SEGMENTS,
     "highlight_overlap": f'{_PAIR} SELECT a.id, b.id AS other_id, unit_id FROM a JOIN b USING (unit_id) WHERE a.start < b."end" AND b.start < a."end"',
     "highlight_write": f'{_PAIR} SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.unit_id = a.unit_id AND a.start < b."end" AND b.start < a."end") UNION ALL SELECT * FROM b',
     "threads": "SELECT conv_id, count(*) AS messages, max(turn) AS last_turn, max(turn) + 1 AS next_turn, md5(arg_max(text, turn)) AS last_md5, md5(arg_min(text, turn)) AS first_md5 FROM conversations GROUP BY conv_id ORDER BY last_turn DESC, conv_id DESC LIMIT 50",

@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 
 from quillspark.operators import chunks as C
 from quillspark.operators import reader as R
+from quillspark.operators import segments as S
 
 
 @settings(max_examples=60, deadline=None)
@@ -39,25 +40,40 @@ def test_packing_starts_anew(spark):
 
 
 def test_verses():
-    got = R.segments("Head\n1. One\n2. Two words \n3. Three")
+    got = S.segments("Head\n1. One\n2. Two words \n3. Three")
     assert [(k, n) for k, _, _, n in got] == [("verse", None), ("verse", 1), ("verse", 2), ("verse", 3)]
     text = "1. One\n2. Two"
-    assert [text[a:b] for _, a, b, _ in R.segments(text)] == ["1. One", "2. Two"]
+    assert [text[a:b] for _, a, b, _ in S.segments(text)] == ["1. One", "2. Two"]
 
 
 def test_one_number_is_no_verse():
-    assert {k for k, *_ in R.segments("1. Only\nmore")} == {"paragraph"}
+    assert {k for k, *_ in S.segments("1. Only\nmore")} == {"paragraph"}
 
 
 def test_long_paragraph_becomes_sentences():
     text = " ".join(f"Sentence number {i} goes on for a while, as they do in dense prose." for i in range(12))
-    got = R.segments(text)
+    got = S.segments(text)
     assert len(got) == 12 and got[0][0] == "sentence"
-    assert R.segments('He said "Stop." ' + "X" + "y" * 800)[0][2] == 15
+    assert S.segments('He said "Stop." ' + "X" + "y" * 800)[0][2] == 15
 
 
 def test_blank_text_has_no_segments():
-    assert R.segments(" \n\t ") == [] == R.segments("")
+    assert S.segments(" \n\t ") == [] == S.segments("")
+
+
+def test_numbers_without_words_are_no_verses():
+    assert S.segments("1. \n2. ")[0][0] == "paragraph"
+    assert S.segments("Head\n1. \n2. Two") == [("verse", 0, 4, None), ("verse", 9, 15, 2)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aB .!?\")\n\t1", max_size=200), st.sampled_from([1, 900]))
+def test_segments_hold_all_ink_once_and_in_order(text, times):
+    found = S.segments(text * times)
+    places = [p for _, a, b, _ in found for p in range(a, b)]
+    assert places == sorted(set(places)) and not any((text * times)[p].isspace() for _, a, b, _ in found for p in (a, b - 1) if found[0][0] != "verse")
+    if not found or found[0][0] != "verse":
+        assert {i for i, c in enumerate(text * times) if not c.isspace()} <= set(places)
 
 
 def test_references(spark):
