@@ -23,7 +23,8 @@ class Form:
     order of the print, which then need not be that of the numbers. rising: an anchor whose number is not above all before it
     belongs to the section it stands in, as do later anchors of a number under `first`. sections, missing, least: how many
     there must be, numbers known to be absent, and the characters that each must have. unanswered: the numbers of a catechism
-    that are known to have no answer; None for other texts."""
+    that are known to have no answer; None for other texts. gap, run: `run` or more anchors in a row, each less than `gap` characters
+    behind the one before, are a page of contents, where no section begins; 0 where there is none to pass over."""
 
     anchor: str
     roman: bool = False
@@ -35,6 +36,8 @@ class Form:
     missing: tuple[int, ...] = ()
     least: int = 1
     unanswered: tuple[int, ...] | None = None
+    gap: int = 0
+    run: int = 0
 
 
 # How the sections of each kind of text begin, and how many there are.
@@ -78,6 +81,8 @@ def sections(texts: DataFrame, form: Form, keys: tuple[str, ...] = ("work",), te
     printed = F.regexp_extract("raw", starts, 1)
     rows = rows.withColumn("number", (T.roman_to_int(printed) if form.roman else printed.try_cast("int")).cast("int"))
     rows = rows.withColumn("printed", printed)
+    if form.run:
+        rows = _without_contents(rows, list(keys), form)
     if form.rising:
         rows = _rising(rows, list(keys))
     if form.first:
@@ -90,6 +95,15 @@ def sections(texts: DataFrame, form: Form, keys: tuple[str, ...] = ("work",), te
     return rows.select(*keys, "nth", (F.col("nth") if form.by_place else F.col("number")).alias("number"), "printed", "title", "body")
 
 
+def _without_contents(rows: DataFrame, keys: list[str], form: Form) -> DataFrame:
+    """Rows but for runs of anchors that follow each other closely; their text goes to the row before the run, if there is one."""
+    w = Window.partitionBy(*keys).orderBy("at")
+    fresh = F.when(F.lag(F.length("raw")).over(w) < form.gap, 0).otherwise(1)
+    runs = rows.withColumn("fresh", fresh).withColumn("of", F.sum("fresh").over(w))
+    alone = F.count("*").over(Window.partitionBy(*keys, "of")) < form.run
+    return _joined(runs.withColumn("own", F.when(alone, F.col("at"))).drop("fresh", "of"), keys)
+
+
 def _rising(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose number is above all before them, each with the rows that follow up to the next such."""
     above = scans.highest_before(rows, keys, ["at"], "number", "__high")
