@@ -29,3 +29,7 @@ PAGES = "page_id long, url string, html string"
 
 def test_a_reference_that_was_cut_stays_html_clean(on):
     assert len(on("html_clean", pages=([(1, "u", CUT), (2, "u", "plain"), (3, "u", "")], PAGES))) == 3
+
+
+def test_a_reference_that_was_cut_stays_html_paragraphs(on):
+    assert len(on("html_paragraphs", pages=([(1, "u", CUT), (2, "u", "plain"), (3, "u", "")], PAGES))) == 2
