@@ -2,18 +2,24 @@
 
 A folder holds, for each segment (a set of units that came together):
 
+* words: a row for each unit, with its length dl and its distinct tokens w in order: token, tf, and how
+  many characters the token shares with the one before it;
 * postings: token, shelf, block, unit_id, tf and the unit's length dl, sorted by token, shelf and block
   over all files, in small row groups; `files` has each file's first and last token, so a range of
   tokens opens the files, and reads the groups, that hold it;
-* blocks: for each token and block the number of postings, the highest tf and the least dl, sorted
-  likewise. A block is the units of one work and tradition (a shelf) whose ids agree but for
-  the last BLOCK_BITS bits, so a scope keeps or drops whole blocks;
-* prefixes: how many units hold a token that begins with a prefix of 3 to PREFIXES characters;
-* lengths: unit_id, dl; and stats: units and tokens in all, the row that makes a segment count.
-
-Units that are removed are named in `gone`, up to which segment, and what they had is written as a
-segment of negative numbers, so document frequencies stay exact without rewriting postings; compacted()
-writes all that is left as a new index.
+* blocks: for each token and block the number of postings, the highest tf and the least dl, in the same
+  order. A block is the units of one work and tradition (a shelf) whose ids agree but for
+  the last BLOCK_BITS bits, so a scope keeps or drops whole blocks. A block that reading back cut in two
+  has two rows, which only makes its bound less tight;
+* tokens: how many units hold a token (its first PREFIXES characters) and share so many characters of it
+  with the token before. Of a unit's tokens that begin with a prefix the first in order shares fewer
+  characters than the prefix has, the others do not; so these counts tell how many units hold a token
+  that begins with it, and no pair of unit and prefix is ever made;
+* and stats: units and tokens in all, the row that makes a segment count.
+
+Units that are removed are named in `gone`, up to which segment, and what their words counted is written
+as a segment of negative numbers, so document frequencies stay exact without reading or rewriting
+postings; compacted() writes all that is left as a new index.
 
 The best k of a question are found from bounds: a block's score is at most the sum over the terms of
 idf times the part that its highest tf and least dl give. The FIRST blocks with the highest bounds are
@@ -33,6 +39,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -40,9 +47,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import words
 from ..sources.store import stored
-from .lexical import B, K1, query_terms
+from .lexical import B, COUNTED, K1, counted, query_terms
 
 BLOCK_BITS = 7
 LEAST, PREFIXES = 3, 32
@@ -57,11 +63,11 @@ ROW_GROUP = 1 << 20
 _SCHEMAS = {
     "postings": "token string, shelf long, source string, tradition string, block long, unit_id long, tf int, dl int, segment int",
     "blocks": "token string, shelf long, source string, tradition string, block long, n long, most_tf int, least_dl int, segment int",
-    "prefixes": "prefix string, df long, segment int",
-    "lengths": "unit_id long, dl int, segment int",
+    "words": f"unit_id long, source string, tradition string, {COUNTED}, segment int",
+    "tokens": "token string, shared int, n long, segment int",
     "files": "name string, file string, first string, last string, segment int",
     "gone": "unit_id long, upto int, segment int",
-    "stats": "units long, tokens long, postings long, segment int",
+    "stats": "units long, tokens long, postings long, removal boolean, segment int",
 }
 
 
@@ -70,6 +76,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _begins(terms: list[str]) -> Column:
+    """Tokens that begin with one of the terms, as ranges that a scan can use."""
+    return reduce(Column.__or__, ((F.col("token") >= t) & (F.col("token") < t + "{") for t in terms))  # { comes after z
+
+
 class Reader:
     """The index as it is at one moment: its finished segments and their sums."""
 
@@ -77,14 +88,16 @@ class Reader:
         self.spark, self.root = spark, root
         stats = spark.read.schema(_SCHEMAS["stats"]).parquet(f"{root}/stats").collect() if _exists(spark, f"{root}/stats") else []  # a row a segment
         self.segments = sorted(r["segment"] for r in stats)
+        self.removals = sorted(r["segment"] for r in stats if r["removal"])
         self.units, self.tokens, self.postings = (sum(r[c] for r in stats) for c in ("units", "tokens", "postings"))
-        self.removals = _exists(spark, f"{root}/gone")
 
     def table(self, name: str) -> DataFrame:
+        """Rows of finished segments; what a job that died left under a removal's number, or the other way round, is none of them."""
         path = f"{self.root}/{name}"
-        if not self.segments or not _exists(self.spark, path):
+        own = self.segments if name == "tokens" else self.removals if name == "gone" else [n for n in self.segments if n not in self.removals]
+        if not own or not _exists(self.spark, path):
             return self.spark.createDataFrame([], _SCHEMAS[name])
-        return self.spark.read.schema(_SCHEMAS[name]).parquet(path).where(F.col("segment").isin(self.segments))
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(path).where(F.col("segment").isin(own))
 
     def tokens_of(self, name: str, terms: list[str]) -> DataFrame:
         """The rows of postings or blocks whose tokens begin with one of the terms, from the files that can hold them."""
@@ -93,7 +106,7 @@ class Reader:
         path = f"{self.root}/{name}"
         few = [f"{path}/segment={r['segment']}/{r['file']}" for r in files]
         rows = self.spark.read.schema(_SCHEMAS[name]).option("basePath", path).parquet(*few) if 0 < len(few) <= MOST_FILES else self.table(name)
-        return rows.where(reduce(Column.__or__, ((F.col("token") >= t) & (F.col("token") < t + "{") for t in terms)))
+        return rows.where(_begins(terms))
 
     def live(self, rows: DataFrame) -> DataFrame:
         """Rows (unit_id, segment, ...) of units that were not removed since."""
@@ -107,29 +120,50 @@ def _write(df: DataFrame, root: str, name: str, segment: int) -> None:
     df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(f"{root}/{name}/segment={segment}")
 
 
-def _write_sorted(df: DataFrame, root: str, name: str, segment: int) -> DataFrame:
-    """Rows sorted over all files, as they are read back."""
-    order = ["token", "shelf", "block"]
-    _write(df.repartitionByRange(*order).sortWithinPartitions(*order, *(["unit_id"] if "unit_id" in df.columns else [])), root, name, segment)
-    return df.sparkSession.read.schema(_SCHEMAS[name].replace(", segment int", "")).parquet(f"{root}/{name}/segment={segment}")
+def _written(spark: SparkSession, root: str, name: str, segment: int) -> DataFrame:
+    return spark.read.schema(_SCHEMAS[name].replace(", segment int", "")).parquet(f"{root}/{name}/segment={segment}")
+
+
+_BLOCK = ["token", "shelf", "source", "tradition", "block"]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings, sorted as they are, to a row for each token and block of a batch."""
+    for batch in batches:
+        own = pa.Table.from_batches([batch]).group_by(_BLOCK, use_threads=False).aggregate([("tf", "count"), ("tf", "max"), ("dl", "min")])
+        yield from own.rename_columns({"tf_count": "n", "tf_max": "most_tf", "dl_min": "least_dl"}).select([*_BLOCK, "n", "most_tf", "least_dl"]).to_batches()
 
 
 def _write_postings(rows: DataFrame, root: str, segment: int) -> int:
-    """Postings, blocks and the list of their files; the number of postings."""
-    own = _write_sorted(rows, root, "postings", segment)
-    per_block = own.groupBy("token", "shelf", "source", "tradition", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("dl").alias("least_dl"))
-    blocks = _write_sorted(per_block, root, "blocks", segment)
+    """Postings, blocks and the list of their files; the number of postings. Only the sorting moves postings, blocks are made where they lie."""
+    order = ["token", "shelf", "block"]
+    _write(rows.repartitionByRange(*order).sortWithinPartitions(*order, "unit_id"), root, "postings", segment)
+    own = _written(rows.sparkSession, root, "postings", segment)
+    _write(own.select(*_BLOCK, "tf", "dl").mapInArrow(_blocks, _SCHEMAS["blocks"].replace(", segment int", "")), root, "blocks", segment)
+    blocks = _written(rows.sparkSession, root, "blocks", segment)
     files = [df.groupBy(F.lit(name).alias("name"), F.col("_metadata.file_name").alias("file")).agg(F.min("token").alias("first"), F.max("token").alias("last")) for name, df in (("postings", own), ("blocks", blocks))]
     _write(files[0].unionByName(files[1]), root, "files", segment)
     return own.count()
 
 
-def _finish(spark: SparkSession, root: str, segment: int, units: int, tokens: int, postings: int) -> None:
-    _write(_local(spark, {"units": (pa.int64(), [units]), "tokens": (pa.int64(), [tokens]), "postings": (pa.int64(), [postings])}), root, "stats", segment)
+def _finish(spark: SparkSession, root: str, segment: int, units: int, tokens: int, postings: int, removal: bool = False) -> None:
+    _write(_local(spark, {"units": (pa.int64(), [units]), "tokens": (pa.int64(), [tokens]), "postings": (pa.int64(), [postings]), "removal": (pa.bool_(), [removal])}), root, "stats", segment)
+
 
+def _token_counts(held: DataFrame) -> DataFrame:
+    """token, shared and n of some units' words."""
+    each = held.select(F.explode("w").alias("w")).where(F.col("w.shared") < PREFIXES)
+    return each.groupBy(F.left("w.token", F.lit(PREFIXES)).alias("token"), F.col("w.shared").alias("shared")).agg(F.count("*").alias("n"))
 
-def _prefixes(token: Column) -> Column:
-    return F.transform(F.sequence(F.lit(LEAST), F.least(F.length(token), F.lit(PREFIXES))), lambda k: F.left(token, k))
+
+def _derive(spark: SparkSession, root: str, segment: int, n: int, tokens: int) -> None:
+    """What follows from a segment's words, and its end."""
+    held = _written(spark, root, "words", segment)
+    shelf = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.coalesce("tradition", F.lit("")), F.col("tradition").isNull())
+    each = held.select(F.explode("w").alias("w"), shelf.alias("shelf"), "source", "tradition", F.shiftright("unit_id", BLOCK_BITS).alias("block"), "unit_id", "dl")
+    postings = _write_postings(each.select("w.token", "shelf", "source", "tradition", "block", "unit_id", "w.tf", "dl"), root, segment)
+    _write(_token_counts(held), root, "tokens", segment)
+    _finish(spark, root, segment, n, tokens, postings)
 
 
 def add(units: DataFrame, root: str) -> int:
@@ -138,21 +172,15 @@ def add(units: DataFrame, root: str) -> int:
     Their texts are read once; tokens are counted where texts lie, so a unit's equal tokens are one row when they move.
     """
     spark = units.sparkSession
-    text = F.concat_ws(" ", "content", "title")
-    held = stored(units.select("unit_id", F.col("source").cast("string").alias("source"), "tradition", words(text).alias("w")).select("unit_id", "source", "tradition", F.size("w").alias("dl"), F.filter("w", lambda t: F.length(t) >= LEAST).alias("w")), "index-words")
+    segment = max(Reader(spark, root).segments, default=-1) + 2  # the number before is the removal's
+    rows = units.select(F.col("unit_id").cast("long").alias("unit_id"), F.col("source").cast("string").alias("source"), "tradition", F.concat_ws(" ", "content", "title").alias("text"))
+    _write(counted(rows, "text", LEAST), root, "words", segment)
+    held = _written(spark, root, "words", segment)
     n, distinct, tokens = held.agg(F.count("*"), F.count_distinct("unit_id"), F.sum(F.col("dl").cast("long"))).first()
     if n != distinct:
         raise ValueError("a unit_id repeats or is null")
     remove(spark, root, held.select("unit_id"))
-    segment = max(Reader(spark, root).segments, default=0) + 1
-    shelf = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.coalesce("tradition", F.lit("")), F.col("tradition").isNull())
-    each = held.select("unit_id", "source", "tradition", shelf.alias("shelf"), F.shiftright("unit_id", BLOCK_BITS).alias("block"), "dl", F.explode("w").alias("token"))
-    rows = each.groupBy("token", "shelf", "source", "tradition", "block", "unit_id", "dl").agg(F.count("*").cast("int").alias("tf"))
-    postings = _write_postings(rows, root, segment)
-    known = F.array_distinct(F.flatten(F.transform(F.array_distinct("w"), _prefixes)))  # each once a unit, so counting them needs no pairs
-    _write(held.select(F.explode(known).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("df")), root, "prefixes", segment)
-    _write(held.select("unit_id", "dl"), root, "lengths", segment)
-    _finish(spark, root, segment, n, tokens or 0, postings)
+    _derive(spark, root, segment, n, tokens or 0)
     return segment
 
 
@@ -161,25 +189,22 @@ def remove(spark: SparkSession, root: str, ids: DataFrame) -> None:
     index = Reader(spark, root)
     if not index.segments:
         return
-    out = stored(index.live(index.table("lengths")).join(ids.select("unit_id").distinct(), "unit_id", "left_semi"), "index-removed")
+    out = stored(index.live(index.table("words").select("unit_id", "dl", "segment")).join(ids.select("unit_id").distinct(), "unit_id", "left_semi"), "index-removed")
     units, tokens = out.agg(F.count("*"), F.sum(F.col("dl").cast("long"))).first()
     if not units:
         return
     segment = index.segments[-1] + 1
-    leaving = index.table("postings").join(out.select("unit_id", "segment"), ["unit_id", "segment"], "left_semi")
-    pairs = leaving.select("unit_id", F.explode(_prefixes(F.col("token"))).alias("prefix")).distinct()
-    _write(pairs.groupBy("prefix").agg((-F.count("*")).alias("df")), root, "prefixes", segment)
+    leaving = index.table("words").join(out.select("unit_id", "segment"), ["unit_id", "segment"], "left_semi")
+    _write(_token_counts(leaving).withColumn("n", -F.col("n")), root, "tokens", segment)
     _write(out.select("unit_id", F.lit(segment).alias("upto")), root, "gone", segment)
-    _finish(spark, root, segment, -units, -(tokens or 0), 0)
+    _finish(spark, root, segment, -units, -(tokens or 0), 0, True)
 
 
 def compacted(spark: SparkSession, root: str, to: str) -> None:
     """What is left of an index as an index of one segment, without any text."""
     index = Reader(spark, root)
-    postings = _write_postings(index.live(index.table("postings")).drop("segment"), to, 1)
-    _write(index.table("prefixes").groupBy("prefix").agg(F.sum("df").alias("df")).where("df <> 0"), to, "prefixes", 1)
-    _write(index.live(index.table("lengths")).select("unit_id", "dl"), to, "lengths", 1)
-    _finish(spark, to, 1, index.units, index.tokens, postings)
+    _write(index.live(index.table("words")).drop("segment"), to, "words", 1)
+    _derive(spark, to, 1, index.units, index.tokens)
 
 
 # --- asking ---
@@ -224,8 +249,11 @@ def _part(tf: Column, dl: Column, mean: float) -> Column:
 def _document_frequencies(index: Reader, terms: list[str]) -> dict[str, int]:
     """Units that hold a token with each of these beginnings, without those of no unit."""
     short, long = [t for t in terms if len(t) <= PREFIXES], [t for t in terms if len(t) > PREFIXES]
-    df = {r["prefix"]: r["df"] for r in index.table("prefixes").where(F.col("prefix").isin(short)).groupBy("prefix").agg(F.sum("df").alias("df")).collect()} if short else {}  # a row a term
-    if long:  # beyond the table of prefixes: few tokens are that long, their postings are counted
+    df = {}
+    if short:
+        own = index.table("tokens").where(_begins(short)).select("n", "shared", _matching(short)).where(F.col("shared") < F.length("term"))
+        df = {r["term"]: r["df"] for r in own.groupBy("term").agg(F.sum("n").alias("df")).collect()}  # a row a term
+    if long:  # beyond the table of tokens: few tokens are that long, their postings are counted
         own = index.live(index.tokens_of("postings", long).select("unit_id", "segment", _matching(long)))
         df |= {r["term"]: r["n"] for r in own.groupBy("term").agg(F.count_distinct("unit_id").alias("n")).collect()}
     return {t: n for t, n in df.items() if n > 0}

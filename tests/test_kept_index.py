@@ -123,3 +123,18 @@ def test_a_small_part_of_the_postings_is_read(spark):
     assert found.postings_read < 0.1 * K.Reader(spark, root).postings
     want = {(r.qid, r.unit_id, r["rank"], round(r.score, 6)) for r in X.top(X.bm25(units(spark, sf), P.QUESTIONS), P.LIMIT).collect()}
     assert {(r["ask"], r["unit_id"], r["rank"], round(r["score"], 6)) for r in found.rows.collect()} == want
+
+
+def test_document_frequencies_without_pairs_of_unit_and_prefix(spark, root):
+    """Counts of tokens by what they share with the one before tell how many units hold a prefix, through a removal; nothing is kept by prefix or twice by block."""
+    rows = corpus(6)
+    K.add(spark.createDataFrame(rows, SCHEMA), root)
+    K.remove(spark, root, spark.createDataFrame([(r[0],) for r in rows[::3]], "unit_id long"))
+    left = [set(re.findall("[a-z0-9]+", " ".join(x for x in (r[4], r[3]) if x).lower())) for i, r in enumerate(rows) if i % 3]
+    terms = ["alp", "alpha", "alphabet", "bet", "betas", "gam", "x" * 32, "x" * 33, "zzz"]
+    want = {t: n for t in terms if (n := sum(any(w.startswith(t) for w in own) for own in left))}
+    assert K._document_frequencies(K.Reader(spark, root), terms) == want
+    index = K.Reader(spark, root)
+    held = spark.read.parquet(f"{root}/tokens").where("segment = 1")
+    assert held.count() <= 4 * len({w for r in rows for w in re.findall("[a-z0-9]+", " ".join(x for x in (r[4], r[3]) if x).lower())})
+    assert index.table("blocks").agg({"n": "sum"}).first()[0] == index.postings
