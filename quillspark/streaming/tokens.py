@@ -8,8 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -84,23 +83,47 @@ def event_text(line: str) -> str | None:
     return None
 
 
-def _reason(key, rows: pd.DataFrame, state: tuple) -> tuple[tuple, list]:
+def _reason(key, rows: Iterable[tuple], state: tuple) -> tuple[tuple, list]:
     out = []
-    for seq, chunk, last in zip(rows["seq"], rows["chunk"], rows["is_last"]):
+    for seq, chunk, last in rows:
         state, text = visible(state, chunk or "", bool(last))
         if text:
             out.append((key, int(seq), text))
     return state, out
 
 
-def _frame(key, rows: pd.DataFrame, state: tuple) -> tuple[tuple, list]:
+def _frame(key, rows: Iterable[tuple], state: tuple) -> tuple[tuple, list]:
     out = []
-    for seq, chunk, last in zip(rows["seq"], rows["chunk"], rows["is_last"]):
+    for seq, chunk, last in rows:
         state, found = lines(state, chunk or "", bool(last))
         out += [(key, int(seq), text) for text in map(event_text, found) if text is not None]
     return state, out
 
 
+def each_stream(rows: DataFrame, run: Callable[[str, list[tuple]], list[tuple]], out: str) -> DataFrame:
+    """run(stream_id, its rows in order of seq) over streams that lie whole and in order in their tasks; a batch may end within one.
+
+    Rows are read a batch at a time and parted where the id changes, as a call of pandas for each of very
+    many short streams costs more than what it does. Rows hold stream_id and seq first; only one stream's are held.
+    """
+    names = [f.split()[0] for f in out.split(", ")]
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, own = None, []
+        for pdf in batches:
+            done = []
+            for row in zip(*(pdf[c].tolist() for c in pdf.columns)):
+                if own and row[0] != key:
+                    done += run(key, own)
+                    own = []
+                key = row[0]
+                own.append(row)
+            yield pd.DataFrame(done, columns=names)
+        yield pd.DataFrame(run(key, own) if own else [], columns=names)
+
+    return rows.repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInPandas(go, out)
+
+
 OUT = "stream_id string, seq long, text string"
 KINDS: dict[str, tuple[Callable, tuple, str]] = {"reasoning": (_reason, FRESH, "buffer string, inside int, emitted boolean"), "frames": (_frame, ("",), "buffer string")}
 
@@ -109,10 +132,8 @@ def batch(chunks: DataFrame, kind: str) -> DataFrame:
     """Whole streams at once."""
     step, fresh, _ = KINDS[kind]
 
-    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(step(key[0], rows.sort_values("seq"), fresh)[1], columns=["stream_id", "seq", "text"])
-
-    return chunks.groupBy(F.col("stream_id").cast("string").alias("stream_id")).applyInPandas(run, OUT)
+    rows = chunks.select(F.col("stream_id").cast("string").alias("stream_id"), "seq", "chunk", F.coalesce("is_last", F.lit(False)).alias("is_last"))
+    return each_stream(rows, lambda key, own: step(key, [r[1:] for r in own], fresh)[1], OUT)
 
 
 def stream(chunks: DataFrame, kind: str) -> DataFrame:
@@ -121,7 +142,7 @@ def stream(chunks: DataFrame, kind: str) -> DataFrame:
 
     def run(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("seq")
-        state, out = step(key[0], rows, tuple(held.get) if held.exists else fresh)
+        state, out = step(key[0], zip(rows["seq"], rows["chunk"], rows["is_last"]), tuple(held.get) if held.exists else fresh)
         if rows["is_last"].any():
             held.remove()
         else:
