@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +34,20 @@ def copies(units: DataFrame) -> DataFrame:
 
 
 def most_repeated(text: Column, sizes=(3, 4)) -> Column:
-    """How often the most frequent run of so many words occurs: runs sorted, then lengths of equal stretches."""
-    own = T.words(text, "[a-z']+")
-    step = lambda a, g: F.struct(g.alias("last"), F.when(a["last"] == g, a["run"] + 1).otherwise(1).alias("run"), F.greatest(a["best"], F.when(a["last"] == g, a["run"] + 1).otherwise(1)).alias("best"))
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-    return T.bound(own, lambda t: F.greatest(*(F.aggregate(F.array_sort(T.ngrams(t, n)), start, step, lambda a: a["best"]) for n in sizes)))
+    """How often the most frequent run of so many words occurs, 0 without one; null for null. Runs are counted text by text in Arrow batches, as tuples of words."""
+    word = re.compile("[a-z']+")
+
+    def most(text: str | None) -> int | None:
+        if text is None:
+            return None
+        own = word.findall(text)
+        return max((max(Counter(zip(*(own[i:] for i in range(n)))).values(), default=0) for n in sizes), default=0)
+
+    @F.pandas_udf("int")
+    def each(texts: pd.Series) -> pd.Series:
+        return pd.Series([most(t) for t in texts], dtype="Int32")
+
+    return each(F.lower(text))
 
 
 def title_tokens(title: Column) -> Column:

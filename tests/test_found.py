@@ -44,3 +44,35 @@ def test_a_book_without_any_head_has_no_report(on):
     orders = [(1, 1, "LOW"), (2, 2, "LOW"), (3, 1, "HIGH")]
     lines = [(1, 5, 1, 1, 9.0), (1, 6, 1, 2, 9.0), (2, 6, 1, 2, 9.0), (3, 7, 4, 2, 9.0)]
     assert len(on("running_heads_report", orders=(orders, ORDERS), lineitem=(lines, LINES))) == 4
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_no_call_of_pandas_for_each_stream(spark):
+    """Streams are parted within batches, also where a batch ends within a stream or holds many."""
+    from quillspark.streaming import answers, tokens
+
+    rows = [(f"s{s}", i, c, i == 3) for s in range(40) for i, c in enumerate([f"<think>{s}", "no</thi", f"nk>yes{s}", "\n"])]
+    chunks = spark.createDataFrame(rows, "stream_id string, seq long, chunk string, is_last boolean").repartition(7)
+    events = answers.events(chunks, spark.createDataFrame([("s5", 3), ("s41", 0)], "stream_id string, seq long"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        shown, kept = tokens.batch(chunks, "reasoning"), answers.batch(events)
+        assert "FlatMapGroupsInPandas" not in _plan(shown) + _plan(kept)
+        assert sorted((r.stream_id, r.seq, r.text) for r in shown.collect()) == sorted(x for s in range(40) for x in ((f"s{s}", 2, f"yes{s}"), (f"s{s}", 3, "\n")))
+        ended = {r.stream_id: r.event for r in kept.collect() if r.event != "text"}
+        assert ended == {f"s{s}": "end" for s in range(40)} | {"s5": "cancelled", "s41": "cancelled"}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_repeats_are_counted_in_batches(spark):
+    from quillspark.operators.audit import most_repeated
+
+    texts = ["a b c A B C a, b; c", "a b c d a b c d", "a b", "", None, "x " * 50, "It's so. It's so. it's SO"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = df.select("i", most_repeated(df.t).alias("n"))
+    assert "lambdafunction" not in _plan(found)
+    assert [r.n for r in found.orderBy("i").collect()] == [3, 2, 0, 0, None, 48, 2]
