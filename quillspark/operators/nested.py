@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import stored
 from . import scans
 
 
@@ -99,8 +100,10 @@ def sections(texts: DataFrame, form: Nested, key: str = "work", text: str = "tex
     anchors = "|".join(f"(?:{level.anchor})" for level in form.levels)
     whole = F.regexp_replace(text, r"[ \t]+", " ") if form.squeeze else F.col(text)
     pieces = texts.select(key, F.split(whole, f"(?m)(?={anchors})").alias("p"))
-    # the piece before tells whether a heading is a subtitle
-    rows = pieces.select(key, F.size("p").alias("of"), F.posexplode(F.transform("p", lambda x, i: F.struct(x.alias("raw"), F.when(i > 0, F.col("p")[i - 1]).alias("before")))).alias("at", "x")).select(key, "of", "at", "x.raw", "x.before")
+    if any(level.subtitles for level in form.levels):  # the piece before tells whether a heading is a subtitle
+        rows = pieces.select(key, F.size("p").alias("of"), F.posexplode(F.transform("p", lambda x, i: F.struct(x.alias("raw"), F.when(i > 0, F.col("p")[i - 1]).alias("before")))).alias("at", "x")).select(key, "of", "at", "x.raw", "x.before")
+    else:
+        rows = pieces.select(key, F.size("p").alias("of"), F.posexplode("p").alias("at", "raw"))
 
     starts = [rf"(?m)\A(?:{level.anchor})" for level in form.levels]
     depth = F.lit(None).cast("int")
@@ -123,7 +126,9 @@ def sections(texts: DataFrame, form: Nested, key: str = "work", text: str = "tex
         body = F.when(here, F.regexp_replace("raw", starts[n], "")).otherwise(body)
     if form.until:
         body = F.when(F.col("at") == F.col("of") - 1, F.split(body, form.until, 2)[0]).otherwise(body)
-    found = scans.carried(rows.select(key, "at", "depth", printed.alias("printed"), title.alias("title"), _trimmed(body).alias("body"), *(c.alias(f"n_{n}") for n, c in labels.items())), [key], ["at"], {n: F.col(f"n_{n}") for n in labels})
+    # stored, as dealing rows out by ranges reads them twice
+    own = stored(rows.select(key, "at", "depth", printed.alias("printed"), title.alias("title"), _trimmed(body).alias("body"), *(c.alias(f"n_{n}") for n, c in labels.items())), "nested-pieces")
+    found = scans.carried(own, [key], ["at"], {n: F.col(f"n_{n}") for n in labels})
     # a subtitle is no section, and neither is an inner anchor before the first outer one
     found = found.where(F.col("depth").isNotNull() & F.col(form.names[0]).isNotNull()).select(key, "at", "depth", *(F.col(n)["n"].alias(n) for n in labels), "printed", "title", "body")
     for n, level in enumerate(form.levels):
@@ -150,6 +155,9 @@ def report(found: DataFrame, form: Nested, texts: DataFrame, key: str = "work",
     """key, check, section, expected, actual, missing and ok: a row for each thing that must hold of every work of texts, or of one of its sections."""
     names, inner = form.names, form.levels[-1].names[-1]
     row = lambda check, section, expected, actual, missing, ok: F.struct(F.lit(check).alias("check"), section.alias("section"), expected.cast("long").alias("expected"), actual.cast("long").alias("actual"), missing.alias("missing"), F.coalesce(ok, F.lit(False)).alias("ok"))
+    # what all checks need is computed once: of the sections their numbers and lengths, of the texts whether they hold what they must
+    found = stored(found.select(key, "level", *names, "printed", F.length("body").alias("size")), "nested-sections")
+    texts = stored(texts.select(key, *(F.coalesce(F.col(text).rlike(pattern), F.lit(False)).alias(f"__has_{n}") for n, pattern in enumerate(form.needs))), "nested-works")
     none, works = F.lit(""), texts.select(key)
     out = []
 
@@ -182,13 +190,13 @@ def report(found: DataFrame, form: Nested, texts: DataFrame, key: str = "work",
     each = works.join(nameless, key, "left").withColumn("printed", F.coalesce("printed", F.array().cast("array<string>")))
     add(each, row("every section has a number", none, F.lit(0), F.size("printed"), F.array_join("printed", ", "), F.size("printed") == 0))
     path = F.concat_ws(".", *names)
-    counts = leaves.groupBy(key, path.alias("section")).agg(F.count("*").alias("n"), F.min(F.length("body")).alias("short"))
+    counts = leaves.groupBy(key, path.alias("section")).agg(F.count("*").alias("n"), F.min("size").alias("short"))
     odd = counts.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.col("section")))).alias("twice"), F.array_sort(F.collect_list(F.when(F.col("short") < form.least, F.col("section")))).alias("short"))
     each = works.join(odd, key, "left")
     for check, c in ((f"no {inner} twice", "twice"), (f"no {inner} too short", "short")):
         add(each, row(check, none, F.lit(0), F.size(F.coalesce(c, F.array().cast("array<string>"))), F.array_join(F.coalesce(c, F.array().cast("array<string>")), ", "), F.size(c) == 0))
-    for pattern in form.needs:
-        has = F.coalesce(F.col(text).rlike(pattern), F.lit(False))
+    for n, pattern in enumerate(form.needs):
+        has = F.col(f"__has_{n}")
         add(texts, row("the text says", F.lit(pattern), F.lit(1), has.cast("int"), none, has))
     whole = out[0]
     for df in out[1:]:

@@ -31,9 +31,12 @@ def sliced(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def _handed(df: DataFrame, totals: dict[str, Column], merge: Callable[[Column], Column], back: bool = False) -> DataFrame:
     """Slices' rows with, as __in_<name>, what the slices before (back: behind) hand on to their group; null where nothing does."""
     earlier = Window.partitionBy(_KEY).orderBy(F.col(_SLICE).desc() if back else F.col(_SLICE)).rowsBetween(Window.unboundedPreceding, -1)
-    each = df.groupBy(_SLICE, _KEY).agg(*(total.alias(name) for name, total in totals.items()))
+    # slices are ranges, so a group that lies in several is the first or the last of each: what is handed on is at most a row or two a slice
+    ends = df.groupBy(_SLICE).agg(F.min(_KEY).alias("first"), F.max(_KEY).alias("last")).select(_SLICE, F.explode(F.array_distinct(F.array("first", "last"))).alias(_KEY))
+    several = ends.groupBy(_KEY).agg(F.count("*").alias("n")).where("n > 1").select(_KEY)
+    each = df.join(F.broadcast(several), _KEY, "left_semi").groupBy(_SLICE, _KEY).agg(*(total.alias(name) for name, total in totals.items()))
     carry = each.select(_SLICE, _KEY, *(merge(F.col(name)).over(earlier).alias(f"__in_{name}") for name in totals))
-    return df.join(carry.where(F.coalesce(*(F.col(f"__in_{name}").isNotNull() for name in totals))), [_SLICE, _KEY], "left")
+    return df.join(F.broadcast(carry.where(F.coalesce(*(F.col(f"__in_{name}").isNotNull() for name in totals)))), [_SLICE, _KEY], "left")
 
 
 def _within(order: list[str], start: int, end: int):

@@ -76,3 +76,11 @@ def test_repeats_are_counted_in_batches(spark):
     found = df.select("i", most_repeated(df.t).alias("n"))
     assert "lambdafunction" not in _plan(found)
     assert [r.n for r in found.orderBy("i").collect()] == [3, 2, 0, 0, None, 48, 2]
+
+
+def test_a_report_does_not_cut_texts_again(spark):
+    from quillspark.operators import nested as N
+
+    texts = spark.createDataFrame([("w", "1:1 In it. 1:2 And so 2:1 Then.")], "work string, text string")
+    report = N.report(N.sections(texts, N.FORMS["verses"]), N.FORMS["verses"], texts)
+    assert "Window" not in _plan(report) and report.count() > 0
