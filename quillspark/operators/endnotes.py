@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import stored
 from . import scans
 
 HEADING = r"^([IVXL]+)\.?(?:\s*\[sic\])?$"
@@ -39,7 +40,7 @@ def _placed(paragraphs: DataFrame) -> DataFrame:
     value = T.roman_to_int(F.nullif(numeral, F.lit("")))
     proper = F.coalesce(T.int_to_roman(value) == numeral, F.lit(False))
     rows = text.withColumn("printed", F.when(proper, numeral)).withColumn("notes", F.substring("plain", 1, 8).contains("NOTES"))
-    return scans.running(rows, ["work"], ["at"], {"nth": F.col("printed").isNotNull().cast("int")})
+    return stored(scans.running(stored(rows, "paragraphs"), ["work"], ["at"], {"nth": F.col("printed").isNotNull().cast("int")}), "placed-paragraphs")
 
 
 def marks(placed: DataFrame) -> DataFrame:
@@ -56,7 +57,10 @@ def notes(placed: DataFrame) -> DataFrame:
 
 def articles(paragraphs: DataFrame) -> DataFrame:
     """work, nth, printed (the heading's numeral), text and proofs: the notes of an article's marks in order. A mark without a note has no proof."""
-    placed = _placed(paragraphs)
+    return _articles(_placed(paragraphs))
+
+
+def _articles(placed: DataFrame) -> DataFrame:
     heads = placed.where("printed IS NOT NULL").select("work", "nth", "printed")
     inside = placed.where("nth > 0 AND printed IS NULL AND NOT notes AND plain <> ''")
     bodies = inside.groupBy("work", "nth").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "plain"))), lambda p: p["plain"]), " ").alias("text"))
@@ -69,7 +73,7 @@ def articles(paragraphs: DataFrame) -> DataFrame:
 def report(paragraphs: DataFrame, works: DataFrame, articles_: int = ARTICLES, notes_: int = NOTES, misprints: dict[int, str] = MISPRINTS, least: int = LEAST) -> DataFrame:
     """work, check, expected, actual, odd (what is wrong, in order) and ok: a row for each thing that must hold of every work (works: work)."""
     placed = _placed(paragraphs)
-    found = articles(paragraphs)
+    found = _articles(placed)
     known = F.create_map(*(F.lit(x) for kv in misprints.items() for x in kv)) if misprints else F.create_map().cast("map<int,string>")
     proper = F.coalesce(F.try_element_at(known, F.col("nth")), T.int_to_roman(F.col("nth")))
     listed = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("nth"))))
