@@ -6,13 +6,17 @@ hold. All forms go through the same expressions, so a new one is a line in FORMS
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions import text as T
-from . import scans
 
 
 @dataclass(frozen=True)
@@ -75,52 +79,69 @@ def sections(texts: DataFrame, form: Form, keys: tuple[str, ...] = ("work",), te
     """The keys, nth, number, printed (the number as it stands), title and body of each section; what stands before the first anchor is no section.
 
     Sections of sections come by calling it again with `number` renamed among the keys. A null text has none.
+    Where only some anchors begin a section, they are picked within the text's row, each text by itself; nothing is shuffled for it.
     """
     starts = rf"(?m)\A(?:{form.anchor})"
-    rows = texts.select(*keys, F.posexplode(F.split(text, f"(?m)(?={form.anchor})")).alias("at", "raw")).where(F.col("raw").rlike(starts))
-    printed = F.regexp_extract("raw", starts, 1)
-    rows = rows.withColumn("number", (T.roman_to_int(printed) if form.roman else printed.try_cast("int")).cast("int"))
-    rows = rows.withColumn("printed", printed)
-    if form.run:
-        rows = _without_contents(rows, list(keys), form)
-    if form.rising:
-        rows = _rising(rows, list(keys))
-    if form.first:
-        rows = _first(rows, list(keys), form.sections)
+    value = lambda printed: (T.roman_to_int(printed) if form.roman else printed.try_cast("int")).cast("int")
+    cut = F.split(text, f"(?m)(?={form.anchor})")
+    if form.run or form.rising or form.first:
+        rows = _picked(texts.select(*keys, cut.alias("pieces")), form, list(keys), starts, value)
+    else:
+        rows = texts.select(*keys, F.posexplode(cut).alias("at", "raw")).where(F.col("raw").rlike(starts)).withColumn("printed", F.regexp_extract("raw", starts, 1))
+        rows = rows.withColumn("number", value(F.col("printed"))).withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("at")))
     titled = form.anchor.replace("(?", "").replace(r"\(", "").count("(") > 1
     title = T.squeeze(F.regexp_extract("raw", starts, 2)) if titled else F.lit("")
-    rows = rows.select(*keys, "at", "number", "printed", title.alias("title"), _trimmed(F.regexp_replace("raw", starts, "")).alias("body"))
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("at"))
-    rows = rows.withColumn("nth", nth)
-    return rows.select(*keys, "nth", (F.col("nth") if form.by_place else F.col("number")).alias("number"), "printed", "title", "body")
-
-
-def _without_contents(rows: DataFrame, keys: list[str], form: Form) -> DataFrame:
-    """Rows but for runs of anchors that follow each other closely; their text goes to the row before the run, if there is one."""
-    w = Window.partitionBy(*keys).orderBy("at")
-    fresh = F.when(F.lag(F.length("raw")).over(w) < form.gap, 0).otherwise(1)
-    runs = rows.withColumn("fresh", fresh).withColumn("of", F.sum("fresh").over(w))
-    alone = F.count("*").over(Window.partitionBy(*keys, "of")) < form.run
-    return _joined(runs.withColumn("own", F.when(alone, F.col("at"))).drop("fresh", "of"), keys)
-
-
-def _rising(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose number is above all before them, each with the rows that follow up to the next such."""
-    above = scans.highest_before(rows, keys, ["at"], "number", "__high")
-    return _joined(above.withColumn("own", F.when(F.col("number") > F.coalesce("__high", F.lit(0)), F.col("at"))), keys)
-
-
-def _first(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """The first row of each number from 1 to `most`, each with the rows that follow up to the next such."""
-    nth = F.row_number().over(Window.partitionBy(*keys, "number").orderBy("at"))
-    return _joined(rows.withColumn("own", F.when(F.col("number").between(1, most) & (nth == 1), F.col("at"))), keys)
-
-
-def _joined(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with an `own` place as they are, the others' text behind the one before."""
-    marked = scans.carried(rows, keys, ["at"], {"own": F.col("own")}).where("own IS NOT NULL")
-    raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "raw"))), lambda r: r["raw"]), "")
-    return marked.groupBy(*keys, F.col("own").alias("at")).agg(raw.alias("raw"), F.min_by("number", "at").alias("number"), F.min_by("printed", "at").alias("printed"))
+    body = _trimmed(F.regexp_replace("raw", starts, ""))
+    return rows.select(*keys, "nth", (F.col("nth") if form.by_place else F.col("number")).alias("number"), "printed", title.alias("title"), body.alias("body"))
+
+
+def _picked(rows: DataFrame, form: Form, keys: list[str], starts: str, value: Callable[[Column], Column]) -> DataFrame:
+    """The pieces that begin a section, each with the text of those up to the next such. Only their numbers and lengths go to Python."""
+    rows = rows.select(*keys, F.filter("pieces", lambda p: p.rlike(starts)).alias("pieces"))
+    printed = lambda p: F.regexp_extract(p, starts, 1)
+    numbers = F.transform("pieces", lambda p: value(printed(p)))
+    lengths = F.transform("pieces", F.length) if form.run else numbers
+    rows = rows.withColumn("numbers", numbers).withColumn("begin", _beginnings(form)("numbers", lengths))
+
+    def section(begin: Column, k: Column) -> Column:
+        size = F.coalesce(F.get("begin", k + 1), F.size("pieces")) - begin
+        return F.struct((k + 1).alias("nth"), F.get("numbers", begin).alias("number"), printed(F.get("pieces", begin)).alias("printed"), F.array_join(F.slice("pieces", begin + 1, size), "").alias("raw"))
+
+    return rows.select(*keys, F.inline(F.transform("begin", section)))
+
+
+def _beginnings(form: Form):
+    """Of each text's pieces those that begin a section, by place from 0: not those in a run of contents; of the others those whose
+    number is above all before it (rising); of these the first of each number from 1 to `sections` (first)."""
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def begin(numbers: pa.Array, lengths: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(numbers), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        text, place = np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        found = numbers.flatten()
+        known = found.is_valid().to_numpy(zero_copy_only=False)
+        number = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        kept = np.arange(len(number))
+        if form.run:
+            length = lengths.flatten().to_numpy(zero_copy_only=False)
+            close = np.zeros(len(number), bool)
+            close[1:] = (place[1:] > 0) & (length[:-1] < form.gap)
+            run = np.cumsum(~close) - 1
+            kept = kept[np.bincount(run, minlength=1)[run] < form.run]
+        if form.rising:
+            least = -(1 << 40)  # below every int; texts lie so far apart that the highest so far is never one of the text before
+            reach = np.maximum.accumulate(np.where(known, number, least)[kept] + (text[kept] << 42))
+            high = np.full(len(kept), least)
+            same = text[kept][1:] == text[kept][:-1]
+            high[1:][same] = (reach[:-1] - (text[kept][:-1] << 42))[same]
+            kept = kept[known[kept] & (number[kept] > np.where(high == least, 0, high))]
+        if form.first:
+            kept = kept[known[kept] & (number[kept] >= 1) & (number[kept] <= form.sections)]
+            kept = np.sort(kept[np.unique((text[kept] << 32) + number[kept], return_index=True)[1]])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(text[kept], minlength=len(sizes)))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[kept], pa.int32()))
+
+    return begin
 
 
 def asked(body: Column) -> Column:
