@@ -11,10 +11,12 @@ Groups can be null, and so can order columns, which come first then. Rows that t
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.store import stored
 
@@ -80,6 +82,47 @@ def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str,
 def parts(rows: DataFrame, keys: list[str], order: list[str], size: str, target: int) -> DataFrame:
     """rows with __part: a group's rows in order are packed, a part ends with the row by which its sizes reach the target.
 
+    Each slice is packed in one pass. That is right for every group that lies in it whole; only the first and
+    the last group of a slice may go on in others, however long they are, and these go by jumps (_far_parts).
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keys))).alias(_KEY), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("__own"), *rows.columns)
+    dealt = dealt.repartitionByRange(n, *keys, *order, size).sortWithinPartitions(*keys, *order, size)
+    schema = T.StructType([*rows.schema.fields, T.StructField(_SLICE, T.IntegerType()), T.StructField("__nth", T.LongType()), T.StructField("__part", T.IntegerType())])
+    near = stored(dealt.withColumn(_SLICE, F.spark_partition_id()).mapInArrow(_packing(target), schema), "packed-slices")
+    last = near.groupBy(_SLICE).agg(F.max("__nth").alias("__last"))
+    met = near.join(F.broadcast(last), _SLICE)
+    edge = (F.col("__nth") == 0) | (F.col("__nth") == F.col("__last"))
+    whole = met.where(~edge).select(*rows.columns, "__part")
+    far = stored(met.where(edge).select(*rows.columns), "packed-edges")
+    return whole.unionByName(_far_parts(far, keys, order, size, target))
+
+
+def _packing(target: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of one slice in order, with the slice, the place of each row's group in it and the row's part, as if every group began there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nth, part, held = None, -1, 0, 0
+        for batch in batches:
+            groups, packed = [], []
+            # a struct's values as a tuple; NaN is equal to itself here, as in Spark's grouping
+            own = list(zip(*(["NaN" if x != x else x for x in column.to_pylist()] for column in batch.column(0).flatten())))
+            for k, size in zip(own, batch.column(1).to_pylist()):
+                if k != key or nth < 0:
+                    key, nth, part, held = k, nth + 1, 0, 0
+                groups.append(nth)
+                packed.append(part)
+                held += size
+                if held >= target:
+                    part, held = part + 1, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(groups, pa.int64()), pa.array(packed, pa.int32())], names=[*batch.schema.names[2:], "__nth", "__part"])
+
+    return run
+
+
+def _far_parts(rows: DataFrame, keys: list[str], order: list[str], size: str, target: int) -> DataFrame:
+    """parts of groups that need not lie in one slice.
+
     Where a part begins depends on all before it, yet each row's jump, to the row behind the part that
     would begin with it, does not: it is found among the running sums. Which rows do begin a part is then
     found by doubling: the marked rows' jumps are marked, and jumps become jumps of twice as many parts.

@@ -87,3 +87,23 @@ def test_a_hot_group_is_many_slices(spark, rows):
 def test_no_rows(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert scans.carried(none, ["g"], ["i"], {"c": F.col("label")}).count() == chunks.packed(none, "g", ["i"], "n", 5).count() == 0
+
+
+def test_groups_within_a_slice_are_packed_in_one_pass(spark, monkeypatch):
+    rows, far = [(f"{g:04}", i, None, (g * 7 + i * 13) % 50) for g in range(900) for i in range(1 + g % 9)], []
+    own = scans._far_parts
+    monkeypatch.setattr(scans, "_far_parts", lambda df, *more: own(far.append(df.count()) or df, *more))
+    got = sorted((r.g, r.i, r.part) for r in chunks.packed(spark.createDataFrame(rows, SCHEMA), "g", ["i"], "n", 60).collect())
+    want, part, held = [], 0, 0
+    for g, i, _, n in sorted(rows):
+        part, held = (part, held) if i else (0, 0)
+        want.append((g, i, part))
+        part, held = (part + 1, 0) if held + n >= 60 else (part, held + n)
+    assert got == want and far[0] <= 2 * 4 * 9  # only the first and the last group of each of four slices go by jumps
+
+
+def test_packing_by_a_key_that_is_null_or_no_number(spark):
+    rows = [(k, i, 4) for k in (None, float("nan"), -0.0, 1.5) for i in range(5)]
+    df = spark.createDataFrame(rows, "g double, i int, n int").repartition(2)
+    got = sorted((str(r.g), r.i, r.part) for r in chunks.packed(df, "g", ["i"], "n", 8).collect())
+    assert got == sorted((str(k), i, i // 2) for k in (None, float("nan"), got[0][0], 1.5) for i in range(5)) and got[0][0] in ("-0.0", "0.0")
