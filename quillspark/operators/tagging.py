@@ -25,7 +25,7 @@ QUESTION_PHRASES = {
     "sanctification": ["sanctification"], "scripture": ["scripture"], "second coming": ["eschatology"], "sin": ["sin"], "soteriology": ["salvation"],
     "trinity": ["trinity"], "worship": ["worship"],
 }
-#: How much of a unit is looked at for tags.
+#: How much of a unit the queries look at whose SQL cuts texts.
 SCAN = 4000
 
 
@@ -34,9 +34,9 @@ def _whole(phrase: str) -> str:
     return r"(?i)(?<![A-Za-z0-9_])" + re.escape(phrase).replace("\\ ", " ") + r"(s|es)?(?![A-Za-z0-9_])"
 
 
-def unit_tags(units: DataFrame, keywords: dict[str, str] = UNIT_KEYWORDS, scan: int = SCAN) -> DataFrame:
-    """unit_id and slug, a row for each tag of a unit."""
-    text = F.concat_ws(" ", "title", F.left("content", F.lit(scan)))
+def unit_tags(units: DataFrame, keywords: dict[str, str] = UNIT_KEYWORDS, scan: int | None = None) -> DataFrame:
+    """unit_id and slug, a row for each tag of a unit. The whole text is looked at; scan: only its first characters."""
+    text = F.concat_ws(" ", "title", "content" if scan is None else F.left("content", F.lit(scan)))
     flags = F.array_distinct(F.array_compact(F.array(*(F.when(text.rlike(_whole(k)), slug) for k, slug in keywords.items()))))
     return units.select("unit_id", "source", "tradition", F.explode(flags).alias("slug"))
 

@@ -31,7 +31,7 @@ def fragment_stats(spark, sf):
 
 
 def catalogue_tags(spark, sf):
-    return P.tag_totals(G.unit_tags(units(spark, sf), KEYWORDS), fragment_assign(spark, sf))
+    return P.tag_totals(G.unit_tags(units(spark, sf), KEYWORDS, G.SCAN), fragment_assign(spark, sf))
 
 
 def id_ledger(spark, sf):

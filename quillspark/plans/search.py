@@ -91,17 +91,17 @@ def query_expression(spark, sf):
 
 
 def keyword_tags(spark, sf):
-    return G.unit_tags(units(spark, sf), KEYWORDS).select("unit_id", "slug")
+    return G.unit_tags(units(spark, sf), KEYWORDS, G.SCAN).select("unit_id", "slug")
 
 
 def tag_coverage(spark, sf):
-    tags = G.unit_tags(units(spark, sf), KEYWORDS)
+    tags = G.unit_tags(units(spark, sf), KEYWORDS, G.SCAN)
     tagged = tags.groupBy("tradition").agg(F.countDistinct("unit_id").alias("tagged"), F.countDistinct("slug").alias("slugs"))
     return units(spark, sf).groupBy("tradition").agg(F.count("*").alias("n")).join(tagged, "tradition", "left").select("tradition", "n", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tagged", "slugs")))
 
 
 def tag_search(spark, sf):
-    return G.search(G.unit_tags(units(spark, sf), KEYWORDS), ["With Tag", "that-tag", "RARE-TAG"]).orderBy(F.col("matches").desc(), "unit_id").limit(LIMIT)
+    return G.search(G.unit_tags(units(spark, sf), KEYWORDS, G.SCAN), ["With Tag", "that-tag", "RARE-TAG"]).orderBy(F.col("matches").desc(), "unit_id").limit(LIMIT)
 
 
 TAG_QUESTIONS = [(1, "Are sins forgiven by grace alone?"), (2, "hello sincere evangelical"), (3, "The Lord's Supper and Baptisms"), (4, "free will, Hell and the second coming")]
@@ -150,7 +150,7 @@ def rrf_hybrid(spark, sf):
 def rrf_with_tags(spark, sf):
     """The lexical list goes on with the units that have the question's tags; a unit in both counts twice."""
     lexical = X.top(X.bm25(units(spark, sf), QUESTIONS), LIMIT)
-    tags = G.search(G.unit_tags(units(spark, sf), KEYWORDS), ["that-tag", "with-tag"]).orderBy(F.col("matches").desc(), "unit_id").limit(LIMIT)
+    tags = G.search(G.unit_tags(units(spark, sf), KEYWORDS, G.SCAN), ["that-tag", "with-tag"]).orderBy(F.col("matches").desc(), "unit_id").limit(LIMIT)
     tagged = X.top(tags.select(F.lit(1).alias("qid"), "unit_id", F.col("matches").cast("double").alias("score")), LIMIT)
     return M.fuse([(M.appended(lexical.where("qid = 1"), tagged), 1.0)], LIMIT).select("qid", "unit_id", "rank", F.round("score", 9).alias("score"))
 
